@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, sharding, urls
-from ._work import table
+from . import classify, lines, quality, sharding, urls
+from ._work import hex_sha, table, written
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +28,22 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", "url_verdict").alias("verdict"))
 
 
-QUERIES = {"op3_sharding": op3_sharding, "op4_quality": op4_quality, "op9_urls": op9_urls}
+def op8_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = written(docs.select("doc_id", classify.statistics_of(F.col("text")).alias("x")), "statistics")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    model = classify.fit(rows.filter(~held_out).join(labels, "doc_id"), "x", "quality")
+    scored = rows.select("doc_id", held_out.alias("held_out"), classify.score(F.col("x"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed_lines", "n_runs", hex_sha(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("kept_sha256"))
+
+
+QUERIES = {"op3_sharding": op3_sharding, "op4_quality": op4_quality, "op8_classifier": op8_classifier, "op9_urls": op9_urls, "op10_lines": op10_lines}
 
 
 def _op9_sql() -> str:
@@ -78,4 +93,26 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
   n_repeat_words::BIGINT AS n_repeat_words, bits % 4 <> 0 AS base_failed, bits = 0 AS kept, bits AS failed_bits
 FROM f"""
 
-ORACLE_SQL = {"op4_quality": _OP4_SQL, "op9_urls": _op9_sql()}
+_OP10_SQL = """
+WITH ls AS (
+  SELECT doc_id, pos - 1 AS pos, line, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS w
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)),
+x AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i, sum(w) OVER (PARTITION BY doc_id ORDER BY pos) AS e FROM ls WHERE w > 0),
+ahead AS (SELECT p.doc_id, p.i AS i, min(q.i) AS j FROM x p JOIN x q ON p.doc_id = q.doc_id AND q.i BETWEEN p.i AND p.i + 49 AND q.e - p.e + p.w >= 50 GROUP BY 1, 2),
+back AS (SELECT q.doc_id, max(p.i) AS i, q.i AS j FROM x p JOIN x q ON p.doc_id = q.doc_id AND q.i BETWEEN p.i AND p.i + 49 AND q.e - p.e + p.w >= 50 GROUP BY 1, 3),
+st AS (SELECT * FROM ahead UNION SELECT doc_id, i, j FROM back),
+named AS (SELECT st.doc_id, st.i, st.j, string_agg(x.line, chr(10) ORDER BY x.i) AS name FROM st JOIN x ON x.doc_id = st.doc_id AND x.i BETWEEN st.i AND st.j GROUP BY 1, 2, 3),
+later AS (
+  SELECT doc_id, i, j FROM (SELECT *, row_number() OVER (PARTITION BY name, j - i ORDER BY doc_id, i) AS k FROM named) WHERE k > 1),
+gone AS (
+  SELECT DISTINCT l.doc_id, ls.pos FROM later l JOIN x a ON a.doc_id = l.doc_id AND a.i = l.i JOIN x b ON b.doc_id = l.doc_id AND b.i = l.j
+  JOIN ls ON ls.doc_id = l.doc_id AND ls.pos BETWEEN a.pos AND b.pos),
+runs AS (SELECT doc_id, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM gone h WHERE h.doc_id = g.doc_id AND h.pos = g.pos - 1)) AS n FROM gone g GROUP BY 1),
+kept AS (
+  SELECT ls.doc_id, count(*) AS n, count(gone.pos) AS n_gone, string_agg(line, chr(10) ORDER BY ls.pos) FILTER (WHERE gone.pos IS NULL) AS t
+  FROM ls LEFT JOIN gone ON gone.doc_id = ls.doc_id AND gone.pos = ls.pos GROUP BY 1)
+SELECT d.doc_id, coalesce(k.n, 0)::BIGINT AS n_lines, coalesce(k.n_gone, 0)::BIGINT AS n_removed_lines, coalesce(r.n, 0)::BIGINT AS n_runs,
+  sha256(coalesce(k.t, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id LEFT JOIN runs r ON r.doc_id = d.doc_id"""
+
+ORACLE_SQL = {"op10_lines": _OP10_SQL, "op4_quality": _OP4_SQL, "op9_urls": _op9_sql()}
