@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classify, lines, quality, sharding, urls
+from . import classify, lines, pii, quality, sharding, urls
 from ._work import hex_sha, table, written
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in pii.PATTERNS]
+    return out.select("doc_id", *counts, hex_sha(pii.joined(pii.named_base())).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", sharding.record_size().alias("size"), F.crc32("text").alias("text_crc32"))
     out = sharding.external_shuffle(docs, ["doc_id", "text_crc32"], 40, F.col("size"), seed=20)
@@ -43,7 +49,7 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed_lines", "n_runs", hex_sha(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("kept_sha256"))
 
 
-QUERIES = {"op3_sharding": op3_sharding, "op4_quality": op4_quality, "op8_classifier": op8_classifier, "op9_urls": op9_urls, "op10_lines": op10_lines}
+QUERIES = {"op2_pii": op2_pii, "op3_sharding": op3_sharding, "op4_quality": op4_quality, "op8_classifier": op8_classifier, "op9_urls": op9_urls, "op10_lines": op10_lines}
 
 
 def _op9_sql() -> str:
