@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classify, lines, pii, quality, sharding, urls
+from . import classify, decontaminate, lines, pii, quality, sharding, urls
 from ._work import hex_sha, table, written
 
 
@@ -34,6 +34,15 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", "url_verdict").alias("verdict"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return out.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        hex_sha(F.array_join("items", ",")).alias("items_sha256"), decontaminate.is_contaminated().alias("contaminated"),
+    )
+
+
 def op8_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = written(docs.select("doc_id", classify.statistics_of(F.col("text")).alias("x")), "statistics")
@@ -49,7 +58,7 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed_lines", "n_runs", hex_sha(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("kept_sha256"))
 
 
-QUERIES = {"op2_pii": op2_pii, "op3_sharding": op3_sharding, "op4_quality": op4_quality, "op8_classifier": op8_classifier, "op9_urls": op9_urls, "op10_lines": op10_lines}
+QUERIES = {"op2_pii": op2_pii, "op3_sharding": op3_sharding, "op4_quality": op4_quality, "op5_decontaminate": op5_decontaminate, "op8_classifier": op8_classifier, "op9_urls": op9_urls, "op10_lines": op10_lines}
 
 
 def _op9_sql() -> str:
@@ -99,6 +108,23 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
   n_repeat_words::BIGINT AS n_repeat_words, bits % 4 <> 0 AS base_failed, bits = 0 AS kept, bits AS failed_bits
 FROM f"""
 
+_OP5_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(lower_az(text), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(lower_az(text), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, least(13, len(ws)) AS n, array_to_string(ws[i:i + least(13, len(ws)) - 1], ' ') AS w
+  FROM (SELECT item_id, ws, unnest(generate_series(1, greatest(len(ws) - 12, 1))) AS i FROM b WHERE len(ws) > 0)),
+sizes AS (SELECT DISTINCT n FROM win),
+pl AS (
+  SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS w
+  FROM (SELECT doc_id, ws, n, unnest(generate_series(1, len(ws) - n + 1)) AS i FROM d, sizes WHERE len(ws) >= n)),
+hit AS (SELECT doc_id, i, pl.n, item_id FROM pl JOIN win ON win.w = pl.w AND win.n = pl.n),
+cover AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM hit) GROUP BY 1),
+ids AS (SELECT doc_id, count(DISTINCT item_id) AS n, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS s FROM hit GROUP BY 1)
+SELECT d.doc_id, coalesce(len(ws), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(ids.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids.s, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(ws), false) AS contaminated
+FROM d LEFT JOIN cover ON cover.doc_id = d.doc_id LEFT JOIN ids ON ids.doc_id = d.doc_id""".replace("lower_az(text)", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+
 _OP10_SQL = """
 WITH ls AS (
   SELECT doc_id, pos - 1 AS pos, line, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS w
@@ -121,4 +147,4 @@ SELECT d.doc_id, coalesce(k.n, 0)::BIGINT AS n_lines, coalesce(k.n_gone, 0)::BIG
   sha256(coalesce(k.t, '')) AS kept_sha256
 FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id LEFT JOIN runs r ON r.doc_id = d.doc_id"""
 
-ORACLE_SQL = {"op10_lines": _OP10_SQL, "op4_quality": _OP4_SQL, "op9_urls": _op9_sql()}
+ORACLE_SQL = {"op5_decontaminate": _OP5_SQL, "op10_lines": _OP10_SQL, "op4_quality": _OP4_SQL, "op9_urls": _op9_sql()}
