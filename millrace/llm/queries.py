@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classify, decontaminate, lines, pii, quality, sharding, urls
+from . import classify, decontaminate, lines, pieces, pii, quality, sharding, urls
 from ._work import hex_sha, table, written
 
 
@@ -43,6 +43,14 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coder = pieces.Pieces(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("ids", coder.encode(F.col("text")))
+    out = docs.withColumn("back", coder.decode(F.col("ids")))
+    n = F.when(F.col("ids").isNull(), F.lit(0)).otherwise(F.size("ids")).cast("long")
+    return out.select("doc_id", n.alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), F.col("back").eqNullSafe(F.col("text")).alias("restored"))
+
+
 def op8_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = written(docs.select("doc_id", classify.statistics_of(F.col("text")).alias("x")), "statistics")
@@ -58,7 +66,7 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed_lines", "n_runs", hex_sha(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("kept_sha256"))
 
 
-QUERIES = {"op2_pii": op2_pii, "op3_sharding": op3_sharding, "op4_quality": op4_quality, "op5_decontaminate": op5_decontaminate, "op8_classifier": op8_classifier, "op9_urls": op9_urls, "op10_lines": op10_lines}
+QUERIES = {"op2_pii": op2_pii, "op3_sharding": op3_sharding, "op4_quality": op4_quality, "op5_decontaminate": op5_decontaminate, "op7_pieces": op7_pieces, "op8_classifier": op8_classifier, "op9_urls": op9_urls, "op10_lines": op10_lines}
 
 
 def _op9_sql() -> str:
