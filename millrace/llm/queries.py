@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classify, decontaminate, lines, pieces, pii, quality, sharding, urls
+from . import classify, decontaminate, lines, minhash, pieces, pii, quality, sharding, urls
 from ._work import hex_sha, table, written
 
 
@@ -43,6 +43,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     coder = pieces.Pieces(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("ids", coder.encode(F.col("text")))
@@ -66,7 +70,7 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed_lines", "n_runs", hex_sha(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("kept_sha256"))
 
 
-QUERIES = {"op2_pii": op2_pii, "op3_sharding": op3_sharding, "op4_quality": op4_quality, "op5_decontaminate": op5_decontaminate, "op7_pieces": op7_pieces, "op8_classifier": op8_classifier, "op9_urls": op9_urls, "op10_lines": op10_lines}
+QUERIES = {"op2_pii": op2_pii, "op3_sharding": op3_sharding, "op4_quality": op4_quality, "op5_decontaminate": op5_decontaminate, "op6_minhash": op6_minhash, "op7_pieces": op7_pieces, "op8_classifier": op8_classifier, "op9_urls": op9_urls, "op10_lines": op10_lines}
 
 
 def _op9_sql() -> str:
