@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classify, decontaminate, lines, minhash, pieces, pii, quality, sharding, urls
+from . import classify, decontaminate, lines, minhash, pieces, pii, quality, sharding, substrings, urls
 from ._work import hex_sha, table, written
 
 
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", hex_sha("kept").alias("kept_sha256"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in pii.PATTERNS]
@@ -70,7 +75,7 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed_lines", "n_runs", hex_sha(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("kept_sha256"))
 
 
-QUERIES = {"op2_pii": op2_pii, "op3_sharding": op3_sharding, "op4_quality": op4_quality, "op5_decontaminate": op5_decontaminate, "op6_minhash": op6_minhash, "op7_pieces": op7_pieces, "op8_classifier": op8_classifier, "op9_urls": op9_urls, "op10_lines": op10_lines}
+QUERIES = {"op1_substrings": op1_substrings, "op2_pii": op2_pii, "op3_sharding": op3_sharding, "op4_quality": op4_quality, "op5_decontaminate": op5_decontaminate, "op6_minhash": op6_minhash, "op7_pieces": op7_pieces, "op8_classifier": op8_classifier, "op9_urls": op9_urls, "op10_lines": op10_lines}
 
 
 def _op9_sql() -> str:
