@@ -1,4 +1,5 @@
-"""Registered queries of the engine and their SQL."""
+"""Whole queries: the search API, and the registered queries over the given tables with their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .queries import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -1,0 +1 @@
+"""Readers and writers: manifests, Markdown folders, query sets, index tables and reports."""
