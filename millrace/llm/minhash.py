@@ -198,24 +198,83 @@ def _members(batches):
             )
 
 
-def _across(batches):
-    """Near pairs of one neighbourhood whose components differ."""
-    for t in _groups(batches, "hood"):
-        hood, rep, comp = _column(t, "hood"), _column(t, "rep"), _column(t, "component")
+def odd_sketch(h: np.ndarray) -> bytes:
+    """Parities of how many of a set's hashes fall on each bit; four bits an element at least, a power of two.
+
+    The bits in which two sketches differ are never more than the elements in which the sets do. One of twice the
+    length folds into the shorter by xor of its halves.
+    """
+    size = max(512, 1 << (4 * len(h) - 1).bit_length()) if len(h) else 512
+    at = (_vec.mix(h ^ _U(0xC2B2AE3D27D4EB4F)) & _U(size - 1)).astype(np.int64)
+    bits = (np.bincount(at, minlength=size) & 1).astype(np.uint8)
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _differ(odd: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """In how many bits the sketches of pairs differ; those over twice as long as the other count as all different."""
+    size = np.array([len(x) for x in odd])
+    out = np.full(len(i), 1 << 62)
+    for at in np.unique(size):
+        own = np.flatnonzero(size == at)
+        place = np.zeros(len(odd), np.int64)
+        place[own] = np.arange(len(own))
+        table = np.frombuffer(b"".join([odd[x] for x in own]), _U).reshape(len(own), -1)
+        half = table.shape[1] // 2
+        step = max(1, (4 << 20) // int(at))
+        for other, left, right in ((at, i, j), (at * 2, i, j), (at * 2, j, i)):
+            pairs = np.flatnonzero((size[left] == at) & (size[right] == other))
+            for p in range(0, len(pairs), step):
+                x = pairs[p : p + step]
+                a = table[place[left[x]]]
+                if other == at:
+                    b = table[place[right[x]]]
+                else:
+                    b = np.frombuffer(b"".join([odd[r] for r in right[x]]), _U).reshape(len(x), -1)
+                    b = b[:, : 2 * half] ^ b[:, 2 * half :]
+                out[x] = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def _across(batches, num: int, den: int):
+    """Pairs of one neighbourhood whose components differ and which sizes, signatures and odd sketches allow."""
+    for t in _groups(batches, "hood", 50_000):
+        hood, rep, comp, size = (_column(t, n) for n in ("hood", "rep", "component", "n_shingles"))
         s0, s1 = (_column(t, n).view(_U) for n in ("s0", "s1"))
+        odd = t.column("odd")
         order = np.lexsort((rep, comp, hood))
-        hood, rep, comp, s0, s1 = hood[order], rep[order], comp[order], s0[order], s1[order]
-        begin, size = _runs(hood)
+        hood, rep, comp, size, s0, s1 = hood[order], rep[order], comp[order], size[order], s0[order], s1[order]
+        begin, count = _runs(hood)
         us, vs = [], []
-        for p, n in zip(begin.tolist(), size.tolist(), strict=True):
+        for p, n in zip(begin.tolist(), count.tolist(), strict=True):
             if comp[p] == comp[p + n - 1]:
                 continue
-            for i in range(p, p + n):
-                after = p + int(np.searchsorted(comp[p : p + n], comp[i], "right"))  # members of later components
-                if after < p + n:
-                    ok = after + np.flatnonzero(_far(s0[i], s1[i], s0[after : p + n], s1[after : p + n]) <= SKETCH_ERRORS)
-                    us.append(np.full(len(ok), rep[i]))
-                    vs.append(rep[ok])
+            q = p + n
+            left, right, held = [], [], 0
+            own = odd.take(pa.array(order[p:q])).to_pylist()
+
+            def settle(left=left, right=right, own=own, p=p):
+                if left:
+                    i, j = np.concatenate(left), np.concatenate(right)
+                    ok = _differ(own, i, j) * (den + num) <= (size[p + i] + size[p + j]) * (den - num)
+                    us.append(rep[p + i[ok]])
+                    vs.append(rep[p + j[ok]])
+                    left.clear()
+                    right.clear()
+
+            after = np.searchsorted(comp[p:q], comp[p:q], "right")  # members of later components
+            for i in range(n):
+                k = int(after[i])
+                if k < n:
+                    ok = _far(s0[p + i], s1[p + i], s0[p + k : q], s1[p + k : q]) <= SKETCH_ERRORS
+                    ok &= (den * size[p + k : q] >= num * size[p + i]) & (num * size[p + k : q] <= den * size[p + i])
+                    js = k + np.flatnonzero(ok)
+                    left.append(np.full(len(js), i))
+                    right.append(js)
+                    held += len(js)
+                    if held > 100_000:
+                        settle()
+                        held = 0
+            settle()
         if us:
             u, v = np.concatenate(us), np.concatenate(vs)
             pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
@@ -225,7 +284,15 @@ def _across(batches):
 def _pack(batches):
     z = zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([z.compress(x) for x in _vec.binary(batch.column(1)).to_pylist()], pa.binary())], names=["rep", "packed"])
+        n, odd = [], []
+        for _, _, buf, off in _vec.pieces(batch.column(1)):
+            h, begin, _ = word_shingles(buf, off)
+            h, begin = _distinct(h, begin)
+            for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+                n.append(b - a)
+                odd.append(odd_sketch(h[a:b]))
+        packed = pa.array([z.compress(x) for x in _vec.binary(batch.column(1)).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), packed, pa.array(n, pa.int64()), pa.array(odd, pa.binary())], names=["rep", "packed", "n_shingles", "odd"])
 
 
 def _shingle_set(packed: bytes) -> np.ndarray:
@@ -268,7 +335,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", nu
        far ones there, before any pair is made.
     3. Each class is linked with its nearest leader over its neighbourhoods: at most one pair a class, which joins
        most of every group however large. Pairs are confirmed on full sets.
-    4. Near pairs that are still in different components, and only these, are confirmed too.
+    4. Near pairs that are still in different components are compared by odd sketches (see odd_sketch), which rule out
+       most pairs just below the threshold and none above it; the rest are confirmed on full sets too.
     Keys are whole numbers and unique; rows with a null key keep a null component and stay.
     """
     named = docs.filter(F.col(key).isNotNull())
@@ -281,12 +349,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", nu
     members = written(chunks.mapInArrow(_members, "hood long, rep long, s0 long, s1 long, leader long, far long"), "members")
     wanted = members.select("rep").distinct()
     texts = named.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("t")).join(wanted, "rep", "left_semi")
-    texts = written(texts.mapInArrow(_pack, "rep long, packed binary"), "texts")
+    texts = written(texts.mapInArrow(_pack, "rep long, packed binary, n_shingles long, odd binary"), "texts")
     best = members.filter("leader is not null").groupBy("rep").agg(F.min(F.struct("far", "leader")).alias("b"))
     links = _confirmed(best.select(F.col("rep").alias("u"), F.col("b.leader").alias("v")), texts, num, den)
     comps = written(components(links), "components")
     placed = members.select("hood", "rep", "s0", "s1").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    pairs = placed.select("hood", "rep", "s0", "s1", "component").repartition(n, "hood").sortWithinPartitions("hood").mapInArrow(_across, "u long, v long").distinct()
+    # only neighbourhoods of more than one component go on, with the members' odd sketches
+    mixed = placed.groupBy("hood").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("hood")
+    open_ = placed.join(mixed, "hood", "left_semi").join(texts.select("rep", "n_shingles", "odd"), "rep")
+    open_ = open_.select("hood", "rep", "s0", "s1", "component", "n_shingles", "odd").repartition(n, "hood").sortWithinPartitions("hood")
+    pairs = open_.mapInArrow(lambda b: _across(b, num, den), "u long, v long").distinct()
     more = _confirmed(pairs, texts, num, den)
     comps = components(links.unionByName(more))
     classes = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
