@@ -25,6 +25,8 @@ _rng = np.random.default_rng(60)
 _A = _rng.integers(1, 2**31, SIZE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 2**32, SIZE, dtype=np.uint32)
 _U = np.uint64
+#: Which two of a chunk's other four symbols are equal.
+_COMBOS = [(i, j) for i in range(4) for j in range(i)]
 #: Runs of members up to this long are compared all with all at once.
 _BLOCK = 512
 
@@ -151,7 +153,6 @@ def _runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _members(batches):
     """Members of the chunk-error neighbourhoods that have a near partner, and for each the neighbourhood's least near member."""
-    combos = [(i, j) for i in range(4) for j in range(i)]
     for t in _groups(batches, "bucket"):
         bucket, rep = _column(t, "bucket").view(_U), _column(t, "rep")
         rest, s0, s1 = (_column(t, n).view(_U) for n in ("rest", "s0", "s1"))
@@ -161,7 +162,7 @@ def _members(batches):
         take = np.repeat(begin, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         bucket, rep, rest, s0, s1 = bucket[take], rep[take], rest[take], s0[take], s1[take]
         four = [rest >> _U(16 * i) & _U(0xFFFF) for i in range(4)]
-        for c, (i, j) in enumerate(combos):
+        for c, (i, j) in enumerate(_COMBOS):
             keys = _vec.mix(bucket + _vec.mix((four[i] << _U(16) | four[j]) + _U((c + 1) << 40)))
             order = np.lexsort((rep, keys))
             k, r, a, b = keys[order], rep[order], s0[order], s1[order]
@@ -235,12 +236,31 @@ def _differ(odd: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return out
 
 
+def _first_hood(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first neighbourhood that pairs of signatures share, in the order _members makes them (0: none)."""
+    same = a == b
+    out = np.zeros(len(a), _U)
+    open_ = np.arange(len(a))
+    a = a.astype(_U)
+    for c in range(CHUNKS):
+        for t in range(WIDTH // 2):
+            x, y = c * WIDTH + 2 * t, c * WIDTH + 2 * t + 1
+            rest = [c * WIDTH + k for k in range(WIDTH) if k not in (2 * t, 2 * t + 1)]
+            for m, (i, j) in enumerate(_COMBOS):
+                now = open_[same[open_, x] & same[open_, y] & same[open_, rest[i]] & same[open_, rest[j]]]
+                if len(now):
+                    bucket = _vec.mix((a[now, x] << _U(16) | a[now, y]) + _U((c * 8 + t) << 32))
+                    out[now] = _vec.mix(bucket + _vec.mix((a[now, rest[i]] << _U(16) | a[now, rest[j]]) + _U((m + 1) << 40)))
+                    open_ = open_[out[open_] == 0]
+    return out
+
+
 def _across(batches, num: int, den: int):
-    """Pairs of one neighbourhood whose components differ and which sizes, signatures and odd sketches allow."""
+    """Pairs whose components differ and which sizes, signatures and odd sketches allow, each in its first neighbourhood."""
     for t in _groups(batches, "hood", 50_000):
-        hood, rep, comp, size = (_column(t, n) for n in ("hood", "rep", "component", "n_shingles"))
-        s0, s1 = (_column(t, n).view(_U) for n in ("s0", "s1"))
-        odd = t.column("odd")
+        rep, comp, size = (_column(t, n) for n in ("rep", "component", "n_shingles"))
+        hood, s0, s1 = (_column(t, n).view(_U) for n in ("hood", "s0", "s1"))
+        odd, sig = t.column("odd"), t.column("signature")
         order = np.lexsort((rep, comp, hood))
         hood, rep, comp, size, s0, s1 = hood[order], rep[order], comp[order], size[order], s0[order], s1[order]
         begin, count = _runs(hood)
@@ -251,10 +271,13 @@ def _across(batches, num: int, den: int):
             q = p + n
             left, right, held = [], [], 0
             own = odd.take(pa.array(order[p:q])).to_pylist()
+            table = np.frombuffer(b"".join(sig.take(pa.array(order[p:q])).to_pylist()), np.uint16).reshape(n, SIZE)
 
-            def settle(left=left, right=right, own=own, p=p):
+            def settle(left=left, right=right, own=own, table=table, p=p):
                 if left:
                     i, j = np.concatenate(left), np.concatenate(right)
+                    ok = _first_hood(table[i], table[j]) == hood[p]
+                    i, j = i[ok], j[ok]
                     ok = _differ(own, i, j) * (den + num) <= (size[p + i] + size[p + j]) * (den - num)
                     us.append(rep[p + i[ok]])
                     vs.append(rep[p + j[ok]])
@@ -356,9 +379,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", nu
     placed = members.select("hood", "rep", "s0", "s1").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     # only neighbourhoods of more than one component go on, with the members' odd sketches
     mixed = placed.groupBy("hood").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("hood")
-    open_ = placed.join(mixed, "hood", "left_semi").join(texts.select("rep", "n_shingles", "odd"), "rep")
-    open_ = open_.select("hood", "rep", "s0", "s1", "component", "n_shingles", "odd").repartition(n, "hood").sortWithinPartitions("hood")
-    pairs = open_.mapInArrow(lambda b: _across(b, num, den), "u long, v long").distinct()
+    sets = texts.select("rep", "n_shingles", "odd").join(classes.select("rep", "signature"), "rep")
+    open_ = placed.join(mixed, "hood", "left_semi").join(sets, "rep")
+    open_ = open_.select("hood", "rep", "s0", "s1", "component", "n_shingles", "odd", "signature").repartition(n, "hood").sortWithinPartitions("hood")
+    pairs = open_.mapInArrow(lambda b: _across(b, num, den), "u long, v long")
     more = _confirmed(pairs, texts, num, den)
     comps = components(links.unionByName(more))
     classes = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))

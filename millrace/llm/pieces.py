@@ -67,6 +67,7 @@ class Coder:
         self.automaton = ahocorasick.Automaton()
         self.restore: dict[int, bytes] = {i: bytes([b]) for b, i in enumerate(vocabulary.byte_ids)}
         alphabet: set[str] = set()
+        self.singles = {piece for _, piece, _ in vocabulary.pieces if len(piece) == 1}
         inner = False
         for i, piece, score in vocabulary.pieces:
             self.automaton.add_word(piece, (len(piece), i, score))
@@ -86,6 +87,18 @@ class Coder:
         """Ids of the best path: at each end the automaton's outputs, longest first, relax the score; the first best stays."""
         n = len(text)
         score = [0.0] + [-math.inf] * n
+        if self.singles.issuperset(text):  # every position can be reached by a piece
+            sizes, chosen = [0] * (n + 1), [0] * (n + 1)
+            for end, (size, i, gain) in self.automaton.iter(text):
+                s = score[end + 1 - size] + gain
+                if s > score[end + 1]:
+                    score[end + 1], sizes[end + 1], chosen[end + 1] = s, size, i
+            ids = []
+            while n:
+                ids.append(chosen[n])
+                n -= sizes[n]
+            ids.reverse()
+            return array("i", ids)
         back: list = [None] * (n + 1)
         done = 0  # all positions up to here are final
 
