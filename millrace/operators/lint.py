@@ -35,11 +35,8 @@ def lint(df: DataFrame, code: str = "code", language: str | None = None, concern
         applies = F.lit(True) if "*" in r.languages else F.col("__lang").isin(*r.languages)
         return F.transform(F.filter(fired(c, r), lambda h: applies), lambda h: F.struct(F.lit(SEVERITIES.index(r.severity)).alias("rank"), h["line"].alias("line"), F.lit(r.id).alias("rule_id"), h["column"].alias("column"), h["snippet"].alias("snippet")))
 
-    found = rows
-    for r in own:  # a column each: one expression of all would be too large to read in a plan
-        found = found.withColumn(f"__{r.id}", issues(r))
-    everything = F.array_sort(F.concat(*[F.col(f"__{r.id}") for r in own])) if own else F.array()
-    return found.select(*df.columns, F.col("__lang").alias("language_detected"), everything.alias("issues"))
+    found = F.array_sort(F.concat(*[issues(r) for r in own]))
+    return rows.select(*df.columns, F.col("__lang").alias("language_detected"), found.alias("issues"))
 
 
 def rules_table(spark: SparkSession, rules: tuple[Rule, ...] = RULES) -> DataFrame:
