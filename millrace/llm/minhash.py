@@ -213,8 +213,11 @@ def odd_sketch(h: np.ndarray) -> bytes:
 
 def _differ(odd: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """In how many bits the sketches of pairs differ; those over twice as long as the other count as all different."""
+    have, where = np.unique(np.concatenate([i, j]), return_inverse=True)
+    i, j = where[: len(i)], where[len(i) :]
+    odd = [odd[x] for x in have]
     size = np.array([len(x) for x in odd])
-    out = np.full(len(i), 1 << 62)
+    out = np.full(len(i), 1 << 60)
     for at in np.unique(size):
         own = np.flatnonzero(size == at)
         place = np.zeros(len(odd), np.int64)
@@ -237,71 +240,64 @@ def _differ(odd: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _first_hood(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The first neighbourhood that pairs of signatures share, in the order _members makes them (0: none)."""
-    same = a == b
-    out = np.zeros(len(a), _U)
-    open_ = np.arange(len(a))
-    a = a.astype(_U)
-    for c in range(CHUNKS):
-        for t in range(WIDTH // 2):
-            x, y = c * WIDTH + 2 * t, c * WIDTH + 2 * t + 1
-            rest = [c * WIDTH + k for k in range(WIDTH) if k not in (2 * t, 2 * t + 1)]
-            for m, (i, j) in enumerate(_COMBOS):
-                now = open_[same[open_, x] & same[open_, y] & same[open_, rest[i]] & same[open_, rest[j]]]
-                if len(now):
-                    bucket = _vec.mix((a[now, x] << _U(16) | a[now, y]) + _U((c * 8 + t) << 32))
-                    out[now] = _vec.mix(bucket + _vec.mix((a[now, rest[i]] << _U(16) | a[now, rest[j]]) + _U((m + 1) << 40)))
-                    open_ = open_[out[open_] == 0]
+    """The first neighbourhood that pairs of signatures share, in the order _chunk_rows and _members make them."""
+    n = len(a)
+    same = (a == b).reshape(n, CHUNKS, WIDTH)
+    c = (same.sum(axis=2) >= WIDTH - CHUNK_ERRORS).argmax(axis=1)
+    same, own = same[np.arange(n), c], a.reshape(n, CHUNKS, WIDTH)[np.arange(n), c].astype(_U)
+    out = np.zeros(n, _U)
+    for t in range(WIDTH // 2):
+        rest = [k for k in range(WIDTH) if k not in (2 * t, 2 * t + 1)]
+        pair = same[:, 2 * t] & same[:, 2 * t + 1]
+        for m, (i, j) in enumerate(_COMBOS):
+            x = np.flatnonzero(pair & (out == 0) & same[:, rest[i]] & same[:, rest[j]])
+            bucket = _vec.mix((own[x, 2 * t] << _U(16) | own[x, 2 * t + 1]) + ((c[x] * 8 + t).astype(_U) << _U(32)))
+            out[x] = _vec.mix(bucket + _vec.mix((own[x, rest[i]] << _U(16) | own[x, rest[j]]) + _U((m + 1) << 40)))
     return out
 
 
+def _next(new: np.ndarray) -> np.ndarray:
+    """For each place, where the run that begins at marked places ends."""
+    begins = np.flatnonzero(new)
+    return np.append(begins[1:], len(new))[np.cumsum(new) - 1]
+
+
 def _across(batches, num: int, den: int):
     """Pairs whose components differ and which sizes, signatures and odd sketches allow, each in its first neighbourhood."""
     for t in _groups(batches, "hood", 50_000):
-        rep, comp, size = (_column(t, n) for n in ("rep", "component", "n_shingles"))
-        hood, s0, s1 = (_column(t, n).view(_U) for n in ("hood", "s0", "s1"))
-        odd, sig = t.column("odd"), t.column("signature")
+        hood, rep, comp = (_column(t, n) for n in ("hood", "rep", "component"))
         order = np.lexsort((rep, comp, hood))
-        hood, rep, comp, size, s0, s1 = hood[order], rep[order], comp[order], size[order], s0[order], s1[order]
-        begin, count = _runs(hood)
+        t = t.take(pa.array(order))
+        hood, rep, comp, size = (_column(t, n) for n in ("hood", "rep", "component", "n_shingles"))
+        hood, s0, s1 = hood.view(_U), _column(t, "s0").view(_U), _column(t, "s1").view(_U)
+        odd = t.column("odd").to_pylist()
+        sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint16).reshape(-1, SIZE)
+        new = np.ones(len(hood), bool)
+        new[1:] = hood[1:] != hood[:-1]
+        part = new.copy()
+        part[1:] |= comp[1:] != comp[:-1]
+        after, end = _next(part), _next(new)  # members of later components of one neighbourhood
+        upto = np.cumsum(end - after)
         us, vs = [], []
-        for p, n in zip(begin.tolist(), count.tolist(), strict=True):
-            if comp[p] == comp[p + n - 1]:
-                continue
-            q = p + n
-            left, right, held = [], [], 0
-            own = odd.take(pa.array(order[p:q])).to_pylist()
-            table = np.frombuffer(b"".join(sig.take(pa.array(order[p:q])).to_pylist()), np.uint16).reshape(n, SIZE)
-
-            def settle(left=left, right=right, own=own, table=table, p=p):
-                if left:
-                    i, j = np.concatenate(left), np.concatenate(right)
-                    ok = _first_hood(table[i], table[j]) == hood[p]
-                    i, j = i[ok], j[ok]
-                    ok = _differ(own, i, j) * (den + num) <= (size[p + i] + size[p + j]) * (den - num)
-                    us.append(rep[p + i[ok]])
-                    vs.append(rep[p + j[ok]])
-                    left.clear()
-                    right.clear()
-
-            after = np.searchsorted(comp[p:q], comp[p:q], "right")  # members of later components
-            for i in range(n):
-                k = int(after[i])
-                if k < n:
-                    ok = _far(s0[p + i], s1[p + i], s0[p + k : q], s1[p + k : q]) <= SKETCH_ERRORS
-                    ok &= (den * size[p + k : q] >= num * size[p + i]) & (num * size[p + k : q] <= den * size[p + i])
-                    js = k + np.flatnonzero(ok)
-                    left.append(np.full(len(js), i))
-                    right.append(js)
-                    held += len(js)
-                    if held > 100_000:
-                        settle()
-                        held = 0
-            settle()
+        at = 0
+        while at < len(hood):  # rows whose pairs are looked at at once
+            stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 200_000, "right")))
+            count = (end - after)[at:stop]
+            i = np.repeat(np.arange(at, stop), count)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(after[at:stop], count)
+            at = stop
+            ok = _far(s0[i], s1[i], s0[j], s1[j]) <= SKETCH_ERRORS
+            ok &= (den * size[j] >= num * size[i]) & (num * size[j] <= den * size[i])
+            i, j = i[ok], j[ok]
+            ok = _first_hood(sig[i], sig[j]) == hood[i]
+            i, j = i[ok], j[ok]
+            if len(i):
+                ok = _differ(odd, i, j) * (den + num) <= (size[i] + size[j]) * (den - num)
+                us.append(rep[i[ok]])
+                vs.append(rep[j[ok]])
         if us:
             u, v = np.concatenate(us), np.concatenate(vs)
-            pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1]), pa.array(pairs[:, 0])], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
 
 
 def _pack(batches):
