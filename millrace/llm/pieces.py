@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ._vec import binary
 
 #: Segments kept with their ids in a worker; at the bound the store is emptied, so memory stays bounded.
-MEMO = 200_000
+MEMO = 500_000
 
 
 def default_model() -> str:
@@ -60,6 +60,30 @@ def load(model_file: str | None = None) -> Vocabulary:
     return Vocabulary(pieces, tuple(byte_ids[b] for b in range(256)), min(scores.values()) - 10)
 
 
+def _segments(alphabet: set[str], follows: dict[str, set[str]], breaks: str) -> str:
+    """A pattern whose matches cover a text and end only where no piece goes on: at spaces, line breaks and marks.
+
+    A mark (in ASCII, no letter, digit or space) is one that pieces have only after spaces and other marks, but for a few
+    characters, after which it doesn't begin a match.
+    """
+    marks = {c for c in alphabet if c.isascii() and not (c.isalnum() or c.isspace())}
+    few: dict[str, set[str]] = {}
+    while True:
+        few = {c: follows.get(c, set()) - marks - {" "} for c in marks}
+        lost = {c for c, x in few.items() if len(x) > 3}
+        if not lost:
+            break
+        marks -= lost
+    of = lambda chars: "[" + "".join(re.escape(c) for c in sorted(chars)) + "]"
+    cut = f"{of(breaks)}|" if breaks else ""
+    outside = "".join(re.escape(c) for c in sorted(marks | set(breaks)))
+    run = f"[^ {outside}]"
+    on = "|".join(f"(?<={of(x)}){re.escape(c)}{of(marks)}*{run}*" for c, x in sorted(few.items()) if x)
+    on = f"(?:{on})*" if on else ""
+    marked = f"{of(marks)}+{run}*{on}|" if marks else ""
+    return f"{cut} *(?:{marked}{run}+{on})| +"
+
+
 class Coder:
     """Encoder and decoder of one worker."""
 
@@ -69,34 +93,39 @@ class Coder:
         alphabet: set[str] = set()
         self.singles = {piece for _, piece, _ in vocabulary.pieces if len(piece) == 1}
         inner = False
+        follows: dict[str, set[str]] = {}  # what stands before a character in pieces
         for i, piece, score in vocabulary.pieces:
             self.automaton.add_word(piece, (len(piece), i, score))
             self.restore[i] = piece.encode()
             alphabet |= set(piece)
             inner |= " " in piece.lstrip(" ")
+            for before, c in zip(piece, piece[1:], strict=False):
+                follows.setdefault(c, set()).add(before)
         self.automaton.make_automaton()
         self.byte_ids, self.byte_score = vocabulary.byte_ids, vocabulary.byte_score
-        # no piece goes from another character to a space, or over a line break that is in no piece: the best path
-        # passes such places, and what lies between them can be solved once for all texts
+        # where two neighbours stand together in no piece, the best path passes between them; what lies between such
+        # places can be solved once for all texts
         breaks = "".join(c for c in "\n\r\t" if c not in alphabet)
-        cut = f"[{breaks}]|" if breaks else ""
-        self.segment = re.compile(rf"{cut} *[^ {breaks}]+| +") if not inner else re.compile(r"(?s).+")
-        self.memo: dict[str, array] = {}
+        self.segment = re.compile(r"(?s).+") if inner else re.compile(_segments(alphabet, follows, breaks))
+        self.memo: dict[str, bytes] = {}
 
     def best(self, text: str) -> array:
         """Ids of the best path: at each end the automaton's outputs, longest first, relax the score; the first best stays."""
         n = len(text)
         score = [0.0] + [-math.inf] * n
         if self.singles.issuperset(text):  # every position can be reached by a piece
-            sizes, chosen = [0] * (n + 1), [0] * (n + 1)
-            for end, (size, i, gain) in self.automaton.iter(text):
-                s = score[end + 1 - size] + gain
-                if s > score[end + 1]:
-                    score[end + 1], sizes[end + 1], chosen[end + 1] = s, size, i
+            way = score[:]
+            for end, step in self.automaton.iter(text):
+                end += 1
+                s = score[end - step[0]] + step[2]
+                if s > score[end]:
+                    score[end] = s
+                    way[end] = step
             ids = []
             while n:
-                ids.append(chosen[n])
-                n -= sizes[n]
+                size, i, _ = way[n]
+                ids.append(i)
+                n -= size
             ids.reverse()
             return array("i", ids)
         back: list = [None] * (n + 1)
@@ -131,24 +160,31 @@ class Coder:
             at -= size
         return array("i", reversed(out))
 
-    def encode(self, text: str) -> array:
-        out = array("i")
+    def encode(self, text: str) -> bytes:
+        """Ids as 32-bit numbers, one after the other."""
         if not text:
-            return out
+            return b""
         memo = self.memo
-        for part in self.segment.findall(" " + text):
-            ids = memo.get(part)
-            if ids is None:
-                ids = self.best(part)
-                if len(part) <= 64:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[part] = ids
-            out.extend(ids)
+        parts = self.segment.findall(" " + text)
+        own = set(parts)
+        new = [p for p in own if p not in memo]
+        if len(memo) + len(new) > MEMO:
+            memo.clear()
+            new = list(own)
+        for p in new:
+            memo[p] = self.best(p).tobytes()
+        out = b"".join([memo[p] for p in parts])
+        for p in new:
+            if len(p) > 64 or len(memo) > MEMO:
+                del memo[p]
         return out
 
     def decode(self, ids) -> str:
         restore = self.restore
+        try:
+            return b"".join([restore[i] for i in ids]).decode("utf-8", "replace")[1:]
+        except KeyError:
+            pass
         return b"".join([restore.get(i, b"") for i in ids]).decode("utf-8", "replace")[1:]
 
 
@@ -178,12 +214,9 @@ class Pieces:
 
         def batch(texts: pa.Array) -> pa.Array:
             coder = _coder(shared)
-            flat, ends = array("i"), [0]
-            for t in binary(texts).to_pylist():
-                flat.extend(coder.encode(t.decode("utf-8", "replace")))
-                ends.append(len(flat))
-            values = pa.array(np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32))
-            out = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+            rows = [coder.encode(t.decode("utf-8", "replace")) for t in binary(texts).to_pylist()]
+            ends = np.cumsum([0, *[len(r) // 4 for r in rows]])
+            out = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(rows), np.int32)))
             if texts.null_count:
                 out = pc.if_else(texts.is_valid(), out, pa.nulls(len(out), out.type))
             return out
