@@ -63,14 +63,14 @@ def load(model_file: str | None = None) -> Vocabulary:
 def _segments(alphabet: set[str], follows: dict[str, set[str]], breaks: str) -> str:
     """A pattern whose matches cover a text and end only where no piece goes on: at spaces, line breaks and marks.
 
-    A mark (in ASCII, no letter, digit or space) is one that pieces have only after spaces and other marks, but for a few
+    A mark (in ASCII, no letter, digit or space) is one that pieces have only after spaces and other marks, but for some
     characters, after which it doesn't begin a match.
     """
     marks = {c for c in alphabet if c.isascii() and not (c.isalnum() or c.isspace())}
     few: dict[str, set[str]] = {}
     while True:
         few = {c: follows.get(c, set()) - marks - {" "} for c in marks}
-        lost = {c for c, x in few.items() if len(x) > 3}
+        lost = {c for c, x in few.items() if len(x) > 100 or any(b.isascii() for b in x)}
         if not lost:
             break
         marks -= lost
