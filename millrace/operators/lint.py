@@ -61,8 +61,17 @@ def resolved(rules: DataFrame, routes: DataFrame, url: str = "url") -> DataFrame
 
 def issue_rows(linted: DataFrame, key: str, rules: DataFrame) -> DataFrame:
     """One row an issue: key, place in the report, severity, line, column, snippet, and what the catalog says."""
-    flat = linted.select(key, F.posexplode("issues").alias("place", "i")).select(key, F.col("place").cast("long").alias("place"), "i.rule_id", "i.line", "i.column", "i.snippet")
-    return flat.join(F.broadcast(rules), "rule_id")  # the catalog's rows
+    return flat(linted, key).join(F.broadcast(rules), "rule_id")  # the catalog's rows
+
+
+def flat(linted: DataFrame, key: str) -> DataFrame:
+    """(key, place, rule_id, line, column, snippet): one row an issue.
+
+    Exploded with empty rows, which go afterwards: else Spark would ask for the array's size first, and so make the
+    rules' whole expression twice.
+    """
+    rows = linted.select(key, F.posexplode_outer("issues").alias("place", "i")).select(key, F.col("place").cast("long").alias("place"), "i.rule_id", "i.line", "i.column", "i.snippet")
+    return rows.filter("rule_id is not null")
 
 
 def report(linted: DataFrame, key: str, n_rules: int = len(RULES)) -> DataFrame:

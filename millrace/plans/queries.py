@@ -487,8 +487,7 @@ SELECT doc_id, 'L010' AS rule_id, line::INT AS line, 1 AS "column", left(trim(x)
 def lint_card_numbers(spark, sf_dir):
     """Lines of documents with card numbers."""
     rows = lint.lint(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", concern="pci_compliance", mask=False)
-    flat = rows.select("doc_id", F.explode("issues").alias("i"))
-    return flat.filter("i.rule_id = 'L010'").select("doc_id", "i.rule_id", "i.line", "i.column", "i.snippet")
+    return lint.flat(rows, "doc_id").filter("rule_id = 'L010'").drop("place")
 
 
 @_query()

@@ -23,13 +23,13 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def url_map(spark: SparkSession, path: str) -> DataFrame:
     """(name, url) of a JSON object of strings."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "map<string,string>", {"mode": "FAILFAST"}).alias("m"))
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>", {"mode": "FAILFAST"}).alias("m"))
     return raw.select(F.explode("m").alias("name", "url"))
 
 
 def markdown(spark: SparkSession, folder: str) -> DataFrame:
     """(route, body) of every .md file under a folder; the route is the path below it, without the ending."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(folder)
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     plain = "/" + folder.split("://")[-1].strip("/") + "/"
     route = F.regexp_replace(F.substring_index(F.col("_metadata.file_path"), plain, -1), r"\.md$", "")
     return files.select(F.url_decode(route).alias("route"), sections.front_matter(F.col("value"))["body"].alias("body"))
