@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import FUSED, RERANK_CAP, RETRIEVED, RRF_WEIGHTS, Lexicon
+from ..functions.settle import settled
 from ..operators import assemble, dense, fusion, lexical
 from ..operators.rewrite import rewritten
 
@@ -59,13 +60,14 @@ def search(
     for c in ("language", "product", "topic"):
         if c not in queries.columns:
             queries = queries.withColumn(c, F.lit(None).cast("string"))
-    asked = rewritten(queries, lexicon)
+    # both are used several times, and are a batch of queries and its few candidates: they are made once
+    asked = settled(rewritten(queries, lexicon))
     language = F.coalesce("language", F.lit(default_language).cast("string"), "detected_language")
     wants = asked.select(
         "query_id", F.col("query").alias("__query"), "tokens", language.alias("language"), "product", F.when(F.col("product").isNull(), F.col("detected_product")).alias("soft_product"),
         F.coalesce("topic", "detected_topic").alias("topic"),
     )
-    found = candidates(asked, corpus, lexicon, embedder, hydrate_first)
+    found = settled(candidates(asked, corpus, lexicon, embedder, hydrate_first))
     titles = corpus.chunks.select("chunk_id", F.col("title").alias("title"), "heading_path", "body").join(found.select("chunk_id").distinct(), "chunk_id", "left_semi")
     rows = found.join(titles, "chunk_id", "left").join(wants, "query_id")
     if reranker is not None:
