@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from . import _vec
 from ._work import without, written
@@ -92,8 +93,8 @@ def _filter(wins: DataFrame) -> tuple[bytes, tuple[int, ...]]:
     return bytes(out), lengths
 
 
-def _bitmap_place(h: np.ndarray) -> np.ndarray:
-    return h.view(np.int64) % FILTER_BITS
+def _bitmap_place(h: np.ndarray, bits: int) -> np.ndarray:
+    return h.view(np.int64) % bits
 
 
 def stretches(docs: DataFrame, key: str, text: str, bitmap, lengths: tuple[int, ...]) -> DataFrame:
@@ -117,7 +118,7 @@ def stretches(docs: DataFrame, key: str, text: str, bitmap, lengths: tuple[int,
                 step = np.zeros(len(h) + 1, np.int32)
                 for n in (*lengths, SHINGLE):
                     g, at = _grams(h, first, n)
-                    hit = at[have[_bitmap_place(g)]]
+                    hit = at[have[_bitmap_place(g, len(have))]]
                     np.add.at(step, hit, 1)
                     np.add.at(step, hit + n, -1)
                 covered = np.cumsum(step[:-1]) > 0
@@ -184,8 +185,6 @@ def _token_at(gram, n):
 
 def _covered(found: DataFrame) -> DataFrame:
     """(key, n_hit): words in the union of [first, first+size)."""
-    from pyspark.sql import Window as W
-
     order = W.partitionBy("key").orderBy("first", "end")
     spans = found.select("key", "first", (F.col("first") + F.col("size")).alias("end")).distinct()
     before = F.coalesce(F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
