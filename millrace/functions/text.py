@@ -91,7 +91,8 @@ def first_hint(text: Column, hints) -> Column:
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
     """array<struct<start, hit, part>>: leftmost non-overlapping matches; start counts code points from 0, part is a group.
 
-    Offsets are running sums over what lies between the matches, so this stays inside the JVM. Null gives none.
+    Offsets are running sums over what lies between the matches, so this stays inside the JVM. Null gives none. Texts
+    without a match, which are most for a rule, cost one search.
     """
     text = F.coalesce(text, F.lit(""))
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -99,14 +100,15 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
     gaps = F.split(text, pattern, -1)
     rows = F.zip_with(hits, parts, lambda h, p: F.struct(h.alias("h"), p.alias("p")))
     rows = F.transform(rows, lambda x, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), x["h"].alias("h"), x["p"].alias("p")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,hit:string,part:string>>").alias("out"))
+    none = F.array().cast("array<struct<start:int,hit:string,part:string>>")
+    zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
     def step(acc, x):
         start = acc["at"] + x["gap"]
         row = F.struct(start.alias("start"), x["h"].alias("hit"), x["p"].alias("part"))
         return F.struct((start + F.length(x["h"])).alias("at"), F.array_append(acc["out"], row).alias("out"))
 
-    return F.aggregate(rows, zero, step, lambda acc: acc["out"])
+    return F.when(text.rlike(pattern), F.aggregate(rows, zero, step, lambda acc: acc["out"])).otherwise(none)
 
 
 def line_of(text: Column, start: Column) -> Column:

@@ -303,9 +303,13 @@ RULES: tuple[Rule, ...] = (
 
 def fired(c: Code, rule: Rule) -> Column:
     """A rule's hits, the first of each line."""
-    hits = rule.detect(c)
-    lines = F.transform(hits, lambda h: h["line"])
-    return F.filter(hits, lambda h, i: F.array_position(lines, h["line"]) == i + 1)
+    zero = F.struct(F.array().cast("array<int>").alias("lines"), _none().alias("out"))
+
+    def step(acc, h):
+        new = F.struct(F.array_append(acc["lines"], h["line"]).alias("lines"), F.array_append(acc["out"], h).alias("out"))
+        return F.when(F.array_contains(acc["lines"], h["line"]), acc).otherwise(new)
+
+    return F.aggregate(rule.detect(c), zero, step, lambda acc: acc["out"])
 
 
 def chosen(concern: str = "all", exclude: tuple[str, ...] = (), rules: tuple[Rule, ...] = RULES) -> tuple[Rule, ...]:
