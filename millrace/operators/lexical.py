@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.lexicon import B, FIELD_WEIGHTS, IDF_FLOOR, K1, RETRIEVED, Lexicon
-from ..functions.text import index_tokens, porter_stem, query_tokens
+from ..functions.text import index_tokens, porter_stem
 
 
 def best(df: DataFrame, k: int, score: str = "score", query: str = "query_id", item: str = "chunk_id") -> DataFrame:
@@ -122,5 +122,9 @@ def expanded(tokens: Column, lexicon: Lexicon) -> Column:
     return F.transform(first, lambda x: F.coalesce(F.get(groups, x["g"]), F.array(x["t"])))
 
 
-def search_tokens(queries: DataFrame, text: str, lexicon: Lexicon) -> DataFrame:
-    return queries.withColumn("tokens", query_tokens(F.col(text), lexicon))
+def match_string(groups: Column) -> Column:
+    """A conjunction of groups as a full-text match expression: terms that aren't plain words are quoted, and a group of
+    several terms is an OR in parentheses."""
+    term = lambda t: F.when(t.rlike("^[a-z0-9_]+$"), t).otherwise(F.concat(F.lit('"'), F.replace(t, F.lit('"'), F.lit('""')), F.lit('"')))
+    said = lambda g: F.array_join(F.transform(g, term), " OR ")
+    return F.array_join(F.transform(groups, lambda g: F.when(F.size(g) > 1, F.concat(F.lit("("), said(g), F.lit(")"))).otherwise(said(g))), " AND ")

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicon import LANGUAGE_HINTS, TOPIC_HINTS, Lexicon
 from ..functions.text import first_hint, query_tokens, without_noise
-from .lexical import all_of, expanded
+from .lexical import all_of, expanded, match_string
 
 MIN_QUERY, MAX_QUERY = 3, 256
 
 
 def rewritten(queries: DataFrame, lexicon: Lexicon, text: str = "query") -> DataFrame:
-    """queries with cleaned, tokens, groups, synonym_groups, expanded_terms and detected_language, _product, _topic.
+    """queries with cleaned, tokens, groups, synonym_groups, both as match strings, expanded_terms and detected_language, _product, _topic.
 
     cleaned is the lower-cased query without phrases that carry nothing, or the query if nothing else is in it. groups
     is the conjunction of the tokens; synonym_groups puts a token's whole synonym group in its place. Hints are of the
@@ -26,11 +26,12 @@ def rewritten(queries: DataFrame, lexicon: Lexicon, text: str = "query") -> Data
     known = [t for g in lexicon.synonyms for t in g]
     many = F.filter("synonym_groups", lambda g: F.size(g) > 1)
     out = out.withColumn("expanded_terms", F.flatten(many) if known else F.array().cast("array<string>"))
+    out = out.withColumns({"match": match_string(F.col("groups")), "synonym_match": match_string(F.col("synonym_groups"))})
     hints = {"language": LANGUAGE_HINTS, "product": lexicon.product_hints, "topic": TOPIC_HINTS}
     return out.withColumns({f"detected_{n}": first_hint(said, h) for n, h in hints.items()})
 
 
-def accepted(queries: DataFrame, text: str = "query") -> tuple[DataFrame, DataFrame]:
-    """Queries of an allowed length, and the others."""
-    fits = F.coalesce(F.length(text).between(MIN_QUERY, MAX_QUERY), F.lit(False))
-    return queries.filter(fits), queries.filter(~fits)
+def accepted(df: DataFrame, text: str = "query", least: int = MIN_QUERY, most: int = MAX_QUERY) -> tuple[DataFrame, DataFrame]:
+    """Rows whose text has an allowed length, and the others. Snippets to lint have 1 to 50,000 characters, routes 1 to 512."""
+    fits = F.coalesce(F.length(text).between(least, most), F.lit(False))
+    return df.filter(fits), df.filter(~fits)

@@ -50,6 +50,10 @@ def test_rewrite(spark):
     assert got[1].synonym_groups == [["verify", "validate", "check"], ["payouts"], ["python"]] and got[1].expanded_terms == ["verify", "validate", "check"]
     assert (got[1].detected_language, got[1].detected_product, got[1].detected_topic) == ("python", "x", None)
     assert got[2].cleaned == "what is" and got[2].tokens == [] and got[3].tokens == []
+    assert got[1].match == "verify AND validate AND payouts AND python" and got[1].synonym_match == "(verify OR validate OR check) AND payouts AND python"
+    assert got[4].synonym_match.startswith("(salary OR payout) AND (test OR sandbox)")
+    ok, bad = rewrite.accepted(spark.createDataFrame(rows, "query_id long, query string"), most=20)
+    assert ([r.query_id for r in ok.collect()], sorted(r.query_id for r in bad.collect())) == ([2], [1, 3, 4])
     assert got[4].synonym_groups[0] == ["salary", "payout"]
 
 
