@@ -25,6 +25,17 @@ def test_shards(spark):
     assert rows == queries.op3_sharding(spark, DATA).collect()
 
 
+def test_whole_records_are_shuffled(spark, monkeypatch):
+    shuffle, seen = sharding.external_shuffle, []
+    monkeypatch.setattr(sharding, "external_shuffle", lambda *a, **how: seen.append((a[0], shuffle(*a, **how))) or seen[-1][1])
+    queries.op3_sharding(spark, DATA)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    (given, out), *more = seen
+    assert not more and given.columns == docs.columns
+    order = lambda df: sorted(df.select(docs.columns).collect(), key=lambda r: r.doc_id)
+    assert order(out) == order(docs)
+
+
 def test_shuffle_is_uniform_and_takes_clashing_names(spark):
     df = spark.range(4000).select((F.col("id") % 7).alias("shard"), F.lit(None).cast("string").alias("slot"), F.col("id").alias("k"), F.lit("x").alias("bucket"))
     rows = sharding.external_shuffle(df, ["k"], 8, F.lit(100), bucket_rows=300).collect()
