@@ -184,11 +184,25 @@ def _pack(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([z.compress(x) for x in _vec.binary(batch.column(1)).to_pylist()], pa.binary())], names=["doc", "packed"])
 
 
+def _note(best: dict[bytes, tuple[int, int]], copies: list[tuple[int, int]], string: bytes, at: tuple[int, int]) -> None:
+    """Keep a string's earliest place in best; any other place is a copy. The same place again is none."""
+    old = best.setdefault(string, at)
+    if at < old:
+        best[string] = at
+    if at != old:
+        copies.append(max(at, old))
+
+
 def _bytes_of(batches, buckets: int):
-    """The contexts' bytes: rows (bucket, blob of anchors, texts, starts, counts and bytes)."""
+    """The contexts' bytes: rows (bucket, blob of texts, starts, counts and bytes).
+
+    A string dealt out by itself has the count -1, and goes once a batch: its later copies are known as such and have
+    the count 0 and no bytes.
+    """
     z = zstandard.ZstdCompressor(level=1)
     for batch in batches:
         anchor, doc, first, count, strings = [], [], [], [], []
+        best, copies = {}, []
         for d, packed, places in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             raw = zstandard.decompress(packed)
             for x in places:
@@ -200,12 +214,14 @@ def _bytes_of(batches, buckets: int):
                     count.append(n)
                     strings.append(raw[p : p + n - 1 + LENGTH])
                 else:  # each string by itself
-                    for s in range(p, p + n):
-                        strings.append(raw[s : s + LENGTH])
-                        anchor.append(int.from_bytes(hashlib.blake2b(strings[-1], digest_size=8).digest(), "little", signed=True))
-                        doc.append(d)
-                        first.append(s)
-                        count.append(1)
+                    for i in range(p, p + n):
+                        _note(best, copies, raw[i : i + LENGTH], (d, i))
+        anchor += [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) for x in best]
+        anchor += [d for d, _ in copies]
+        doc += [d for d, _ in [*best.values(), *copies]]
+        first += [i for _, i in [*best.values(), *copies]]
+        count += [-1] * len(best) + [0] * len(copies)
+        strings += [*best, *[b""] * len(copies)]
         if not doc:
             continue
         part = (_vec.mix(np.array(anchor, np.int64).view(_U)) % _U(buckets)).astype(np.int64)
@@ -304,11 +320,30 @@ def merged_intervals(data: np.ndarray, size: np.ndarray, depth: int = LENGTH //
 def _merge(batches):
     """Starts that also start earlier, as (text, first start << 8 | starts - 1)."""
     for _, held in _by_bucket(batches):
-        raws = [zstandard.decompress(b) for b in held]
-        heads = [int(np.frombuffer(r, np.int64, 1)[0]) for r in raws]
-        doc, first, count = (np.concatenate([np.frombuffer(r, np.int64, k, 8 + 8 * k * i) for r, k in zip(raws, heads, strict=True)]) for i in range(3))
-        data = np.concatenate([np.frombuffer(r, np.uint8, -1, 8 + 24 * k) for r, k in zip(raws, heads, strict=True)])
-        del raws
+        cols, parts, best, copies = [], [], {}, []
+        for blob in held:
+            raw = zstandard.decompress(blob)
+            k = int(np.frombuffer(raw, np.int64, 1)[0])
+            col = np.frombuffer(raw, np.int64, 3 * k, 8).reshape(3, k)
+            size = np.where(col[2] == 0, 0, np.abs(col[2]) + LENGTH - 1)
+            off = 8 + 24 * k + np.cumsum(size) - size
+            for i in np.flatnonzero(col[2] < 0).tolist():
+                _note(best, copies, raw[off[i] : off[i] + LENGTH], (int(col[0, i]), int(col[1, i])))
+            copies += zip(*col[:2, col[2] == 0].tolist(), strict=True)
+            whole = col[2] > 0
+            cols.append(col[:, whole])
+            parts.append(np.frombuffer(raw, np.uint8, -1, 8 + 24 * k)[np.repeat(whole, size)])
+        if copies:
+            old = np.array(copies, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(old[:, 0]), pa.array(old[:, 1] << 8)], names=["doc", "place"])
+        # of strings dealt out by themselves the merge gets the earliest only
+        cols.append(np.array([(d, i, 1) for d, i in best.values()], np.int64).reshape(-1, 3).T)
+        parts.append(np.frombuffer(b"".join(best), np.uint8))
+        doc, first, count = np.concatenate(cols, axis=1)
+        data = np.concatenate(parts)
+        del cols, parts, best, copies
+        if not len(doc):
+            continue
         # in the order of texts and starts, repeated rows once, so that a place in data tells which starts earlier
         size = count + LENGTH - 1
         off = np.cumsum(size) - size

@@ -2,6 +2,8 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
+import zstandard
 
 from millrace.llm import substrings
 
@@ -55,6 +57,29 @@ def test_hot_anchor(spark):
     assert _got(spark, rows, hot=2) == brute(rows)
 
 
+def test_hot_copies_do_not_reach_the_merge(monkeypatch):
+    """A passage in many surroundings: the merge gets each string once, and all but the earliest go."""
+    rnd = random.Random(7)
+    noise = lambda: "".join(rnd.choice("abcdefgh ") for _ in range(40))
+    passage = "".join(rnd.choice("abcdefgh ") for _ in range(102))
+    rows = {key: (noise() + passage + noise()).encode() for key in range(400)}
+    keys = list(rows) + [3, 399]  # repeated rows
+    rnd.shuffle(keys)
+    n = len(rows[0]) - substrings.LENGTH + 1
+    places = [{"place": n - 1, "kind": 2, "anchor": 5}]
+    schema = pa.schema([("doc", pa.int64()), ("packed", pa.binary()), ("places", pa.list_(pa.struct([("place", pa.int64()), ("kind", pa.int32()), ("anchor", pa.int64())])))])
+    batches = [pa.RecordBatch.from_pylist([{"doc": k, "packed": zstandard.compress(rows[k]), "places": places} for k in keys[a : a + 50]], schema) for a in range(0, len(keys), 50)]
+    made = sorted((r for b in substrings._bytes_of(batches, 3) for r in b.to_pylist()), key=lambda r: r["bucket"])
+    merged, merge = [], substrings.merged_intervals
+    monkeypatch.setattr(substrings, "merged_intervals", lambda data, size: merged.append(len(size)) or merge(data, size))
+    out = [r for b in substrings._merge([pa.RecordBatch.from_pylist(made)]) for r in b.to_pylist()]
+    got = {(r["doc"], (r["place"] >> 8) + i) for r in out for i in range((r["place"] & 255) + 1)}
+    strings = [rows[k][i : i + substrings.LENGTH] for k in rows for i in range(n)]
+    assert sum(merged) == len(set(strings)) < len(strings)
+    first = {}
+    assert got == {(k, i) for k in rows for i in range(n) if first.setdefault(rows[k][i : i + substrings.LENGTH], (k, i)) != (k, i)}
+
+
 def test_merged_transforms():
     """Shards' transforms merged: the intervals hold equal strings, in order, with the right common prefixes."""
     rnd = np.random.default_rng(0)
