@@ -29,6 +29,10 @@ _U = np.uint64
 _COMBOS = [(i, j) for i in range(4) for j in range(i)]
 #: Runs of members up to this long are compared all with all at once.
 _BLOCK = 512
+#: Rows of a bucket from which on its neighbourhoods are made by Spark, and bytes from which on a neighbourhood's
+#: members are compared in several cells.
+GROUP = 200_000
+CELL = 4 << 20
 
 
 def word_shingles(buf: np.ndarray, off: np.ndarray):
@@ -115,11 +119,17 @@ def _far(a0, a1, b0, b1) -> np.ndarray:
     return np.bitwise_count((x | x >> _U(1)) & _MASK) + np.bitwise_count((y | y >> _U(1)) & _MASK)
 
 
-def _groups(batches, name: str, rows: int = 200_000):
-    """Columns (uint64, int64 for keys) of whole groups of a sorted column, so many rows at a time or one larger group."""
+def _groups(batches, name: str, rows: int):
+    """Tables of whole groups of a sorted column, about so many rows at a time, and whether it is a part of a larger group."""
     held: list[pa.RecordBatch] = []
-    count = 0
+    count, large = 0, None
     for batch in batches:
+        if large is not None and batch.num_rows:
+            more = batch.column(name).to_numpy() != large
+            cut = int(more.argmax()) if more.any() else len(more)
+            if cut:
+                yield pa.Table.from_batches([batch.slice(0, cut)]), True
+            batch, large = batch.slice(cut), None if cut < len(more) else large
         if not batch.num_rows:
             continue
         held.append(batch)
@@ -129,14 +139,15 @@ def _groups(batches, name: str, rows: int = 200_000):
         whole = pa.Table.from_batches(held).combine_chunks()
         col = whole.column(name).chunk(0).to_numpy()
         if col[0] == col[-1]:  # one group so far
-            held, rows = whole.to_batches(), 2 * count
+            yield whole, True
+            held, count, large = [], 0, col[0]
             continue
         cut = len(col) - int(np.argmax((col != col[-1])[::-1]))
-        yield whole.slice(0, cut)
+        yield whole.slice(0, cut), False
         held = whole.slice(cut).to_batches()
         count = len(whole) - cut
     if count:
-        yield pa.Table.from_batches(held).combine_chunks()
+        yield pa.Table.from_batches(held).combine_chunks(), False
 
 
 def _column(t: pa.Table, name: str) -> np.ndarray:
@@ -151,9 +162,45 @@ def _runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[:-1][size > 1], size[size > 1]
 
 
-def _members(batches):
-    """Members of the chunk-error neighbourhoods that have a near partner, and for each the neighbourhood's least near member."""
-    for t in _groups(batches, "bucket"):
+_MEMBERS = "hood long, rep long, s0 long, s1 long, leader long, far long"
+
+
+def _combo_keys(bucket: np.ndarray, four: list[np.ndarray], c: int) -> np.ndarray:
+    """A bucket's neighbourhoods of the choice c of two more equal symbols."""
+    i, j = _COMBOS[c]
+    return _vec.mix(bucket + _vec.mix((four[i] << _U(16) | four[j]) + _U((c + 1) << 40)))
+
+
+def _hoods(batches):
+    """A row for each neighbourhood of the rows of large buckets, which have the bucket as hood."""
+    for batch in batches:
+        bucket, rest = (_column(pa.Table.from_batches([batch]), n).view(_U) for n in ("hood", "rest"))
+        four = [rest >> _U(16 * i) & _U(0xFFFF) for i in range(4)]
+        for c in range(len(_COMBOS)):
+            yield pa.RecordBatch.from_arrays([pa.array(_combo_keys(bucket, four, c).view(np.int64)), *(batch.column(n) for n in ("rep", "s0", "s1"))], names=["hood", "rep", "s0", "s1"])
+
+
+def _large_members(parts: DataFrame) -> DataFrame:
+    """What _members makes, for the parts of large buckets: neighbourhoods are kept whole, their least member leads."""
+    rows = parts.select("hood", "rep", "rest", "s0", "s1").mapInArrow(_hoods, "hood long, rep long, s0 long, s1 long")
+    least = rows.groupBy("hood").agg(F.min(F.struct("rep", "s0", "s1")).alias("l"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    x = [F.col(s).bitwiseXOR(F.col(f"l.{s}")) for s in ("s0", "s1")]
+    far = sum((F.bit_count(v.bitwiseOR(F.shiftrightunsigned(v, 1)).bitwiseAND(F.lit(int(_MASK)))) for v in x), F.lit(0)).cast("long")
+    led = (F.col("rep") != F.col("l.rep")) & (far <= SKETCH_ERRORS)
+    return rows.join(least, "hood").select("hood", "rep", "s0", "s1", F.when(led, F.col("l.rep")).alias("leader"), F.when(led, far).alias("far"))
+
+
+def _members(batches, group: int = GROUP):
+    """Members of the chunk-error neighbourhoods that have a near partner, and for each the neighbourhood's least near member.
+
+    Rows of a bucket of more than group rows are passed on as they come, with rest, for _large_members.
+    """
+    for t, part in _groups(batches, "bucket", group):
+        if part:
+            none = pa.nulls(len(t), pa.int64())
+            raw = pa.Table.from_arrays([t.column("bucket"), t.column("rep"), t.column("s0"), t.column("s1"), none, none, t.column("rest")], names=["hood", "rep", "s0", "s1", "leader", "far", "rest"])
+            yield from raw.to_batches()
+            continue
         bucket, rep = _column(t, "bucket").view(_U), _column(t, "rep")
         rest, s0, s1 = (_column(t, n).view(_U) for n in ("rest", "s0", "s1"))
         begin, size = _runs(bucket)
@@ -162,8 +209,8 @@ def _members(batches):
         take = np.repeat(begin, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         bucket, rep, rest, s0, s1 = bucket[take], rep[take], rest[take], s0[take], s1[take]
         four = [rest >> _U(16 * i) & _U(0xFFFF) for i in range(4)]
-        for c, (i, j) in enumerate(_COMBOS):
-            keys = _vec.mix(bucket + _vec.mix((four[i] << _U(16) | four[j]) + _U((c + 1) << 40)))
+        for c in range(len(_COMBOS)):
+            keys = _combo_keys(bucket, four, c)
             order = np.lexsort((rep, keys))
             k, r, a, b = keys[order], rep[order], s0[order], s1[order]
             begin, size = _runs(k)
@@ -194,8 +241,8 @@ def _members(batches):
             x = np.flatnonzero(keep)
             has = lead[x] < 0
             yield pa.RecordBatch.from_arrays(
-                [pa.array(k[x].view(np.int64)), pa.array(r[x]), pa.array(a[x].view(np.int64)), pa.array(b[x].view(np.int64)), pa.array(r[lead[x]], mask=has), pa.array(far[x], mask=has)],
-                names=["hood", "rep", "s0", "s1", "leader", "far"],
+                [pa.array(k[x].view(np.int64)), pa.array(r[x]), pa.array(a[x].view(np.int64)), pa.array(b[x].view(np.int64)), pa.array(r[lead[x]], mask=has), pa.array(far[x], mask=has), pa.nulls(len(x), pa.int64())],
+                names=["hood", "rep", "s0", "s1", "leader", "far", "rest"],
             )
 
 
@@ -262,21 +309,57 @@ def _next(new: np.ndarray) -> np.ndarray:
     return np.append(begins[1:], len(new))[np.cumsum(new) - 1]
 
 
+def _celled(members: DataFrame, limit: int) -> DataFrame:
+    """members with (cell, side): those of a neighbourhood meet in one cell of side 0, or above limit bytes in several.
+
+    There the largest component and the others go into blocks, dealt out by rep. A cell has two blocks, as sides 1
+    and 2, or one block of the others, as side 0; the largest component's blocks only meet the others'.
+    """
+    parts = members.groupBy("hood", "component").agg(F.sum(F.col("n_shingles") + 256).alias("w"))
+    large = parts.groupBy("hood").agg(F.sum("w").alias("all"), F.max(F.struct("w", "component")).alias("top")).filter(F.col("all") > limit)
+    blocks = lambda w: F.greatest(F.lit(1), F.ceil(w / limit)).cast("int")
+    large = large.select("hood", F.col("top.component").alias("top"), blocks(F.col("top.w")).alias("n_top"), blocks(F.col("all") - F.col("top.w")).alias("n_rest"))
+    is_top = F.col("component") == F.col("top")
+    own = F.pmod(F.xxhash64("rep"), F.when(is_top, F.col("n_top")).otherwise(F.col("n_rest"))).cast("int")
+    of = lambda kind, i, j, side: F.struct(F.xxhash64("hood", F.lit(kind), i, j).alias("cell"), side.cast("int").alias("side"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    side = lambda k: F.when(own == k, 0).when(own < k, 1).otherwise(2)
+    tops = F.transform(upto("n_rest"), lambda k: of("top", own, k, F.lit(1)))
+    with_top = F.transform(upto("n_top"), lambda k: of("top", k, own, F.lit(2)))
+    others = F.transform(upto("n_rest"), lambda k: of("rest", F.least(own, k), F.greatest(own, k), side(k)))
+    alone = F.array(F.struct(F.col("hood").alias("cell"), F.lit(0).alias("side")))
+    cells = F.when(F.col("top").isNull(), alone).when(is_top, tops).otherwise(F.concat(with_top, others))
+    return members.join(large, "hood", "left").withColumn("c", F.explode(cells)).select(*members.columns, "c.cell", "c.side")
+
+
+def _cells(batches):
+    """Tables of whole cells."""
+    held = []
+    for t, part in _groups(batches, "cell", 50_000):
+        if part:  # cells are bounded; this one has many small members
+            held.append(t)
+            continue
+        yield pa.concat_tables([*held, t]).combine_chunks()
+        held = []
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
+
+
 def _across(batches, num: int, den: int):
     """Pairs whose components differ and which sizes, signatures and odd sketches allow, each in its first neighbourhood."""
-    for t in _groups(batches, "hood", 50_000):
-        hood, rep, comp = (_column(t, n) for n in ("hood", "rep", "component"))
-        order = np.lexsort((rep, comp, hood))
+    for t in _cells(batches):
+        cell, rep, comp = (_column(t, n) for n in ("cell", "rep", "component"))
+        order = np.lexsort((rep, comp, cell))
         t = t.take(pa.array(order))
-        hood, rep, comp, size = (_column(t, n) for n in ("hood", "rep", "component", "n_shingles"))
+        hood, cell, side, rep, comp, size = (_column(t, n) for n in ("hood", "cell", "side", "rep", "component", "n_shingles"))
         hood, s0, s1 = hood.view(_U), _column(t, "s0").view(_U), _column(t, "s1").view(_U)
         odd = t.column("odd").to_pylist()
         sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint16).reshape(-1, SIZE)
-        new = np.ones(len(hood), bool)
-        new[1:] = hood[1:] != hood[:-1]
+        new = np.ones(len(cell), bool)
+        new[1:] = cell[1:] != cell[:-1]
         part = new.copy()
         part[1:] |= comp[1:] != comp[:-1]
-        after, end = _next(part), _next(new)  # members of later components of one neighbourhood
+        after, end = _next(part), _next(new)  # members of later components of one cell
         upto = np.cumsum(end - after)
         us, vs = [], []
         at = 0
@@ -286,6 +369,8 @@ def _across(batches, num: int, den: int):
             i = np.repeat(np.arange(at, stop), count)
             j = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(after[at:stop], count)
             at = stop
+            ok = (side[i] == 0) | (side[i] != side[j])
+            i, j = i[ok], j[ok]
             ok = _far(s0[i], s1[i], s0[j], s1[j]) <= SKETCH_ERRORS
             ok &= (den * size[j] >= num * size[i]) & (num * size[j] <= den * size[i])
             i, j = i[ok], j[ok]
@@ -342,7 +427,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFr
     return written(both.mapInArrow(lambda b: _confirm(b, num, den), "u long, v long"), "links")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = 75, den: int = 100) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = 75, den: int = 100, group: int = GROUP, cell: int = CELL) -> DataFrame:
     """(key, n_shingles, component_id, kept) for every row: components of documents linked at a Jaccard of num/den or more.
 
     Words are runs of anything but space and U+0009 to U+000D, A-Z lower-cased; a set has the distinct SHINGLE-word
@@ -356,6 +441,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", nu
        most of every group however large. Pairs are confirmed on full sets.
     4. Near pairs that are still in different components are compared by odd sketches (see odd_sketch), which rule out
        most pairs just below the threshold and none above it; the rest are confirmed on full sets too.
+    A bucket of more than group rows and a neighbourhood of more than cell bytes are split over tasks.
     Keys are whole numbers and unique; rows with a null key keep a null component and stay.
     """
     named = docs.filter(F.col(key).isNotNull())
@@ -365,7 +451,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", nu
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunks = classes.select("rep", "signature").mapInArrow(_chunk_rows, "bucket long, rep long, rest long, s0 long, s1 long")
     chunks = chunks.repartition(n, "bucket").sortWithinPartitions("bucket")
-    members = written(chunks.mapInArrow(_members, "hood long, rep long, s0 long, s1 long, leader long, far long"), "members")
+    met = written(chunks.mapInArrow(lambda b: _members(b, group), _MEMBERS + ", rest long"), "members")
+    members, large = met.filter("rest is null").drop("rest"), met.filter("rest is not null")
+    if not large.isEmpty():
+        members = written(members.unionByName(_large_members(large)), "large_members")
     wanted = members.select("rep").distinct()
     texts = named.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("t")).join(wanted, "rep", "left_semi")
     texts = written(texts.mapInArrow(_pack, "rep long, packed binary, n_shingles long, odd binary"), "texts")
@@ -377,7 +466,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", nu
     mixed = placed.groupBy("hood").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("hood")
     sets = texts.select("rep", "n_shingles", "odd").join(classes.select("rep", "signature"), "rep")
     open_ = placed.join(mixed, "hood", "left_semi").join(sets, "rep")
-    open_ = open_.select("hood", "rep", "s0", "s1", "component", "n_shingles", "odd", "signature").repartition(n, "hood").sortWithinPartitions("hood")
+    open_ = _celled(open_.select("hood", "rep", "s0", "s1", "component", "n_shingles", "odd", "signature"), cell)
+    open_ = open_.repartition(n, "cell").sortWithinPartitions("cell")
     pairs = open_.mapInArrow(lambda b: _across(b, num, den), "u long, v long")
     more = _confirmed(pairs, texts, num, den)
     comps = components(links.unionByName(more))

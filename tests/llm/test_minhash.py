@@ -53,6 +53,28 @@ def test_against_brute_force(spark):
         assert got == brute(rows)
 
 
+def test_split_groups(spark):
+    """Large buckets and neighbourhoods are dealt over tasks, with the same links; no task holds a group."""
+    for seed in (1, 2):
+        rows = _texts(seed)
+        df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df, group=10, cell=2000).collect()}
+        assert got == brute(rows)
+
+
+def test_cells_hold_every_pair_across_once(spark):
+    rows = [(h, h * 1000 + i, 7 if i < 60 else i, 100) for h in (1, 2) for i in range(100 if h == 1 else 3)]
+    out = minhash._celled(spark.createDataFrame(rows, "hood long, rep long, component long, n_shingles long"), 356 * 12).collect()
+    cells = {}
+    for r in out:
+        cells.setdefault(r.cell, []).append(r)
+    assert max(map(len, cells.values())) < 60
+    pairs = [(a.rep, b.rep) for c in cells.values() for a in c for b in c if a.rep < b.rep and a.component != b.component and (a.side == 0 or a.side != b.side)]
+    pairs += [(b, a) for a, b in pairs]
+    want = {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[2] != b[2]}
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want
+
+
 def test_odd_sketches_never_rule_out_a_link():
     rnd = np.random.default_rng(4)
     pool = rnd.integers(0, 2**63, 6000).astype(np.uint64)
