@@ -18,8 +18,8 @@ SHINGLE = 5
 #: similarity of exactly 0.75 more errors than that have a chance of 3 in 100,000, and less for closer texts.
 CHUNKS, WIDTH, CHUNK_ERRORS = 10, 6, 2
 SYMBOL_ERRORS = CHUNKS * (CHUNK_ERRORS + 1) - 1
-#: Of the symbols' last two bits at most so many may differ (chance at 0.75: 2 in 100,000).
-SKETCH_ERRORS = 25
+#: Of the symbols' last two bits at most so many may differ: no more than of whole symbols, so that none of these pairs is lost.
+SKETCH_ERRORS = SYMBOL_ERRORS
 SIZE = CHUNKS * WIDTH
 _rng = np.random.default_rng(60)
 _A = _rng.integers(1, 2**31, SIZE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)

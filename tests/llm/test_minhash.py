@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from millrace.llm import graph, minhash
 
@@ -75,6 +76,18 @@ def test_cells_hold_every_pair_across_once(spark):
     assert len(pairs) == len(set(pairs)) and set(pairs) == want
 
 
+def test_all_pairs_up_to_the_symbol_errors_meet():
+    """29 different symbols, all of them different in the last two bits too."""
+    a = np.random.default_rng(9).integers(0, 2**16, minhash.SIZE).astype(np.uint16)
+    b = a.copy()
+    wrong = [c * minhash.WIDTH + k for c in range(minhash.CHUNKS) for k in range(3)][: minhash.SYMBOL_ERRORS]
+    b[wrong] ^= 1
+    rows = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([a.tobytes(), b.tobytes()], pa.binary())], names=["rep", "signature"])
+    chunks = pa.Table.from_batches(minhash._chunk_rows([rows])).sort_by("bucket").combine_chunks().to_batches()
+    met = [r for x in minhash._members(chunks) for r in x.to_pylist()]
+    assert {(r["rep"], r["leader"], r["far"]) for r in met} == {(1, None, None), (2, 1, minhash.SYMBOL_ERRORS)}
+
+
 def test_odd_sketches_never_rule_out_a_link():
     rnd = np.random.default_rng(4)
     pool = rnd.integers(0, 2**63, 6000).astype(np.uint64)
