@@ -1,5 +1,12 @@
 """Every registered query with SQL against it on the smallest tables."""
 
+import json
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pandas as pd
 import pytest
@@ -46,3 +53,13 @@ def test_entry(spark):
 
     assert entry.entry(spark).columns == ["query_id", "chunk_id", "score", "rank"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_without_the_training_data_part(tmp_path):
+    """A copy without that part still offers all other queries."""
+    root = Path(__file__).parent.parent
+    shutil.copytree(root / "millrace", tmp_path / "millrace", ignore=lambda _, names: {"llm", "__pycache__"} & set(names))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    said = "import json, __spark_entry__ as e; print(json.dumps([sorted(e.queries()), sorted(e.oracle_sql())]))"
+    out = subprocess.run([sys.executable, "-c", said], cwd=tmp_path, capture_output=True, text=True, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)}).stdout
+    assert json.loads(out) == [sorted(QUERIES), sorted(ORACLE_SQL)]
