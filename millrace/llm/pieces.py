@@ -16,10 +16,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ._vec import binary
+from . import _vec
 
-#: Segments kept with their ids in a worker; at the bound the store is emptied, so memory stays bounded.
-MEMO = 500_000
+#: Bytes of segments and their ids (with what Python adds to each) that a worker keeps; at the bound the store is emptied.
+MEMO = 48 << 20
+_ENTRY = 200
+#: Bytes of texts, or of ids, looked at at once.
+_RUN = 1 << 20
 
 
 def default_model() -> str:
@@ -108,6 +111,9 @@ class Coder:
         breaks = "".join(c for c in "\n\r\t" if c not in alphabet)
         self.segment = re.compile(r"(?s).+") if inner else re.compile(_segments(alphabet, follows, breaks))
         self.memo: dict[str, bytes] = {}
+        self.kept = 0
+        # bytes by id, and after the last id those of what is no piece
+        self.bytes_of = pa.array([self.restore.get(i, b"") for i in range(max(self.restore) + 2)], pa.binary())
 
     def best(self, text: str) -> array:
         """Ids of the best path: at each end the automaton's outputs, longest first, relax the score; the first best stays."""
@@ -168,24 +174,66 @@ class Coder:
         parts = self.segment.findall(" " + text)
         own = set(parts)
         new = [p for p in own if p not in memo]
-        if len(memo) + len(new) > MEMO:
+        if self.kept > MEMO:
             memo.clear()
+            self.kept = 0
             new = list(own)
         for p in new:
             memo[p] = self.best(p).tobytes()
         out = b"".join([memo[p] for p in parts])
         for p in new:
-            if len(p) > 64 or len(memo) > MEMO:
+            if len(p) > 64 or self.kept > MEMO:
                 del memo[p]
+            else:
+                self.kept += len(p) + len(memo[p]) + _ENTRY
         return out
 
+    def encode_all(self, texts: pa.Array) -> pa.Array:
+        """Lists of ids, run by run, so that few Python objects are there at once."""
+        ids, sizes = [], []
+        for a, b, _, _ in _vec.pieces(texts, _RUN):
+            rows = [self.encode(t.decode("utf-8", "replace")) for t in _vec.binary(texts.slice(a, b - a)).to_pylist()]
+            sizes += [len(r) // 4 for r in rows]
+            ids.append(b"".join(rows))
+        ends = np.zeros(len(sizes) + 1, np.int32)
+        np.cumsum(sizes, out=ends[1:])
+        return pa.ListArray.from_arrays(pa.array(ends), pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(ids))]))
+
     def decode(self, ids) -> str:
-        restore = self.restore
-        try:
-            return b"".join([restore[i] for i in ids]).decode("utf-8", "replace")[1:]
-        except KeyError:
-            pass
-        return b"".join([restore.get(i, b"") for i in ids]).decode("utf-8", "replace")[1:]
+        return b"".join([self.restore.get(i, b"") for i in ids]).decode("utf-8", "replace")[1:]
+
+    def decode_all(self, rows: pa.Array) -> pa.Array:
+        """Texts of lists of ids, run by run: the bytes of all ids in a row, cut where a list ends."""
+        off = rows.offsets.to_numpy()
+        out = []
+        at = 0
+        while at < len(rows):
+            end = max(at + 1, int(np.searchsorted(off, off[at] + _RUN // 4, "right")) - 1)
+            out.append(self._decoded(rows.slice(at, end - at), off[at : end + 1] - off[at], rows.values.slice(off[at], off[end] - off[at])))
+            at = end
+        return pa.concat_arrays(out) if out else pa.array([], pa.string())
+
+    def _decoded(self, rows: pa.Array, off: np.ndarray, ids: pa.Array) -> pa.Array:
+        last = len(self.bytes_of) - 1
+        x = ids.fill_null(last).to_numpy()
+        flat = self.bytes_of.take(pa.array(np.where((x < 0) | (x > last), last, x)))
+        ends = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset : flat.offset + len(flat) + 1]
+        data = np.frombuffer(flat.buffers()[2] or b"", np.uint8)[: ends[-1]]
+        cut = ends[off]
+        size = np.diff(cut)
+        begin = cut[:-1][size > 0]
+        if (data[begin] == 32).all():  # each text begins with the space that encoding puts before it
+            keep = np.ones(len(data), bool)
+            keep[begin] = False
+            ends = np.zeros(len(size) + 1, np.int32)
+            np.cumsum(size - (size > 0), out=ends[1:])
+            text = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(data[keep])])
+            try:
+                text = text.cast(pa.string())
+                return pc.if_else(rows.is_valid(), text, pa.nulls(len(text), text.type)) if rows.null_count else text
+            except pa.ArrowInvalid:  # bytes that are no UTF-8
+                pass
+        return pa.array([None if r is None else self.decode(r) for r in rows.to_pylist()], pa.string())
 
 
 _coders: dict[str, Coder] = {}
@@ -213,10 +261,7 @@ class Pieces:
         shared = self.shared
 
         def batch(texts: pa.Array) -> pa.Array:
-            coder = _coder(shared)
-            rows = [coder.encode(t.decode("utf-8", "replace")) for t in binary(texts).to_pylist()]
-            ends = np.cumsum([0, *[len(r) // 4 for r in rows]])
-            out = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(rows), np.int32)))
+            out = _coder(shared).encode_all(texts)
             if texts.null_count:
                 out = pc.if_else(texts.is_valid(), out, pa.nulls(len(out), out.type))
             return out
@@ -228,8 +273,7 @@ class Pieces:
         shared = self.shared
 
         def batch(rows: pa.Array) -> pa.Array:
-            coder = _coder(shared)
-            return pa.array([None if r is None else coder.decode(r) for r in rows.to_pylist()], pa.string())
+            return _coder(shared).decode_all(rows)
 
         return F.arrow_udf(batch, "string")(ids)
 
