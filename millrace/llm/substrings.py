@@ -27,13 +27,15 @@ from ._work import without, written
 LENGTH = 100
 GRAM = 28
 BLOCK = 25
-#: Suffixes of a shard, and anchors of a bucket on average.
+#: Suffixes of a shard; contexts of a bucket that are settled together, and bytes of one that are merged, on average.
 SHARD = 1 << 16
 BUCKET = 150_000
+MERGED = 1 << 19
 #: Contexts of one anchor from which on each string is dealt out by its own hash.
 HOT = 20_000
-#: Bytes of text looked at at once; positions in it fit 24 bits.
+#: Bytes of text looked at at once; positions in it fit 24 bits. Rows are passed on after _RUN bytes.
 _PIECE = 1 << 20
+_RUN = 8 << 20
 _LONG = 1 << 22
 _U = np.uint64
 _LOW = _U((1 << 24) - 1)
@@ -144,11 +146,7 @@ def _first_of(h, c, doc, place):
 
 def _find(batches, buckets: int):
     """Rows (bucket, blob of anchor, context, text, start << 8 | starts - 1); anchor 0 marks a context known to be a copy."""
-    for batch in batches:
-        docs = batch.column(0).to_numpy(zero_copy_only=False)
-        got = [(x, a, s) for a, buf, off, s in _cuts(batch.column(1)) if (x := _anchors(buf, off)) is not None]
-        if not got:
-            continue
+    for docs, got in _runs(batches):
         h, c = (np.concatenate([x[i] for x, _, _ in got]) for i in (0, 1))
         doc = np.concatenate([docs[a + x[2]] for x, a, _ in got])
         place = np.concatenate([(x[3] + s) << 8 | (x[4] - 1) for x, _, s in got])
@@ -159,6 +157,23 @@ def _find(batches, buckets: int):
         yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
 
+def _runs(batches):
+    """The contexts of about _RUN bytes of texts, and the batch's keys."""
+    for batch in batches:
+        docs = batch.column(0).to_numpy(zero_copy_only=False)
+        got, size = [], 0
+        for a, buf, off, s in _cuts(batch.column(1)):
+            x = _anchors(buf, off)
+            if x is not None:
+                got.append((x, a, s))
+            size += len(buf)
+            if size >= _RUN and got:
+                yield docs, got
+                got, size = [], 0
+        if got:
+            yield docs, got
+
+
 def _settle(batches, hot: int):
     """Contexts that are copies (kind 0), or whose anchor has other contexts too (1, or 2 for very many)."""
     for _, held in _by_bucket(batches):
@@ -181,7 +196,25 @@ def _settle(batches, hot: int):
 def _pack(batches):
     z = zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([z.compress(x) for x in _vec.binary(batch.column(1)).to_pylist()], pa.binary())], names=["doc", "packed"])
+        for a, b, buf, off in _vec.pieces(batch.column(1), _PIECE):
+            view = memoryview(buf)
+            packed = [z.compress(view[p:q]) for p, q in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(packed, pa.binary())], names=["doc", "packed"])
+
+
+def _texts(batches):
+    """(key, text, places) of rows (key, packed text, places), few at a time; None where a run of about _RUN bytes ends."""
+    for batch in batches:
+        size = 0
+        for a, b, _, _ in _vec.pieces(batch.column(1), _PIECE):
+            for key, packed, places in zip(*(batch.column(i).slice(a, b - a) for i in range(3)), strict=True):
+                raw = zstandard.decompress(packed.as_py())
+                yield key.as_py(), raw, places.values if places.is_valid else None
+                size += len(raw)
+            if size >= _RUN:
+                yield None
+                size = 0
+        yield None
 
 
 def _note(best: dict[bytes, tuple[int, int]], copies: list[tuple[int, int]], string: bytes, at: tuple[int, int]) -> None:
@@ -199,16 +232,15 @@ def _bytes_of(batches, buckets: int):
     A string dealt out by itself has the count -1, and goes once a batch: its later copies are known as such and have
     the count 0 and no bytes.
     """
-    z = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        anchor, doc, first, count, strings = [], [], [], [], []
-        best, copies = {}, []
-        for d, packed, places in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            raw = zstandard.decompress(packed)
-            for x in places:
-                p, n = x["place"] >> 8, (x["place"] & 255) + 1
-                if x["kind"] == 1:
-                    anchor.append(x["anchor"])
+    anchor, doc, first, count, strings = [], [], [], [], []
+    best, copies = {}, []
+    for row in _texts(batches):
+        if row is not None:
+            d, raw, places = row
+            for place, kind, a in zip(*(places.field(x).to_pylist() for x in ("place", "kind", "anchor")), strict=True):
+                p, n = place >> 8, (place & 255) + 1
+                if kind == 1:
+                    anchor.append(a)
                     doc.append(d)
                     first.append(p)
                     count.append(n)
@@ -216,23 +248,30 @@ def _bytes_of(batches, buckets: int):
                 else:  # each string by itself
                     for i in range(p, p + n):
                         _note(best, copies, raw[i : i + LENGTH], (d, i))
+            continue
         anchor += [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) for x in best]
         anchor += [d for d, _ in copies]
         doc += [d for d, _ in [*best.values(), *copies]]
         first += [i for _, i in [*best.values(), *copies]]
         count += [-1] * len(best) + [0] * len(copies)
         strings += [*best, *[b""] * len(copies)]
-        if not doc:
-            continue
-        part = (_vec.mix(np.array(anchor, np.int64).view(_U)) % _U(buckets)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        doc, first, count, part = np.array(doc, np.int64)[order], np.array(first, np.int64)[order], np.array(count, np.int64)[order], part[order]
-        edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])).tolist()
-        rows, blobs = [], []
-        for p, q in zip(edge[:-1], edge[1:], strict=True):
-            rows.append(int(part[p]))
-            blobs.append(z.compress(np.int64(q - p).tobytes() + doc[p:q].tobytes() + first[p:q].tobytes() + count[p:q].tobytes() + b"".join(strings[i] for i in order[p:q])))
-        yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+        if doc:
+            yield _string_blobs(buckets, *(np.array(x, np.int64) for x in (anchor, doc, first, count)), strings)
+        anchor, doc, first, count, strings = [], [], [], [], []
+        best, copies = {}, []
+
+
+def _string_blobs(buckets: int, anchor, doc, first, count, strings: list[bytes]) -> pa.RecordBatch:
+    z = zstandard.ZstdCompressor(level=1)
+    part = (_vec.mix(anchor.view(_U)) % _U(buckets)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    doc, first, count, part = doc[order], first[order], count[order], part[order]
+    edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])).tolist()
+    rows, blobs = [], []
+    for p, q in zip(edge[:-1], edge[1:], strict=True):
+        rows.append(int(part[p]))
+        blobs.append(z.compress(np.int64(q - p).tobytes() + doc[p:q].tobytes() + first[p:q].tobytes() + count[p:q].tobytes() + b"".join(strings[i] for i in order[p:q])))
+    return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
 
 def _shard_order(sym: np.ndarray, follows: np.ndarray) -> np.ndarray:
@@ -374,26 +413,27 @@ def _merge(batches):
 
 def _apply(batches):
     names = ["doc", "n_bytes", "n_removed", "n_spans", "kept"]
-    for batch in batches:
-        rows = [[], [], [], []]
-        for packed, places in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-            raw = zstandard.decompress(packed)
-            gone = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            if places.is_valid:
-                x = np.sort(places.values.to_numpy(zero_copy_only=False))
-                a, b = x >> 8, np.maximum.accumulate((x >> 8) + (x & 255) + LENGTH)
-                new = np.concatenate([[True], a[1:] > b[:-1]])
-                gone = a[new], np.append(b[:-1][new[1:]], b[-1])
-            at, kept = 0, []
-            for a, b in zip(gone[0].tolist(), gone[1].tolist(), strict=True):
-                kept.append(raw[at:a])
-                at = b
-            kept.append(raw[at:])
-            rows[0].append(len(raw))
-            rows[1].append(int((gone[1] - gone[0]).sum()))
-            rows[2].append(len(gone[0]))
-            rows[3].append(b"".join(kept))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(r, pa.int64()) for r in rows[:3]], pa.array(rows[3], pa.binary())], names=names)
+    rows = [[], [], [], [], []]
+    for row in _texts(batches):
+        if row is None:
+            if rows[0]:
+                yield pa.RecordBatch.from_arrays([*[pa.array(r, pa.int64()) for r in rows[:4]], pa.array(rows[4], pa.binary())], names=names)
+            rows = [[], [], [], [], []]
+            continue
+        key, raw, places = row
+        gone = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if places is not None:
+            x = np.sort(places.to_numpy(zero_copy_only=False))
+            a, b = x >> 8, np.maximum.accumulate((x >> 8) + (x & 255) + LENGTH)
+            new = np.concatenate([[True], a[1:] > b[:-1]])
+            gone = a[new], np.append(b[:-1][new[1:]], b[-1])
+        at, kept = 0, []
+        for a, b in zip(gone[0].tolist(), gone[1].tolist(), strict=True):
+            kept.append(raw[at:a])
+            at = b
+        kept.append(raw[at:])
+        for r, x in zip(rows, (key, len(raw), int((gone[1] - gone[0]).sum()), len(gone[0]), b"".join(kept)), strict=True):
+            r.append(x)
 
 
 def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
@@ -414,9 +454,11 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", ho
     found = named.filter("doc is not null").mapInArrow(lambda b: _find(b, buckets), "bucket long, blob binary")
     found = found.repartition(n, "bucket").sortWithinPartitions("bucket")
     settled = written(found.mapInArrow(lambda b: _settle(b, hot), "doc long, place long, kind int, anchor long"), "contexts")
+    left = settled.filter("kind > 0").agg(F.sum(F.col("place").bitwiseAND(F.lit(255)) + LENGTH)).first()[0] or 0
+    merged = max(2 * n, math.ceil(left / MERGED))
     open_ = settled.filter("kind > 0").groupBy("doc").agg(F.collect_list(F.struct("place", "kind", "anchor")).alias("places"))
     texts = named.mapInArrow(_pack, "doc long, packed binary")
-    strings = texts.join(open_, "doc").select("doc", "packed", "places").mapInArrow(lambda b: _bytes_of(b, buckets), "bucket long, blob binary")
+    strings = texts.join(open_, "doc").select("doc", "packed", "places").mapInArrow(lambda b: _bytes_of(b, merged), "bucket long, blob binary")
     strings = strings.repartition(n, "bucket").sortWithinPartitions("bucket")
     later = strings.mapInArrow(_merge, "doc long, place long")
     gone = settled.filter("kind = 0").select("doc", "place").unionByName(later).groupBy("doc").agg(F.collect_list("place").alias("places"))
