@@ -1,4 +1,4 @@
-"""Cutting a plan's lineage on storage that all executors share."""
+"""Cutting a plan's lineage on storage that all executors share, and dealing small inputs out to all cores."""
 
 from __future__ import annotations
 
@@ -22,3 +22,17 @@ def settled(df: DataFrame) -> DataFrame:
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(where)
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out to all cores if its input is so small that its files have fewer splits than there are cores.
+
+    What is dealt out is so at most a split's size (spark.sql.files.maxPartitionBytes) a core; larger inputs and streams stay as they are.
+    """
+    if df.isStreaming:
+        return df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < split * cores else df

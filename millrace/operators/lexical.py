@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.lexicon import B, FIELD_WEIGHTS, IDF_FLOOR, K1, RETRIEVED, Lexicon
+from ..functions.settle import settled, spread
 from ..functions.text import index_tokens, porter_stem
 
 
@@ -31,6 +32,10 @@ class Index:
         self.postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{folder}/postings")
         self.stats.write.mode("overwrite").parquet(f"{folder}/stats")
 
+    def settled(self) -> Index:
+        """The index as it is now on shared storage, for a batch or two: made once, however often it is searched."""
+        return Index(settled(self.postings), settled(self.stats), self.stemmed)
+
     @staticmethod
     def read(spark, folder: str, stemmed: bool = True) -> Index:
         return Index(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/stats"), stemmed)
@@ -43,7 +48,7 @@ def build(chunks: DataFrame, fields: dict[str, float] = FIELD_WEIGHTS, stem: boo
     that scoring needs no join. Stems are made once for each distinct word and joined back.
     """
     own = [c for c in fields if c in chunks.columns]
-    listed = chunks.select("chunk_id", *[tokens(F.col(c)).alias(c) for c in own])
+    listed = spread(chunks.select("chunk_id", *own)).select("chunk_id", *[tokens(F.col(c)).alias(c) for c in own])
     listed = listed.withColumn("dl", sum((F.size(c) for c in own), F.lit(0)).cast("long"))
     stats = listed.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
     spots = F.concat(*[F.transform(c, _spot(f)) for f, c in enumerate(own)])

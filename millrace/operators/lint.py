@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.settle import spread
 from .rules import RULES, SEVERITIES, Code, Rule, chosen, fired
 from .source_code import language_of, without_comments
 
@@ -24,11 +25,11 @@ def _code_columns(df: DataFrame, code: str, language: str | None, brand: str, ma
 def lint(df: DataFrame, code: str = "code", language: str | None = None, concern: str = "all", rules: tuple[Rule, ...] = RULES, brand: str = "acme", key: str = "acme", mask: bool = True) -> DataFrame:
     """df with language_detected and issues: array<struct<rank, line, rule_id, column, snippet>>, sorted by severity, line, rule.
 
-    Row by row, without a shuffle. A rule hits a line once. language names a column with a file name or language that
+    Row by row; only a small input is dealt out to all cores. A rule hits a line once. language names a column with a file name or language that
     goes before what the code looks like. A null or empty snippet has no issue. mask=False lints comments too.
     """
     own = chosen(concern, rules=rules)
-    rows = _code_columns(df, code, language, brand, mask)
+    rows = _code_columns(spread(df), code, language, brand, mask)
     c = Code(F.col("__code"), F.col("__masked"), F.col("__lines"), F.col("__masked_lines"), brand, key)
 
     def issues(r: Rule) -> Column:

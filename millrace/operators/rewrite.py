@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import LANGUAGE_HINTS, TOPIC_HINTS, Lexicon
+from ..functions.settle import spread
 from ..functions.text import first_hint, query_tokens, without_noise
 from .lexical import all_of, expanded, match_string
 
@@ -17,10 +18,10 @@ def rewritten(queries: DataFrame, lexicon: Lexicon, text: str = "query") -> Data
 
     cleaned is the lower-cased query without phrases that carry nothing, or the query if nothing else is in it. groups
     is the conjunction of the tokens; synonym_groups puts a token's whole synonym group in its place. Hints are of the
-    query as it was said; where none fits they are null. Row by row, without a shuffle.
+    query as it was said; where none fits they are null. Row by row; only a small input is dealt out to all cores.
     """
     said = F.trim(F.coalesce(F.col(text), F.lit("")))
-    out = queries.withColumn("__bare", without_noise(F.lower(said))).withColumn("tokens", query_tokens(F.col("__bare"), lexicon))
+    out = spread(queries).withColumn("__bare", without_noise(F.lower(said))).withColumn("tokens", query_tokens(F.col("__bare"), lexicon))
     out = out.withColumn("cleaned", F.when(F.length("__bare") > 0, F.col("__bare")).otherwise(F.lower(said))).drop("__bare")
     out = out.withColumns({"groups": all_of(F.col("tokens")), "synonym_groups": expanded(F.col("tokens"), lexicon)})
     known = [t for g in lexicon.synonyms for t in g]

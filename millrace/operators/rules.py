@@ -35,6 +35,10 @@ class Code:
     def found(self, pattern: str, flags: str = "", group: int = 0) -> Column:
         return matches(self.masked, self.rx(pattern, flags), group)
 
+    def first(self, pattern: str, flags: str = "") -> Column:
+        """Offset of the first match in code points, null without one."""
+        return F.get(self.found(pattern, flags), F.lit(0))["start"]
+
     def around(self, hit: Column, before: int, after: int) -> Column:
         start = F.greatest(hit["start"] - before, F.lit(0))
         return F.substring(self.masked, start + 1, hit["start"] + after - start)
@@ -57,8 +61,7 @@ def _all(c: Code, found: Column, said: Callable[[Column], Column] | None = None)
 
 def _one(c: Code, anchor: str, flags: str, said: str, when: Column) -> Column:
     """One hit at the first match of an anchor, if a condition on the whole snippet holds."""
-    first = F.regexp_instr(c.masked, F.lit(c.rx(anchor, flags)))
-    return F.when(when & (first > 0), F.array(hit_at(line_of(c.code, first - 1), F.lit(said)))).otherwise(_none())
+    return F.when(when & c.has(anchor, flags), F.array(hit_at(line_of(c.code, c.first(anchor, flags)), F.lit(said)))).otherwise(_none())
 
 
 def pattern(p: str, flags: str = "") -> Detector:
@@ -87,7 +90,12 @@ _TIMES_100, _PAISE = r"\*\s*100(?!\d)", r"in\s*paise|paise\b"
 _PAY_CREATE = r"\b(?:payments?\.create|payment\.create|payments\(\)\.create|payment\(\)\.create)\b"
 _ORDER_CREATE = r"\b(?:orders?\.create|order\.create|orders\(\)\.create|order\(\)\.create|client\.order\.create)\b"
 _RECEIPT = r"\breceipt\s*[:=]\s*[\"'`]([^\"'`\n]+)[\"'`]"
-_RECEIPT_TIME = tuple(r"\breceipt\s*[:=]\s*[`\"']?\s*\$?\{?\s*" + x for x in (r"Date\.now\s*\(\s*\)", r"time\s*\(\s*\)", r"new\s+Date\s*\(", r"time\.time\s*\(\s*\)"))
+_RECEIPT_TIME = (
+    r"\breceipt\s*[:=]\s*[`\"']?\s*\$?\{?\s*Date\.now\s*\(\s*\)",
+    r"\breceipt\s*[:=]\s*[`\"']?\s*\$?\{?\s*time\s*\(\s*\)",
+    r"\breceipt\s*[:=]\s*[`\"']?\s*\$?\{?\s*new\s+Date\s*\(",
+    r"\breceipt\s*[:=]\s*[`\"']?\s*\$?\{?\s*time\.time\s*\(\s*\)",
+)
 _NONCE = r"(?:randomUUID|uuid|crypto\.random|Math\.random|nanoid|shortid|secrets\.token|nonce|random_int|bin2hex|random_bytes)"
 _REFUND = r"\b(?:refunds?\.create|refund\.create|create_refund|createRefund|payments?\.refund|payment_id\.refund)\s*\("
 _REFUND_CALL = r"\b(?:refunds?\.create|payments?\.refund|createRefund|create_refund)\s*\("
@@ -110,8 +118,11 @@ _ERROR_REPLY = r"\b(?:res\.status\(\s*(?:[45]\d\d)\s*\)\s*\.(?:send|json|end)|re
 _ERROR_LINE, _ERROR_BRANCH = r"(?:invalid|fail|error|unauthorized|forbidden|signature|verify|verification)", r"if\s*\(\s*!|verify|signature"
 _NO_CAPTURE = r"\bpayment_capture\s*[:=]\s*(?:0|false|\"0\"|'0')"
 _CAPTURE = r"\b(?:payments?\.capture|payment\.capture|capturePayment|capture_payment|\.capture\s*\()"
-_DAYS = r"\b([5-9]|[1-9]\d+)\s*\*\s*24\s*\*\s*60\s*\*\s*60\s*\*\s*1000"
-_DELAYS = (r"setTimeout\s*\([\s\S]{0,200}?" + _DAYS, r"\b([5-9]|[1-9]\d+)\s*(?:d|day|days)\b", r"Date\.now\s*\(\s*\)\s*-[\s\S]{0,100}?" + _DAYS)
+_DELAYS = (
+    r"setTimeout\s*\([\s\S]{0,200}?\b([5-9]|[1-9]\d+)\s*\*\s*24\s*\*\s*60\s*\*\s*60\s*\*\s*1000",
+    r"\b([5-9]|[1-9]\d+)\s*(?:d|day|days)\b",
+    r"Date\.now\s*\(\s*\)\s*-[\s\S]{0,100}?\b([5-9]|[1-9]\d+)\s*\*\s*24\s*\*\s*60\s*\*\s*60\s*\*\s*1000",
+)
 _SUBSCRIBE, _ADDONS = r"\bsubscriptions?\.create\s*\(", r"\baddons\s*[:=]"
 _VALIDATED = r"(?:zod\.|\.parse\(|joi\.|Joi\.|validate|schema\.|assert|isInteger|isFinite|typeof\s+\w+\s*===|in_array|array_key_exists)"
 _UPI = r"\b(?:method\s*[:=]\s*['\"`]upi['\"`]|\"flow\"\s*:\s*\"intent\"|flow\s*[:=]\s*['\"`]intent['\"`])"
@@ -143,13 +154,12 @@ def _rupees(c: Code) -> Column:
 
 def _two_currencies(c: Code) -> Column:
     codes = _currencies(c)
-    first = F.regexp_instr(c.masked, F.lit(c.rx(_CURRENCY)))
-    return F.when(F.size(codes) >= 2, F.array(hit_at(line_of(c.code, first - 1), F.concat(F.lit("currencies: "), F.array_join(codes, ", "))))).otherwise(_none())
+    return F.when(F.size(codes) >= 2, F.array(hit_at(line_of(c.code, c.first(_CURRENCY)), F.concat(F.lit("currencies: "), F.array_join(codes, ", "))))).otherwise(_none())
 
 
 def _no_order(c: Code) -> Column:
     order, pay = (F.regexp_instr(c.masked, F.lit(c.rx(p))) for p in (_ORDER_CREATE, _PAY_CREATE))
-    late = F.array(hit_at(line_of(c.code, pay - 1), F.lit("the payment is created before its order")))
+    late = F.array(hit_at(line_of(c.code, c.first(_PAY_CREATE)), F.lit("the payment is created before its order")))
     return F.when(order == 0, _all(c, c.found(_PAY_CREATE))).when((pay > 0) & (order > pay), late).otherwise(_none())
 
 
@@ -267,6 +277,7 @@ def _r(n, severity, concern, title, route, excerpt, fix, detect, section=None) -
     return Rule(f"L{n:03d}", severity, concern, title, route, excerpt, fix, detect, section)
 
 
+# Ids, severities, concerns, and the routes and sections that the rules cite. Titles and texts are this library's own.
 RULES: tuple[Rule, ...] = (
     _r(1, "error", "webhook_signature", "The webhook's HMAC is made of a body that was serialised again", "webhooks/validate-test", "The signature is of the raw bytes of the request.", "Keep the raw body and hash that.", pattern(_STRINGIFIED)),
     _r(2, "error", "webhook_signature", "A signature is compared in a way that timing gives away", "webhooks/validate-test", "Compare signatures in constant time.", "Use timingSafeEqual, hash_equals, MessageDigest.isEqual or compare_digest.", _plain_compare),

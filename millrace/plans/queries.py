@@ -13,6 +13,7 @@ from ..operators.source_code import language_of, without_comments
 from ..sources import corpus as sources
 from ..streaming import ingest
 from . import search as engine
+from .snippets import CASES
 
 LEXICON = L.Lexicon(synonyms=L.SYNONYMS)
 QUERIES: dict = {}
@@ -80,7 +81,7 @@ ranked AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY que
 
 
 def _any_bm25(spark: SparkSession, sf_dir: str, k: int = L.RETRIEVED) -> DataFrame:
-    index = lexical.build(_chunks(spark, sf_dir).select("chunk_id", "body"), {"body": 1.0}, stem=False, tokens=T.ascii_tokens, places=False)
+    index = lexical.build(_chunks(spark, sf_dir).select("chunk_id", "body"), {"body": 1.0}, stem=False, tokens=T.ascii_tokens, places=False).settled()
     found = lexical.bm25(index, _items(spark, sf_dir).select("query_id", lexical.any_of(F.col("tokens")).alias("groups")), k=None)
     return lexical.best(found.withColumn("score", F.round("score", 6)), k)
 
@@ -104,7 +105,7 @@ SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER
 def bm25_fields_and(spark, sf_dir):
     """Documents with all words of a benchmark item in weighted fields, ranked."""
     chunks = _chunks(spark, sf_dir).select("chunk_id", "title", "category", "route", "body")
-    index = lexical.build(chunks, L.FIELD_WEIGHTS, stem=False, tokens=T.ascii_tokens, places=False)
+    index = lexical.build(chunks, L.FIELD_WEIGHTS, stem=False, tokens=T.ascii_tokens, places=False).settled()
     found = lexical.bm25(index, _items(spark, sf_dir).select("query_id", lexical.all_of(F.col("tokens")).alias("groups")), k=None)
     found = found.withColumn("score", F.round("score", 6))
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id")
@@ -273,27 +274,28 @@ def code_fences(spark, sf_dir):
 def _page_links(spark, sf_dir):
     p = _table(spark, sf_dir, "pages")
     to = F.transform(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1)), lambda r: F.struct(r.alias("route"), F.lit(None).cast("string").alias("anchor")))
-    return p.select(F.regexp_extract("url", r"\.([a-z]+)/", 1).alias("route"), F.array_distinct(to).alias("cross_links"))
+    return p.select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("route"), F.array_distinct(to).alias("cross_links"))
 
 
-_EDGES = "SELECT DISTINCT regexp_extract(url, '\\.([a-z]+)/', 1) AS route, unnest(regexp_extract_all(html, 'href=\"/([^\"]*)\"', 1)) AS dst FROM pages"
+_EDGES = "SELECT DISTINCT regexp_extract(url, '://([^/?#]*)', 1) AS route, unnest(regexp_extract_all(html, 'href=\"/([^\"]*)\"', 1)) AS dst FROM pages"
 
 
 @_query(f"SELECT route, string_agg(dst, ' ' ORDER BY dst) AS targets, count(*) AS n FROM ({_EDGES}) WHERE route <> dst GROUP BY 1")
 def link_graph(spark, sf_dir):
-    """Links between top-level domains and paths."""
+    """Links between hosts and paths."""
     g = sections.link_graph(_page_links(spark, sf_dir))
     return g.select("route", F.array_join("targets", " ").alias("targets"), F.size("targets").cast("long").alias("n"))
 
 
 @_query(f"""
-WITH e AS (SELECT * FROM ({_EDGES}) WHERE route <> dst), known AS (SELECT DISTINCT dst AS r, upper(dst) AS title FROM e WHERE dst < 'n'),
+WITH e AS (SELECT * FROM ({_EDGES}) WHERE route <> dst), known AS (SELECT DISTINCT r, upper(r) AS title FROM (SELECT unnest(string_split(text, ' ')) AS r FROM benchmark)),
 k AS (SELECT route, dst, title, row_number() OVER (PARTITION BY route ORDER BY dst) AS n FROM e JOIN known ON r = dst)
 SELECT route, string_agg(dst || ':' || title, ' ' ORDER BY n) AS related FROM k WHERE n <= 3 GROUP BY 1""")
 def related_routes(spark, sf_dir):
-    """The first three links of a route to known routes."""
+    """The first three links of a host to known routes, which are the words of the benchmark."""
     g = sections.link_graph(_page_links(spark, sf_dir))
-    routes = g.select(F.explode("targets").alias("route")).distinct().filter("route < 'n'").withColumn("title", F.upper("route"))
+    words = _table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("route"))
+    routes = words.distinct().withColumn("title", F.upper("route"))
     said = F.transform("related", lambda r: F.concat_ws(":", r["route"], r["title"]))
     return assemble.related(routes, g).select("route", F.array_join(said, " ").alias("related"))
 
@@ -368,7 +370,7 @@ def _first_hits(spark, sf_dir):
 
 
 def bm25_fields_free(spark, sf_dir):
-    index = lexical.build(_chunks(spark, sf_dir).select("chunk_id", "body"), {"body": 1.0}, stem=False, tokens=T.ascii_tokens, places=False)
+    index = lexical.build(_chunks(spark, sf_dir).select("chunk_id", "body"), {"body": 1.0}, stem=False, tokens=T.ascii_tokens, places=False).settled()
     return lexical.bm25(index, _items(spark, sf_dir).select("query_id", lexical.all_of(F.col("tokens")).alias("groups")), k=None)
 
 
@@ -477,6 +479,28 @@ def lint_report(spark, sf_dir):
     return lint.report(lint.lint(_table(spark, sf_dir, "orders").select("o_orderkey", code.alias("code"))), "o_orderkey")
 
 
+def _cases() -> list[tuple[int, str, str, int | None]]:
+    flat = [(f"L{n:03d}", code, line) for n, cases in CASES.items() for code, line in cases]
+    return [(i, *c) for i, c in enumerate(flat)]
+
+
+_CASE_ROWS = ", ".join(f"({i}, '{rule}', {'NULL' if line is None else line})" for i, rule, _, line in _cases())
+
+
+@_query(f"""
+WITH k AS (SELECT * FROM (VALUES {_CASE_ROWS}) AS k(i, rule_id, line))
+SELECT c_custkey, rule_id, coalesce((line + c_custkey % 5)::VARCHAR, '') AS lines FROM customer JOIN k ON i = c_custkey % {len(_cases())}""")
+def lint_rules(spark, sf_dir):
+    """Snippets of every rule, dealt out to the customers behind some lines beyond the BMP, and the lines that the rule hits."""
+    cases = spark.createDataFrame([c[:3] for c in _cases()], "i int, rule_id string, snippet string")  # as many rows as there are cases
+    c = _table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % len(_cases())).cast("int").alias("i"))
+    code = F.concat(F.repeat(F.lit("\U0001f600\U0001f600\n"), (F.col("c_custkey") % 5).cast("int")), "snippet")
+    rows = c.join(F.broadcast(cases), "i").select("c_custkey", "rule_id", code.alias("code"), F.lit("a.js").alias("file"))
+    own = F.filter("issues", lambda x: x["rule_id"] == F.col("rule_id"))
+    lines = F.array_join(F.transform(own, lambda x: x["line"].cast("string")), " ")
+    return lint.lint(rows, language="file").select("c_custkey", "rule_id", lines.alias("lines"))
+
+
 _CARD = r"(?:4[0-9]{15}|5[1-5][0-9]{14}|3[47][0-9]{13}|6(?:011|5[0-9]{2})[0-9]{12})"
 
 
@@ -547,7 +571,7 @@ def search_pipeline(spark, sf_dir):
     routes = chunks.select("route", assemble.canonical_url(F.col("route"), "https://example.com").alias("url"))
     model = dense.hashed()
     vectors = dense.embed(chunks.select("chunk_id", "body"), "body", model).select("chunk_id", "embedding")
-    corpus = engine.Corpus(chunks, routes, lexical.build(chunks), None, vectors)
+    corpus = engine.Corpus(chunks, routes, lexical.build(chunks).settled(), None, vectors)
     queries = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     out = engine.search(queries, corpus, LEXICON, k=10, embedder=model)
     return out.select("query_id", "rank", "chunk_id", F.round("score", 9).alias("score"), "route", "title", "url")
