@@ -88,27 +88,57 @@ def first_hint(text: Column, hints) -> Column:
     return F.coalesce(*[F.when(text.rlike(rx(p, "i")), F.lit(name)) for p, name in hints])
 
 
+_RUN = 512
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value made once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def offsets(sizes: Column) -> Column:
+    """For each number of an array<int> the sum of those before it.
+
+    A fold copies what it has at every step, so it goes over runs of _RUN numbers and then over the runs' sums.
+    """
+    add = lambda acc, x: acc + x
+
+    def fold(xs: Column, start: Column) -> Column:
+        zero = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(xs, zero, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
+
+    def run(xs: Column) -> Column:
+        begins = F.sequence(F.lit(0), F.greatest(F.size(xs) - 1, F.lit(0)), F.lit(_RUN))
+        return F.transform(begins, lambda b: F.slice(xs, b + 1, F.lit(_RUN)))
+
+    def whole(runs: Column) -> Column:
+        firsts = fold(F.transform(runs, lambda r: F.aggregate(r, F.lit(0), add)), F.lit(0))
+        return F.flatten(F.zip_with(runs, firsts, fold))
+
+    return let(sizes, lambda xs: F.when(F.size(xs) <= _RUN, fold(xs, F.lit(0))).otherwise(let(run(xs), whole)))
+
+
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
     """array<struct<start, hit, part>>: leftmost non-overlapping matches; start counts code points from 0, part is a group.
 
-    Offsets are running sums over what lies between the matches, so this stays inside the JVM. Null gives none. Texts
-    without a match, which are most for a rule, cost one search.
+    Offsets are running sums over what lies between the matches, so this stays inside the JVM, and its cost is linear in
+    the text. Null gives none. Texts without a match, which are most for a rule, cost one search.
     """
     text = F.coalesce(text, F.lit(""))
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits
-    gaps = F.split(text, pattern, -1)
-    rows = F.zip_with(hits, parts, lambda h, p: F.struct(h.alias("h"), p.alias("p")))
-    rows = F.transform(rows, lambda x, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), x["h"].alias("h"), x["p"].alias("p")))
-    none = F.array().cast("array<struct<start:int,hit:string,part:string>>")
-    zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
+    pairs = F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("gap"), h.alias("h")))
+    if group:
+        parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+        pairs = F.zip_with(pairs, parts, lambda x, p: F.struct(x["gap"].alias("gap"), x["h"].alias("h"), p.alias("p")))
 
-    def step(acc, x):
-        start = acc["at"] + x["gap"]
-        row = F.struct(start.alias("start"), x["h"].alias("hit"), x["p"].alias("part"))
-        return F.struct((start + F.length(x["h"])).alias("at"), F.array_append(acc["out"], row).alias("out"))
+    def rows(xs: Column) -> Column:
+        begins = offsets(F.transform(xs, lambda x: x["gap"] + F.coalesce(F.length(x["h"]), F.lit(0))))
+        row = lambda x, at: F.struct((at + x["gap"]).alias("start"), x["h"].alias("hit"), (x["p"] if group else x["h"]).alias("part"))
+        return F.filter(F.zip_with(xs, begins, row), lambda r: r["hit"].isNotNull())
 
-    return F.when(text.rlike(pattern), F.aggregate(rows, zero, step, lambda acc: acc["out"])).otherwise(none)
+    none = F.array().cast("array<struct<start:int,hit:string,part:string>>")
+    return F.when(text.rlike(pattern), let(pairs, rows)).otherwise(none)
 
 
 def line_of(text: Column, start: Column) -> Column:

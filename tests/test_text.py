@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +86,10 @@ def test_synonym_file(tmp_path):
     assert L.load_synonyms(str(good)) == (("a", "b"),)
     with pytest.raises(ValueError):
         L.load_synonyms(str(bad))
+
+
+def test_offsets_of_many_matches(spark):
+    texts = [None, "", "none", "a1b22😀333", "1", "12 " * 1500, "é7" * 513, "x" * 3000 + "5"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for r in df.withColumn("m", T.matches(F.col("t"), "([0-9])[0-9]*", 1)).collect():
+        assert [(m.start, m.hit, m.part) for m in r.m] == [(m.start(), m[0], m[1]) for m in re.finditer("([0-9])[0-9]*", r.t or "")], r.i
