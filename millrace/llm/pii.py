@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import matches
 from ._work import without, written
 
 #: Kinds in order, and their base patterns. Possessive where nothing can be given back, so that
@@ -23,36 +24,30 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: High-recall generators: (kind of a selected span, pattern, what a text must contain). They may overlap the base.
+#: High-recall generators: (kind of a selected span, pattern, what a text must contain). They may overlap the base and
+#: one another, and also find what is no personal data: numbers without a check digit, versions, handles, settings.
 GENERATORS = (
-    ("phone", r"(?<![0-9A-Za-z+])\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9A-Za-z])", "[0-9]"),
-    ("card", r"(?<![0-9A-Za-z])[0-9]{4}(?:[\x20.-]?[0-9]{4}){2}[\x20.-]?[0-9]{1,7}(?![0-9A-Za-z])", "[0-9]"),
-    ("ip", r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z])", "[0-9]"),
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}[\x20]?(?:@|\(at\)|\[at\])[\x20]?[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}", "@|[(\\[]at[)\\]]"),
-    ("secret", r"(?i)(?<![a-z])(?:password|passwd|token|secret|api_?key)[\x20]?[=:][\x20]?\"?[A-Za-z0-9_+/-]{8,512}", "[=:]"),
+    ("phone", r"(?<![0-9A-Za-z])\+?\(?[0-9]{1,4}\)?(?:[\x20.-]{0,2}\(?[0-9]{2,4}\)?){2,4}(?![0-9A-Za-z])", "[0-9]{2}"),
+    ("card", r"(?<![0-9A-Za-z])[0-9](?:[\x20.-]?[0-9]){11,18}(?![0-9A-Za-z])", "[0-9]{2}|[0-9][ .-][0-9]"),
+    ("ip", r"(?<![0-9A-Za-z.])[0-9]{1,4}(?:\.[0-9]{1,4}){3}+(?![0-9A-Za-z])", r"[0-9]\.[0-9]"),
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++[\x20]?(?:@|\(at\)|\[at\])[\x20]?[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+", "@|[(\\[]at[)\\]]"),
+    ("secret", r"(?i)(?<![a-z])(?:password|passwd|pwd|token|secret|credential|api[_-]?key|key|id|code)[\x20]?[=:][\x20]?[\"']?[A-Za-z0-9_+/-]{4,}+", "[=:]"),
 )
-FEATURES = ("many_digits", "card_length", "luhn", "plus", "at", "three_dots", "parted", "apart_left", "apart_right", "cue", "mixed", "long")
-_CUES = r"(?i)(?:tel|phone|call|fax|mobile|card|visa|mail|contact|password|passwd|token|secret|key|ip)[^A-Za-z0-9]{0,3}$"
+#: Kinds that show evidence only at times: a candidate without it may be of the kind all the same.
+PARTIAL = ("phone",)
+#: What the trees see of a candidate: its shape, and what stands around it. Nothing of what _evidence looks at is here.
+FEATURES = ("digits_7", "digits_12", "digits_16", "parted", "bracket", "dots_2", "long_12", "long_24", "quoted", "apart_left", "apart_right", "line_start", "line_end", "after_letter")
+#: Words before a number that say what it is: evidence, not a feature.
+_PHONE_CUES = r"(?i)(?:tel|telephone|phone|call|fax|mobile|cell)[^A-Za-z0-9]{0,3}$"
 
 
 def found(text: Column, pattern: str, needs: str) -> Column:
     """array<struct<start, end, hit>>: the leftmost non-overlapping matches of a pattern; empty for null.
 
-    Offsets come from running lengths of what lies between the matches. Texts without a match of needs, a cheap
-    pattern that each match contains, are not searched.
+    Texts without a match of needs, a cheap pattern that each match contains, are not searched.
     """
-    text = F.when(text.rlike(needs), text).otherwise(F.lit(""))
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda s: F.length(s))
-    pairs = F.transform(hits, lambda h, i: F.struct(F.get(gaps, i).alias("gap"), h.alias("hit")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,hit:string>>").alias("out"))
-
-    def step(acc, x):
-        begin = acc["at"] + x["gap"]
-        end = begin + F.length(x["hit"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["hit"].alias("hit")))).alias("out"))
-
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    spans = F.transform(matches(text, pattern), lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.length(m["hit"])).alias("end"), m["hit"].alias("hit")))
+    return F.when(text.rlike(needs), spans).otherwise(F.array().cast("array<struct<start:int,end:int,hit:string>>"))
 
 
 def _digits(hit: Column) -> Column:
@@ -80,17 +75,20 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.filter(found(text, PATTERNS[kind], _NEEDS[kind]), lambda s: valid(kind, s["hit"]))
 
 
+def _left(text: Column, s: Column) -> Column:
+    return F.substring(text, F.greatest(s["start"] - 15, F.lit(1)), F.least(s["start"], F.lit(16)))
+
+
 def _bits(text: Column, s: Column) -> Column:
-    """A candidate's features as a number of len(FEATURES) bits: its format, and what stands around it."""
+    """A candidate's features as a number of len(FEATURES) bits."""
     hit = s["hit"]
-    digits = _digits(hit)
-    left = F.substring(text, F.greatest(s["start"] - 15, F.lit(1)), F.least(s["start"], F.lit(16)))
+    digits = F.length(_digits(hit))
+    left = F.substring(text, s["start"], F.least(s["start"], F.lit(1)))
     right = F.substring(text, s["end"] + 1, F.lit(1))
     tests = [
-        F.length(digits) >= 9, F.length(digits).between(13, 19), (F.length(digits) > 1) & F.call_function("luhn_check", digits), F.substring(left, -1, 1) == "+",
-        F.contains(hit, F.lit("@")), F.length(F.regexp_replace(hit, "[^.]", "")) == 3, hit.rlike(r"[()\x20-]"),
-        (s["start"] == 0) | left.rlike(r"[\s\"'(=:,+]$"), (F.length(right) == 0) | right.rlike(r"^[\s\"'),.;:!?]"), (left.rlike(_CUES)) | hit.rlike(r"[=:]"),
-        hit.rlike("[0-9][A-Za-z]|[A-Za-z][0-9]") & ~F.contains(hit, F.lit("@")), F.length(hit) >= 20,
+        digits >= 7, digits >= 12, digits >= 16, hit.rlike(r"[\x20-]"), hit.rlike(r"[()\[\]]"), hit.rlike(r"\..*\."), F.length(hit) >= 12, F.length(hit) >= 24,
+        hit.rlike("[\"']") | left.rlike("[\"'`(<]"), (F.length(left) == 0) | left.rlike(r"[\s\"'(=:,]"), (F.length(right) == 0) | right.rlike(r"[\s\"'),.;:!?]"),
+        (F.length(left) == 0) | (left == "\n"), (F.length(right) == 0) | (right == "\n"), left.rlike(r"\p{L}"),
     ]
     out = F.lit(0)
     for i, t in enumerate(tests):
@@ -98,24 +96,26 @@ def _bits(text: Column, s: Column) -> Column:
     return out
 
 
-def _weak_label(kind: str, hit: Column) -> Column:
-    """What the trees learn from: the strict format of a candidate's kind."""
+def _evidence(text: Column, kind: str, s: Column) -> Column:
+    """What the trees learn from: signs of a kind that no feature holds.
+
+    A card's check digit, an address's ranges, a domain's last label, a phone's plus or the word before it, digits and
+    letters mixed in a secret. Features can only guess these from shape and surroundings, so a candidate without them
+    (a phone number without a plus) is chosen if those that look like it mostly have them.
+    """
+    hit = s["hit"]
     if kind == "phone":
-        return F.length(_digits(hit)).between(10, 15) & hit.rlike(r"[()\x20.-]") & ~_octets_like(hit)
+        return F.length(_digits(hit)).between(9, 15) & (hit.startswith("+") | _left(text, s).rlike(_PHONE_CUES))
     if kind == "email":
-        return hit.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$")
+        return hit.rlike(r"\.[A-Za-z]{2,}$") & hit.rlike("^[^.]")
     if kind == "secret":
         value = F.regexp_extract(hit, r"[A-Za-z0-9_+/-]+$", 0)
         return (F.length(value) >= 12) & value.rlike("[0-9]") & value.rlike("[A-Za-z]")
     return valid(kind, hit)
 
 
-def _octets_like(hit: Column) -> Column:
-    return hit.rlike(r"^[0-9]+(\.[0-9]+){3}$")
-
-
 def _candidate(text: Column, i: int, kind: str):
-    return lambda s: F.struct(F.lit(i).alias("gen"), s["start"].alias("start"), s["end"].alias("end"), _bits(text, s).alias("bits"), _weak_label(kind, s["hit"]).cast("int").alias("label"))
+    return lambda s: F.struct(F.lit(i).alias("gen"), s["start"].alias("start"), s["end"].alias("end"), _bits(text, s).alias("bits"), _evidence(text, kind, s).cast("int").alias("label"))
 
 
 def _of_kind(kind):
@@ -153,13 +153,37 @@ class Boosted:
 _NEVER = 1e9
 
 
+def _threshold(cells: list[tuple[float, list[float]]], precision: float, partial: bool) -> float:
+    """The lowest margin from which up the candidates (margin, (without, with evidence)) reach the precision.
+
+    Where only some of a kind show evidence, a margin's share of it is divided by the share that those with evidence
+    have around them on average: the usual correction for positives that are only partly labelled.
+    """
+    at: dict[float, list[float]] = {}
+    for m, n in cells:
+        have = at.setdefault(m, [0.0, 0.0])
+        have[0] += n[0]
+        have[1] += n[1]
+    shown = sum(n[1] for n in at.values())
+    usual = sum(n[1] * n[1] / (n[0] + n[1]) for n in at.values() if n[1]) / shown if partial and shown else 1.0
+    right = total = 0.0
+    cut = _NEVER
+    for m in sorted(at, reverse=True):
+        size = sum(at[m])
+        right += size * min(1.0, at[m][1] / size / usual)
+        total += size
+        if right and right >= precision * total:
+            cut = m - 1e-6
+    return cut
+
+
 def train(cands: DataFrame, key: str, rounds: int = 24, rate: float = 0.4, precision: float = 0.98) -> Boosted:
-    """Boost on every candidate of the corpus; a fifth of the keys is held out to calibrate the thresholds.
+    """Boost on every candidate of the corpus, labelled by _evidence; a fifth of the keys is held out to calibrate the thresholds.
 
     Features are bits, so Spark reduces all candidates to counts of (held out, generator, bits, label): at most
-    2 * 5 * 2**12 * 2 rows however large the corpus, which is what the driver fits to. A generator's threshold is the
-    lowest margin from which up the held-out candidates (all, if none is held out) reach the precision; a generator
-    that never does selects nothing.
+    2 * 5 * 2**14 * 2 rows however large the corpus, which is what the driver fits to. A generator's threshold is
+    calibrated on the held-out candidates (all, if none is held out), see _threshold; one that never reaches the
+    precision selects nothing.
     """
     held = F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(5)) == 0
     rows = cands.select(held.alias("h"), F.explode("cands").alias("c")).groupBy("h", "c.gen", "c.bits", "c.label").count().collect()
@@ -192,16 +216,9 @@ def train(cands: DataFrame, key: str, rounds: int = 24, rate: float = 0.4, preci
         for code in margin:
             margin[code] += values[(code >> a & 1) * 2 + (code >> b & 1)]
     thresholds = []
-    for i in range(len(GENERATORS)):
+    for i, (kind, _, _) in enumerate(GENERATORS):
         own = [(margin[code], n) for (h, code), n in cells.items() if code >> (width + i) & 1 and h] or [(margin[code], n) for (_, code), n in cells.items() if code >> (width + i) & 1]
-        right = wrong = 0.0
-        cut = _NEVER
-        for m in sorted({m for m, _ in own}, reverse=True):
-            right += sum(n[1] for x, n in own if x == m)
-            wrong += sum(n[0] for x, n in own if x == m)
-            if right >= precision * (right + wrong) and right:
-                cut = m - 1e-6
-        thresholds.append(cut)
+        thresholds.append(_threshold(own, precision, kind in PARTIAL))
     return Boosted(prior, tuple(trees), tuple(thresholds))
 
 

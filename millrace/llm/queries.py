@@ -17,7 +17,7 @@ def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in pii.PATTERNS]
-    return out.select("doc_id", *counts, hex_sha(pii.joined(pii.named_base())).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+    return out.select("doc_id", *counts, hex_sha(pii.joined(pii.named_base())).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"), (F.size("spans") > 0).alias("private"))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,6 @@
+import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -54,5 +56,58 @@ def test_training_adds_phones_and_secrets(spark):
     assert pii.redact(df, mark="<{}>").filter("text like '%ab12cd34%'").count() == 0
 
 
+def _planted(rnd):
+    """Texts with one planted span each that the base doesn't find whole, its kind (None for a decoy), and where it is."""
+    word = lambda: "".join(rnd.choice("aeioulnrst") for _ in range(rnd.randrange(3, 9)))
+    digit = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+
+    def card():
+        d = "4" + digit(14)
+        return d + next(c for c in "0123456789" if luhn(d + c))
+
+    kinds = {
+        "phone": [lambda: f"+1 ({digit(3)}) 555-{digit(4)}", lambda: f"({digit(3)}) 555-{digit(4)}"],
+        "email": [lambda: f"{word()}.{digit(2)}@mail{digit(1)}.example.com", lambda: f"{word()}.{digit(2)} (at) mail{digit(1)}.example.com"],
+        "card": [card, lambda: ".".join(re.findall("....", card()))],
+        "ip": [lambda: f"{rnd.randrange(10, 255)}.{rnd.randrange(10, 255)}.{rnd.randrange(10, 255)}.{rnd.randrange(10, 255)}"],
+        "secret": [lambda: f'token = "{"".join(rnd.choice("0123456789abcdef") for _ in range(40))}"'],
+        None: [lambda: f"in {digit(4)} and {digit(4)}", lambda: f"version 1.{digit(1)}.{digit(1)}", lambda: f"code: {word()}", lambda: f"@{word()}", lambda: f"{digit(3)} of {digit(2)}", lambda: f"id={word()}{word()}"],
+    }
+    out = []
+    for kind, makes in kinds.items():
+        for make in makes:
+            for _ in range(60):
+                before = " ".join(word() for _ in range(rnd.randrange(3, 20))) + " "
+                hit = make()
+                out.append((before + hit + " " + word() + ".", kind, len(before), len(before) + len(hit)))
+    rnd.shuffle(out)
+    return out
+
+
+def test_recall_by_kind(spark):
+    rows = _planted(random.Random(5))
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.detect(df).collect()}
+    caught, planted, wrong = Counter(), Counter(), 0
+    for i, (_, kind, a, b) in enumerate(rows):
+        if kind is None:
+            wrong += bool(got[i])
+        else:
+            planted[kind] += 1
+            covered = {p for s in got[i] for p in range(s.start, s.end)}
+            caught[kind] += len(covered & set(range(a, b))) >= 0.9 * (b - a)
+    assert all(caught[k] >= 0.9 * planted[k] for k in planted), (caught, planted)
+    assert wrong <= 0.02 * sum(r[1] is None for r in rows)
+
+
+def test_whole_secrets_and_repeated_rows(spark):
+    long = "a1" * 400
+    texts = [f"x token = {long} y"] * 40 + [f"the id: {i}" for i in range(40)]
+    df = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert pii.detect(df).count() == 80
+    spans = {(s.start, s.end) for r in pii.detect(df).filter("doc_id < 20").collect() for s in r.spans}
+    assert spans == {(2, 2 + len("token = ") + 800)}
+
+
 def test_empty(spark):
     assert pii.detect(spark.createDataFrame([], "doc_id long, text string")).count() == 0
