@@ -1,5 +1,6 @@
 """Sharding, the rule ledger, the classifier, url terms, line runs and the pipeline beyond what SQL compares."""
 
+import random
 import zlib
 from collections import Counter
 
@@ -99,6 +100,70 @@ def test_many_filter_bits(spark, monkeypatch):
     assert sorted(decontaminate.contamination(docs, items).collect()) == want
 
 
+def _brute_runs(rows, min_words=50):
+    """(key, text) to kept lines: a line goes if a run of lines over it, of min_words words, also starts earlier."""
+    texts = sorted({r for r in rows if r[0] is not None and r[1] is not None})
+    cut = {r: [(p, x) for p, x in enumerate(r[1].split("\n")) if x.split()] for r in texts}
+    seen, gone = set(), {r: set() for r in texts}
+    places = [(r, i) for r in texts for i in range(len(cut[r]))]
+    for r, i in places:
+        own = cut[r]
+        for j in range(i, len(own)):
+            run = tuple(x for _, x in own[i : j + 1])
+            if sum(len(x.split()) for x in run) >= min_words and run in seen:
+                gone[r] |= set(range(own[i][0], own[j][0] + 1))
+        for j in range(i, len(own)):
+            seen.add(tuple(x for _, x in own[i : j + 1]))
+    return {r: "\n".join(x for p, x in enumerate(r[1].split("\n")) if p not in gone[r]) for r in texts}
+
+
+def _check_runs(spark, rows):
+    want = _brute_runs(rows)
+    got = lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(((k, want.get((k, t), t)) for k, t in rows), key=repr)
+
+
+def test_line_runs_against_brute_force(spark):
+    rnd = random.Random(2)
+    for words in (1, 7):
+        pool = [" ".join(f"{chr(97 + i)}{j}" for j in range(words)) for i in range(6)] + ["", "  "]
+        rows = [(i, "\n".join(rnd.choice(pool) for _ in range(rnd.randrange(1, 120 // words)))) for i in range(14)]
+        rows += [(20 + i, "\n".join([rnd.choice(pool), rows[i][1], rnd.choice(pool)])) for i in range(6)]
+        rows += [(30, rows[0][1]), (31, rows[0][1]), rows[1], rows[1], (40, None), (41, ""), (None, rows[0][1])]
+        _check_runs(spark, rows)
+
+
+def test_line_runs_of_hot_keys(spark, monkeypatch):
+    """With few keys taken as hot, the rest meets by the shuffle: same result."""
+    rows = [(i, "\n".join(["header " * 30, f"line {i % 3} " * 20, "footer " * 30, f"own {i}"])) for i in range(40)]
+    want = sorted(map(tuple, lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    monkeypatch.setattr(lines, "HOT", 3)
+    assert sorted(map(tuple, lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == want
+    _check_runs(spark, rows)
+
+
+def test_repeated_rows_lose_nothing_to_each_other(spark):
+    run = "\n".join("one two three four five" for _ in range(1)) + "\n" + "\n".join(f"w{i} " * 6 for i in range(10))
+    df = spark.createDataFrame([(1, run), (1, run), (2, run), (3, "x\n" + run)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.text) for r in lines.line_dedup(df).collect())
+    assert got == [(1, run), (1, run), (2, ""), (3, "x")]
+
+
+def test_very_long_documents_of_lines(spark):
+    rnd = random.Random(9)
+    body = [f"line {rnd.randrange(10**9)} of a long text" for _ in range(100_000)]
+    df = spark.createDataFrame([(1, "\n".join(body)), (2, "\n".join(["new", *body[10:], "end"]))], "doc_id long, text string")
+    got = {r.doc_id: r for r in lines.line_dedup(df).collect()}
+    assert got[1].n_removed_lines == 0 and got[2].text == "new\nend" and got[2].n_runs == 1
+
+
+def test_line_dedup_of_no_rows_and_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b", 7, "x", 1)], "doc_id long, text string, n_runs int, k string, t int")
+    out = lines.line_dedup(df).collect()
+    assert [(r.k, r.t, r.n_runs, r.text) for r in out] == [("x", 1, 0, "a b")]
+    assert lines.line_dedup(df.limit(0)).count() == 0
+
+
 def test_pipeline(spark):
     """Each stage on its own input, by plain restatements; the result is the last one's."""
     from tests.llm.test_minhash import brute
