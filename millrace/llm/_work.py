@@ -38,9 +38,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear() -> None:
-    """Delete the intermediate tables made so far; their readers must be done."""
-    while _made:
+def made() -> int:
+    """How many intermediate tables there are, to clear later ones."""
+    return len(_made)
+
+
+def clear(since: int = 0) -> None:
+    """Delete the intermediate tables made so far, or since there were so many; their readers must be done."""
+    while len(_made) > since:
         spark, path = _made.pop()
         try:
             jvm = spark.sparkContext._jvm

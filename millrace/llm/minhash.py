@@ -388,15 +388,13 @@ def _across(batches, num: int, den: int):
 def _pack(batches):
     z = zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        n, odd = [], []
-        for _, _, buf, off in _vec.pieces(batch.column(1)):
+        for first, last, buf, off in _vec.pieces(batch.column(1)):
             h, begin, _ = word_shingles(buf, off)
             h, begin = _distinct(h, begin)
-            for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
-                n.append(b - a)
-                odd.append(odd_sketch(h[a:b]))
-        packed = pa.array([z.compress(x) for x in _vec.binary(batch.column(1)).to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), packed, pa.array(n, pa.int64()), pa.array(odd, pa.binary())], names=["rep", "packed", "n_shingles", "odd"])
+            odd = [odd_sketch(h[a:b]) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+            view = memoryview(buf)
+            packed = [z.compress(view[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(packed, pa.binary()), pa.array(np.diff(begin), pa.int64()), pa.array(odd, pa.binary())], names=["rep", "packed", "n_shingles", "odd"])
 
 
 def _shingle_set(packed: bytes) -> np.ndarray:
@@ -408,12 +406,12 @@ def _shingle_set(packed: bytes) -> np.ndarray:
 def _confirm(batches, num: int, den: int):
     last, have = None, None
     for batch in batches:
-        u, v, x, y = (batch.column(i).to_pylist() for i in range(4))
-        ok = np.zeros(len(u), bool)
-        for i in range(len(u)):
-            if v[i] != last:
-                last, have = v[i], _shingle_set(y[i])
-            mine = _shingle_set(x[i])
+        v, x, y = (batch.column(i) for i in (1, 2, 3))
+        ok = np.zeros(len(v), bool)
+        for i in range(len(v)):
+            if v[i].as_py() != last:
+                last, have = v[i].as_py(), _shingle_set(y[i].as_py())
+            mine = _shingle_set(x[i].as_py())
             common = len(np.intersect1d(mine, have, assume_unique=True))
             ok[i] = den * common >= num * (len(mine) + len(have) - common)
         mask = pa.array(ok)
