@@ -36,7 +36,7 @@ def statistics_of(text: Column) -> Column:
     """array<double> of the STATISTICS; a null text counts as empty."""
 
     def batch(texts: pa.Array) -> pa.Array:
-        return pa.array([statistics(x) for x in binary(texts).to_pylist()], pa.list_(pa.float64()))
+        return pa.array([statistics(x.as_py()) for x in binary(texts)], pa.list_(pa.float64()))
 
     return F.arrow_udf(batch, "array<double>")(text)
 

@@ -273,7 +273,9 @@ class Pieces:
         shared = self.shared
 
         def batch(rows: pa.Array) -> pa.Array:
-            return _coder(shared).decode_all(rows)
+            out = _coder(shared).decode_all(rows)
+            pa.default_memory_pool().release_unused()
+            return out
 
         return F.arrow_udf(batch, "string")(ids)
 

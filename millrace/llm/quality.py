@@ -62,7 +62,7 @@ def measures(text: Column) -> Column:
     """Struct of the MEASURES (long) of a text column; a null text has no words."""
 
     def batch(texts: pa.Array) -> pa.Array:
-        rows = [measure(x) for x in binary(texts).to_pylist()]
+        rows = [measure(x.as_py()) for x in binary(texts)]
         return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(MEASURES))], list(MEASURES))
 
     return F.arrow_udf(batch, T.StructType([T.StructField(m, T.LongType()) for m in MEASURES]))(text)

@@ -34,6 +34,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.select("doc_id", "measures.n_words", *four, base.alias("base_failed"), (~base & quality.passes("v2")).alias("kept"), F.col("failed").alias("failed_bits"))
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each rule of the policy what it rejects, what it alone rejects, and what is kept without it."""
+    return quality.ablations(quality.ledger(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", urls.host_of(F.col("url")).alias("host"), urls.path_of(F.col("url")).alias("path"))
     judged = urls.url_filter(pages).withColumn("r", urls.longest_rule(F.col("host"), F.col("path")))
@@ -76,7 +81,7 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed_lines", "n_runs", hex_sha(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("kept_sha256"))
 
 
-QUERIES = {"op1_substrings": op1_substrings, "op2_pii": op2_pii, "op3_sharding": op3_sharding, "op4_quality": op4_quality, "op5_decontaminate": op5_decontaminate, "op6_minhash": op6_minhash, "op7_pieces": op7_pieces, "op8_classifier": op8_classifier, "op9_urls": op9_urls, "op10_lines": op10_lines}
+QUERIES = {"op1_substrings": op1_substrings, "op2_pii": op2_pii, "op3_sharding": op3_sharding, "op4_quality": op4_quality, "op5_decontaminate": op5_decontaminate, "op6_minhash": op6_minhash, "op7_pieces": op7_pieces, "op8_classifier": op8_classifier, "op9_urls": op9_urls, "op10_lines": op10_lines, "quality_ablations": quality_ablations}
 
 
 def _op9_sql() -> str:
@@ -165,4 +170,11 @@ SELECT d.doc_id, coalesce(k.n, 0)::BIGINT AS n_lines, coalesce(k.n_gone, 0)::BIG
   sha256(coalesce(k.t, '')) AS kept_sha256
 FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id LEFT JOIN runs r ON r.doc_id = d.doc_id"""
 
-ORACLE_SQL = {"op5_decontaminate": _OP5_SQL, "op10_lines": _OP10_SQL, "op4_quality": _OP4_SQL, "op9_urls": _op9_sql()}
+_BITS = ", ".join(f"('{name}', {1 << i})" for i, name in enumerate(quality.RULES))
+_ABLATIONS_SQL = f"""
+WITH book AS ({_OP4_SQL})
+SELECT rule, count(*) FILTER (WHERE failed_bits & bit <> 0) AS n_fail, count(*) FILTER (WHERE failed_bits = bit) AS n_alone,
+  count(*) FILTER (WHERE failed_bits & ({(1 << len(quality.RULES)) - 1} - bit) = 0) AS n_kept_without
+FROM book, (VALUES {_BITS}) AS r(rule, bit) GROUP BY rule"""
+
+ORACLE_SQL = {"quality_ablations": _ABLATIONS_SQL, "op5_decontaminate": _OP5_SQL, "op10_lines": _OP10_SQL, "op4_quality": _OP4_SQL, "op9_urls": _op9_sql()}

@@ -112,3 +112,26 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(None, "a b c d e f", 1), (1, "a b c d e f", 2), (2, "a b c d e f", 3)], "doc_id long, text string, kept int")
     assert sorted((r.doc_id or 0) for r in minhash.near_dedup(df).collect()) == [0, 1]
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_recall_just_above_the_threshold(spark):
+    """Pairs of a similarity of 0.75 to 0.82 are all linked."""
+    rnd = random.Random(13)
+    texts, pairs = {}, 0
+    for i in range(0, 400, 2):
+        words = [f"w{i}x{j}" for j in range(rnd.randrange(150, 400))]
+        n = len(words) - 4
+        other = words[:]
+        # one changed word changes 5 shingles: similarity (n - 5c) / (n + 5c)
+        c = max(x for x in range(1, n) if 100 * (n - 5 * x) >= 75 * (n + 5 * x))
+        for p in range(c):
+            other[7 * p + 3] = f"new{i}x{p}"
+        texts[i], texts[i + 1] = " ".join(words), " ".join(other)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()}
+    for i in range(0, 400, 2):
+        a, b = ({tuple(t.split()[p : p + 5]) for p in range(len(t.split()) - 4)} for t in (texts[i], texts[i + 1]))
+        s = len(a & b) / len(a | b)
+        assert 0.75 <= s < 0.82
+        pairs += got[i + 1] == i
+    assert pairs == 200

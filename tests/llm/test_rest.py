@@ -4,6 +4,7 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -72,6 +73,27 @@ def test_classifier(spark):
     assert sum(r.predicted == labels[r.doc_id] for r in own) >= 0.85 * len(own)
 
 
+def test_classifier_against_numpy(spark):
+    """Scores as plain NumPy has them: shrunk covariances, log densities by solve and slogdet."""
+    got = {r.doc_id: r for r in queries.op8_classifier(spark, DATA).collect()}
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
+    x = {r.doc_id: np.array(classify.statistics((r.text or "").encode())) for r in docs}
+    own = {c: np.array([x[d] for d in sorted(x) if labels.get(d) == c and not got[d].held_out]) for c in (0, 1)}
+    cov = {c: np.cov(own[c].T, bias=True) for c in own}
+    n = {c: len(own[c]) for c in own}
+    pooled = np.diag((n[0] * cov[0] + n[1] * cov[1]) / (n[0] + n[1])) + 1e-6
+
+    def log_density(c, v):
+        s = 0.9 * cov[c] + np.diag(0.12 * pooled)
+        far = v - own[c].mean(0)
+        return -0.5 * (far @ np.linalg.solve(s, far) + np.linalg.slogdet(s)[1])
+
+    for d, v in x.items():
+        odds = np.log(n[1] / n[0]) + log_density(1, v) - log_density(0, v)
+        assert abs(got[d].score - 1 / (1 + np.exp(-odds))) < 1e-6
+
+
 def test_classifier_without_a_class(spark):
     df = spark.createDataFrame([(1, "a b c", 1), (2, None, 1)], "doc_id long, text string, q int").withColumn("x", classify.statistics_of(F.col("text")))
     for rows in (df, df.limit(0)):
