@@ -36,6 +36,8 @@ HOT = 20_000
 #: Bytes of text looked at at once; positions in it fit 24 bits. Rows are passed on after _RUN bytes.
 _PIECE = 1 << 20
 _RUN = 8 << 20
+#: Bytes of texts for each task of the shuffles by bucket, at most: the tasks grow with the input.
+_PART = 64 << 20
 _LONG = 1 << 22
 _U = np.uint64
 _LOW = _U((1 << 24) - 1)
@@ -450,6 +452,7 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", ho
     named = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("t"))
     total = named.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = int(session.conf.get("spark.sql.shuffle.partitions"))
+    n = max(n, math.ceil(total / _PART))
     buckets = max(2 * n, math.ceil(total / (LENGTH - GRAM + 2) * 2 / BUCKET))
     found = named.filter("doc is not null").mapInArrow(lambda b: _find(b, buckets), "bucket long, blob binary")
     found = found.repartition(n, "bucket").sortWithinPartitions("bucket")
