@@ -12,13 +12,19 @@ from pyspark.sql.types import StringType
 
 from .lexicon import BODY_CAP, LANGUAGE_NAMES, NOISE, SDK_LANGUAGES, Lexicon
 
-_W = "[A-Za-z0-9_]"
-_EDGE = f"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
+#: A word's edge, where the pattern doesn't say on which side the word lies.
+_EDGE = r"(?:(?=\w)(?<!\w)|(?!\w)(?<=\w))"
 
 
 def rx(pattern: str, flags: str = "") -> str:
-    """A pattern for the JVM whose word boundaries are those of ASCII letters, digits and underscore."""
-    return (f"(?{flags})" if flags else "") + pattern.replace(r"\b", _EDGE)
+    r"""A pattern for the JVM whose word boundaries are those of ASCII letters, digits and underscore.
+
+    Beside a plain letter one side is known: a word begins at it if no word character is before it (looked at only once
+    the letter is found, so that most places cost one comparison), or ends at it if none follows.
+    """
+    out = re.sub(r"\\b([A-Za-z0-9_])(?![?*+{])", r"\1(?<!\\w\1)", pattern)
+    out = re.sub(r"(?<!\\)([A-Za-z0-9_])\\b", r"\1(?!\\w)", out)
+    return (f"(?{flags})" if flags else "") + out.replace(r"\b", _EDGE)
 
 
 def approx_tokens(text: Column) -> Column:

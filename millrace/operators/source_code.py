@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import rx
+from ..functions.text import let, rx
 
 # Endings and names that tell a language.
 ENDINGS = {
@@ -39,8 +39,7 @@ def named(pattern: str, brand: str, key: str) -> str:
 def language_of(code: Column, hint: Column | None = None, brand: str = "acme") -> Column:
     """A hint's language by its ending or name; else that with most signatures in the code, the first on ties, or unknown."""
     scores = [F.struct(reduce(Column.__add__, [F.coalesce(code.rlike(rx(named(p, brand, brand), f)), F.lit(False)).cast("int") for p, f in sigs]).alias("n"), F.lit(-i).alias("i"), F.lit(lang).alias("lang")) for i, (lang, sigs) in enumerate(SIGNATURES.items())]
-    best = F.array_max(F.array(*scores))
-    scored = F.when(best["n"] >= 1, best["lang"]).otherwise("unknown")
+    scored = let(F.array_max(F.array(*scores)), lambda best: F.when(best["n"] >= 1, best["lang"]).otherwise("unknown"))
     if hint is None:
         return scored
     low = F.lower(F.trim(hint))

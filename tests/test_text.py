@@ -93,3 +93,27 @@ def test_offsets_of_many_matches(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     for r in df.withColumn("m", T.matches(F.col("t"), "([0-9])[0-9]*", 1)).collect():
         assert [(m.start, m.hit, m.part) for m in r.m] == [(m.start(), m[0], m[1]) for m in re.finditer("([0-9])[0-9]*", r.t or "")], r.i
+
+
+def test_word_edges_match_where_the_plain_pattern_does():
+    """Both forms of a boundary find the same spans in all rules' patterns, over their snippets and over their own words in odd orders."""
+    import random
+    import re
+
+    from millrace.operators import rules
+    from millrace.operators.source_code import SIGNATURES, named
+    from millrace.plans.snippets import CASES
+
+    pick = random.Random(3)
+    fixed = [x for v in vars(rules).values() for x in (v if isinstance(v, tuple) else (v,)) if isinstance(x, str) and r"\b" in x]
+    patterns = [named(p, "acme", "acme") for p in fixed + [p for sigs in SIGNATURES.values() for p, _ in sigs]] + [r"\bx+\b", r"\b\w+\b", r"\ba?b\b"]
+    found = 0
+    for p in patterns:
+        parts = re.findall("[A-Za-z_]+", p) + [" ", ".", "_", "a", "b", "x", "(", "9", "\n", "=", '"', "é"]
+        texts = [code for cases in CASES.values() for code, _ in cases] + ["".join(pick.choice(parts) for _ in range(9)) for _ in range(40)]
+        for flags in (re.A, re.A | re.I):
+            for t in texts:
+                plain = [m.span() for m in re.finditer(p, t, flags)]
+                assert plain == [m.span() for m in re.finditer(T.rx(p), t, flags)], (p, t)
+                found += bool(plain)
+    assert found > 500
