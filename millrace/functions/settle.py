@@ -2,26 +2,42 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df as it is now, read from a checkpoint: later uses see the same rows, and a lost executor costs no recomputation.
-
-    The folder is spark.checkpoint.dir as the session has it; only where that is unset, on one machine, one is made.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir as the session has it; only where that is unset, on one machine, a folder is made."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", where)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(where)
-    return df.checkpoint()
+    return where.rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df as it is now, as Parquet in the shared folder: made once, read by column, and a lost executor costs no recomputation.
+
+    The table is deleted when the driver's process ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_delete, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session has ended: its folder is the cluster's to clean
+        return
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -95,7 +95,9 @@ def bm25(index: Index, queries: DataFrame, k: int | None = RETRIEVED) -> DataFra
     rows = found.join(df, "said").crossJoin(F.broadcast(index.stats))  # stats is one row
     part = part_score(F.col("tf"), F.col("df"), F.col("dl"), F.col("n"), F.col("avgdl"))
     parts = rows.select("said", "chunk_id", part.alias("part")).join(asked, "said")
-    scored = parts.groupBy("query_id", "chunk_id", "n_groups").agg(F.sum("part").alias("score"), F.count_distinct("g").alias("met"))
+    # Dealt out by what both sums have in common, so that one shuffle serves them; a distinct count would take two.
+    by_group = parts.repartition("query_id", "chunk_id").groupBy("query_id", "chunk_id", "n_groups", "g").agg(F.sum("part").alias("part"))
+    scored = by_group.groupBy("query_id", "chunk_id", "n_groups").agg(F.sum("part").alias("score"), F.count("g").alias("met"))
     scored = scored.filter("met = n_groups").select("query_id", "chunk_id", "score")
     return scored if k is None else best(scored, k)
 
