@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A key is hot from one in so many rows on; so many keys can be hot at most, and their rows are broadcast.
+HOT = 10_000
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -55,6 +57,18 @@ def clear(since: int = 0) -> None:
             return
 
 
+def looked_up(rows: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
+    """rows joined with a table of unique keys and their number of rows n. Both are written tables.
+
+    Hot keys are at most HOT rows of the table, whatever the size of rows: they are broadcast, so that their rows stay
+    where they are. The others meet by a shuffle in which no key has more than one in HOT rows.
+    """
+    least = max(2, rows.count() // HOT)
+    hot = F.broadcast(table.filter(F.col("n") >= least))
+    cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(table.filter(F.col("n") < least), on)
+    return rows.join(hot, on).unionByName(cold)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

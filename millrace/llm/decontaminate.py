@@ -161,17 +161,19 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     tokens = distinct.select("w", "size", size_of.alias("n"), F.explode(F.transform(F.sequence(F.lit(0), F.col("size") - size_of), lambda o: F.struct(o.alias("o"), gram(F.col("words"), o, size_of).alias("token")))).alias("t"))
     tokens = tokens.select("w", "size", "n", "t.o", "t.token")
     lens = sorted({SHINGLE, *lengths})
-    places = runs.select("key", "start", "words", F.explode(F.flatten(F.array(*[
+    places = runs.select("key", "start", F.size("words").alias("len"), F.explode(F.flatten(F.array(*[
         F.transform(F.when(F.size("words") >= n, F.sequence(F.lit(0), F.size("words") - n)).otherwise(F.array().cast("array<int>")), _token_at(gram, n)) for n in lens]))).alias("t"))
     known = tokens.select("token").distinct()
     rarity = places.select("key", "t.token").distinct().join(known, "token", "left_semi").groupBy("token").count()
     prefix = tokens.join(rarity, "token", "left").groupBy("w", "size").agg(F.min(F.struct("count", "token", "o")).alias("p"), F.min(F.col("count").isNotNull()).alias("all"))
     # a window with a token that no document has is in none
     prefix = prefix.filter("all").select("w", "size", F.col("p.token").alias("token"), F.col("p.o").alias("o"))
-    at = places.select("key", "start", "words", F.col("t.token").alias("token"), F.col("t.i").alias("i"))
-    found = at.join(prefix, "token").filter((F.col("i") >= F.col("o")) & (F.col("i") - F.col("o") + F.col("size") <= F.size("words")))
-    found = found.filter(F.array_join(F.slice("words", F.col("i") - F.col("o") + 1, F.col("size")), " ") == F.col("w"))
-    found = written(found.select("key", (F.col("start") + F.col("i") - F.col("o")).alias("first"), "size", "w").distinct(), "found")
+    # narrow rows meet by token, and only candidates meet their run's words; Spark splits a token that very many runs have
+    at = places.select("key", "start", "len", F.col("t.token").alias("token"), F.col("t.i").alias("i"))
+    found = at.join(prefix, "token").withColumn("place", F.col("i") - F.col("o")).filter((F.col("place") >= 0) & (F.col("place") + F.col("size") <= F.col("len")))
+    found = found.select("key", "start", "place", "size", "w").join(runs, ["key", "start"])
+    found = found.filter(F.array_join(F.slice("words", F.col("place") + 1, F.col("size")), " ") == F.col("w"))
+    found = written(found.select("key", (F.col("start") + F.col("place")).alias("first"), "size", "w").distinct(), "found")
     hit = _covered(found)
     owners = wins.select("item", F.array_join("words", " ").alias("w")).distinct()
     ids = found.select("key", "w").distinct().join(owners, "w").groupBy("key").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))

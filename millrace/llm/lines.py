@@ -6,27 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._work import without, written
+from ._work import looked_up, without, written
 
 #: A run of lines counts as repeated from so many words on.
 MIN_WORDS = 50
-#: A key is hot from one in so many rows on; so many keys can be hot at most, and their rows are broadcast.
-HOT = 10_000
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
-def _looked_up(rows: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
-    """rows joined with a table of unique keys and their number of rows n. Both are written tables.
-
-    Hot keys are at most HOT rows of the table, whatever the size of rows: they are broadcast, so that their rows stay
-    where they are. The others meet by a shuffle in which no key has more than one in HOT rows.
-    """
-    least = max(2, rows.count() // HOT)
-    hot = F.broadcast(table.filter(F.col("n") >= least))
-    cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(table.filter(F.col("n") < least), on)
-    return rows.join(hot, on).unionByName(cold)
-
-
 def _ranked(counts: DataFrame, by: list[str], name: str) -> DataFrame:
     """counts with its rank in the order of by: a sort by ranges, in which ids grow from row to row and range to range."""
     ordered = counts.repartitionByRange(*by).sortWithinPartitions(*by)
@@ -37,7 +23,7 @@ def _copies(texts: DataFrame) -> DataFrame:
     """(k, t) of texts that a smaller key has, too."""
     prints = written(texts.select("k", "t", F.xxhash64(F.lit(1), "text").alias("u")).distinct(), "prints")
     groups = written(prints.groupBy("t", "u").agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "groups")
-    return written(_looked_up(prints, groups, ["t", "u"]).filter("k > first").select("k", "t"), "copies")
+    return written(looked_up(prints, groups, ["t", "u"]).filter("k > first").select("k", "t"), "copies")
 
 
 def _sequences(texts: DataFrame, copies: DataFrame, min_words: int) -> DataFrame:
@@ -50,7 +36,7 @@ def _sequences(texts: DataFrame, copies: DataFrame, min_words: int) -> DataFrame
     lines = texts.select("k", "t", F.posexplode(F.filter(parts, lambda x: x["w"] > 0)).alias("j", "x")).select("k", "t", "j", "x.*")
     lines = written(lines.join(copies, ["k", "t"], "left_anti"), "lines")
     ids = _ranked(lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), ["a", "b"], "r0")
-    again = _looked_up(lines, ids, ["a", "b"]).select("k", "t", "j", "pos", "w", "r0").distinct()  # repeated rows once
+    again = looked_up(lines, ids, ["a", "b"]).select("k", "t", "j", "pos", "w", "r0").distinct()  # repeated rows once
     text, segment = W.partitionBy("k", "t").orderBy("j"), W.partitionBy("k", "t", "seg")
     again = again.withColumn("seg", F.col("j") - F.row_number().over(text))
     again = again.withColumn("e", F.sum("w").over(segment.orderBy("j").rowsBetween(W.unboundedPreceding, 0)))
@@ -73,7 +59,7 @@ def suffix_ranks(lines: DataFrame, most: int) -> tuple[DataFrame, list[str]]:
         ranks = _ranked(open_.groupBy(r, "next").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), [r, "next"], up)
         names.append(up)
         h += 1
-        new = _looked_up(written(open_, "open"), ranks, [r, "next"]).select("k", "t", "j", up)
+        new = looked_up(written(open_, "open"), ranks, [r, "next"]).select("k", "t", "j", up)
         lines = written(pairs.drop("next").join(new, ["k", "t", "j"], "left"), "suffixes")
         if ranks.isEmpty():
             break
@@ -132,7 +118,7 @@ def repeated_runs(df: DataFrame, key: str = "doc_id", text: str = "text", min_wo
        with that common prefix. In an interval the earliest start stays (smaller key, then text hash, then line), every
        other member is a later copy. A maximal repeated run is the union of such stretches, so they are merged.
 
-    A line, pair or interval that a third of all texts have is counted before it is joined back, see _looked_up.
+    A line, pair or interval that a third of all texts have is counted before it is joined back, see looked_up.
     """
     texts = _identified(df, key, text)
     copies = _copies(texts)
@@ -140,7 +126,7 @@ def repeated_runs(df: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     lines, names = suffix_ranks(lines, min_words)
     spans = written(_intervals(lines, names, _stretches(lines, min_words)), "stretches")
     intervals = spans.groupBy("n_lines", "p", "q").agg(F.min(F.struct("k", "t", "first")).alias("earliest"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    later = _looked_up(spans, written(intervals, "intervals"), ["n_lines", "p", "q"]).filter(F.struct("k", "t", "first") > F.col("earliest")).select("k", "t", "first", "last")
+    later = looked_up(spans, written(intervals, "intervals"), ["n_lines", "p", "q"]).filter(F.struct("k", "t", "first") > F.col("earliest")).select("k", "t", "first", "last")
     order = W.partitionBy("k", "t").orderBy("first", "last")
     runs = later.withColumn("new", (F.col("first") > F.coalesce(F.max("last").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(-2)) + 1).cast("int"))
     runs = runs.withColumn("run", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))

@@ -2,7 +2,8 @@
 
 Strings meet by an anchor: of a string's GRAM-byte grams the one of least hash, which equal strings share wherever
 they stand. Consecutive starts with one anchor form a context, the bytes from the first start to the last string's
-end. Equal contexts are settled by their hashes. Where one anchor has different contexts, their bytes are gathered:
+end. Equal contexts form a class by their hash, and one of each goes on. Where an anchor has different contexts, their
+bytes are gathered:
 each batch is a shard with a Burrows-Wheeler transform of its own, over blocks of BLOCK bytes as symbols (a context is
 read in all BLOCK phases). The shards' transforms are merged by iterative interleave refinement: every iteration deals
 the interleave out stably by the preceding symbol, so after h of them it is ordered by h symbols, and a boundary that
@@ -22,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _vec
-from ._work import without, written
+from ._work import looked_up, without, written
 
 LENGTH = 100
 GRAM = 28
 BLOCK = 25
-#: Suffixes of a shard; contexts of a bucket that are settled together, and bytes of one that are merged, on average.
+#: Suffixes of a shard; contexts of a bucket that are put in classes, and bytes of one that are merged, on average.
 SHARD = 1 << 16
 BUCKET = 150_000
 MERGED = 1 << 19
@@ -117,17 +118,18 @@ def _unblob(blobs: list[bytes], kinds: list[type]) -> list[np.ndarray]:
 
 
 def _by_bucket(batches):
-    """Whole buckets of sorted (bucket, blob) rows."""
-    last, held = None, []
+    """Sorted (bucket, blob) rows as (blobs, whether the bucket ends with them), about _PIECE bytes of blobs at most."""
+    last, held, size = None, [], 0
     for batch in batches:
-        for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if b != last and held:
-                yield last, held
-                held = []
+        for b, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if held and (b != last or size >= _PIECE):
+                yield held, b != last
+                held, size = [], 0
             last = b
-            held.append(blob)
+            held.append(blob.as_py())
+            size += len(held[-1])
     if held:
-        yield last, held
+        yield held, True
 
 
 _KEYS = [np.uint64, np.uint64, np.int64, np.int64]
@@ -153,7 +155,7 @@ def _find(batches, buckets: int):
         doc = np.concatenate([docs[a + x[2]] for x, a, _ in got])
         place = np.concatenate([(x[3] + s) << 8 | (x[4] - 1) for x, _, s in got])
         h, c, doc, place, same = _first_of(h, c, doc, place)
-        part = (_vec.mix(np.where(same, doc.astype(_U), h)) % _U(buckets)).astype(np.int64)
+        part = (_vec.mix(np.where(same, doc.astype(_U), h ^ _vec.mix(c))) % _U(buckets)).astype(np.int64)
         h, c = np.where(same, _U(0), h), np.where(same, _U(0), c)
         rows, blobs = _blobs(part, [h, c, doc, place])
         yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
@@ -176,23 +178,24 @@ def _runs(batches):
             yield docs, got
 
 
-def _settle(batches, hot: int):
-    """Contexts that are copies (kind 0), or whose anchor has other contexts too (1, or 2 for very many)."""
-    for _, held in _by_bucket(batches):
-        h, c, doc, place = _unblob(held, _KEYS)
+def _classes(batches):
+    """Contexts that are copies of an earlier one (kind 0), and the earliest of each class (1). A task holds only these."""
+    firsts = [np.zeros(0, k) for k in _KEYS]
+    for held, done in _by_bucket(batches):
+        h, c, doc, place = (np.concatenate(x) for x in zip(firsts, _unblob(held, _KEYS), strict=True))
         known = h == 0
         old_doc, old_place = doc[known], place[known]
-        h, c, doc, place, same = _first_of(h[~known], c[~known], doc[~known], place[~known])
-        edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-        kinds = np.add.reduceat((~same).astype(np.int64), edge) if len(edge) else edge
-        many = np.repeat(kinds, np.diff(np.append(edge, len(h))))
-        rep = ~same & (many > 1)
-        kind = np.where(same, 0, np.where(many > hot, 2, 1))
-        out = same | rep
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([old_doc, doc[out]])), pa.array(np.concatenate([old_place, place[out]])), pa.array(np.concatenate([np.zeros(len(old_doc), np.int64), kind[out]]).astype(np.int32)), pa.array(np.concatenate([np.zeros(len(old_doc), _U), h[out]]).view(np.int64))],
-            names=["doc", "place", "kind", "anchor"],
-        )
+        *cols, same = _first_of(h[~known], c[~known], doc[~known], place[~known])
+        firsts = [x[~same] for x in cols]
+        yield _kinds(np.concatenate([old_doc, cols[2][same]]), np.concatenate([old_place, cols[3][same]]), 0)
+        if done:
+            yield _kinds(firsts[2], firsts[3], 1, firsts[0])
+            firsts = [x[:0] for x in firsts]
+
+
+def _kinds(doc, place, kind: int, anchor=None) -> pa.RecordBatch:
+    anchor = np.zeros(len(doc), np.int64) if anchor is None else anchor.view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(place), pa.array(np.full(len(doc), kind, np.int32)), pa.array(anchor)], names=["doc", "place", "kind", "anchor"])
 
 
 def _pack(batches):
@@ -359,9 +362,13 @@ def merged_intervals(data: np.ndarray, size: np.ndarray, depth: int = LENGTH //
 
 
 def _merge(batches):
-    """Starts that also start earlier, as (text, first start << 8 | starts - 1)."""
-    for _, held in _by_bucket(batches):
-        cols, parts, best, copies = [], [], {}, []
+    """Starts that also start earlier, as (text, first start << 8 | starts - 1).
+
+    Later copies of strings dealt out by themselves are passed on as they come.
+    """
+    cols, parts, best = [], [], {}
+    for held, done in _by_bucket(batches):
+        copies = []
         for blob in held:
             raw = zstandard.decompress(blob)
             k = int(np.frombuffer(raw, np.int64, 1)[0])
@@ -377,12 +384,14 @@ def _merge(batches):
         if copies:
             old = np.array(copies, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(old[:, 0]), pa.array(old[:, 1] << 8)], names=["doc", "place"])
+        if not done:
+            continue
         # of strings dealt out by themselves the merge gets the earliest only
         cols.append(np.array([(d, i, 1) for d, i in best.values()], np.int64).reshape(-1, 3).T)
         parts.append(np.frombuffer(b"".join(best), np.uint8))
         doc, first, count = np.concatenate(cols, axis=1)
         data = np.concatenate(parts)
-        del cols, parts, best, copies
+        cols, parts, best = [], [], {}
         if not len(doc):
             continue
         # in the order of texts and starts, repeated rows once, so that a place in data tells which starts earlier
@@ -446,7 +455,9 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", ho
 
     A null text is empty; a text shorter than LENGTH loses nothing; repeated rows (same key and text) count as one
     text and get the same result; rows with a null key lose nothing. Keys are whole numbers. A group of copies costs
-    each task one context an anchor: the others are known as copies before the shuffle.
+    each task one context an anchor: the others are known as copies before the shuffle. Contexts are dealt out by anchor
+    and hash, so an anchor that a third of all texts have in ever different surroundings lies in all tasks. From hot
+    contexts on its strings, too, are dealt out one by one, to bound what a task merges.
     """
     session = docs.sparkSession
     named = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("t"))
@@ -456,15 +467,20 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", ho
     buckets = max(2 * n, math.ceil(total / (LENGTH - GRAM + 2) * 2 / BUCKET))
     found = named.filter("doc is not null").mapInArrow(lambda b: _find(b, buckets), "bucket long, blob binary")
     found = found.repartition(n, "bucket").sortWithinPartitions("bucket")
-    settled = written(found.mapInArrow(lambda b: _settle(b, hot), "doc long, place long, kind int, anchor long"), "contexts")
-    left = settled.filter("kind > 0").agg(F.sum(F.col("place").bitwiseAND(F.lit(255)) + LENGTH)).first()[0] or 0
+    contexts = written(found.mapInArrow(_classes, "doc long, place long, kind int, anchor long"), "contexts")
+    firsts = contexts.filter("kind = 1").select("doc", "place", "anchor")
+    # an anchor with one context repeats nothing else
+    anchors = written(firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "anchors")
+    kind = F.when(F.col("n") > hot, 2).otherwise(1)
+    open_ = written(looked_up(firsts, anchors, ["anchor"]).select("doc", "place", kind.alias("kind"), "anchor"), "open")
+    left = open_.agg(F.sum(F.col("place").bitwiseAND(F.lit(255)) + LENGTH)).first()[0] or 0
     merged = max(2 * n, math.ceil(left / MERGED))
-    open_ = settled.filter("kind > 0").groupBy("doc").agg(F.collect_list(F.struct("place", "kind", "anchor")).alias("places"))
+    open_ = open_.groupBy("doc").agg(F.collect_list(F.struct("place", "kind", "anchor")).alias("places"))
     texts = named.mapInArrow(_pack, "doc long, packed binary")
     strings = texts.join(open_, "doc").select("doc", "packed", "places").mapInArrow(lambda b: _bytes_of(b, merged), "bucket long, blob binary")
     strings = strings.repartition(n, "bucket").sortWithinPartitions("bucket")
     later = strings.mapInArrow(_merge, "doc long, place long")
-    gone = settled.filter("kind = 0").select("doc", "place").unionByName(later).groupBy("doc").agg(F.collect_list("place").alias("places"))
+    gone = contexts.filter("kind = 0").select("doc", "place").unionByName(later).groupBy("doc").agg(F.collect_list("place").alias("places"))
     out = texts.join(gone, "doc", "left").select("doc", "packed", "places").mapInArrow(_apply, "doc long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.withColumnRenamed("doc", key)
 

@@ -57,6 +57,18 @@ def test_hot_anchor(spark):
     assert _got(spark, rows, hot=2) == brute(rows)
 
 
+def test_one_class_of_very_many_rows(monkeypatch):
+    """A class in more rows than are held at once: all but its earliest place are copies, wherever that row comes."""
+    monkeypatch.setattr(substrings, "_PIECE", 1)
+    n = 300
+    doc = np.random.default_rng(3).permutation(n)
+    cols = [np.full(n, 7, np.uint64), np.full(n, 9, np.uint64), doc, np.full(n, 5 << 8)]
+    blobs = [substrings._blobs(np.zeros(4, np.int64), [c[a : a + 4] for c in cols])[1][0] for a in range(0, n, 4)]
+    rows = [r for b in substrings._classes([pa.RecordBatch.from_arrays([pa.array([0] * len(blobs)), pa.array(blobs)], names=["bucket", "blob"])]) for r in b.to_pylist()]
+    assert [(r["doc"], r["anchor"]) for r in rows if r["kind"] == 1] == [(0, 7)]
+    assert sorted(r["doc"] for r in rows if r["kind"] == 0) == list(range(1, n))
+
+
 def test_hot_copies_do_not_reach_the_merge(monkeypatch):
     """A passage in many surroundings: the merge gets each string once, and all but the earliest go."""
     rnd = random.Random(7)
