@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import classify, decontaminate, lines, quality, queries, sharding, urls
+from millrace.llm import _work, classify, decontaminate, lines, quality, queries, sharding, urls
 
 DATA = "/root/testdata/sf0.001"
 
@@ -159,7 +159,7 @@ def test_line_runs_of_hot_keys(spark, monkeypatch):
     """With few keys taken as hot, the rest meets by the shuffle: same result."""
     rows = [(i, "\n".join(["header " * 30, f"line {i % 3} " * 20, "footer " * 30, f"own {i}"])) for i in range(40)]
     want = sorted(map(tuple, lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
-    monkeypatch.setattr(lines, "HOT", 3)
+    monkeypatch.setattr(_work, "HOT", 3)
     assert sorted(map(tuple, lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == want
     _check_runs(spark, rows)
 
