@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classify, decontaminate, lines, minhash, pieces, pii, quality, sharding, substrings, urls
+from . import classify, clusters, decontaminate, lines, minhash, pieces, pii, quality, sharding, substrings, urls, whitening
 from ._work import hex_sha, table, written
 
 
@@ -81,7 +83,19 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed_lines", "n_runs", hex_sha(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("kept_sha256"))
 
 
-QUERIES = {"op1_substrings": op1_substrings, "op2_pii": op2_pii, "op3_sharding": op3_sharding, "op4_quality": op4_quality, "op5_decontaminate": op5_decontaminate, "op6_minhash": op6_minhash, "op7_pieces": op7_pieces, "op8_classifier": op8_classifier, "op9_urls": op9_urls, "op10_lines": op10_lines, "quality_ablations": quality_ablations}
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster, distances and inertias of every kept vector, and its final centroid's hash; see clusters.cluster()."""
+    out, centroids = clusters.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    names = [F.lit(hashlib.sha256(",".join(map(str, c)).encode()).hexdigest()) for c in centroids] or [F.lit(None).cast("string")]
+    return out.withColumn("centroid_sha256", F.get(F.array(*names), F.col("cluster")))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four whitened components of every kept vector; see whitening.whiten()."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=4)
+
+
+QUERIES = {"op1_substrings": op1_substrings, "op2_pii": op2_pii, "op3_sharding": op3_sharding, "op4_quality": op4_quality, "op5_decontaminate": op5_decontaminate, "op6_minhash": op6_minhash, "op7_pieces": op7_pieces, "op8_classifier": op8_classifier, "op9_urls": op9_urls, "op10_lines": op10_lines, "op11_clusters": op11_clusters, "op13_whitening": op13_whitening, "quality_ablations": quality_ablations}
 
 
 def _op9_sql() -> str:
@@ -170,6 +184,36 @@ SELECT d.doc_id, coalesce(k.n, 0)::BIGINT AS n_lines, coalesce(k.n_gone, 0)::BIG
   sha256(coalesce(k.t, '')) AS kept_sha256
 FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id LEFT JOIN runs r ON r.doc_id = d.doc_id"""
 
+
+
+def _op11_sql(dim: int = 64, k: int = 16, rounds: int = 3, factor: int = 64) -> str:
+    """Each round's centroids are rows (cluster, c) of lists; all sums are whole numbers."""
+    far = "list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+    steps = [f"""
+v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda e: floor({factor} * e::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, x) - 1 AS cluster, x FROM v QUALIFY cluster < {k})"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+a{i} AS MATERIALIZED (
+  SELECT vec_id, x, cluster, d FROM (SELECT v.vec_id, v.x, c.cluster, {far} AS d, row_number() OVER (PARTITION BY v.rowid ORDER BY {far}, c.cluster) AS n
+    FROM (SELECT *, row_number() OVER () AS rowid FROM v) v, c{i} c) WHERE n = 1)""")
+        if i < rounds:
+            steps.append(f"""
+c{i + 1} AS MATERIALIZED (
+  SELECT c.cluster, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN (
+    SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY p) AS x FROM (
+      SELECT cluster, p, sum(e)::HUGEINT AS s, count(*) AS n FROM (SELECT cluster, unnest(x) AS e, generate_subscripts(x, 1) AS p FROM a{i}) GROUP BY ALL)
+    GROUP BY 1) m ON m.cluster = c.cluster)""")
+    return f"""
+WITH {",".join(steps)},
+i AS (SELECT cluster, sum(d) AS s FROM a{rounds} GROUP BY 1)
+SELECT a.vec_id, a.cluster::INT AS cluster, a.d AS distance, i.s::BIGINT AS cluster_inertia, (SELECT sum(s) FROM i)::BIGINT AS inertia,
+  sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN i ON i.cluster = a.cluster JOIN c{rounds} c ON c.cluster = a.cluster"""
+
+
 _BITS = ", ".join(f"('{name}', {1 << i})" for i, name in enumerate(quality.RULES))
 _ABLATIONS_SQL = f"""
 WITH book AS ({_OP4_SQL})
@@ -177,4 +221,4 @@ SELECT rule, count(*) FILTER (WHERE failed_bits & bit <> 0) AS n_fail, count(*)
   count(*) FILTER (WHERE failed_bits & ({(1 << len(quality.RULES)) - 1} - bit) = 0) AS n_kept_without
 FROM book, (VALUES {_BITS}) AS r(rule, bit) GROUP BY rule"""
 
-ORACLE_SQL = {"quality_ablations": _ABLATIONS_SQL, "op5_decontaminate": _OP5_SQL, "op10_lines": _OP10_SQL, "op4_quality": _OP4_SQL, "op9_urls": _op9_sql()}
+ORACLE_SQL = {"op11_clusters": _op11_sql(), "quality_ablations": _ABLATIONS_SQL, "op5_decontaminate": _OP5_SQL, "op10_lines": _OP10_SQL, "op4_quality": _OP4_SQL, "op9_urls": _op9_sql()}
