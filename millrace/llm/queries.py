@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classify, clusters, decontaminate, lines, minhash, pieces, pii, quality, sharding, substrings, urls, whitening
+from . import classify, clusters, decontaminate, lines, minhash, pieces, pii, quality, secrets, sharding, substrings, urls, whitening
 from ._work import hex_sha, table, written
 
 
@@ -90,12 +90,19 @@ def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("centroid_sha256", F.get(F.array(*names), F.col("cluster")))
 
 
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans by kind and all spans of every document; see secrets.detect()."""
+    out = secrets.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [secrets.count_of("base", k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return out.select("doc_id", *counts, hex_sha(secrets.joined(F.col("base"))).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first four whitened components of every kept vector; see whitening.whiten()."""
     return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=4)
 
 
-QUERIES = {"op1_substrings": op1_substrings, "op2_pii": op2_pii, "op3_sharding": op3_sharding, "op4_quality": op4_quality, "op5_decontaminate": op5_decontaminate, "op6_minhash": op6_minhash, "op7_pieces": op7_pieces, "op8_classifier": op8_classifier, "op9_urls": op9_urls, "op10_lines": op10_lines, "op11_clusters": op11_clusters, "op13_whitening": op13_whitening, "quality_ablations": quality_ablations}
+QUERIES = {"op1_substrings": op1_substrings, "op2_pii": op2_pii, "op3_sharding": op3_sharding, "op4_quality": op4_quality, "op5_decontaminate": op5_decontaminate, "op6_minhash": op6_minhash, "op7_pieces": op7_pieces, "op8_classifier": op8_classifier, "op9_urls": op9_urls, "op10_lines": op10_lines, "op11_clusters": op11_clusters, "op12_secrets": op12_secrets, "op13_whitening": op13_whitening, "quality_ablations": quality_ablations}
 
 
 def _op9_sql() -> str:
