@@ -37,13 +37,13 @@ def ascii_tokens(text: Column) -> Column:
 
 
 # Accented letters and what they are without accents.
-_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿāăąćčďđēėęěğīįłńňōőŕřśšťūůűźżžșț"
-_PLAIN = "aaaaaaceeeeiiiinoooooouuuuyyaaaccddeeeegiilnnoorrsstuuuzzzst"
+ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿāăąćčďđēėęěğīįłńňōőŕřśšťūůűźżžșț"
+PLAIN = "aaaaaaceeeeiiiinoooooouuuuyyaaaccddeeeegiilnnoorrsstuuuzzzst"
 
 
 def index_tokens(text: Column) -> Column:
     """Tokens of the index: lower case, runs of Unicode letters and digits, without accents; not stemmed yet."""
-    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), _ACCENTED, _PLAIN)
+    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), ACCENTED, PLAIN)
     return F.regexp_extract_all(plain, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 

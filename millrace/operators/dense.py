@@ -1,4 +1,4 @@
-"""Exact nearest neighbours, embedders, and reuse of embeddings of unchanged texts."""
+"""Nearest neighbours, embedders, and reuse of embeddings of unchanged texts."""
 
 from __future__ import annotations
 
@@ -7,75 +7,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import RETRIEVED
-from .lexical import best
-
-#: Bytes of query vectors that are sent to the tasks at once; more queries are searched in blocks of so many.
-BLOCK_BYTES = 32 << 20
-
-
-def knn(vectors: DataFrame, queries: DataFrame, k: int = RETRIEVED, item: str = "vec_id", query: str = "query_id", column: str = "embedding", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(query_id, chunk_id, distance, score, rank): the k nearest rows of each query by L2, ties by id; score is 1/(1+d).
-
-    Queries go to the tasks in blocks of block_bytes at most, whatever their number. A task compares a batch of vectors
-    with a block by one matrix product and keeps k rows a query, which then meet in a window that keeps k a task before
-    its shuffle. Near rows are measured again by differences, so distances are exact. Null vectors and those of
-    another length than a query's are never near.
-    """
-    spark = vectors.sparkSession
-    asked = queries.select(F.col(query).cast("long").alias("q"), F.col(column).cast("array<double>").alias("v")).filter("v is not null and size(v) > 0")
-    size = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
-    rows = vectors.select(F.col(item).cast("long").alias("i"), F.col(column).cast("array<double>").alias("v")).filter("v is not null and size(v) > 0")
-    blocks = max(1, -(-(size.n * (size.d or 1) * 8) // block_bytes))
-    found = None
-    for b in range(blocks):
-        own = asked.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).collect()
-        shared = spark.sparkContext.broadcast((np.array([r.q for r in own], np.int64), [np.array(r.v) for r in own]))
-        part = rows.mapInArrow(_nearest(shared, k), "query_id long, chunk_id long, distance double")
-        found = part if found is None else found.unionByName(part)
-    found = found.withColumn("score", 1 / (1 + F.col("distance")))
-    return best(found.withColumn("near", -F.col("distance")), k, score="near").drop("near")
-
-
-def _nearest(shared, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vecs = shared.value
-        by_dim: dict[int, list[int]] = {}
-        for j, v in enumerate(vecs):
-            by_dim.setdefault(len(v), []).append(j)
-        for batch in batches:
-            items = batch.column(0).to_numpy()
-            lists = batch.column(1)
-            dims = np.diff(lists.offsets.to_numpy())
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            first = np.cumsum(dims) - dims
-            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for d, js in by_dim.items():
-                at = np.flatnonzero(dims == d)
-                if not len(at):
-                    continue
-                m = flat[first[at][:, None] + np.arange(d)]
-                size = (m * m).sum(1)
-                keep = min(k, len(at))
-                for s in range(0, len(js), 256):
-                    block = js[s : s + 256]
-                    q = np.stack([vecs[j] for j in block])
-                    far = size[None] - 2 * q @ m.T
-                    # a little more than the k-th distance, so that neither rounding nor ties lose a row; exact distances decide
-                    edge = np.partition(far, keep - 1, axis=1)[:, keep - 1] + 1e-9 * (size.max() + (q * q).sum(1) + 1)
-                    for row, j in enumerate(block):
-                        near = np.flatnonzero(far[row] <= edge[row])
-                        exact = np.sqrt(((m[near] - q[row]) ** 2).sum(1))
-                        order = np.lexsort((items[at[near]], exact))[:keep]
-                        out.append((np.full(len(order), ids[j]), items[at[near[order]]], exact[order]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in range(3)], names=["query_id", "chunk_id", "distance"])
-
-    return run
+from . import vectors as index
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int = RETRIEVED, item: str = "vec_id", query: str = "query_id", column: str = "embedding") -> DataFrame:
+    """(query_id, chunk_id, distance, score, rank): see vectors.nearest(), over an index that is made for this batch."""
+    return index.nearest(index.build(vectors, item, column), queries, k, query, column)
 
 
 @dataclass(frozen=True)
@@ -150,8 +90,3 @@ def refresh(chunks: DataFrame, before: DataFrame | None, embedder: Embedder, tex
     old = rows.filter("embedding is not null").select(key, "hash", "embedding", F.lit(True).alias("reused"))
     new = embed(rows.filter("embedding is null").drop("embedding"), text, embedder).select(key, "hash", "embedding", F.lit(False).alias("reused"))
     return old.unionByName(new)
-
-
-def quantised(vector) -> F.Column:
-    """int8 numbers of a vector of length 1."""
-    return F.transform(vector, lambda x: F.round(F.greatest(F.least(x, F.lit(1.0)), F.lit(-1.0)) * 127).cast("tinyint"))

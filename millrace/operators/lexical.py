@@ -1,4 +1,9 @@
-"""An inverted index as tables, and BM25 over it for whole batches of queries."""
+"""An inverted index in blocks, and BM25 over it for whole batches of queries.
+
+A term's postings are cut into blocks of about BLOCK rows by the hash of chunk_id, each with the most that one of its rows
+can score. Ranked queries first find a score that k rows are sure to reach, then look only at terms and rows that can
+still reach it; conjunctions and phrases start from their rarest member and look the others up where it is.
+"""
 
 from __future__ import annotations
 
@@ -9,9 +14,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.lexicon import B, FIELD_WEIGHTS, IDF_FLOOR, K1, RETRIEVED, Lexicon
-from ..functions.settle import settled, spread
+from ..functions.settle import looked_up, settled, spread
 from ..functions.text import index_tokens, porter_stem
 
+#: Rows that a block has on average. A block is found by the leading bits of its rows' hash of HASH_BITS.
+BLOCK, HASH_BITS = 64, 30
+#: A ranked query's first rows come from its rarest terms, while these have at most so many postings for each result.
+FIRST_POSTINGS = 50
+#: So many of the first rows for each result are scored in full.
+FIRST_ROWS = 4
+#: Terms that together can't add these shares of the sure score are put off to a second and a third look.
+SECOND_LOOK, THIRD_LOOK = 0.5, 0.1
+#: Scores that differ by less count as equal until the last cut, so that rounded scores may be ranked.
+SLACK = 1e-6
+
 
 def best(df: DataFrame, k: int, score: str = "score", query: str = "query_id", item: str = "chunk_id") -> DataFrame:
     """The k best rows of each query with their rank, ties by item. Each task keeps k a query before the shuffle."""
@@ -21,44 +37,81 @@ def best(df: DataFrame, k: int, score: str = "score", query: str = "query_id", i
 
 @dataclass(frozen=True)
 class Index:
-    """postings (term, chunk_id, tf, dl, places) and stats (n, avgdl: one row) as DataFrames."""
+    """Tables of an index.
+
+    blocks (term, block, n, top, ids, tfs, dls, and places if phrases are asked for): arrays with one entry for each
+    posting; top is the most that tf and length make of a posting's score. terms (term, df, cf, level, top): level bits
+    of a row's hash name its block. stats (n, avgdl): one row. weights: the fields' in order, for phrases.
+    """
 
-    postings: DataFrame
+    blocks: DataFrame
+    terms: DataFrame
     stats: DataFrame
     stemmed: bool
+    weights: tuple[float, ...] = ()
+
+    @property
+    def positional(self) -> bool:
+        return "places" in self.blocks.columns
 
     def write(self, folder: str) -> None:
-        """Postings are ranged and sorted by term, so a batch of queries reads only the row groups of its terms."""
-        self.postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{folder}/postings")
-        self.stats.write.mode("overwrite").parquet(f"{folder}/stats")
+        """Ranged and sorted by term, so a batch of queries reads only the row groups of its terms."""
+        self.blocks.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{folder}/blocks")
+        self.terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/terms")
+        weights = F.array(*[F.lit(float(w)) for w in self.weights]) if self.weights else F.array().cast("array<double>")
+        self.stats.withColumn("weights", weights).write.mode("overwrite").parquet(f"{folder}/stats")
 
     def settled(self) -> Index:
         """The index as it is now on shared storage, for a batch or two: made once, however often it is searched."""
-        return Index(settled(self.postings), settled(self.stats), self.stemmed)
+        return Index(settled(self.blocks), settled(self.terms), settled(self.stats), self.stemmed, self.weights)
 
     @staticmethod
     def read(spark, folder: str, stemmed: bool = True) -> Index:
-        return Index(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/stats"), stemmed)
+        stats = spark.read.parquet(f"{folder}/stats")
+        row = stats.first()  # one row
+        return Index(spark.read.parquet(f"{folder}/blocks"), spark.read.parquet(f"{folder}/terms"), stats.drop("weights"), stemmed, tuple(row.weights if row else ()))
+
+
+def _place_of(chunk_id: Column) -> Column:
+    """A row's place among all blocks: HASH_BITS bits."""
+    return F.xxhash64(chunk_id.cast("string")).bitwiseAND(F.lit((1 << HASH_BITS) - 1)).cast("int")
+
+
+def _block_of(chunk_id: Column, level: Column) -> Column:
+    return F.call_function("shiftright", _place_of(chunk_id), F.lit(HASH_BITS) - level)
 
 
 def build(chunks: DataFrame, fields: dict[str, float] = FIELD_WEIGHTS, stem: bool = True, tokens=index_tokens, places: bool = True) -> Index:
     """Index the given columns of chunks (chunk_id and texts). tf is the sum of the fields' weights over occurrences.
 
-    places has (field, at) of each occurrence, for phrases; dl, a row's number of tokens, goes with each posting, so
-    that scoring needs no join. Stems are made once for each distinct word and joined back.
+    Texts are tokenised once: each row also has one posting of the empty term, which no token is, and its length there.
+    places has (field, at) of each occurrence, for phrases. Stems are made once for each distinct word and joined back.
+    Postings and terms are settled; blocks are made from them when they are used.
     """
     own = [c for c in fields if c in chunks.columns]
     listed = spread(chunks.select("chunk_id", *own)).select("chunk_id", *[tokens(F.col(c)).alias(c) for c in own])
     listed = listed.withColumn("dl", sum((F.size(c) for c in own), F.lit(0)).cast("long"))
-    stats = listed.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
-    spots = F.concat(*[F.transform(c, _spot(f)) for f, c in enumerate(own)])
+    none = F.array(F.struct(F.lit("").alias("term"), F.lit(0).alias("field"), F.lit(0).alias("at")))
+    spots = F.concat(none, *[F.transform(c, _spot(f)) for f, c in enumerate(own)])
     rows = listed.select("chunk_id", "dl", F.explode(spots).alias("s")).select("chunk_id", "dl", "s.term", "s.field", "s.at")
     if stem:
         words = rows.select("term").distinct().withColumn("stem", porter_stem("term"))
         rows = rows.join(words, "term").select("chunk_id", "dl", F.col("stem").alias("term"), "field", "at")
     weight = F.get(F.array(*[F.lit(float(fields[c])) for c in own]), F.col("field"))
     aggs = [F.sum(weight).alias("tf")] + ([F.array_sort(F.collect_list(F.struct("field", "at"))).alias("places")] if places else [])
-    return Index(rows.groupBy("term", "chunk_id", "dl").agg(*aggs), stats, stem)
+    postings = settled(rows.groupBy("term", "chunk_id", "dl").agg(*aggs), "postings")
+    size = postings.filter("term = ''").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
+    n, avgdl = size.first()
+    stats = chunks.sparkSession.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(float(avgdl)).alias("avgdl"))
+    postings = postings.filter("term <> ''").withColumn("impact", impact(F.col("tf"), F.col("dl"), F.lit(float(avgdl))))
+    many = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.max("impact").alias("top"))
+    level = F.least(F.greatest(F.ceil(F.log2(F.col("df") / BLOCK)), F.lit(0)), F.lit(HASH_BITS)).cast("int")
+    terms = settled(many.withColumn("level", level), "terms")
+    kept = ["chunk_id", "tf", "dl", *(["places"] if places else [])]
+    dealt = looked_up(postings, terms.select("term", "df", "level"), ["term"], n="df").withColumn("block", _block_of(F.col("chunk_id"), F.col("level")))
+    blocks = dealt.groupBy("term", "block").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("impact").alias("top"), F.array_sort(F.collect_list(F.struct(*kept))).alias("r"))
+    named = [F.col("r.chunk_id").alias("ids"), F.col("r.tf").alias("tfs"), F.col("r.dl").alias("dls"), *([F.col("r.places").alias("places")] if places else [])]
+    return Index(blocks.select("term", "block", "n", "top", *named), terms, stats, stem, tuple(float(fields[c]) for c in own))
 
 
 def _spot(field: int):
@@ -69,44 +122,193 @@ def idf(n: Column, df: Column) -> Column:
     return F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(IDF_FLOOR))
 
 
-def part_score(tf: Column, df: Column, dl: Column, n: Column, avgdl: Column) -> Column:
-    """What one term adds to a row's score."""
-    norm = F.lit(1 - B) + F.lit(B) * dl / avgdl
-    return idf(n, df) * tf * (K1 + 1) / (tf + K1 * norm)
+def impact(tf: Column, dl: Column, avgdl: Column) -> Column:
+    """A term's part of a row's score but for idf."""
+    return tf * (K1 + 1) / (tf + K1 * (F.lit(1 - B) + F.lit(B) * dl / avgdl))
 
 
-def bm25(index: Index, queries: DataFrame, k: int | None = RETRIEVED) -> DataFrame:
-    """(query_id, chunk_id, score, rank): the k best rows of each query of (query_id, groups array<array<string>>).
+def _words(index: Index, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(asked (query_id, n_groups, g, said), words (said, n_words, i, term) of each distinct said)."""
+    asked = queries.select("query_id", F.size("groups").alias("n_groups"), F.posexplode("groups").alias("g", "group"))
+    asked = asked.select("query_id", "n_groups", "g", F.explode("group").alias("said"))
+    words = asked.select("said").distinct().withColumn("words", index_tokens(F.col("said"))).select("said", F.size("words").alias("n_words"), F.posexplode("words").alias("i", "term"))
+    return asked, words.withColumn("term", porter_stem("term")) if index.stemmed else words
+
+
+def bm25(index: Index, queries: DataFrame, k: int | None = RETRIEVED, digits: int | None = None) -> DataFrame:
+    """(query_id, chunk_id, score, rank): the k best rows of each query of (query_id, groups array<array<string>>); all
+    rows, without a rank, if k is None. With digits, scores are rounded before they are ranked.
 
     A query is a conjunction of groups; a group matches by any of its terms. A term of several words is a phrase: its
     words must follow one another in one field. Without groups, or with one that has no word, a query finds nothing.
-    Each distinct term is looked up and scored once for the batch; scores meet per (query, row), so a term that a
-    third of all rows have is spread like any other.
+    Each distinct term is looked up once for the batch; scores meet per (query, row), so a term that a third of all rows
+    have is spread like any other.
     """
-    asked = queries.select("query_id", F.size("groups").alias("n_groups"), F.posexplode("groups").alias("g", "group"))
-    asked = asked.select("query_id", "n_groups", "g", F.explode("group").alias("said"))
-    words = asked.select("said").distinct().withColumn("words", index_tokens(F.col("said"))).select("said", F.size("words").alias("n_words"), F.posexplode("words").alias("i", "term"))
-    if index.stemmed:
-        words = words.withColumn("term", porter_stem("term"))
-    found = index.postings.join(words.filter("n_words = 1").select("said", "term"), "term").select("said", "chunk_id", "dl", "tf")
-    if "places" in index.postings.columns:
-        found = found.unionByName(_phrases(index, words.filter("n_words > 1")))
-    df = found.groupBy("said").agg(F.count(F.lit(1)).alias("df"))
-    rows = found.join(df, "said").crossJoin(F.broadcast(index.stats))  # stats is one row
-    part = part_score(F.col("tf"), F.col("df"), F.col("dl"), F.col("n"), F.col("avgdl"))
-    parts = rows.select("said", "chunk_id", part.alias("part")).join(asked, "said")
+    asked, words = _words(index, queries)
+    asked, words = settled(asked, "asked"), settled(words, "words")
+    if k is not None and words.filter("n_words > 1").isEmpty() and asked.filter("n_groups > 1").isEmpty():
+        scored = ranked_any(index, asked.join(words, "said").groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times")), k)
+    else:
+        scored = _every(index, asked, words)
+    if digits is not None:
+        scored = scored.withColumn("score", F.round("score", digits))
+    return scored if k is None else best(scored, k)
+
+
+def _valued(index: Index, terms: DataFrame) -> DataFrame:
+    """Rows with a term, with what the index says of it; terms that it doesn't have go. stats is one row."""
+    return terms.join(index.terms, "term").crossJoin(F.broadcast(index.stats)).withColumn("idf", idf(F.col("n"), F.col("df"))).drop("n")
+
+
+_POSTING = ("chunk_id", "tf", "dl")
+
+
+def _postings(index: Index, terms: DataFrame) -> DataFrame:
+    """Rows with a term, once for each of its postings."""
+    rows = index.blocks.select("term", "ids", "tfs", "dls").join(terms, "term").withColumn("p", F.explode(F.arrays_zip("ids", "tfs", "dls"))).drop("ids", "tfs", "dls")
+    return rows.select("*", F.col("p.ids").alias("chunk_id"), F.col("p.tfs").alias("tf"), F.col("p.dls").alias("dl")).drop("p")
+
+
+def _probed(index: Index, wanted: DataFrame, places: bool = False) -> DataFrame:
+    """Rows (term, level, chunk_id, ...) with the posting that the term has there; rows without one go.
+
+    Only blocks that a row may be in are met.
+    """
+    rows = wanted.withColumn("block", _block_of(F.col("chunk_id"), F.col("level")))
+    arrays = ["ids", "tfs", "dls", *(["places"] if places else [])]
+    met = rows.join(index.blocks.select("term", "block", *arrays), ["term", "block"]).withColumn("at", F.array_position("ids", F.col("chunk_id")).cast("int") - 1)
+    found = met.filter("at >= 0").withColumn("tf", F.get("tfs", F.col("at"))).withColumn("dl", F.get("dls", F.col("at")))
+    if places:
+        found = found.withColumn("spots", F.get("places", F.col("at")))
+    return found.drop("at", "block", *arrays)
+
+
+def _part() -> Column:
+    return F.col("idf") * F.col("times") * impact(F.col("tf"), F.col("dl"), F.col("avgdl"))
+
+
+def _kth(scores: DataFrame, k: int) -> DataFrame:
+    """(query_id, sure): the k-th best score of each query, 0 where there are fewer."""
+    top = best(scores, k)
+    return top.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(F.lit(0.0)).alias("sure"))
+
+
+def _summed(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("query_id", "chunk_id").agg(F.sum("score").alias("score"))
+
+
+def ranked_any(index: Index, terms: DataFrame, k: int, read: dict | None = None) -> DataFrame:
+    """(query_id, chunk_id, score) with the k best rows of each query at least, of queries (query_id, term, times).
+
+    1. The rarest terms' postings, while they are few, give partial scores; the best rows of these are scored in full, and
+       the k-th of them is a score that the result's last row is sure to have.
+    2. Terms that even together can't reach half of it are put off. All postings of the others are read, and rows stay
+       that can reach the sure score with what is put off. The k-th best partial score may raise it.
+    3. Of these rows the larger of the terms put off are looked up, block by block, and rows are ruled out again.
+    4. What is left is scored in full.
+    Nothing is estimated: a row is left out only if its score is below k others'. read, if given, gets the tables of what
+    was looked at, for postings_read.
+    """
+    own = _valued(index, terms).withColumn("most", F.col("idf") * F.col("times") * F.col("top"))
+    rare = W.partitionBy("query_id").orderBy("df", "term").rowsBetween(W.unboundedPreceding, 0)
+    small = W.partitionBy("query_id").orderBy("most", "term").rowsBetween(W.unboundedPreceding, 0)
+    own = own.withColumn("upto", F.sum("df").over(rare)).withColumn("less", F.sum("most").over(small))
+    own = settled(own.withColumn("first", (F.col("upto") == F.col("df")) | (F.col("upto") <= FIRST_POSTINGS * k)), "terms-asked")
+    first = settled(_summed(_postings(index, own.filter("first")).select("query_id", "chunk_id", _part().alias("score"))), "first")
+    seeds = settled(best(first, FIRST_ROWS * k).select("query_id", "chunk_id", "score"), "seeds")
+    rest = own.filter("not first")
+    full = _probed(index, seeds.drop("score").join(rest, "query_id")).select("query_id", "chunk_id", _part().alias("score"))
+    sure = _kth(_summed(seeds.unionByName(full)), k)
+    look = settled(own.join(sure, "query_id").withColumn("look", F.when(F.col("first"), 0).when(F.col("less") >= F.col("sure") * SECOND_LOOK, 1).when(F.col("less") >= F.col("sure") * THIRD_LOOK, 2).otherwise(3)), "looks")
+    if read is not None:
+        read |= {"own": own, "seeds": seeds, "look": look}
+    most = look.groupBy("query_id", "sure").agg(*[F.sum(F.when(F.col("look") > i, F.col("most")).otherwise(0.0)).alias(f"after_{i}") for i in (1, 2)])
+    rows = _summed(first.unionByName(_postings(index, look.filter("look = 1")).select("query_id", "chunk_id", _part().alias("score"))))
+    for i in (1, 2):
+        able = F.col("score") + F.col(f"after_{i}") + SLACK
+        rows = settled(rows.join(most, "query_id").filter(able >= F.col("sure")).select("query_id", "chunk_id", "score", f"after_{i}"), "candidates")
+        rows = rows.join(_kth(rows, k), "query_id").filter(able >= F.col("sure")).select("query_id", "chunk_id", "score")
+        if read is not None:
+            read[f"rows_{i}"] = rows
+        more = _probed(index, rows.drop("score").join(look.filter(F.col("look") == i + 1), "query_id")).select("query_id", "chunk_id", _part().alias("score"))
+        rows = _summed(rows.unionByName(more))
+    return rows
+
+
+def postings_read(index: Index, read: dict) -> DataFrame:
+    """(query_id, n_all, n_read): how many postings a query's terms have, and in how many of them it was looked.
+
+    A list that is read counts whole, a row that is looked up counts one for each term asked of it.
+    """
+    own, look = read["own"], read["look"]
+    n_all = own.groupBy("query_id").agg(F.sum("df").alias("n_all"), F.sum(F.when(F.col("first"), F.col("df")).otherwise(0)).alias("n_first"), F.count_if(~F.col("first")).alias("n_rest"))
+    n_look = look.groupBy("query_id").agg(F.sum(F.when(F.col("look") == 1, F.col("df")).otherwise(0)).alias("n_1"), F.count_if(F.col("look") == 2).alias("n_2"), F.count_if(F.col("look") == 3).alias("n_3"))
+    rows = n_all.join(n_look, "query_id")
+    for name in ("seeds", "rows_1", "rows_2"):
+        rows = rows.join(read[name].groupBy("query_id").agg(F.count(F.lit(1)).alias(name)), "query_id", "left")
+    looked = F.coalesce("seeds", F.lit(0)) * F.col("n_rest") + F.coalesce("rows_1", F.lit(0)) * F.col("n_2") + F.coalesce("rows_2", F.lit(0)) * F.col("n_3")
+    return rows.select("query_id", "n_all", (F.col("n_first") + F.col("n_1") + looked).alias("n_read"))
+
+
+def _every(index: Index, asked: DataFrame, words: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, score) of all rows that every group of a query matches.
+
+    The group with the fewest postings leads; the others are looked up in its rows only.
+    """
+    single = words.filter("n_words = 1").select("said", "term")
+    known = _valued(index, single).select("said", "term", "df", "level", "idf", "avgdl")
+    phrases = None
+    if index.positional and not words.filter("n_words > 1").isEmpty():
+        phrases = settled(phrase_postings(index, words.filter("n_words > 1")), "phrases")
+        of_phrase = phrases.groupBy("said").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(index.stats))
+        of_phrase = of_phrase.select("said", F.lit(None).cast("string").alias("term"), "df", F.lit(0).alias("level"), idf(F.col("n"), F.col("df")).alias("idf"), "avgdl")
+        known = known.unionByName(of_phrase)
+    rows = asked.join(known, "said").withColumn("times", F.lit(1))
+    groups = rows.groupBy("query_id", "n_groups", "g").agg(F.sum("df").alias("size"))
+    leads = groups.groupBy("query_id", "n_groups").agg(F.count(F.lit(1)).alias("have"), F.min_by("g", F.struct("size", "g")).alias("lead")).filter("have = n_groups").select("query_id", "lead")
+    rows = settled(rows.join(leads, "query_id").withColumn("leads", F.col("g") == F.col("lead")), "groups-asked")
+
+    def parts(df: DataFrame) -> DataFrame:
+        return df.select("query_id", "n_groups", "chunk_id", "g", _part().alias("part"))
+
+    lead = _postings(index, rows.filter("leads and term is not null"))
+    if phrases is not None:
+        lead = lead.unionByName(rows.filter("leads and term is null").join(phrases, "said"), allowMissingColumns=True)
+    led = settled(parts(lead), "led")
+    wanted = led.select("query_id", "chunk_id").distinct().join(rows.filter("not leads"), "query_id")
+    more = parts(_probed(index, wanted.filter("term is not null")))
+    if phrases is not None:
+        more = more.unionByName(parts(wanted.filter("term is null").join(phrases, ["said", "chunk_id"])))
     # Dealt out by what both sums have in common, so that one shuffle serves them; a distinct count would take two.
-    by_group = parts.repartition("query_id", "chunk_id").groupBy("query_id", "chunk_id", "n_groups", "g").agg(F.sum("part").alias("part"))
+    by_group = led.unionByName(more).repartition("query_id", "chunk_id").groupBy("query_id", "chunk_id", "n_groups", "g").agg(F.sum("part").alias("part"))
     scored = by_group.groupBy("query_id", "chunk_id", "n_groups").agg(F.sum("part").alias("score"), F.count("g").alias("met"))
-    scored = scored.filter("met = n_groups").select("query_id", "chunk_id", "score")
-    return scored if k is None else best(scored, k)
+    return scored.filter("met = n_groups").select("query_id", "chunk_id", "score")
 
 
-def _phrases(index: Index, words: DataFrame) -> DataFrame:
-    """(said, chunk_id, dl, tf): occurrences of phrases, where all words stand at one distance from its start."""
-    spots = index.postings.join(words, "term").select("said", "n_words", "chunk_id", "dl", "i", F.explode("places").alias("p"), (F.col("tf") / F.size("places")).alias("w"))
-    starts = spots.groupBy("said", "chunk_id", "dl", "n_words", F.col("p.field").alias("field"), (F.col("p.at") - F.col("i")).alias("at")).agg(F.count_distinct("i").alias("have"), F.max("w").alias("w"))
-    return starts.filter("have = n_words").groupBy("said", "chunk_id", "dl").agg(F.sum("w").alias("tf"))
+def phrase_postings(index: Index, words: DataFrame) -> DataFrame:
+    """(said, chunk_id, tf, dl) of phrases (said, n_words, i, term): where all words stand at one distance from its start.
+
+    The rarest word's postings give the starts that are possible; the second rarest is looked up in their rows, and all
+    further words only where it fits too. tf is the sum of the weights of the fields that the phrase stands in.
+    """
+    known = words.join(index.terms.select("term", "df", "level"), "term")
+    order = W.partitionBy("said").orderBy("df", "i")
+    known = settled(known.withColumn("nth", F.row_number().over(order)).withColumn("have", F.count(F.lit(1)).over(W.partitionBy("said"))).filter("have = n_words"), "phrase-words")
+    lead = index.blocks.join(known.filter("nth = 1"), "term").select("said", "n_words", "i", F.explode(F.arrays_zip("ids", "dls", "places")).alias("p"))
+    begins = lambda spots: F.filter(F.transform(spots, lambda s: F.struct(s["field"].alias("field"), (s["at"] - F.col("i")).alias("at"))), lambda s: s["at"] >= 0)
+    rows = lead.select("said", "n_words", F.col("p.ids").alias("chunk_id"), F.col("p.dls").alias("dl"), begins(F.col("p.places")).alias("starts")).filter("size(starts) > 0")
+    for some in (F.col("nth") == 2, F.col("nth") > 2):
+        rows = settled(rows, "starts")
+        asked = rows.drop("dl", "starts").join(known.filter(some).select("said", "term", "i", "level"), "said")
+        fits = _probed(index, asked, places=True).select("said", "chunk_id", F.explode(begins(F.col("spots"))).alias("s"))
+        agreed = fits.groupBy("said", "chunk_id", "s").agg(F.count(F.lit(1)).alias("c"))
+        n = known.filter(some).groupBy("said").agg(F.count(F.lit(1)).alias("need"))
+        kept = agreed.join(n, "said").filter("c = need").groupBy("said", "chunk_id").agg(F.collect_list("s").alias("also"))
+        met = rows.join(n, "said", "left").join(kept, ["said", "chunk_id"], "left")
+        starts = F.when(F.col("need").isNull(), F.col("starts")).otherwise(F.array_intersect("starts", F.coalesce("also", F.array().cast("array<struct<field:int,at:int>>"))))
+        rows = met.withColumn("starts", starts).filter("size(starts) > 0").select("said", "n_words", "chunk_id", "dl", "starts")
+    weights = F.array(*[F.lit(w) for w in index.weights])
+    return rows.select("said", "chunk_id", "dl", F.aggregate("starts", F.lit(0.0), lambda a, s: a + F.get(weights, s["field"])).alias("tf"))
 
 
 def any_of(tokens: Column) -> Column:

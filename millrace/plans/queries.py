@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions import lexicon as L
 from ..functions import text as T
-from ..operators import assemble, dense, evaluate, fusion, lexical, lint, rewrite, sections
+from ..operators import assemble, dense, evaluate, fusion, lexical, lint, rewrite, sections, vectors
 from ..operators.source_code import language_of, without_comments
 from ..sources import corpus as sources
 from ..streaming import ingest
@@ -80,10 +80,28 @@ scored AS (SELECT query_id, chunk_id, round(sum(p), 6) AS score, count(*) AS met
 ranked AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored)"""
 
 
+#: One written index for all queries over the same documents in a session, as long as their files stay as they are.
+_indexes: dict[tuple, lexical.Index] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str, kind: str) -> lexical.Index:
+    """body: words of the texts; fields: words of weighted fields; places: words with their places; stems: what search uses."""
+    key = (spark.sparkContext.applicationId, kind, sources.fingerprint(spark, f"{sf_dir}/documents.parquet"))
+    if key not in _indexes:
+        chunks = _chunks(spark, sf_dir)
+        if kind == "stems":
+            index = lexical.build(chunks)
+        elif kind == "fields":
+            index = lexical.build(chunks.select("chunk_id", "title", "category", "route", "body"), L.FIELD_WEIGHTS, stem=False, tokens=T.ascii_tokens, places=False)
+        else:
+            index = lexical.build(chunks.select("chunk_id", "body"), {"body": 1.0}, stem=False, tokens=T.index_tokens if kind == "places" else T.ascii_tokens, places=kind == "places")
+        _indexes[key] = index.settled()
+    return _indexes[key]
+
+
 def _any_bm25(spark: SparkSession, sf_dir: str, k: int = L.RETRIEVED) -> DataFrame:
-    index = lexical.build(_chunks(spark, sf_dir).select("chunk_id", "body"), {"body": 1.0}, stem=False, tokens=T.ascii_tokens, places=False).settled()
-    found = lexical.bm25(index, _items(spark, sf_dir).select("query_id", lexical.any_of(F.col("tokens")).alias("groups")), k=None)
-    return lexical.best(found.withColumn("score", F.round("score", 6)), k)
+    asked = _items(spark, sf_dir).select("query_id", lexical.any_of(F.col("tokens")).alias("groups"))
+    return lexical.bm25(_index(spark, sf_dir, "body"), asked, k, digits=6)
 
 
 @_query(f"WITH {_BM25_CTES} SELECT query_id, chunk_id, score, rank FROM ranked WHERE rank <= 30")
@@ -104,19 +122,50 @@ s AS (SELECT query_id, chunk_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.
 SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s JOIN qn USING (query_id) WHERE met = k""")
 def bm25_fields_and(spark, sf_dir):
     """Documents with all words of a benchmark item in weighted fields, ranked."""
-    chunks = _chunks(spark, sf_dir).select("chunk_id", "title", "category", "route", "body")
-    index = lexical.build(chunks, L.FIELD_WEIGHTS, stem=False, tokens=T.ascii_tokens, places=False).settled()
-    found = lexical.bm25(index, _items(spark, sf_dir).select("query_id", lexical.all_of(F.col("tokens")).alias("groups")), k=None)
+    found = lexical.bm25(_index(spark, sf_dir, "fields"), _items(spark, sf_dir).select("query_id", lexical.all_of(F.col("tokens")).alias("groups")), k=None)
     found = found.withColumn("score", F.round("score", 6))
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id")
     return found.withColumn("rank", F.row_number().over(order).cast("long"))
 
 
+_PLACED = "regexp_extract_all(translate(lower(coalesce({}, '')), '" + T.ACCENTED + "', '" + T.PLAIN + "'), '[\\p{{L}}\\p{{N}}]+')"
+
+
+@_query(f"""
+WITH d AS (SELECT doc_id, {_PLACED.format("text")} AS ws FROM documents), st AS (SELECT count(*) AS n, avg(len(ws)) AS a FROM d),
+pos AS (SELECT doc_id, unnest(ws) AS term, generate_subscripts(ws, 1) AS p FROM d),
+i AS (SELECT item_id, {_PLACED.format("text")} AS ws FROM benchmark),
+asked AS (SELECT item_id, 1 AS g, ws[1:3] AS ph FROM i WHERE len(ws) >= 6 UNION ALL SELECT item_id, 2, ws[4:4] FROM i WHERE len(ws) >= 6 UNION ALL SELECT item_id, 2, ws[5:6] FROM i WHERE len(ws) >= 6),
+said AS (SELECT DISTINCT ph FROM asked),
+hit AS (SELECT ph, a.doc_id, a.p FROM said JOIN pos a ON a.term = ph[1] LEFT JOIN pos b ON b.doc_id = a.doc_id AND b.p = a.p + 1 LEFT JOIN pos c ON c.doc_id = a.doc_id AND c.p = a.p + 2
+  WHERE (len(ph) < 2 OR b.term = ph[2]) AND (len(ph) < 3 OR c.term = ph[3])),
+tf AS (SELECT ph, doc_id, count(*) AS tf FROM hit GROUP BY ALL), df AS (SELECT ph, count(*) AS df FROM tf GROUP BY 1),
+part AS (SELECT item_id, doc_id, g, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(ws) / a))) AS s
+  FROM asked JOIN tf USING (ph) JOIN df USING (ph) JOIN d USING (doc_id), st GROUP BY ALL),
+s AS (SELECT item_id AS query_id, doc_id AS chunk_id, round(sum(s), 6) AS score FROM part GROUP BY ALL HAVING count(*) = 2)
+SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 30""")
+def bm25_phrases(spark, sf_dir):
+    """Documents with an item's first three words as a phrase, and its fourth word or the next two as a phrase."""
+    words = T.index_tokens(F.col("text"))
+    phrase = lambda a, n: F.array_join(F.slice("w", a, n), " ")
+    asked = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("w")).filter("size(w) >= 6")
+    asked = asked.select("query_id", F.array(F.array(phrase(1, 3)), F.array(phrase(4, 1), phrase(5, 2))).alias("groups"))
+    return lexical.bm25(_index(spark, sf_dir, "places"), asked, digits=6)
+
+
+@_query()
+def bm25_postings_read(spark, sf_dir):
+    """How many postings the words of each benchmark item have, and in how many of them the ranked search looks."""
+    index, read = _index(spark, sf_dir, "body"), {}
+    terms = _items(spark, sf_dir).select("query_id", F.explode("tokens").alias("term"), F.lit(1).alias("times"))
+    lexical.ranked_any(index, terms, L.RETRIEVED, read)
+    return lexical.postings_read(index, read)
+
+
 @_query(f"WITH t AS (SELECT doc_id, unnest({_WORDS.format('text')}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS n_docs, count(*) AS n_all FROM t GROUP BY 1")
 def vocabulary(spark, sf_dir):
     """Document and collection frequency of every word."""
-    index = lexical.build(_chunks(spark, sf_dir).select("chunk_id", "body"), {"body": 1.0}, stem=False, tokens=T.ascii_tokens, places=False)
-    return index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("tf").cast("long").alias("n_all"))
+    return _index(spark, sf_dir, "body").terms.select("term", F.col("df").alias("n_docs"), F.col("cf").cast("long").alias("n_all"))
 
 
 @_query()
@@ -126,16 +175,49 @@ def porter_vocabulary(spark, sf_dir):
     return words.withColumn("stem", T.porter_stem("term"))
 
 
-@_query("""
+_NEAREST = """
 SELECT query_id, chunk_id, round(d, 6) AS distance, round(1 / (1 + d), 6) AS score, rank FROM (
   SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, list_distance(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS d,
     row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), v.vec_id) AS rank
-  FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0) WHERE rank <= 30""")
+  FROM embeddings q, embeddings v{}) WHERE rank <= {}"""
+_vector_indexes: dict[tuple, vectors.VectorIndex] = {}
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> vectors.VectorIndex:
+    """The index of the given embeddings, made once a session as long as their files stay as they are."""
+    key = (spark.sparkContext.applicationId, sources.fingerprint(spark, f"{sf_dir}/embeddings.parquet"))
+    if key not in _vector_indexes:
+        _vector_indexes[key] = vectors.build(_table(spark, sf_dir, "embeddings"))
+    return _vector_indexes[key]
+
+
+def _rounded(found: DataFrame) -> DataFrame:
+    return found.select("query_id", "chunk_id", F.round("distance", 6).alias("distance"), F.round("score", 6).alias("score"), "rank")
+
+
+def _hundredth(spark, sf_dir):
+    return _table(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@_query(_NEAREST.format(" WHERE q.vec_id % 100 = 0", 30))
 def knn_l2(spark, sf_dir):
-    """The 30 nearest vectors of every hundredth one, exactly."""
-    v = _table(spark, sf_dir, "embeddings")
-    asked = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return dense.knn(v, asked).select("query_id", "chunk_id", F.round("distance", 6).alias("distance"), F.round("score", 6).alias("score"), "rank")
+    """The 30 nearest vectors of every hundredth one, exactly, ring by ring."""
+    return _rounded(vectors.nearest(_vectors(spark, sf_dir), _hundredth(spark, sf_dir)))
+
+
+@_query(_NEAREST.format("", 5))
+def knn_codes(spark, sf_dir):
+    """The five nearest vectors of every vector: codes of a byte a component first, then exact distances of what is left."""
+    asked = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
+    return _rounded(vectors.nearest(_vectors(spark, sf_dir), asked, 5, coded=True))
+
+
+@_query()
+def knn_parts_looked_at(spark, sf_dir):
+    """How many rings of vectors there are, and how many of them each search of knn_l2 looks at."""
+    index, looked = _vectors(spark, sf_dir), {}
+    vectors.nearest(index, _hundredth(spark, sf_dir), looked=looked)
+    return vectors.parts_looked_at(index, looked)
 
 
 def _by_type(spark, sf_dir):
@@ -370,8 +452,7 @@ def _first_hits(spark, sf_dir):
 
 
 def bm25_fields_free(spark, sf_dir):
-    index = lexical.build(_chunks(spark, sf_dir).select("chunk_id", "body"), {"body": 1.0}, stem=False, tokens=T.ascii_tokens, places=False).settled()
-    return lexical.bm25(index, _items(spark, sf_dir).select("query_id", lexical.all_of(F.col("tokens")).alias("groups")), k=None)
+    return lexical.bm25(_index(spark, sf_dir, "body"), _items(spark, sf_dir).select("query_id", lexical.all_of(F.col("tokens")).alias("groups")), k=None)
 
 
 _METRICS = "count(*) AS n, " + ", ".join(f"round(avg(CASE WHEN hit_rank BETWEEN 1 AND {k} THEN 1.0 ELSE 0.0 END), 9) AS recall_{k}" for k in (1, 3, 10)) + ", round(avg(CASE WHEN hit_rank > 0 THEN 1.0 / hit_rank ELSE 0.0 END), 9) AS mrr"
@@ -571,7 +652,7 @@ def search_pipeline(spark, sf_dir):
     routes = chunks.select("route", assemble.canonical_url(F.col("route"), "https://example.com").alias("url"))
     model = dense.hashed()
     vectors = dense.embed(chunks.select("chunk_id", "body"), "body", model).select("chunk_id", "embedding")
-    corpus = engine.Corpus(chunks, routes, lexical.build(chunks).settled(), None, vectors)
+    corpus = engine.Corpus(chunks, routes, _index(spark, sf_dir, "stems"), None, vectors)
     queries = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     out = engine.search(queries, corpus, LEXICON, k=10, embedder=model)
     return out.select("query_id", "rank", "chunk_id", F.round("score", 9).alias("score"), "route", "title", "url")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +64,18 @@ def write_index(docs: DataFrame, folder: str, base_url: str, source_sha: str = "
     return counts
 
 
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """Of a table's files: their names, sizes and times, so that a change of any file changes it."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(at, True)
+    said = []
+    while files.hasNext():
+        f = files.next()
+        said.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(said)).encode()).hexdigest()
+
+
 def meta_value(spark: SparkSession, folder: str, key: str) -> str | None:
     rows = spark.read.parquet(f"{folder}/meta").filter(F.col("key") == key).limit(1).collect()
     return rows[0].value if rows else None

@@ -38,24 +38,6 @@ def test_boosts_and_filter(spark):
     assert [r.chunk_id for r in kept] == [2]
 
 
-def test_knn_ties_and_blocks(spark):
-    rng = np.random.default_rng(1)
-    v = np.concatenate([np.repeat(rng.normal(size=(1, 8)), 40, axis=0), rng.normal(size=(60, 8))]).astype(np.float32)
-    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(100, None), (101, [1.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
-    asked = df.filter("vec_id in (0, 5, 70, 80)").withColumnRenamed("vec_id", "query_id")
-    for block in (1 << 20, 64):
-        got = {}
-        for r in dense.knn(df, asked, 10, block_bytes=block).collect():
-            got.setdefault(r.query_id, {})[r["rank"]] = (r.chunk_id, r.score)
-        for q in (0, 5, 70, 80):
-            d = np.sqrt(((v.astype(float) - v[q].astype(float)) ** 2).sum(1))
-            want = sorted(range(100), key=lambda i: (d[i], i))[:10]
-            assert [got[q][i + 1][0] for i in range(10)] == want
-            assert abs(got[q][3][1] - 1 / (1 + d[want[2]])) < 1e-12
-    assert dense.knn(df, asked.limit(0), 3).count() == 0
-
-
 def test_refresh(spark):
     model = dense.hashed(16)
     one = spark.createDataFrame([(1, "a b"), (2, "c"), (3, None)], "chunk_id long, body string")
