@@ -7,24 +7,26 @@ still reach it; conjunctions and phrases start from their rarest member and look
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.lexicon import B, FIELD_WEIGHTS, IDF_FLOOR, K1, RETRIEVED, Lexicon
-from ..functions.settle import looked_up, settled, spread
-from ..functions.text import index_tokens, porter_stem
+from ..functions.settle import settled, spread
+from ..functions.text import index_tokens, porter, porter_stem
 
 #: Rows that a block has on average. A block is found by the leading bits of its rows' hash of HASH_BITS.
 BLOCK, HASH_BITS = 64, 30
 #: A ranked query's first rows come from its rarest terms, while these have at most so many postings for each result.
-FIRST_POSTINGS = 50
-#: So many of the first rows for each result are scored in full.
-FIRST_ROWS = 4
-#: Terms that together can't add these shares of the sure score are put off to a second and a third look.
-SECOND_LOOK, THIRD_LOOK = 0.5, 0.1
+FIRST_POSTINGS = 100
+#: Terms that together can't add this share of the sure score are put off until few rows are left.
+PUT_OFF = 0.5
 #: Scores that differ by less count as equal until the last cut, so that rounded scores may be ranked.
 SLACK = 1e-6
 
@@ -41,12 +43,13 @@ class Index:
 
     blocks (term, block, n, top, ids, tfs, dls, and places if phrases are asked for): arrays with one entry for each
     posting; top is the most that tf and length make of a posting's score. terms (term, df, cf, level, top): level bits
-    of a row's hash name its block. stats (n, avgdl): one row. weights: the fields' in order, for phrases.
+    of a row's hash name its block. n rows have avgdl tokens on average. weights: the fields' in order, for phrases.
     """
 
     blocks: DataFrame
     terms: DataFrame
-    stats: DataFrame
+    n: int
+    avgdl: float
     stemmed: bool
     weights: tuple[float, ...] = ()
 
@@ -58,18 +61,17 @@ class Index:
         """Ranged and sorted by term, so a batch of queries reads only the row groups of its terms."""
         self.blocks.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{folder}/blocks")
         self.terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/terms")
-        weights = F.array(*[F.lit(float(w)) for w in self.weights]) if self.weights else F.array().cast("array<double>")
-        self.stats.withColumn("weights", weights).write.mode("overwrite").parquet(f"{folder}/stats")
+        stats = [(self.n, self.avgdl, list(self.weights))]
+        self.blocks.sparkSession.createDataFrame(stats, "n long, avgdl double, weights array<double>").write.mode("overwrite").parquet(f"{folder}/stats")
 
     def settled(self) -> Index:
         """The index as it is now on shared storage, for a batch or two: made once, however often it is searched."""
-        return Index(settled(self.blocks), settled(self.terms), settled(self.stats), self.stemmed, self.weights)
+        return Index(settled(self.blocks, "blocks"), self.terms, self.n, self.avgdl, self.stemmed, self.weights)
 
     @staticmethod
     def read(spark, folder: str, stemmed: bool = True) -> Index:
-        stats = spark.read.parquet(f"{folder}/stats")
-        row = stats.first()  # one row
-        return Index(spark.read.parquet(f"{folder}/blocks"), spark.read.parquet(f"{folder}/terms"), stats.drop("weights"), stemmed, tuple(row.weights if row else ()))
+        row = spark.read.parquet(f"{folder}/stats").first()  # one row
+        return Index(spark.read.parquet(f"{folder}/blocks"), spark.read.parquet(f"{folder}/terms"), row.n, row.avgdl, stemmed, tuple(row.weights))
 
 
 def _place_of(chunk_id: Column) -> Column:
@@ -84,38 +86,94 @@ def _block_of(chunk_id: Column, level: Column) -> Column:
 def build(chunks: DataFrame, fields: dict[str, float] = FIELD_WEIGHTS, stem: bool = True, tokens=index_tokens, places: bool = True) -> Index:
     """Index the given columns of chunks (chunk_id and texts). tf is the sum of the fields' weights over occurrences.
 
-    Texts are tokenised once: each row also has one posting of the empty term, which no token is, and its length there.
-    places has (field, at) of each occurrence, for phrases. Stems are made once for each distinct word and joined back.
-    Postings and terms are settled; blocks are made from them when they are used.
+    Texts are tokenised once, and a row's terms are counted where it lies, with its stems, so that only what is counted is
+    shuffled. Each row also has one posting of the empty term, which no token is, with its length. places has (field, at)
+    of each occurrence, for phrases. Postings and terms are settled; blocks are made from them when they are used.
     """
     own = [c for c in fields if c in chunks.columns]
-    listed = spread(chunks.select("chunk_id", *own)).select("chunk_id", *[tokens(F.col(c)).alias(c) for c in own])
-    listed = listed.withColumn("dl", sum((F.size(c) for c in own), F.lit(0)).cast("long"))
-    none = F.array(F.struct(F.lit("").alias("term"), F.lit(0).alias("field"), F.lit(0).alias("at")))
-    spots = F.concat(none, *[F.transform(c, _spot(f)) for f, c in enumerate(own)])
-    rows = listed.select("chunk_id", "dl", F.explode(spots).alias("s")).select("chunk_id", "dl", "s.term", "s.field", "s.at")
-    if stem:
-        words = rows.select("term").distinct().withColumn("stem", porter_stem("term"))
-        rows = rows.join(words, "term").select("chunk_id", "dl", F.col("stem").alias("term"), "field", "at")
-    weight = F.get(F.array(*[F.lit(float(fields[c])) for c in own]), F.col("field"))
-    aggs = [F.sum(weight).alias("tf")] + ([F.array_sort(F.collect_list(F.struct("field", "at"))).alias("places")] if places else [])
-    postings = settled(rows.groupBy("term", "chunk_id", "dl").agg(*aggs), "postings")
-    size = postings.filter("term = ''").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
-    n, avgdl = size.first()
-    stats = chunks.sparkSession.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(float(avgdl)).alias("avgdl"))
-    postings = postings.filter("term <> ''").withColumn("impact", impact(F.col("tf"), F.col("dl"), F.lit(float(avgdl))))
+    weights = tuple(float(fields[c]) for c in own)
+    listed = spread(chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), *own)).select("chunk_id", *[tokens(F.col(c)).alias(f"f{i}") for i, c in enumerate(own)])
+    kind = "term string, chunk_id long, tf double, dl long" + (", places array<struct<field:int,at:int>>" if places else "")
+    postings = settled(listed.mapInArrow(_counted(weights, stem, places), kind), "postings")
+    n, avgdl = postings.filter("term = ''").agg(F.count(F.lit(1)), F.coalesce(F.avg("dl"), F.lit(0.0))).first()
+    postings = postings.filter("term <> ''").withColumn("impact", impact(F.col("tf"), F.col("dl"), F.lit(avgdl)))
     many = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.max("impact").alias("top"))
     level = F.least(F.greatest(F.ceil(F.log2(F.col("df") / BLOCK)), F.lit(0)), F.lit(HASH_BITS)).cast("int")
     terms = settled(many.withColumn("level", level), "terms")
-    kept = ["chunk_id", "tf", "dl", *(["places"] if places else [])]
-    dealt = looked_up(postings, terms.select("term", "df", "level"), ["term"], n="df").withColumn("block", _block_of(F.col("chunk_id"), F.col("level")))
-    blocks = dealt.groupBy("term", "block").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("impact").alias("top"), F.array_sort(F.collect_list(F.struct(*kept))).alias("r"))
-    named = [F.col("r.chunk_id").alias("ids"), F.col("r.tf").alias("tfs"), F.col("r.dl").alias("dls"), *([F.col("r.places").alias("places")] if places else [])]
-    return Index(blocks.select("term", "block", "n", "top", *named), terms, stats, stem, tuple(float(fields[c]) for c in own))
-
-
-def _spot(field: int):
-    return lambda t, i: F.struct(t.alias("term"), F.lit(field).alias("field"), i.alias("at"))
+    cut = terms.filter("level > 0").select("term", "level")  # few; where they are many, Spark splits the terms that most rows have
+    dealt = postings.join(cut, "term", "left").withColumn("block", _block_of(F.col("chunk_id"), F.coalesce("level", F.lit(0)))).drop("level")
+    kind = "term string, block int, n int, top double, ids array<long>, tfs array<double>, dls array<long>" + (", places array<array<struct<field:int,at:int>>>" if places else "")
+    order = ["term", "block"]
+    blocks = dealt.select(*order, "impact", "chunk_id", "tf", "dl", *(["places"] if places else [])).repartition(*order).sortWithinPartitions(*order).mapInArrow(_packed, kind)
+    return Index(blocks, terms, n, avgdl, stem, weights)
+
+
+#: Tokens that a task counts at a time; a longer row is counted by itself.
+_BATCH = 1 << 20
+
+
+def _counted(weights: tuple[float, ...], stem: bool, places: bool):
+    """Of (chunk_id, a list of tokens for each field): the postings of each row, and one of the empty term."""
+
+    def count(b: pa.RecordBatch) -> pa.RecordBatch:
+        ids, sizes = b.column(0).to_numpy(), [c.value_lengths().to_numpy() for c in b.columns[1:]]
+        rows = np.concatenate([np.repeat(np.arange(len(ids)), n) for n in sizes])
+        at = np.concatenate([np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) for n in sizes])
+        field = np.repeat(np.arange(len(sizes)), [n.sum() for n in sizes])
+        coded = pa.concat_arrays([c.flatten() for c in b.columns[1:]]).dictionary_encode()
+        code, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        if stem:
+            stems = pa.array([porter(w) for w in words.to_pylist()], pa.string()).dictionary_encode()
+            code, words = stems.indices.to_numpy()[code].astype(np.int64), stems.dictionary
+        key = rows * max(1, len(words)) + code
+        order = np.argsort(key, kind="stable")
+        start = np.flatnonzero(np.diff(key[order], prepend=-1))
+        length, none = np.sum(sizes, axis=0), np.zeros(len(ids))
+        own = rows[order[start]]
+        tf = np.add.reduceat(np.array(weights)[field[order]], start) if len(start) else np.zeros(0)
+        terms = pa.concat_arrays([words.take(pa.array(code[order[start]])), pa.array([""] * len(ids), pa.string())])
+        arrays = [terms, pa.array(np.concatenate([ids[own], ids])), pa.array(np.concatenate([tf, none])), pa.array(np.concatenate([length[own], length]).astype(np.int64))]
+        if places:
+            spots = pa.StructArray.from_arrays([pa.array(x[order].astype(np.int32)) for x in (field, at)], names=["field", "at"])
+            arrays.append(pa.ListArray.from_arrays(pa.array(np.concatenate([start, np.full(len(ids) + 1, len(order))]), pa.int32()), spots))
+        return pa.RecordBatch.from_arrays(arrays, names=["term", "chunk_id", "tf", "dl", "places"][: len(arrays)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size = np.cumsum(np.sum([c.value_lengths().to_numpy() for c in b.columns[1:]], axis=0))
+            first = 0
+            while first < b.num_rows:
+                last = max(first + 1, int(np.searchsorted(size, (size[first - 1] if first else 0) + _BATCH, "right")))
+                yield count(b.slice(first, last - first))
+                first = last
+
+    return run
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by term and block, a row for each block: the columns after impact become lists."""
+
+    def lists(t: pa.RecordBatch, ends: np.ndarray) -> pa.RecordBatch:
+        start = ends[:-1]
+        at = pa.array(ends, pa.int32())
+        top = np.maximum.reduceat(t.column(2).to_numpy(), start)
+        first = pa.array(start, pa.int64())
+        arrays = [t.column(0).take(first), t.column(1).take(first), pa.array(np.diff(ends), pa.int32()), pa.array(top), *[pa.ListArray.from_arrays(at, c) for c in t.columns[3:]]]
+        return pa.RecordBatch.from_arrays(arrays, names=["term", "block", "n", "top", "ids", "tfs", "dls", "places"][: len(arrays)])
+
+    left = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if left is not None:
+            b = pa.Table.from_batches([left, b]).combine_chunks().to_batches()[0]
+        new = pc.or_(pc.not_equal(b.column(0)[1:], b.column(0)[:-1]), pc.not_equal(b.column(1)[1:], b.column(1)[:-1])).to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.flatnonzero(new) + 1])
+        if len(ends) > 1:
+            yield lists(b.slice(0, int(ends[-1])), ends)
+        left = b.slice(int(ends[-1]))
+    if left is not None:
+        yield lists(left, np.array([0, left.num_rows]))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -127,12 +185,12 @@ def impact(tf: Column, dl: Column, avgdl: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (F.lit(1 - B) + F.lit(B) * dl / avgdl))
 
 
-def _words(index: Index, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(asked (query_id, n_groups, g, said), words (said, n_words, i, term) of each distinct said)."""
-    asked = queries.select("query_id", F.size("groups").alias("n_groups"), F.posexplode("groups").alias("g", "group"))
-    asked = asked.select("query_id", "n_groups", "g", F.explode("group").alias("said"))
-    words = asked.select("said").distinct().withColumn("words", index_tokens(F.col("said"))).select("said", F.size("words").alias("n_words"), F.posexplode("words").alias("i", "term"))
-    return asked, words.withColumn("term", porter_stem("term")) if index.stemmed else words
+def _words(index: Index, queries: DataFrame) -> DataFrame:
+    """(query_id, n_groups, g, said, n_words, i, term) of each word of each term; terms without a word go."""
+    rows = queries.select("query_id", F.size("groups").alias("n_groups"), F.posexplode("groups").alias("g", "group"))
+    rows = rows.select("query_id", "n_groups", "g", F.explode("group").alias("said")).withColumn("words", index_tokens(F.col("said")))
+    rows = rows.select("query_id", "n_groups", "g", "said", F.size("words").alias("n_words"), F.posexplode("words").alias("i", "term"))
+    return rows.withColumn("term", porter_stem("term")) if index.stemmed else rows
 
 
 def bm25(index: Index, queries: DataFrame, k: int | None = RETRIEVED, digits: int | None = None) -> DataFrame:
@@ -141,26 +199,22 @@ def bm25(index: Index, queries: DataFrame, k: int | None = RETRIEVED, digits: in
 
     A query is a conjunction of groups; a group matches by any of its terms. A term of several words is a phrase: its
     words must follow one another in one field. Without groups, or with one that has no word, a query finds nothing.
-    Each distinct term is looked up once for the batch; scores meet per (query, row), so a term that a third of all rows
-    have is spread like any other.
+    Scores meet per (query, row), so a term that a third of all rows have is spread like any other.
     """
-    asked, words = _words(index, queries)
-    asked, words = settled(asked, "asked"), settled(words, "words")
-    if k is not None and words.filter("n_words > 1").isEmpty() and asked.filter("n_groups > 1").isEmpty():
-        scored = ranked_any(index, asked.join(words, "said").groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times")), k)
+    words = settled(_words(index, queries), "words")
+    widest = words.agg(F.max("n_groups").alias("groups"), F.max("n_words").alias("words")).first()
+    if k is not None and (widest.groups or 1) == 1 and (widest.words or 1) == 1:
+        scored = ranked_any(index, words.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times")), k)
     else:
-        scored = _every(index, asked, words)
+        scored = _every(index, words, (widest.words or 1) > 1)
     if digits is not None:
         scored = scored.withColumn("score", F.round("score", digits))
     return scored if k is None else best(scored, k)
 
 
 def _valued(index: Index, terms: DataFrame) -> DataFrame:
-    """Rows with a term, with what the index says of it; terms that it doesn't have go. stats is one row."""
-    return terms.join(index.terms, "term").crossJoin(F.broadcast(index.stats)).withColumn("idf", idf(F.col("n"), F.col("df"))).drop("n")
-
-
-_POSTING = ("chunk_id", "tf", "dl")
+    """Rows with a term, with what the index says of it; terms that it doesn't have go."""
+    return terms.join(index.terms, "term").withColumn("idf", idf(F.lit(index.n), F.col("df")))
 
 
 def _postings(index: Index, terms: DataFrame) -> DataFrame:
@@ -183,8 +237,8 @@ def _probed(index: Index, wanted: DataFrame, places: bool = False) -> DataFrame:
     return found.drop("at", "block", *arrays)
 
 
-def _part() -> Column:
-    return F.col("idf") * F.col("times") * impact(F.col("tf"), F.col("dl"), F.col("avgdl"))
+def _part(index: Index) -> Column:
+    return F.col("gain") * impact(F.col("tf"), F.col("dl"), F.lit(index.avgdl))
 
 
 def _kth(scores: DataFrame, k: int) -> DataFrame:
@@ -200,76 +254,68 @@ def _summed(parts: DataFrame) -> DataFrame:
 def ranked_any(index: Index, terms: DataFrame, k: int, read: dict | None = None) -> DataFrame:
     """(query_id, chunk_id, score) with the k best rows of each query at least, of queries (query_id, term, times).
 
-    1. The rarest terms' postings, while they are few, give partial scores; the best rows of these are scored in full, and
-       the k-th of them is a score that the result's last row is sure to have.
-    2. Terms that even together can't reach half of it are put off. All postings of the others are read, and rows stay
-       that can reach the sure score with what is put off. The k-th best partial score may raise it.
-    3. Of these rows the larger of the terms put off are looked up, block by block, and rows are ruled out again.
-    4. What is left is scored in full.
+    1. The rarest terms' postings, while they are few, give partial scores; the k-th of them is a score that the result's
+       last row is sure to have.
+    2. Terms that even together can't reach a share of it are put off. All postings of the others are read, and rows
+       stay that can reach the sure score, or the k-th best partial one, with what is put off.
+    3. These rows are looked up in the blocks of the terms put off.
     Nothing is estimated: a row is left out only if its score is below k others'. read, if given, gets the tables of what
     was looked at, for postings_read.
     """
-    own = _valued(index, terms).withColumn("most", F.col("idf") * F.col("times") * F.col("top"))
+    own = _valued(index, terms).withColumn("gain", F.col("idf") * F.col("times")).withColumn("most", F.col("gain") * F.col("top"))
     rare = W.partitionBy("query_id").orderBy("df", "term").rowsBetween(W.unboundedPreceding, 0)
-    small = W.partitionBy("query_id").orderBy("most", "term").rowsBetween(W.unboundedPreceding, 0)
-    own = own.withColumn("upto", F.sum("df").over(rare)).withColumn("less", F.sum("most").over(small))
-    own = settled(own.withColumn("first", (F.col("upto") == F.col("df")) | (F.col("upto") <= FIRST_POSTINGS * k)), "terms-asked")
-    first = settled(_summed(_postings(index, own.filter("first")).select("query_id", "chunk_id", _part().alias("score"))), "first")
-    seeds = settled(best(first, FIRST_ROWS * k).select("query_id", "chunk_id", "score"), "seeds")
-    rest = own.filter("not first")
-    full = _probed(index, seeds.drop("score").join(rest, "query_id")).select("query_id", "chunk_id", _part().alias("score"))
-    sure = _kth(_summed(seeds.unionByName(full)), k)
-    look = settled(own.join(sure, "query_id").withColumn("look", F.when(F.col("first"), 0).when(F.col("less") >= F.col("sure") * SECOND_LOOK, 1).when(F.col("less") >= F.col("sure") * THIRD_LOOK, 2).otherwise(3)), "looks")
+    own = own.withColumn("upto", F.sum("df").over(rare)).withColumn("first", (F.col("upto") == F.col("df")) | (F.col("upto") <= FIRST_POSTINGS * k))
+    small = W.partitionBy("query_id").orderBy("first", "most", "term").rowsBetween(W.unboundedPreceding, 0)
+    own = own.withColumn("less", F.sum("most").over(small))
+    own = settled(own.select("query_id", "term", "df", "level", "gain", "most", "less", "first"), "terms-asked")
+    asked = ["query_id", "term", "level", "gain"]
+
+    def scores(rows: DataFrame) -> DataFrame:
+        return rows.select("query_id", "chunk_id", _part(index).alias("score"))
+
+    first = settled(_summed(scores(_postings(index, own.filter("first").select(*asked)))), "first")
+    look = settled(own.join(_kth(first, k), "query_id").withColumn("off", ~F.col("first") & (F.col("less") < F.col("sure") * PUT_OFF)), "looks")
+    late = look.groupBy("query_id", "sure").agg(F.sum(F.when(F.col("off"), F.col("most")).otherwise(0.0)).alias("late"))
+    rows = _summed(first.unionByName(scores(_postings(index, look.filter("not off and not first").select(*asked)))))
+    able = F.col("score") + F.col("late") + SLACK >= F.col("sure")
+    rows = settled(rows.join(late, "query_id").filter(able).select("query_id", "chunk_id", "score", "late"), "candidates")
+    rows = rows.join(_kth(rows, k), "query_id").filter(able).select("query_id", "chunk_id", "score")
     if read is not None:
-        read |= {"own": own, "seeds": seeds, "look": look}
-    most = look.groupBy("query_id", "sure").agg(*[F.sum(F.when(F.col("look") > i, F.col("most")).otherwise(0.0)).alias(f"after_{i}") for i in (1, 2)])
-    rows = _summed(first.unionByName(_postings(index, look.filter("look = 1")).select("query_id", "chunk_id", _part().alias("score"))))
-    for i in (1, 2):
-        able = F.col("score") + F.col(f"after_{i}") + SLACK
-        rows = settled(rows.join(most, "query_id").filter(able >= F.col("sure")).select("query_id", "chunk_id", "score", f"after_{i}"), "candidates")
-        rows = rows.join(_kth(rows, k), "query_id").filter(able >= F.col("sure")).select("query_id", "chunk_id", "score")
-        if read is not None:
-            read[f"rows_{i}"] = rows
-        more = _probed(index, rows.drop("score").join(look.filter(F.col("look") == i + 1), "query_id")).select("query_id", "chunk_id", _part().alias("score"))
-        rows = _summed(rows.unionByName(more))
-    return rows
-
-
-def postings_read(index: Index, read: dict) -> DataFrame:
+        read |= {"look": look, "rows": rows}
+    return _summed(rows.unionByName(scores(_probed(index, rows.drop("score").join(look.filter("off").select(*asked), "query_id")))))
+
+
+def postings_read(read: dict) -> DataFrame:
     """(query_id, n_all, n_read): how many postings a query's terms have, and in how many of them it was looked.
 
     A list that is read counts whole, a row that is looked up counts one for each term asked of it.
     """
-    own, look = read["own"], read["look"]
-    n_all = own.groupBy("query_id").agg(F.sum("df").alias("n_all"), F.sum(F.when(F.col("first"), F.col("df")).otherwise(0)).alias("n_first"), F.count_if(~F.col("first")).alias("n_rest"))
-    n_look = look.groupBy("query_id").agg(F.sum(F.when(F.col("look") == 1, F.col("df")).otherwise(0)).alias("n_1"), F.count_if(F.col("look") == 2).alias("n_2"), F.count_if(F.col("look") == 3).alias("n_3"))
-    rows = n_all.join(n_look, "query_id")
-    for name in ("seeds", "rows_1", "rows_2"):
-        rows = rows.join(read[name].groupBy("query_id").agg(F.count(F.lit(1)).alias(name)), "query_id", "left")
-    looked = F.coalesce("seeds", F.lit(0)) * F.col("n_rest") + F.coalesce("rows_1", F.lit(0)) * F.col("n_2") + F.coalesce("rows_2", F.lit(0)) * F.col("n_3")
-    return rows.select("query_id", "n_all", (F.col("n_first") + F.col("n_1") + looked).alias("n_read"))
+    counts = read["look"].groupBy("query_id").agg(F.sum("df").alias("n_all"), F.sum(F.when(F.col("off"), 0).otherwise(F.col("df"))).alias("n_lists"), F.count_if("off").alias("n_off"))
+    counts = counts.join(read["rows"].groupBy("query_id").agg(F.count(F.lit(1)).alias("n_rows")), "query_id", "left")
+    return counts.select("query_id", "n_all", (F.col("n_lists") + F.coalesce("n_rows", F.lit(0)) * F.col("n_off")).alias("n_read"))
 
 
-def _every(index: Index, asked: DataFrame, words: DataFrame) -> DataFrame:
+def _every(index: Index, words: DataFrame, phrased: bool) -> DataFrame:
     """(query_id, chunk_id, score) of all rows that every group of a query matches.
 
     The group with the fewest postings leads; the others are looked up in its rows only.
     """
-    single = words.filter("n_words = 1").select("said", "term")
-    known = _valued(index, single).select("said", "term", "df", "level", "idf", "avgdl")
+    single = words.filter("n_words = 1").select("query_id", "n_groups", "g", "said", "term")
+    rows = _valued(index, single).select("query_id", "n_groups", "g", "said", "term", "df", "level", F.col("idf").alias("gain"))
     phrases = None
-    if index.positional and not words.filter("n_words > 1").isEmpty():
-        phrases = settled(phrase_postings(index, words.filter("n_words > 1")), "phrases")
-        of_phrase = phrases.groupBy("said").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(index.stats))
-        of_phrase = of_phrase.select("said", F.lit(None).cast("string").alias("term"), "df", F.lit(0).alias("level"), idf(F.col("n"), F.col("df")).alias("idf"), "avgdl")
-        known = known.unionByName(of_phrase)
-    rows = asked.join(known, "said").withColumn("times", F.lit(1))
+    if phrased and index.positional:
+        several = words.filter("n_words > 1")
+        phrases = settled(phrase_postings(index, several.select("said", "n_words", "i", "term").distinct()), "phrases")
+        found = phrases.groupBy("said").agg(F.count(F.lit(1)).alias("df")).withColumn("gain", idf(F.lit(index.n), F.col("df")))
+        of_phrase = several.filter("i = 0").join(found, "said").select("query_id", "n_groups", "g", "said", F.lit(None).cast("string").alias("term"), "df", F.lit(0).alias("level"), "gain")
+        rows = rows.unionByName(of_phrase)
+    rows = settled(rows, "terms-asked")
     groups = rows.groupBy("query_id", "n_groups", "g").agg(F.sum("df").alias("size"))
     leads = groups.groupBy("query_id", "n_groups").agg(F.count(F.lit(1)).alias("have"), F.min_by("g", F.struct("size", "g")).alias("lead")).filter("have = n_groups").select("query_id", "lead")
-    rows = settled(rows.join(leads, "query_id").withColumn("leads", F.col("g") == F.col("lead")), "groups-asked")
+    rows = rows.drop("df").join(leads, "query_id").withColumn("leads", F.col("g") == F.col("lead"))
 
     def parts(df: DataFrame) -> DataFrame:
-        return df.select("query_id", "n_groups", "chunk_id", "g", _part().alias("part"))
+        return df.select("query_id", "n_groups", "chunk_id", "g", _part(index).alias("part"))
 
     lead = _postings(index, rows.filter("leads and term is not null"))
     if phrases is not None:

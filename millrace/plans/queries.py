@@ -159,7 +159,7 @@ def bm25_postings_read(spark, sf_dir):
     index, read = _index(spark, sf_dir, "body"), {}
     terms = _items(spark, sf_dir).select("query_id", F.explode("tokens").alias("term"), F.lit(1).alias("times"))
     lexical.ranked_any(index, terms, L.RETRIEVED, read)
-    return lexical.postings_read(index, read)
+    return lexical.postings_read(read)
 
 
 @_query(f"WITH t AS (SELECT doc_id, unnest({_WORDS.format('text')}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS n_docs, count(*) AS n_all FROM t GROUP BY 1")

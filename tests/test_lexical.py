@@ -89,7 +89,7 @@ def test_looks_at_few_postings(spark, corpus):
     read = {}
     terms = _asked(spark, queries).select("query_id", F.explode(F.col("groups")[0]).alias("term"), F.lit(1).alias("times"))
     lexical.ranked_any(index, terms, 5, read).count()
-    counts = lexical.postings_read(index, read).collect()
+    counts = lexical.postings_read(read).collect()
     assert len(counts) == 10 and sum(r.n_read for r in counts) < 0.5 * sum(r.n_all for r in counts)
 
 
@@ -119,4 +119,4 @@ def test_blocks_hold_every_posting_once(spark, corpus):
     n = index.blocks.agg(F.sum("n"), F.sum(F.size("ids")), F.max("n")).first()
     assert n[0] == n[1] == index.terms.agg(F.sum("df")).first()[0]
     assert n[2] <= 4 * lexical.BLOCK
-    assert index.stats.first().n == len(rows)
+    assert index.n == len(rows)
