@@ -102,26 +102,30 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def offsets(sizes: Column) -> Column:
-    """For each number of an array<int> the sum of those before it.
+def running(xs: Column, op, zero: Column, kind: str = "int") -> Column:
+    """For each entry of an array what op makes of those before it, starting from zero.
 
-    A fold copies what it has at every step, so it goes over runs of _RUN numbers and then over the runs' sums.
+    A fold copies what it has at every step, so it goes over runs of _RUN entries and then over the runs' results.
     """
-    add = lambda acc, x: acc + x
 
     def fold(xs: Column, start: Column) -> Column:
-        zero = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
-        return F.aggregate(xs, zero, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
+        first = F.struct(start.alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+        return F.aggregate(xs, first, lambda acc, x: F.struct(op(acc["at"], x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
 
     def run(xs: Column) -> Column:
         begins = F.sequence(F.lit(0), F.greatest(F.size(xs) - 1, F.lit(0)), F.lit(_RUN))
         return F.transform(begins, lambda b: F.slice(xs, b + 1, F.lit(_RUN)))
 
     def whole(runs: Column) -> Column:
-        firsts = fold(F.transform(runs, lambda r: F.aggregate(r, F.lit(0), add)), F.lit(0))
+        firsts = fold(F.transform(runs, lambda r: F.aggregate(r, zero, op)), zero)
         return F.flatten(F.zip_with(runs, firsts, fold))
 
-    return let(sizes, lambda xs: F.when(F.size(xs) <= _RUN, fold(xs, F.lit(0))).otherwise(let(run(xs), whole)))
+    return let(xs, lambda xs: F.when(F.size(xs) <= _RUN, fold(xs, zero)).otherwise(let(run(xs), whole)))
+
+
+def offsets(sizes: Column) -> Column:
+    """For each number of an array<int> the sum of those before it."""
+    return running(sizes, lambda acc, x: acc + x, F.lit(0))
 
 
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
