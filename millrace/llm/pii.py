@@ -8,10 +8,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import matches
+from ..functions.text import let, offsets, running
 from ._work import without, written
 
 #: Kinds in order, and their base patterns. Possessive where nothing can be given back, so that
@@ -42,12 +43,27 @@ _PHONE_CUES = r"(?i)(?:tel|telephone|phone|call|fax|mobile|cell)[^A-Za-z0-9]{0,3
 
 
 def found(text: Column, pattern: str, needs: str) -> Column:
-    """array<struct<start, end, hit>>: the leftmost non-overlapping matches of a pattern; empty for null.
+    """array<struct<start, end, hit, left, right>>: the leftmost non-overlapping matches of a pattern; empty for null.
 
-    Texts without a match of needs, a cheap pattern that each match contains, are not searched.
+    left has up to 16 characters before a match and right one after it, taken from what lies between the matches (of a
+    neighbour that touches, one character), so the cost is linear in the text. Texts without a match of needs, a cheap
+    pattern that each match contains, are not searched.
     """
-    spans = F.transform(matches(text, pattern), lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.length(m["hit"])).alias("end"), m["hit"].alias("hit")))
-    return F.when(text.rlike(needs), spans).otherwise(F.array().cast("array<struct<start:int,end:int,hit:string>>"))
+    said = F.coalesce(text, F.lit(""))
+    cut = F.struct(F.split(said, pattern, -1).alias("gaps"), F.regexp_extract_all(said, F.lit(pattern), F.lit(0)).alias("hits"))
+
+    def rows(x: Column) -> Column:
+        gap, hit = lambda i: F.get(x["gaps"], i), lambda i: F.get(x["hits"], i)
+
+        def row(h: Column, i: Column, begins: Column) -> Column:
+            start = F.get(begins, i) + F.length(gap(i))
+            left = F.when(F.length(gap(i)) > 0, F.right(gap(i), F.lit(16))).otherwise(F.coalesce(F.right(hit(i - 1), F.lit(1)), F.lit("")))
+            right = F.when(F.length(gap(i + 1)) > 0, F.left(gap(i + 1), F.lit(1))).otherwise(F.coalesce(F.left(hit(i + 1), F.lit(1)), F.lit("")))
+            return F.struct(start.alias("start"), (start + F.length(h)).alias("end"), h.alias("hit"), left.alias("left"), right.alias("right"))
+
+        return let(offsets(F.transform(x["hits"], lambda h, i: F.length(gap(i)) + F.length(h))), lambda begins: F.transform(x["hits"], lambda h, i: row(h, i, begins)))
+
+    return F.when(said.rlike(needs), let(cut, rows)).otherwise(F.array().cast("array<struct<start:int,end:int,hit:string,left:string,right:string>>"))
 
 
 def _digits(hit: Column) -> Column:
@@ -75,16 +91,11 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.filter(found(text, PATTERNS[kind], _NEEDS[kind]), lambda s: valid(kind, s["hit"]))
 
 
-def _left(text: Column, s: Column) -> Column:
-    return F.substring(text, F.greatest(s["start"] - 15, F.lit(1)), F.least(s["start"], F.lit(16)))
-
-
-def _bits(text: Column, s: Column) -> Column:
+def _bits(s: Column) -> Column:
     """A candidate's features as a number of len(FEATURES) bits."""
-    hit = s["hit"]
+    hit, right = s["hit"], s["right"]
     digits = F.length(_digits(hit))
-    left = F.substring(text, s["start"], F.least(s["start"], F.lit(1)))
-    right = F.substring(text, s["end"] + 1, F.lit(1))
+    left = F.right(s["left"], F.lit(1))
     tests = [
         digits >= 7, digits >= 12, digits >= 16, hit.rlike(r"[\x20-]"), hit.rlike(r"[()\[\]]"), hit.rlike(r"\..*\."), F.length(hit) >= 12, F.length(hit) >= 24,
         hit.rlike("[\"']") | left.rlike("[\"'`(<]"), (F.length(left) == 0) | left.rlike(r"[\s\"'(=:,]"), (F.length(right) == 0) | right.rlike(r"[\s\"'),.;:!?]"),
@@ -96,7 +107,7 @@ def _bits(text: Column, s: Column) -> Column:
     return out
 
 
-def _evidence(text: Column, kind: str, s: Column) -> Column:
+def _evidence(kind: str, s: Column) -> Column:
     """What the trees learn from: signs of a kind that no feature holds.
 
     A card's check digit, an address's ranges, a domain's last label, a phone's plus or the word before it, digits and
@@ -105,7 +116,7 @@ def _evidence(text: Column, kind: str, s: Column) -> Column:
     """
     hit = s["hit"]
     if kind == "phone":
-        return F.length(_digits(hit)).between(9, 15) & (hit.startswith("+") | _left(text, s).rlike(_PHONE_CUES))
+        return F.length(_digits(hit)).between(9, 15) & (hit.startswith("+") | s["left"].rlike(_PHONE_CUES))
     if kind == "email":
         return hit.rlike(r"\.[A-Za-z]{2,}$") & hit.rlike("^[^.]")
     if kind == "secret":
@@ -114,8 +125,8 @@ def _evidence(text: Column, kind: str, s: Column) -> Column:
     return valid(kind, hit)
 
 
-def _candidate(text: Column, i: int, kind: str):
-    return lambda s: F.struct(F.lit(i).alias("gen"), s["start"].alias("start"), s["end"].alias("end"), _bits(text, s).alias("bits"), _evidence(text, kind, s).cast("int").alias("label"))
+def _candidate(i: int, kind: str):
+    return lambda s: F.struct(F.lit(i).alias("gen"), s["start"].alias("start"), s["end"].alias("end"), _bits(s).alias("bits"), _evidence(kind, s).cast("int").alias("label"))
 
 
 def _of_kind(kind):
@@ -129,7 +140,7 @@ def candidates(df: DataFrame, key: str, text: str) -> DataFrame:
     base = {k: base_spans(t, k) for k in PATTERNS}
     made = []
     for i, (kind, pattern, needs) in enumerate(GENERATORS):
-        made.append(F.transform(found(t, pattern, needs), _candidate(t, i, kind)))
+        made.append(F.transform(found(t, pattern, needs), _candidate(i, kind)))
     plain = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
     return df.select(F.col(key), *[plain(base[k]).alias(f"base_{k}") for k in PATTERNS], F.concat(*made).alias("cands"))
 
@@ -151,10 +162,15 @@ class Boosted:
 
 
 _NEVER = 1e9
+#: Kinds with a check that a number of the kind always passes: candidates that fail it are never selected.
+CHECKED = ("ip", "card")
+#: Parts that a corpus' keys are dealt into; each is scored by trees that haven't seen it.
+FOLDS = 5
 
 
-def _threshold(cells: list[tuple[float, list[float]]], precision: float, partial: bool) -> float:
-    """The lowest margin from which up the candidates (margin, (without, with evidence)) reach the precision.
+def _threshold(cells: list[tuple[float, list[float]]], precision: float, least: float, partial: bool) -> float:
+    """The lowest margin from which up the candidates (margin, (without, with evidence)) reach the precision, and least even
+    at the lower end of the share's 95 % confidence interval (Wilson), which takes some fifteen candidates.
 
     Where only some of a kind show evidence, a margin's share of it is divided by the share that those with evidence
     have around them on average: the usual correction for positives that are only partly labelled.
@@ -172,60 +188,96 @@ def _threshold(cells: list[tuple[float, list[float]]], precision: float, partial
         size = sum(at[m])
         right += size * min(1.0, at[m][1] / size / usual)
         total += size
-        if right and right >= precision * total:
+        share, z = right / total, 1.64
+        low = (share + z * z / (2 * total) - z * math.sqrt(max(0.0, share * (1 - share)) / total + z * z / (4 * total * total))) / (1 + z * z / total)
+        if share >= precision and low >= least:
             cut = m - 1e-6
     return cut
 
 
-def train(cands: DataFrame, key: str, rounds: int = 24, rate: float = 0.4, precision: float = 0.98) -> Boosted:
-    """Boost on every candidate of the corpus, labelled by _evidence; a fifth of the keys is held out to calibrate the thresholds.
+def _boosted(codes: np.ndarray, counts: np.ndarray, rounds: int, rate: float) -> tuple[float, list[tuple[int, int, tuple[float, ...]]]]:
+    """Prior and depth-two trees fitted to counts (without, with evidence) of codes."""
+    width = len(FEATURES) + len(GENERATORS)
+    bit = ((codes[:, None] >> np.arange(width)) & 1).astype(float)
+    neg, pos = counts.sum(axis=0) if len(counts) else (0.0, 0.0)
+    prior = math.log((pos + 0.5) / (neg + 0.5))
+    margin, size, trees = np.full(len(codes), prior), counts.sum(axis=1), []
+    for _ in range(rounds if neg and pos else 0):
+        q = 1 / (1 + np.exp(-margin))
+        gain, sums = np.zeros((width, width)), []
+        for x in (counts[:, 1] - size * q, size * q * (1 - q)):
+            both = (bit * x[:, None]).T @ bit
+            one = np.diag(both)
+            sums.append(np.stack([x.sum() - one[:, None] - one[None] + both, one[None] - both, one[:, None] - both, both]))  # a and b: 00, 01, 10, 11
+        gain = (sums[0] ** 2 / (sums[1] + 1)).sum(axis=0)
+        gain[np.triu_indices(width)] = -1
+        a, b = map(int, np.unravel_index(np.round(gain, 9).argmax(), gain.shape))
+        values = tuple(round(max(-4.0, min(4.0, rate * x / (y + 1))), 9) for x, y in zip(sums[0][:, a, b].tolist(), sums[1][:, a, b].tolist(), strict=True))
+        trees.append((a, b, values))
+        margin = margin + np.array(values)[(2 * bit[:, a] + bit[:, b]).astype(int)]
+    return prior, trees
+
+
+def _margin(code: int, prior: float, trees) -> float:
+    return prior + sum(values[(code >> a & 1) * 2 + (code >> b & 1)] for a, b, values in trees)
 
-    Features are bits, so Spark reduces all candidates to counts of (held out, generator, bits, label): at most
-    2 * 5 * 2**14 * 2 rows however large the corpus, which is what the driver fits to. A generator's threshold is
-    calibrated on the held-out candidates (all, if none is held out), see _threshold; one that never reaches the
-    precision selects nothing.
+
+def train(cands: DataFrame, key: str, rounds: int = 24, rate: float = 0.4, precision: float = 0.98, least: float = 0.85) -> Boosted:
+    """Boost on every candidate of the corpus, labelled by _evidence; thresholds are calibrated across FOLDS parts of the keys.
+
+    Features are bits, so Spark reduces all candidates to counts of (part, generator, bits, label): at most
+    5 * 5 * 2**14 * 2 rows however large the corpus, which is what the driver fits to. A generator's threshold comes from
+    the margins that trees of the other parts give each part's candidates, see _threshold; one that never reaches the
+    precision, or has too few candidates to tell, selects nothing.
     """
-    held = F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(5)) == 0
-    rows = cands.select(held.alias("h"), F.explode("cands").alias("c")).groupBy("h", "c.gen", "c.bits", "c.label").count().collect()
+    part = F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(FOLDS))
+    rows = cands.select(part.alias("h"), F.explode("cands").alias("c")).groupBy("h", "c.gen", "c.bits", "c.label").count().collect()
     width = len(FEATURES)
-    cells: dict[tuple[bool, int], list[float]] = {}
+    cells: dict[tuple[int, int], list[float]] = {}
     for r in rows:
         code = r.bits | (1 << (width + r.gen))
         cells.setdefault((r.h, code), [0.0, 0.0])[r.label] += r["count"]
-    fit = sorted((code, n[0], n[1]) for (h, code), n in cells.items() if not h)
-    neg, pos = sum(x[1] for x in fit), sum(x[2] for x in fit)
-    prior = math.log((pos + 0.5) / (neg + 0.5))
-    margin = dict.fromkeys({code for _, code in cells}, prior)
-    trees = []
-    bits = width + len(GENERATORS)
-    for _ in range(rounds if neg and pos else 0):
-        slopes = [(code, p - (n + p) * (q := 1 / (1 + math.exp(-margin[code]))), (n + p) * q * (1 - q)) for code, n, p in fit]
-        best = None
-        for a in range(bits):
-            for b in range(a):
-                g, h = [0.0] * 4, [0.0] * 4
-                for code, slope, curve in slopes:
-                    cell = (code >> a & 1) * 2 + (code >> b & 1)
-                    g[cell] += slope
-                    h[cell] += curve
-                gain = sum(x * x / (y + 1) for x, y in zip(g, h, strict=True))
-                if best is None or gain > best[0] + 1e-9:
-                    best = (gain, a, b, tuple(round(max(-4.0, min(4.0, rate * x / (y + 1))), 9) for x, y in zip(g, h, strict=True)))
-        _, a, b, values = best
-        trees.append((a, b, values))
-        for code in margin:
-            margin[code] += values[(code >> a & 1) * 2 + (code >> b & 1)]
-    thresholds = []
-    for i, (kind, _, _) in enumerate(GENERATORS):
-        own = [(margin[code], n) for (h, code), n in cells.items() if code >> (width + i) & 1 and h] or [(margin[code], n) for (_, code), n in cells.items() if code >> (width + i) & 1]
-        thresholds.append(_threshold(own, precision, kind in PARTIAL))
+
+    def fitted(without: int | None):
+        own: dict[int, np.ndarray] = {}
+        for (h, code), n in cells.items():
+            if h != without:
+                own[code] = own.get(code, 0) + np.array(n)
+        codes = sorted(own)
+        return _boosted(np.array(codes, int), np.array([own[c] for c in codes]).reshape(-1, 2), rounds, rate)
+
+    # A code's margin is the mean of those that other parts' trees give it: a part's own share of evidence mustn't move it.
+    scored: dict[int, tuple[float, np.ndarray]] = {}
+    for h in sorted({h for h, _ in cells}):
+        prior, trees = fitted(h)
+        for (own, code), n in cells.items():
+            if own == h:
+                m, all_n = scored.get(code, (0.0, np.zeros(2)))
+                scored[code] = (m + _margin(code, prior, trees) * sum(n), all_n + np.array(n))
+    by_generator: list[list[tuple[float, list[float]]]] = [[] for _ in GENERATORS]
+    for code, (m, n) in sorted(scored.items()):
+        by_generator[(code >> width).bit_length() - 1].append((m / n.sum(), n.tolist()))
+    prior, trees = fitted(None)
+    thresholds = [_threshold(s, precision, least, kind in PARTIAL) for s, (kind, _, _) in zip(by_generator, GENERATORS, strict=True)]
     return Boosted(prior, tuple(trees), tuple(thresholds))
 
 
+def _fewer(starts: Column, x: Column) -> Column:
+    """How many of a sorted array's entries are less than x, by halving."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(26))])
+    return F.aggregate(steps, F.lit(0), lambda lo, s: F.when(F.coalesce(F.get(starts, lo + s - 1) < x, F.lit(False)), lo + s).otherwise(lo))
+
+
+def _touches(starts: Column, ends: Column, c: Column) -> Column:
+    """Whether a span overlaps one of a kind's base spans, which are sorted and don't overlap one another."""
+    return F.coalesce(F.get(ends, _fewer(starts, c["end"]) - 1) > c["start"], F.lit(False))
+
+
 def detect(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, base_email, base_ip, base_card, base_phone: array<struct<start, end>>, spans: array<struct<kind, start, end>>).
 
-    Base spans are all kept. Candidates that the trees select and that touch no base span are added. A null or empty
+    Base spans are all kept. Candidates that the trees select, that pass their kind's check and that touch no base span are
+    added. The work on a text is in proportion to its length and, but for a logarithm, to its matches. A null or empty
     text has no spans; equal rows each have their own; any other columns of df are left out.
     """
     found_in = written(candidates(df, key, text), "candidates")
@@ -234,10 +286,21 @@ def detect(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     kind_of = F.array(*[F.lit(KINDS.index(g[0])) for g in GENERATORS])
     cut = F.array(*[F.lit(float(x)) for x in model.thresholds])
     code = lambda c: c["bits"].bitwiseOR(F.element_at(F.array(*[F.lit(1 << (len(FEATURES) + i)) for i in range(len(GENERATORS))]), c["gen"] + 1))
-    chosen = F.filter("cands", lambda c: (model.margin(code(c)) >= F.get(cut, c["gen"])) & ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    checked = F.array(*[F.lit(g[0] in CHECKED) for g in GENERATORS])
+
+    # starts and ends are made once for a text, not once for each candidate
+    edges = F.struct(*[F.col(f"base_{k}")[e].alias(f"{k}_{e}") for k in PATTERNS for e in ("start", "end")])
+
+    def able(edge: Column, c: Column) -> Column:
+        out = (model.margin(code(c)) >= F.get(cut, c["gen"])) & (~F.get(checked, c["gen"]) | (c["label"] == 1))
+        for k in PATTERNS:
+            out = out & ~_touches(edge[f"{k}_start"], edge[f"{k}_end"], c)
+        return out
+
+    chosen = let(edges, lambda edge: F.filter("cands", lambda c: able(edge, c)))
     added = F.transform(chosen, lambda c: F.struct(F.get(kind_of, c["gen"]).alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
     out = found_in.withColumn("base", base)
-    out = out.withColumn("spans", F.array_sort(F.array_distinct(F.concat("base", added))))
+    out = out.withColumn("spans", F.array_sort(F.concat("base", added)))
     named = F.transform("spans", lambda s: F.struct(F.element_at(F.array(*[F.lit(k) for k in KINDS]), s["kind"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     return out.select(key, *[f"base_{k}" for k in PATTERNS], named.alias("spans"))
 
@@ -252,6 +315,10 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+#: Characters of the blocks that a text is cut into to be put together again.
+_BLOCK = 1024
+
+
 def redact(df: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "[{}]") -> DataFrame:
     """df with every span of text replaced by mark (its kind in the braces); overlapping spans become one, named by the first.
 
@@ -261,12 +328,19 @@ def redact(df: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "
     spans = detect(df.select(key, text), key, text).select(F.col(key).alias("__k"), F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))).alias("spans"))
     out = df.join(spans, df[key] == F.col("__k"), "left").drop("__k")
     before, after = mark.split("{}")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, s):
-        gap = F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"])
-        new = F.struct(s["end"].alias("at"), F.concat(acc["out"], gap, F.lit(before), s["kind"], F.lit(after)).alias("out"))
-        return F.when(s["start"] >= acc["at"], new).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
-
-    whole = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(text))))
-    return out.withColumn(text, F.when(F.size("spans") > 0, whole).otherwise(F.col(text)))
+    blocks = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0))
+
+    def piece(cut: Column, a: Column, b: Column) -> Column:
+        """Characters a to b of a text in blocks of _BLOCK: only the blocks that they are in are looked at."""
+        first = F.floor(a / _BLOCK).cast("int")
+        some = F.slice(cut, first + 1, F.floor((b - 1) / _BLOCK).cast("int") - first + 1)
+        return F.when(b > a, F.substring(F.array_join(some, ""), a - first * _BLOCK + 1, b - a)).otherwise("")
+
+    def whole(x: Column) -> Column:
+        said = lambda s, i: F.when(s["start"] >= F.get(x["upto"], i), F.concat(piece(x["cut"], F.get(x["upto"], i), s["start"]), F.lit(before), s["kind"], F.lit(after))).otherwise("")
+        end = F.array_max(F.transform(F.col("spans"), lambda s: s["end"]))
+        return F.concat(F.array_join(F.transform("spans", said), ""), piece(x["cut"], end, F.length(text)))
+
+    upto = running(F.transform("spans", lambda s: s["end"]), lambda acc, x: F.greatest(acc, x), F.lit(0))
+    cut = F.struct(blocks.alias("cut"), upto.alias("upto"))
+    return out.withColumn(text, F.when(F.size("spans") > 0, let(cut, whole)).otherwise(F.col(text)))

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -111,3 +112,40 @@ def test_whole_secrets_and_repeated_rows(spark):
 
 def test_empty(spark):
     assert pii.detect(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_many_matches_in_one_text(spark):
+    """The work grows with the matches, not with their square: 40,000 addresses in one text."""
+    text = "é a@b.co " * 40_000
+    df = spark.createDataFrame([(1, text), (2, "10.0.0.1 " * 20_000)], "doc_id long, text string")
+    start = time.time()
+    got = {r.doc_id: r.spans for r in pii.detect(df).collect()}
+    assert [(s.kind, s.start, s.end) for s in got[1]] == [("email", 9 * i + 2, 9 * i + 8) for i in range(40_000)]
+    assert len(got[2]) == 20_000 and time.time() - start < 100
+
+
+def test_no_number_without_its_check(spark):
+    for sf in ("sf0.001", "sf0.01"):
+        docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+        texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+        for r in pii.detect(docs).collect():
+            for s in r.spans:
+                hit = texts[r.doc_id][s.start : s.end]
+                if s.kind == "card":
+                    assert luhn(re.sub("[^0-9]", "", hit)), hit
+                if s.kind == "ip":
+                    assert all(int(x) <= 255 for x in hit.split(".")), hit
+
+
+def test_redaction_of_overlapping_and_touching_spans(spark):
+    texts = ["", None, "x" * 3000 + " a@b.co " + "é" * 2000 + "10.0.0.1", "1.2.3.4@b.co 4111111111111111", "a@b.co" * 3, "none"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in pii.detect(df).collect()}
+    for r in pii.redact(df).collect():
+        want, at = "", 0
+        text = texts[r.doc_id]
+        for s in sorted(spans[r.doc_id], key=lambda s: (s.start, s.end)):
+            if s.start >= at:
+                want += text[at : s.start] + f"[{s.kind}]"
+            at = max(at, s.end)
+        assert r.text == (None if text is None else want + text[at:])
