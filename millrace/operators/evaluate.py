@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .sections import first_ids
+from ..functions.settle import settled
 
 # Gates of an evaluation.
 MIN_RECALL_3, MAX_P95_MS = 0.80, 200
@@ -39,23 +41,53 @@ def metrics(hits: DataFrame, by: list[str] | None = None) -> DataFrame:
     return hits.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), _share(1).alias("recall_1"), _share(3).alias("recall_3"), _share(10).alias("recall_10"), mrr.alias("mrr"))
 
 
+#: Ranges that a group's values are counted by in each round of a selection, the most rounds, and how many values between
+#: a place's bounds are few enough to be sorted.
+_RANGES, _ROUNDS, _FEW = 256, 8, 1 << 16
+
+
 def percentiles(df: DataFrame, column: str, ps: tuple[int, ...] = (50, 95), by: list[str] | None = None) -> DataFrame:
     """The value at place min(n-1, floor(n*p/100)) of the sorted values of each group, without interpolation.
 
-    Values are first reduced to a count for each distinct one, and their running count picks the place, so no group's
-    values meet in one array.
+    By narrowing: the values between a place's bounds are counted in _RANGES ranges of equal width, and the range that has
+    the place becomes its bounds, until both are one value or few values are left. Counts are added up in each task first, so a group of all
+    rows is no more than a few numbers a task. What _ROUNDS leave, values that lie unevenly, is counted by distinct
+    value: each task adds up its own, and a window over a place's last bounds picks. Values are compared as doubles; null and NaN
+    don't count.
     """
     keys = by or []
-    counts = df.filter(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    totals = counts.groupBy(*keys).agg(F.sum("c").alias("n"))
-    if keys:
-        run = counts.withColumn("upto", F.sum("c").over(W.partitionBy(*keys).orderBy("v").rowsBetween(W.unboundedPreceding, 0))).join(totals, keys)
-    else:
-        starts = first_ids(counts.select("v", "c"), "v", "c", start=0)
-        run = counts.join(starts, "v").withColumn("upto", F.col("first") + F.col("c")).crossJoin(F.broadcast(totals))  # one row
-    place = lambda p: F.least(F.col("n") - 1, F.floor(F.col("n") * p / 100))
-    picks = [F.min(F.when(F.col("upto") > place(p), F.col("v"))).alias(f"p{p}") for p in ps]
-    return run.groupBy(*keys).agg(*picks)
+    rows = df.select(*keys, F.col(column).cast("double").alias("v")).filter("v is not null and not isnan(v)")
+    groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    wanted = groups.select(*keys, "n", "lo", "hi", F.explode(F.array(*[F.lit(p) for p in ps])).alias("p"))
+    # below: how many values of the group are less than lo; the place is at place - below from there
+    place = F.least(F.col("n") - 1, F.floor(F.col("n") * F.col("p") / 100))
+    wanted = settled(wanted.select(*keys, "p", place.alias("place"), "lo", "hi", F.lit(0).cast("long").alias("below"), F.col("n").alias("inside")), "places")
+    wide = (F.col("lo") < F.col("hi")) & (F.col("inside") > _FEW)
+    for _ in range(_ROUNDS):
+        open_ = wanted.filter(wide)
+        if open_.isEmpty():
+            break
+        step = (F.col("v") / F.lit(_RANGES) - F.col("lo") / F.lit(_RANGES)) / (F.col("hi") / F.lit(_RANGES) - F.col("lo") / F.lit(_RANGES))  # sizes may be beyond a double's
+        met = _within(rows, open_, keys).withColumn("bin", F.least(F.floor(step * _RANGES), F.lit(_RANGES - 1)).cast("int"))
+        bins = met.groupBy(*keys, "p", "place", "below", "bin").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        order = W.partitionBy(*keys, "p").orderBy("bin").rowsBetween(W.unboundedPreceding, 0)  # _RANGES rows each
+        upto = bins.withColumn("upto", F.sum("c").over(order) + F.col("below"))
+        narrowed = upto.filter((F.col("upto") > F.col("place")) & (F.col("upto") - F.col("c") <= F.col("place")))
+        wanted = settled(wanted.filter(~wide).unionByName(narrowed.select(*keys, "p", "place", "lo", "hi", (F.col("upto") - F.col("c")).alias("below"), F.col("c").alias("inside"))), "places")
+    left = _within(rows, wanted.filter("lo < hi"), keys).groupBy(*keys, "p", "place", "below", "v").agg(F.count(F.lit(1)).alias("c"))
+    order = W.partitionBy(*keys, "p").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
+    last = left.withColumn("upto", F.sum("c").over(order) + F.col("below")).filter("upto > place").groupBy(*keys, "p").agg(F.min("v").alias("v"))
+    found = wanted.filter("lo = hi").select(*keys, "p", F.col("lo").alias("v")).unionByName(last)
+    kind = dict(df.dtypes)[column]
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("p") == p, F.col("v"))).cast(kind).alias(f"p{p}") for p in ps])
+
+
+def _within(rows: DataFrame, bounds: DataFrame, keys: list[str]) -> DataFrame:
+    """Values between the bounds of their group's places. Bounds are a row for each group and place; nulls are a group."""
+    named = bounds.toDF(*[f"__{k}" if k in keys else k for k in bounds.columns])
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    inside = (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))
+    return rows.join(named, reduce(Column.__and__, [*same, inside])).drop(*[f"__{k}" for k in keys])
 
 
 def passes(row, p95_ms: float | None = None) -> list[str]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -10,7 +12,9 @@ from ..functions import lexicon as L
 from ..functions import text as T
 from ..operators import assemble, dense, evaluate, fusion, lexical, lint, rewrite, sections, vectors
 from ..operators.source_code import language_of, without_comments
+from ..functions.settle import shared_folder
 from ..sources import corpus as sources
+from ..sources.vector_table import VectorTable
 from ..streaming import ingest
 from . import search as engine
 from .snippets import CASES
@@ -438,6 +442,46 @@ def assembled_results(spark, sf_dir):
     return assemble.assembled(cands, chunks, routes, None, 3, "https://example.com").select("query_id", "rank", "chunk_id", "score", "route", "title", "summary", "url")
 
 
+@_query(f"""
+WITH {_BM25_CTES}, c AS (SELECT r.query_id, r.chunk_id, r.score AS fused, i.text AS q, left(coalesce(d.text, ''), {L.RERANK_CAP}) AS t FROM ranked r JOIN benchmark i ON i.item_id = r.query_id JOIN documents d ON d.doc_id = r.chunk_id WHERE rank <= 20),
+s AS (SELECT query_id, chunk_id, length(q) % 5 <> 0 AS reranked, CASE WHEN length(q) % 5 = 0 THEN fused ELSE (length(t) * 7 + length(q)) % 1000 - 500 END::DOUBLE AS score FROM c)
+SELECT query_id, chunk_id, reranked, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s""")
+def reranked_results(spark, sf_dir):
+    """The 20 best documents of each item, ranked anew by a pair scorer that fails for some of the items: these stay as they were."""
+
+    def load():
+        def run(pairs):
+            if len(pairs[0][0]) % 5 == 0:
+                raise RuntimeError("no score")
+            return [float((len(t) * 7 + len(q)) % 1000 - 500) for q, t in pairs]
+
+        return run
+
+    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
+    texts = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.substring("text", 1, L.RERANK_CAP).alias("t"))
+    cands = _any_bm25(spark, sf_dir, 20).drop("rank").join(items, "query_id").join(texts, "chunk_id")
+    return lexical.best(fusion.reranked(cands, "q", "t", fusion.Reranker(load, 8)), 20).select("query_id", "chunk_id", "reranked", "score", "rank")
+
+
+@_query("""
+WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS t, conv_id % 5 AS k FROM conversations)
+SELECT 'q' || lpad((conv_id % 1000)::VARCHAR, CASE WHEN k = 2 THEN 2 ELSE 3 END, '0') AS id, turn,
+  CASE k WHEN 1 THEN 'not JSON' WHEN 2 THEN 'id' WHEN 3 THEN 'query' WHEN 4 THEN 'expected_routes' END AS problem FROM c""")
+def query_set_problems(spark, sf_dir):
+    """Conversation turns written as a query set, four fifths of whose lines are broken in some way, and what is said of each line."""
+    c = _table(spark, sf_dir, "conversations")
+    k = F.pmod("conv_id", F.lit(5))
+    name = F.concat(F.lit("q"), F.lpad(F.pmod("conv_id", F.lit(1000)).cast("string"), 3, "0"))
+    name = F.when(k == 2, F.concat(F.lit("q"), F.lpad(F.pmod("conv_id", F.lit(1000)).cast("string"), 2, "0"))).otherwise(name)
+    said = F.to_json(F.struct(name.alias("id"), F.when(k == 3, "ab").otherwise(F.rpad(F.substring(F.coalesce("text", F.lit("")), 1, 200), 200, ".")).alias("query"), F.when(k == 4, F.array().cast("array<string>")).otherwise(F.array(F.lit("a/b"))).alias("expected_routes")))
+    tagged = F.when(k == 1, F.substring(said, F.lit(1), F.length(said) - 1)).otherwise(said)
+    folder = f"{shared_folder(spark)}/query-set-{uuid.uuid4().hex}"
+    c.select(tagged.alias("value"), "turn").write.partitionBy("turn").text(folder)
+    lines = sources.eval_lines(spark, folder)
+    turn = F.regexp_extract("file", r"turn=([0-9]+)/", 1).cast("long")
+    return lines.select(F.coalesce("id", F.regexp_extract("said", '"id":"([^"]*)"', 1)).alias("id"), turn.alias("turn"), "problem")
+
+
 _TARGETS = "t AS (SELECT query_id, chunk_id FROM scored s JOIN (SELECT query_id, count(*) AS k FROM q GROUP BY 1) USING (query_id) WHERE met = k)"
 _HITS = f"{_BM25_CTES}, {_TARGETS}, h AS (SELECT i.item_id AS query_id, coalesce(min(r.rank), 0) AS hit_rank FROM benchmark i LEFT JOIN (SELECT r.* FROM ranked r JOIN t USING (query_id, chunk_id) WHERE rank <= 10) r ON r.query_id = i.item_id GROUP BY 1)"
 
@@ -535,6 +579,16 @@ def embedding_reuse(spark, sf_dir):
     return dense.refresh(d, before, model).select("chunk_id", "hash", "reused")
 
 
+@_query("SELECT doc_id AS chunk_id, sha256(coalesce(text, '')) AS hash, text = replace(text, 'the', 'teh') AS reused FROM documents WHERE doc_id % 7 <> 3")
+def vector_refresh(spark, sf_dir):
+    """The vector table of a model after an edit of some words and the loss of a seventh of the documents: which vectors stayed."""
+    d = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("body"))
+    table = VectorTable(spark, f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}", dense.hashed())
+    table.refresh(d.withColumn("body", F.replace("body", F.lit("the"), F.lit("teh"))))
+    at = table.refresh(d.filter("chunk_id % 7 <> 3"))
+    return table.read(at).select("chunk_id", "hash", (F.col("since") < at.number).alias("reused"))
+
+
 _SNIPPET = """concat('const order = client.orders.create({ amount: ', cast(cast(o_custkey AS BIGINT) * 7 AS STRING), ', currency: "', CASE WHEN o_orderstatus = 'P' THEN 'usd' ELSE 'INR' END, '" });', chr(10),
   CASE WHEN o_orderpriority = '5-LOW' THEN concat('client.payments.refund(id, { speed: "normal" });', chr(10)) WHEN o_orderpriority = '2-HIGH' THEN concat('// client.payments.refund(id);', chr(10)) ELSE '' END,
   CASE WHEN o_orderpriority = '1-URGENT' THEN concat('save({ cvv: 1 });', chr(10)) ELSE '' END)"""

@@ -12,6 +12,7 @@ from ..functions.lexicon import FUSED, RERANK_CAP, RETRIEVED, RRF_WEIGHTS, Lexic
 from ..functions.settle import settled
 from ..operators import assemble, dense, fusion, lexical
 from ..operators.rewrite import rewritten
+from ..sources.versions import Versions
 
 
 @dataclass(frozen=True)
@@ -31,6 +32,15 @@ class Corpus:
         return Corpus(tables[0], tables[1], lexical.Index.read(spark, folder, stemmed), tables[2], spark.read.parquet(embeddings) if embeddings else None, base_url)
 
 
+    @staticmethod
+    def current(spark: SparkSession, folder: str, base_url: str = "https://example.com", stemmed: bool = True, embeddings: str | None = None) -> Corpus:
+        """The version that was published last under a folder; a later one doesn't change what this reads."""
+        at = Versions(spark, folder).current()
+        if at is None:
+            raise FileNotFoundError(f"no index is published in {folder}")
+        return Corpus.read(spark, at.folder, base_url, stemmed, embeddings)
+
+
 def candidates(queries: DataFrame, corpus: Corpus, lexicon: Lexicon, embedder: dense.Embedder | None = None, hydrate_first: bool = False) -> DataFrame:
     """Fused candidates of rewritten queries, one for each route, FUSED at most: plain and synonym BM25, and vectors.
 
@@ -50,7 +60,7 @@ def candidates(queries: DataFrame, corpus: Corpus, lexicon: Lexicon, embedder: d
 
 def search(
     queries: DataFrame, corpus: Corpus, lexicon: Lexicon, k: int | None = 3, embedder: dense.Embedder | None = None,
-    reranker: Callable[[list[tuple[str, str]]], list[float]] | None = None, default_language: str | None = None, hydrate_first: bool = False,
+    reranker: fusion.Reranker | Callable[[list[tuple[str, str]]], list[float]] | None = None, default_language: str | None = None, hydrate_first: bool = False,
 ) -> DataFrame:
     """Results of queries (query_id, query, and if given language, product, topic), best first: see assemble.assembled().
 
@@ -72,7 +82,7 @@ def search(
     rows = found.join(titles, "chunk_id", "left").join(wants, "query_id")
     if reranker is not None:
         rows = rows.withColumn("__text", F.concat_ws("\n", "title", F.substring("body", 1, RERANK_CAP)))
-        rows = fusion.reranked(rows, "__query", "__text", reranker).drop("__text")
+        rows = fusion.reranked(rows, "__query", "__text", reranker).drop("__text", "reranked")
     rows = rows.withColumn("__before", F.col("score"))
     rows = fusion.boosted(fusion.only_product(rows, lexicon), lexicon)
     rows = fusion.near_duplicates_out(rows, [F.col("__before").desc(), F.col("chunk_id")])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.lexicon import FIELD_WEIGHTS
 from ..operators import lexical, sections
 from ..operators.assemble import canonical_url
+from .versions import Snapshot, Versions
 
 _ENTRY = "struct<title:string,description:string,category:string,url:string>"
 MANIFEST = f"version string, generated string, total int, base_url string, routes map<string,{_ENTRY}>"
@@ -64,6 +65,11 @@ def write_index(docs: DataFrame, folder: str, base_url: str, source_sha: str = "
     return counts
 
 
+def publish_index(docs: DataFrame, folder: str, base_url: str, source_sha: str = "unknown", stem: bool = True) -> Snapshot:
+    """write_index() into a new version under folder, which counts only once all its tables are there."""
+    return Versions(docs.sparkSession, folder).publish(lambda aside: write_index(docs, aside, base_url, source_sha, stem))
+
+
 def fingerprint(spark: SparkSession, path: str) -> str:
     """Of a table's files: their names, sizes and times, so that a change of any file changes it."""
     jvm = spark.sparkContext._jvm
@@ -81,12 +87,37 @@ def meta_value(spark: SparkSession, folder: str, key: str) -> str | None:
     return rows[0].value if rows else None
 
 
-def eval_queries(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON-lines query set; a line that doesn't fit fails the read."""
-    rows = spark.read.schema(QUERIES).option("mode", "FAILFAST").json(path)
-    ok = F.col("id").rlike(r"^q\d{3}$") & F.length("query").between(3, 256) & (F.size("expected_routes") >= 1)
-    checked = F.when(F.coalesce(ok, F.lit(False)), F.col("query")).otherwise(F.raise_error(F.concat(F.lit("a query doesn't fit: "), F.coalesce("id", F.lit("without id")))).cast("string"))
-    return rows.withColumn("query", checked).withColumnRenamed("id", "query_id")
+def eval_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, said, problem, and the QUERIES columns) of each line of JSON-lines query sets that isn't blank.
+
+    problem is null for a line that fits, else what is wrong with it first: not JSON, id, query, or expected_routes.
+    """
+    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "said"))
+    kept = texts.filter(F.trim("said") != "").withColumn("line", F.col("line") + 1)
+    read = kept.withColumn("q", F.from_json("said", f"{QUERIES}, __bad string", {"columnNameOfCorruptRecord": "__bad"}))
+    ok = lambda c: F.coalesce(c, F.lit(False))
+    problem = (
+        F.when(F.col("q").isNull() | F.col("q.__bad").isNotNull(), "not JSON").when(~ok(F.col("q.id").rlike(r"^q\d{3}$")), "id")
+        .when(~ok(F.length("q.query").between(3, 256)), "query").when(~ok(F.size("q.expected_routes") >= 1), "expected_routes")
+    )
+    return read.withColumn("problem", problem).select("file", "line", "said", "problem", *[f"q.{c.split()[0]}" for c in QUERIES.split(", ")])
+
+
+def eval_queries(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """The queries of JSON-lines sets. strict: a line that doesn't fit fails the read; else such lines are left out, and
+    broken_queries() has them."""
+    rows = eval_lines(spark, path)
+    if strict:
+        said = F.concat(F.lit("a query doesn't fit: "), "file", F.lit(" line "), F.col("line").cast("string"), F.lit(", "), "problem")
+        rows = rows.withColumn("query", F.when(F.col("problem").isNotNull(), F.raise_error(said).cast("string")).otherwise(F.col("query")))
+    else:
+        rows = rows.filter("problem is null")
+    return rows.drop("file", "line", "said", "problem").withColumnRenamed("id", "query_id")
+
+
+def broken_queries(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, problem, said) of the lines of query sets that don't fit."""
+    return eval_lines(spark, path).filter("problem is not null").select("file", "line", "problem", "said")
 
 
 # Files that declare an SDK, in the order they are asked, and what in them says so.
