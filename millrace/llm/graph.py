@@ -24,8 +24,9 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node that can be reached, for every node on an edge (u, v).
 
-    Each round is a few grouped joins; rounds grow with the logarithm of a component's size, and its rows never meet
-    in one task. Every round is written to the shared folder, so the plan stays short. Nulls and loops are left out.
+    Each round is a few grouped joins; rounds grow with the logarithm of a component's size. A component's rows don't meet in
+    one task, but the edges of one node are joined by it: those of a hub are narrow rows in a join that Spark splits
+    where it is skewed. Every round is written to the shared folder, so the plan stays short. Nulls and loops are left out.
     """
     edges = edges.select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).filter("u > v").distinct()
     edges = written(edges.select("u", "v"), "edges")
