@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.settle import spread
-from .rules import RULES, SEVERITIES, Code, Rule, chosen, fired
+from .rules import HITS, RULES, SEVERITIES, Code, Rule, chosen, fired, trigger_mask, triggered
 from .source_code import language_of, without_comments
 
 
@@ -25,16 +25,20 @@ def _code_columns(df: DataFrame, code: str, language: str | None, brand: str, ma
 def lint(df: DataFrame, code: str = "code", language: str | None = None, concern: str = "all", rules: tuple[Rule, ...] = RULES, brand: str = "acme", key: str = "acme", mask: bool = True) -> DataFrame:
     """df with language_detected and issues: array<struct<rank, line, rule_id, column, snippet>>, sorted by severity, line, rule.
 
-    Row by row; only a small input is dealt out to all cores. A rule hits a line once. language names a column with a file name or language that
+    The rules' triggers are looked for once, and only rules that have one of theirs in a snippet are tried on it. Row by
+    row; only a small input is dealt out to all cores. A rule hits a line once. language names a column with a file name or language that
     goes before what the code looks like. A null or empty snippet has no issue. mask=False lints comments too.
     """
     own = chosen(concern, rules=rules)
     rows = _code_columns(spread(df), code, language, brand, mask)
+    rows = rows.withColumn("__bits", triggered(F.col("__masked"), own, brand, key))
     c = Code(F.col("__code"), F.col("__masked"), F.col("__lines"), F.col("__masked_lines"), brand, key)
 
     def issues(r: Rule) -> Column:
         applies = F.lit(True) if "*" in r.languages else F.col("__lang").isin(*r.languages)
-        return F.transform(F.filter(fired(c, r), lambda h: applies), lambda h: F.struct(F.lit(SEVERITIES.index(r.severity)).alias("rank"), h["line"].alias("line"), F.lit(r.id).alias("rule_id"), h["column"].alias("column"), h["snippet"].alias("snippet")))
+        needed = trigger_mask(r, own)
+        hits = fired(c, r) if needed is None else F.when(F.col("__bits").bitwiseAND(F.lit(needed)) != 0, fired(c, r)).otherwise(F.array().cast(HITS))
+        return F.transform(F.filter(hits, lambda h: applies), lambda h: F.struct(F.lit(SEVERITIES.index(r.severity)).alias("rank"), h["line"].alias("line"), F.lit(r.id).alias("rule_id"), h["column"].alias("column"), h["snippet"].alias("snippet")))
 
     found = F.array_sort(F.concat(*[issues(r) for r in own]))
     return rows.select(*df.columns, F.col("__lang").alias("language_detected"), found.alias("issues"))

@@ -8,10 +8,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import column_of, line_of, matches, rx
+from ..functions.text import column_of, let, line_of, matches, rx
 from .source_code import named
 
 SNIPPET = 240
+HITS = "array<struct<line:int,column:int,snippet:string>>"
 SEVERITIES = ("error", "warning", "info")
 
 
@@ -52,7 +53,7 @@ def hit_at(line: Column, snippet: Column, column: Column | None = None) -> Colum
 
 
 def _none() -> Column:
-    return F.array().cast("array<struct<line:int,column:int,snippet:string>>")
+    return F.array().cast(HITS)
 
 
 def _all(c: Code, found: Column, said: Callable[[Column], Column] | None = None) -> Column:
@@ -271,10 +272,43 @@ class Rule:
     detect: Detector
     section: str | None = None
     languages: tuple[str, ...] = ("*",)
+    #: A hit needs one of these in the masked code, in lower case; without any the rule is always tried.
+    triggers: tuple[str, ...] = ()
+
+
+#: What each rule's patterns can't match without, in lower case. Rule 10 also hits bare numbers, so it has none.
+TRIGGERS = {
+    1: ("mac",), 2: ("mac",), 3: ("amount",), 4: ("payment",), 5: ("_live_",), 6: ("_test_",), 7: ("payment_capture",), 8: ("refund",),
+    9: ("cvv", "cvc", "card_code", "cardcode", "card_security_code"), 11: ("://",), 12: ("currency",), 13: ("subscription",), 14: ("upi", "intent"), 15: ("payment",),
+    16: ("payment_id",), 17: ("notes",), 18: ("receipt",), 19: ("_test_",), 20: ("status",), 21: ("signature", "webhook", "payment.captured", "order.paid", "invoice.paid"),
+    22: ("currency",), 23: ("secret",), 24: ("partner", "merchant", "linked", "aggregator"), 25: ("recurring",), 26: ("capture",), 27: ("refund",), 28: ("secret",), 29: ("receipt",), 30: ('"<brand>"',),
+}
 
 
 def _r(n, severity, concern, title, route, excerpt, fix, detect, section=None) -> Rule:
-    return Rule(f"L{n:03d}", severity, concern, title, route, excerpt, fix, detect, section)
+    return Rule(f"L{n:03d}", severity, concern, title, route, excerpt, fix, detect, section, triggers=TRIGGERS.get(n, ()))
+
+
+def triggered(masked: Column, rules: tuple[Rule, ...], brand: str, key: str) -> Column:
+    """A number with a bit for each distinct trigger of the rules that a text has; the bits are those of trigger_mask()."""
+
+    def bits(low: Column) -> Column:
+        out = F.lit(0).cast("long")
+        for t, bit in trigger_bits(rules).items():
+            out = out + F.when(F.contains(low, F.lit(named(t, brand, key).lower())), F.lit(bit)).otherwise(F.lit(0))
+        return out
+
+    return let(F.lower(masked), bits)
+
+
+def trigger_bits(rules: tuple[Rule, ...]) -> dict[str, int]:
+    return {t: 1 << i for i, t in enumerate(sorted({t for r in rules for t in r.triggers}))}
+
+
+def trigger_mask(rule: Rule, rules: tuple[Rule, ...]) -> int | None:
+    """The bits of which a text needs one for the rule; None if it needs none."""
+    bits = trigger_bits(rules)
+    return sum(bits[t] for t in rule.triggers) if rule.triggers else None
 
 
 # Ids, severities, concerns, and the routes and sections that the rules cite. Titles and texts are this library's own.
@@ -314,13 +348,11 @@ RULES: tuple[Rule, ...] = (
 
 def fired(c: Code, rule: Rule) -> Column:
     """A rule's hits, the first of each line."""
-    zero = F.struct(F.array().cast("array<int>").alias("lines"), _none().alias("out"))
 
-    def step(acc, h):
-        new = F.struct(F.array_append(acc["lines"], h["line"]).alias("lines"), F.array_append(acc["out"], h).alias("out"))
-        return F.when(F.array_contains(acc["lines"], h["line"]), acc).otherwise(new)
+    def first(hits: Column) -> Column:
+        return let(F.transform(hits, lambda h: h["line"]), lambda lines: F.filter(hits, lambda h, i: F.array_position(lines, h["line"]) == i + 1))
 
-    return F.aggregate(rule.detect(c), zero, step, lambda acc: acc["out"])
+    return let(rule.detect(c), first)
 
 
 def chosen(concern: str = "all", exclude: tuple[str, ...] = (), rules: tuple[Rule, ...] = RULES) -> tuple[Rule, ...]:

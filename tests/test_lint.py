@@ -89,3 +89,18 @@ def test_lines_behind_characters_beyond_the_bmp(spark):
     df = spark.createDataFrame(flat, "rule string, code string, line int").withColumn("hint", F.lit("a.js"))
     for r in lint.lint(df, language="hint").collect():
         assert [x.line for x in r.issues if x.rule_id == r.rule] == [r.line], r
+
+
+def test_triggers_lose_no_hit(spark):
+    """Rules behind their triggers say what they say without: over all cases, in several letter cases, alone and joined."""
+    from dataclasses import replace
+
+    from millrace.operators.rules import RULES
+
+    texts = [code for cases in CASES.values() for code, _ in cases]
+    texts += ["\n".join(texts[i : i + 3]) for i in range(0, len(texts), 3)] + [t.upper() for t in texts] + [t.lower() for t in texts] + ["", "nothing here", "4111111111111111"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, code string")
+    found = lambda rules: {r.i: r.issues for r in lint.lint(df, rules=rules).collect()}
+    with_them = found(RULES)
+    assert with_them == found(tuple(replace(r, triggers=()) for r in RULES))
+    assert len({x.rule_id for issues in with_them.values() for x in issues}) == 30
