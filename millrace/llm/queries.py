@@ -107,7 +107,7 @@ QUERIES = {"op1_substrings": op1_substrings, "op2_pii": op2_pii, "op3_sharding":
 
 def _op9_sql() -> str:
     def count(terms):
-        return " + ".join(f"regexp_matches(u, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')::INT" for t in terms)
+        return " + ".join(f"{w} * regexp_matches(u, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')::INT" for t, w in terms.items())
 
     fits = lambda h, p: f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))"
     long_first = sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))
@@ -121,7 +121,7 @@ WITH cut AS (
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
   FROM pages)
 SELECT page_id, host, path, {rule} AS rule,
-  {said} WHEN {count(urls.STRICT)} > 0 OR {count(urls.SOFT)} >= {urls.SOFT_LIMIT} THEN 'block' ELSE 'allow' END AS verdict
+  {said} WHEN {count(dict.fromkeys(urls.STRICT, 1))} > 0 OR {count(urls.SOFT)} >= {urls.SOFT_LIMIT} THEN 'block' ELSE 'allow' END AS verdict
 FROM cut"""
 
 

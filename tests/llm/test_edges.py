@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import classify, decontaminate, lines, minhash, pieces, pii, quality, sharding, substrings, urls
+from millrace.llm import classify, decontaminate, lines, minhash, pieces, pii, quality, secrets, sharding, substrings, urls
 
 RUN = " ".join(f"word{i}" for i in range(70))
 TEXTS = [None, "", " \n", RUN, RUN, RUN + " more", "x " * 60_000, "short text", "a\n" * 4000, RUN.replace("word1", "wort1")]
@@ -35,6 +35,7 @@ OPERATORS = {
     "op8": lambda s, d: d.select("doc_id", F.hash(classify.statistics_of(F.col("text"))).alias("a")),
     "op9": lambda s, d: urls.url_filter(d.withColumn("url", F.concat(F.lit("http://a.org/"), "text"))).select("doc_id", "url_verdict"),
     "op10": lambda s, d: lines.line_dedup(d).select("doc_id", "n_removed_lines"),
+    "op12": lambda s, d: secrets.detect(d).select("doc_id", F.size("spans").alias("n")),
     **{f"stage {n}": (lambda f: lambda s, d: f(s, d, "/root/testdata/sf0.001").select("doc_id"))(f) for n, f in corpus_pipeline.STAGES},
 }
 
@@ -43,7 +44,7 @@ OPERATORS = {
 def test_clashing_names_change_nothing(spark, name):
     plain = sorted(map(repr, OPERATORS[name](spark, _docs(spark)).collect()))
     assert plain == sorted(map(repr, OPERATORS[name](spark, _docs(spark, extra=True)).collect()))
-    if name in ("op2", "op4", "op5", "op7", "op8", "op9", "op10"):
+    if name in ("op2", "op4", "op5", "op7", "op8", "op9", "op10", "op12"):
         assert len(plain) == len(TEXTS) + 2
 
 
@@ -53,7 +54,7 @@ def test_empty_tables(spark, name):
 
 
 def test_repeated_rows_have_one_result(spark):
-    for name in ("op1", "op2", "op4", "op5", "op6", "op7", "op8", "op9", "op10"):
+    for name in ("op1", "op2", "op4", "op5", "op6", "op7", "op8", "op9", "op10", "op12"):
         rows = {repr(r) for r in OPERATORS[name](spark, _docs(spark)).collect() if r.doc_id == 3}
         assert len(rows) == 1, name
 

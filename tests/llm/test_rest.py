@@ -200,3 +200,16 @@ def test_pipeline(spark):
     assert all(d.columns == corpus_pipeline.COLUMNS for d in (kept, lined, near, clean))
     out = corpus_pipeline.run(spark, DATA).collect()
     assert {r.doc_id for r in out} == {r.doc_id for r in clean.select("doc_id").collect()} and all(r.restored for r in out)
+
+
+def test_url_vocabulary_decides(spark):
+    """Urls that no rule is about, in several languages: the vocabulary alone decides, and ordinary words don't add up."""
+    block = ["http://best-casino.example.org/", "http://a.de/sportwetten/heute", "http://a.fr/machines-a-sous", "http://a.es/apuestas?x=1", "http://a.org/win/bonus", "http://a.de/erotik/kostenlos/lotto", "http://a.es/sexo/citas", "http://x.de/gl\u00fccksspiel/", "http://a.fr/rencontres-sexe"]
+    allow = ["http://a.de/angebot/kostenlos/billig", "http://a.fr/gratuit/offre", "http://a.es/oferta/gratis", "http://a.org/kredit/angebot", "http://a.org/cassino", "http://a.org/sexes", "http://a.org/win", "http://a.org/win/win", None, ""]
+    rows = {r.url: r.url_verdict for r in urls.url_filter(spark.createDataFrame([(u,) for u in block + allow], "url string")).collect()}
+    assert {u for u, v in rows.items() if v == "block"} == set(block)
+    table = spark.createDataFrame([("Foo", "strict", None), ("bar", "soft", 5.0), ("baz", "soft", 0.5), ("baz", "soft", 1.0), (None, "soft", 1.0)], "term string, kind string, weight double")
+    strict, soft = urls.terms_of(table)
+    assert (strict, soft) == (("foo",), {"bar": 1.0, "baz": 1.0})
+    own = urls.url_filter(spark.createDataFrame([("x/foo",), ("x/bar",), ("x/bar/baz",)], "url string"), strict=strict, soft=soft)
+    assert [r.url_verdict for r in own.collect()] == ["block", "allow", "block"]
