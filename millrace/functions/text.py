@@ -135,20 +135,31 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
     the text. Null gives none. Texts without a match, which are most for a rule, cost one search.
     """
     text = F.coalesce(text, F.lit(""))
+    return F.when(text.rlike(pattern), placed(pieces_of(text, pattern, group))).otherwise(no_matches())
+
+
+def no_matches() -> Column:
+    return F.array().cast("array<struct<start:int,hit:string,part:string>>")
+
+
+def pieces_of(text: Column, pattern: str, group: int = 0) -> Column:
+    """struct<gaps, hits, parts>: lengths of what lies around the matches, the matches, and a group of each."""
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-    pairs = F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("gap"), h.alias("h")))
-    if group:
-        parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-        pairs = F.zip_with(pairs, parts, lambda x, p: F.struct(x["gap"].alias("gap"), x["h"].alias("h"), p.alias("p")))
-
-    def rows(xs: Column) -> Column:
-        begins = offsets(F.transform(xs, lambda x: x["gap"] + F.coalesce(F.length(x["h"]), F.lit(0))))
-        row = lambda x, at: F.struct((at + x["gap"]).alias("start"), x["h"].alias("hit"), (x["p"] if group else x["h"]).alias("part"))
-        return F.filter(F.zip_with(xs, begins, row), lambda r: r["hit"].isNotNull())
-
-    none = F.array().cast("array<struct<start:int,hit:string,part:string>>")
-    return F.when(text.rlike(pattern), let(pairs, rows)).otherwise(none)
+    parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits
+    return F.struct(gaps.alias("gaps"), hits.alias("hits"), parts.alias("parts"))
+
+
+def placed(pieces: Column) -> Column:
+    """array<struct<start, hit, part>> of pieces_of()."""
+
+    def rows(x: Column) -> Column:
+        sizes = F.zip_with(x["gaps"], x["hits"], lambda g, h: g + F.coalesce(F.length(h), F.lit(0)))
+        begins = F.zip_with(offsets(sizes), x["gaps"], lambda at, g: at + g)
+        found = F.slice(begins, F.lit(1), F.size(x["hits"]))  # the last gap has no match behind it
+        return F.zip_with(F.arrays_zip(found.alias("start"), x["hits"].alias("hit")), x["parts"], lambda f, p: F.struct(f["start"].alias("start"), f["hit"].alias("hit"), p.alias("part")))
+
+    return let(pieces, rows)
 
 
 def line_of(text: Column, start: Column) -> Column:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.settle import spread
-from .rules import HITS, RULES, SEVERITIES, Code, Rule, chosen, fired, trigger_mask, triggered
+from .rules import FOUND, HITS, RULES, SEVERITIES, Code, Rule, chosen, first_of_line, trigger_mask, triggered
 from .source_code import language_of, without_comments
 
 
@@ -32,15 +34,19 @@ def lint(df: DataFrame, code: str = "code", language: str | None = None, concern
     own = chosen(concern, rules=rules)
     rows = _code_columns(spread(df), code, language, brand, mask)
     rows = rows.withColumn("__bits", triggered(F.col("__masked"), own, brand, key))
-    c = Code(F.col("__code"), F.col("__masked"), F.col("__lines"), F.col("__masked_lines"), brand, key)
+    c = Code(F.col("__code"), F.col("__masked"), F.col("__lines"), F.col("__masked_lines"), brand, key, F.col("__bits"))
 
-    def issues(r: Rule) -> Column:
+    def tried(r: Rule) -> Column:
+        mine = replace(c, needed=trigger_mask(r, own))
         applies = F.lit(True) if "*" in r.languages else F.col("__lang").isin(*r.languages)
-        needed = trigger_mask(r, own)
-        hits = fired(c, r) if needed is None else F.when(F.col("__bits").bitwiseAND(F.lit(needed)) != 0, fired(c, r)).otherwise(F.array().cast(HITS))
-        return F.transform(F.filter(hits, lambda h: applies), lambda h: F.struct(F.lit(SEVERITIES.index(r.severity)).alias("rank"), h["line"].alias("line"), F.lit(r.id).alias("rule_id"), h["column"].alias("column"), h["snippet"].alias("snippet")))
+        hits = F.when(applies & mine.wanted(mine.needed), r.detect(mine)).otherwise(F.array().cast(HITS))
+        return F.struct(F.lit(SEVERITIES.index(r.severity)).alias("rank"), F.lit(r.id).alias("rule_id"), hits.alias("hits"))
+
+    def issues(x: Column) -> Column:
+        return F.transform(first_of_line(x["hits"]), lambda h: F.struct(x["rank"].alias("rank"), h["line"].alias("line"), x["rule_id"].alias("rule_id"), h["column"].alias("column"), h["snippet"].alias("snippet")))
 
-    found = F.array_sort(F.concat(*[issues(r) for r in own]))
+    found = F.array_sort(F.flatten(F.transform(F.array(*[tried(r) for r in own]), issues)))
+    rows = rows.withColumn(FOUND, c.located())  # of the patterns that the rules have noted by now
     return rows.select(*df.columns, F.col("__lang").alias("language_detected"), found.alias("issues"))
 
 

@@ -3,22 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import column_of, let, line_of, matches, rx
+from ..functions.text import column_of, let, line_of, matches, no_matches, pieces_of, placed, rx
 from .source_code import named
 
 SNIPPET = 240
+FOUND = "__found"
 HITS = "array<struct<line:int,column:int,snippet:string>>"
 SEVERITIES = ("error", "warning", "info")
 
 
 @dataclass(frozen=True)
 class Code:
-    """Columns of one snippet, and the vendor's names."""
+    """Columns of one snippet, and the vendor's names.
+
+    Patterns that rules look for are noted, and found() refers to a column that located() makes of all of them: their
+    offsets are then told by one expression, and the plan stays small enough to be made in little time.
+    """
 
     code: Column
     masked: Column
@@ -26,6 +31,11 @@ class Code:
     masked_lines: Column
     brand: str
     key: str
+    bits: Column
+    #: The bits of which a snippet needs one for the rule at hand; None if it needs none.
+    needed: int | None = None
+    #: Pattern and group to the bits of all rules that look for it.
+    noted: dict[tuple[str, int], int | None] = field(default_factory=dict)
 
     def rx(self, pattern: str, flags: str = "") -> str:
         return rx(named(pattern, self.brand, self.key), flags)
@@ -34,7 +44,21 @@ class Code:
         return self.masked.rlike(self.rx(pattern, flags))
 
     def found(self, pattern: str, flags: str = "", group: int = 0) -> Column:
-        return matches(self.masked, self.rx(pattern, flags), group)
+        asked = (self.rx(pattern, flags), group)
+        before = self.noted.get(asked, 0)
+        self.noted[asked] = None if before is None or self.needed is None else before | self.needed
+        return F.get(F.col(FOUND), F.lit(list(self.noted).index(asked)))
+
+    def wanted(self, needed: int | None) -> Column:
+        return F.lit(True) if needed is None else self.bits.bitwiseAND(F.lit(needed)) != 0
+
+    def located(self) -> Column:
+        """For each noted pattern its matches in the masked code: none where no rule that looks for it is tried."""
+        text = F.coalesce(self.masked, F.lit(""))
+        pieces = [F.when(self.wanted(needed) & text.rlike(p), pieces_of(text, p, group)) for (p, group), needed in self.noted.items()]
+        if not pieces:
+            return F.array().cast("array<array<struct<start:int,hit:string,part:string>>>")
+        return F.transform(F.array(*pieces), lambda x: F.when(x.isNotNull(), placed(x)).otherwise(no_matches()))
 
     def first(self, pattern: str, flags: str = "") -> Column:
         """Offset of the first match in code points, null without one."""
@@ -346,13 +370,9 @@ RULES: tuple[Rule, ...] = (
 )
 
 
-def fired(c: Code, rule: Rule) -> Column:
+def first_of_line(hits: Column) -> Column:
     """A rule's hits, the first of each line."""
-
-    def first(hits: Column) -> Column:
-        return let(F.transform(hits, lambda h: h["line"]), lambda lines: F.filter(hits, lambda h, i: F.array_position(lines, h["line"]) == i + 1))
-
-    return let(rule.detect(c), first)
+    return let(F.transform(hits, lambda h: h["line"]), lambda lines: F.filter(hits, lambda h, i: F.array_position(lines, h["line"]) == i + 1))
 
 
 def chosen(concern: str = "all", exclude: tuple[str, ...] = (), rules: tuple[Rule, ...] = RULES) -> tuple[Rule, ...]:
