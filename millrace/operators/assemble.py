@@ -34,15 +34,15 @@ def related(routes: DataFrame, graph: DataFrame, most: int = MAX_RELATED) -> Dat
     return rows.select("route", F.transform("x", lambda r: F.struct(r["route"].alias("route"), r["title"].alias("title"))).alias("related"))
 
 
-def assembled(cands: DataFrame, chunks: DataFrame, routes: DataFrame, graph: DataFrame | None, k: int, base_url: str) -> DataFrame:
+def assembled(cands: DataFrame, chunks: DataFrame, routes: DataFrame, graph: DataFrame | None, k: int | Column, base_url: str) -> DataFrame:
     """One row for each query's result, best first: the chunk's texts, shown code blocks, url and related routes.
 
-    cands: query_id, chunk_id, score, language. Only candidates meet the chunks, so bodies are read after the top-k.
+    cands: query_id, chunk_id, score, language, and what k refers to if it is a column. Only candidates meet the chunks, so bodies are read after the top-k.
     Candidates without a chunk are left out, and of a route's chunks the best stays.
     """
-    hydrated = chunks.select("chunk_id", "route", "title", "description", "heading_path", "body", "code_blocks").join(cands.select("query_id", "chunk_id", "score", "language"), "chunk_id")
+    hydrated = chunks.select("chunk_id", "route", "title", "description", "heading_path", "body", "code_blocks").join(cands.select("query_id", "chunk_id", "score", "language", (k if isinstance(k, Column) else F.lit(k)).alias("__k")), "chunk_id")
     first = hydrated.withColumn("n", F.row_number().over(W.partitionBy("query_id", "route").orderBy(F.col("score").desc(), "chunk_id"))).filter("n = 1")
-    ranked = first.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id"))).filter(F.col("rank") <= k)
+    ranked = first.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id"))).filter("rank <= __k")
     out = ranked.join(routes.select("route", "url"), "route", "left")
     if graph is not None:
         out = out.join(related(routes, graph), "route", "left")

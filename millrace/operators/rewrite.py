@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lexicon import LANGUAGE_HINTS, TOPIC_HINTS, Lexicon
+from ..functions.lexicon import LANGUAGE_HINTS, SDK_LANGUAGES, TOPIC_HINTS, Lexicon
 from ..functions.settle import spread
 from ..functions.text import first_hint, query_tokens, without_noise
 from .lexical import all_of, expanded, match_string
 
 MIN_QUERY, MAX_QUERY = 3, 256
+#: Results that may be asked for.
+MIN_K, MAX_K = 1, 10
 
 
 def rewritten(queries: DataFrame, lexicon: Lexicon, text: str = "query") -> DataFrame:
@@ -36,3 +38,24 @@ def accepted(df: DataFrame, text: str = "query", least: int = MIN_QUERY, most: i
     """Rows whose text has an allowed length, and the others. Snippets to lint have 1 to 50,000 characters, routes 1 to 512."""
     fits = F.coalesce(F.length(text).between(least, most), F.lit(False))
     return df.filter(fits), df.filter(~fits)
+
+
+def requests(queries: DataFrame, lexicon: Lexicon, text: str = "query") -> DataFrame:
+    """queries with language, product, topic and k, null where they lack such a column, and problem: null, or which of
+    query, language, product, topic and k is out of bounds, the first of them.
+
+    A null is no problem but for the query itself. k is a whole number from 1 to 10.
+    """
+    for c, kind in (("language", "string"), ("product", "string"), ("topic", "string"), ("k", "int")):
+        if c not in queries.columns:
+            queries = queries.withColumn(c, F.lit(None).cast(kind))
+    named = {"language": SDK_LANGUAGES, "product": lexicon.product_prefixes, "topic": lexicon.topic_prefixes}
+    wrong = F.when(~F.coalesce(F.length(text).between(MIN_QUERY, MAX_QUERY), F.lit(False)), "query")
+    for c, names in named.items():
+        wrong = wrong.when(~F.col(c).isin(*names), c)
+    return queries.withColumn("problem", wrong.when(~(F.col("k").between(MIN_K, MAX_K) & (F.col("k") % 1 == 0)), "k"))
+
+
+def interpretation(queries: DataFrame, lexicon: Lexicon, text: str = "query") -> DataFrame:
+    """(query_id, detected_language, detected_product, expanded_terms, tokens) of each query: what a search makes of it."""
+    return rewritten(queries, lexicon, text).select("query_id", "detected_language", "detected_product", "expanded_terms", "tokens")

@@ -301,21 +301,33 @@ def product_filter(spark, sf_dir):
 
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in LEXICON.stopwords) + "]"
-_REWRITE_CTES = f"""
-r AS (SELECT conv_id, turn, trim(coalesce(text, '')) AS said FROM conversations),
+
+
+def _rewrite_ctes(said: str) -> str:
+    """Tables r, n, k, m, o: texts said, without noise, their words, the words' stems, and words whose stem is the first of its kind."""
+    return f"""
+r AS ({said}),
 n AS (SELECT *, {_sql_noise("lower(said)")} AS bare FROM r),
 k AS (SELECT *, list_filter(regexp_extract_all(bare, '[a-z0-9][a-z0-9_-]*'), lambda x: length(x) >= 2 AND NOT list_contains({_STOP}, x)) AS t FROM n),
 m AS (SELECT *, list_transform(t, lambda x: {_sql_stem("x")}) AS stems FROM k),
 o AS (SELECT *, list_filter(t, lambda x, i: list_position(stems, stems[i]) = i) AS tokens FROM m)"""
-_GROUP_OF = "MAP {" + ", ".join(f"'{t}': {i + 1}" for t, i in LEXICON.group_of().items()) + "}"
-_GROUPS = "[" + ", ".join("'" + "|".join(g) + "'" for g in LEXICON.synonyms) + "]"
+
+
+
+def _sql_groups(lexicon: L.Lexicon) -> tuple[str, str]:
+    """A map of terms to the number of their synonym group, and the groups."""
+    numbers = "MAP {" + ", ".join(f"'{t}': {i + 1}" for t, i in lexicon.group_of().items()) + "}"
+    return numbers, "[" + ", ".join("[" + ", ".join(f"'{t}'" for t in g) + "]" for g in lexicon.synonyms) + "]"
+
+
+_GROUP_OF, _GROUPS = _sql_groups(LEXICON)
 
 
 @_query(f"""
-WITH {_REWRITE_CTES},
+WITH {_rewrite_ctes("SELECT conv_id, turn, trim(coalesce(text, '')) AS said FROM conversations")},
 g AS (SELECT *, list_transform(tokens, lambda x: {_GROUP_OF}[x]) AS gs FROM o)
 SELECT conv_id, turn, CASE WHEN bare <> '' THEN bare ELSE lower(said) END AS cleaned, array_to_string(tokens, ' ') AS tokens,
-  array_to_string(list_transform(list_filter(tokens, lambda x, i: gs[i] IS NULL OR list_position(gs, gs[i]) = i), lambda x: coalesce({_GROUPS}[{_GROUP_OF}[x]], x)), ' & ') AS groups,
+  array_to_string(list_transform(list_filter(tokens, lambda x, i: gs[i] IS NULL OR list_position(gs, gs[i]) = i), lambda x: coalesce(array_to_string({_GROUPS}[{_GROUP_OF}[x]], '|'), x)), ' & ') AS groups,
   {_sql_hints("said", L.LANGUAGE_HINTS)} AS language, {_sql_hints("said", LEXICON.product_hints)} AS product, {_sql_hints("said", L.TOPIC_HINTS)} AS topic FROM g""")
 def query_rewrite(spark, sf_dir):
     """Every conversation turn read as a query."""
@@ -710,3 +722,86 @@ def search_pipeline(spark, sf_dir):
     queries = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     out = engine.search(queries, corpus, LEXICON, k=10, embedder=model)
     return out.select("query_id", "rank", "chunk_id", F.round("score", 9).alias("score"), "route", "title", "url")
+
+
+#: Groups of common words of the given texts, so that their queries have synonyms.
+_WORDY = L.Lexicon(synonyms=(("der", "die", "des"), ("ed", "er"), ("elle", "le"), ("en", "ent")))
+_AREA = "CASE lang WHEN 'en' THEN 'payments' WHEN 'fr' THEN 'api/payments' WHEN 'de' THEN 'webhooks' WHEN 'es' THEN 'x' ELSE 'pos' END"
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every two words of each benchmark item in a row as a query, some with a product, a topic or a number of results, and some out of bounds."""
+    words = F.transform(T.ascii_tokens(F.col("text")), lambda w, i: F.struct(w.alias("w"), i.alias("i")))
+    two = F.transform(F.filter("ws", lambda x: x["i"] % 2 == 0), lambda x: F.struct((x["i"] / 2).cast("int").alias("p"), F.concat_ws(" ", x["w"], F.get("ws", x["i"] + 1)["w"]).alias("query")))
+    rows = _table(spark, sf_dir, "benchmark").select("item_id", words.alias("ws")).select("item_id", F.inline(two))
+    product = F.when(F.col("p") % 4 == 0, "payments").when(F.col("p") % 4 == 1, "x")
+    topic = F.when(F.col("p") % 3 == 0, "api").when(F.col("p") % 3 == 1, "webhooks").when(F.col("p") % 21 == 2, "weather")
+    return rows.select((F.col("item_id") * 1000 + F.col("p")).cast("long").alias("query_id"), "query", product.alias("product"), topic.alias("topic"), F.when(F.col("p") % 2 == 0, F.col("p") % 12).alias("k"))
+
+
+_ASKED = f"""SELECT *, CASE WHEN length(said) NOT BETWEEN 3 AND 256 THEN 'query' WHEN topic = 'weather' THEN 'topic' WHEN k NOT BETWEEN 1 AND 10 THEN 'k' END AS problem FROM (
+  SELECT item_id * 1000 + p AS query_id, ws[2 * p + 1] || coalesce(' ' || ws[2 * p + 2], '') AS said, CASE p % 4 WHEN 0 THEN 'payments' WHEN 1 THEN 'x' END AS product,
+    CASE WHEN p % 3 = 0 THEN 'api' WHEN p % 3 = 1 THEN 'webhooks' WHEN p % 21 = 2 THEN 'weather' END AS topic, CASE WHEN p % 2 = 0 THEN p % 12 END AS k
+  FROM (SELECT item_id, ws, unnest(range((len(ws) + 1) // 2)) AS p FROM (SELECT item_id, {_WORDS.format("text")} AS ws FROM benchmark)))"""
+
+
+def _wordy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _table(spark, sf_dir, "documents")
+    words = T.ascii_tokens(F.col("text"))
+    segment = F.concat_ws("-", F.coalesce(F.get(words, F.lit(0)), F.lit("x")), F.coalesce(F.get(words, F.lit(1)), F.lit("x")))
+    route = F.concat_ws("/", F.expr(_AREA), "source", segment)
+    chunks = d.select(
+        F.col("doc_id").alias("chunk_id"), F.split("text", "\n", 2)[0].alias("title"), F.when(F.col("doc_id") % 5 == 0, "announcements").otherwise("docs").alias("category"), route.alias("route"),
+        F.col("text").alias("body"), F.lit(None).cast("string").alias("description"), F.col("lang").alias("heading_path"), F.array().cast("array<struct<ordinal:int,language:string,label:string,code:string>>").alias("code_blocks"),
+    )
+    routes = chunks.select("route", assemble.canonical_url(F.col("route"), "https://example.com").alias("url")).distinct()
+    corpus = engine.Corpus(chunks, routes, _index(spark, sf_dir, "body"))
+    return engine.answer(_asked(spark, sf_dir), corpus, _WORDY, digits=6).results
+
+
+def _sql_by_name(name: str, table: dict, route: str) -> str:
+    fits = lambda prefixes: " OR ".join(f"starts_with({route}, '{p}')" for p in prefixes)
+    return "coalesce(" + " OR ".join(f"({name} = '{n}' AND ({fits(p)}))" for n, p in table.items()) + ", FALSE)"
+
+
+_WORDY_OF, _WORDY_GROUPS = _sql_groups(_WORDY)
+_INTERPRETED = f"""{_rewrite_ctes(f"SELECT * FROM ({_ASKED}) WHERE problem IS NULL")},
+g AS (SELECT *, list_transform(tokens, lambda x: {_WORDY_OF}[x]) AS gs FROM o)"""
+
+
+@_query(f"""
+WITH {_BM25_CTES.split("q AS (")[0]}{_INTERPRETED.lstrip()},
+i AS (SELECT query_id, tokens, gs, unnest(range(1, len(tokens) + 1)) AS i FROM g),
+asked AS (SELECT query_id, 1 AS src, i, tokens[i] AS term FROM i UNION ALL
+  SELECT query_id, 2, i, unnest(CASE WHEN gs[i] IS NULL THEN [tokens[i]] ELSE {_WORDY_GROUPS}[gs[i]] END) FROM i WHERE len(list_filter(gs, lambda x: x IS NOT NULL)) > 0 AND (gs[i] IS NULL OR list_position(gs, gs[i]) = i)),
+need AS (SELECT query_id, src, count(DISTINCT i) AS n_groups FROM asked GROUP BY ALL),
+met AS (SELECT query_id, src, doc_id AS chunk_id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))) AS s, count(DISTINCT i) AS m FROM asked JOIN tf USING (term) JOIN df USING (term), st GROUP BY ALL),
+rk AS (SELECT query_id, src, chunk_id, row_number() OVER (PARTITION BY query_id, src ORDER BY round(s, 6) DESC, chunk_id) AS r FROM met JOIN need USING (query_id, src) WHERE m = n_groups),
+c AS (SELECT doc_id AS chunk_id, string_split(text, chr(10))[1] AS title, {_AREA} || '/' || source || '/' || coalesce(ws[1], 'x') || '-' || coalesce(ws[2], 'x') AS route, lang AS heading_path, text AS body, doc_id % 5 = 0 AS news FROM documents JOIN d USING (doc_id)),
+fu AS (SELECT query_id, chunk_id, coalesce(max(CASE WHEN src = 1 THEN 1.0::DOUBLE / (60 + r) END), 0) + coalesce(max(CASE WHEN src = 2 THEN 0.6::DOUBLE / (60 + r) END), 0) AS fused FROM rk WHERE r <= 30 GROUP BY ALL),
+own AS (SELECT *, row_number() OVER (PARTITION BY query_id, route ORDER BY fused DESC, chunk_id) AS n FROM fu JOIN c USING (chunk_id)),
+cut AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, chunk_id) AS place FROM own WHERE n = 1),
+w AS (SELECT cut.* EXCLUDE (n), g.tokens, g.k, CASE WHEN product IS NULL THEN {_sql_hints("said", _WORDY.product_hints)} END AS soft, product, coalesce(topic, {_sql_hints("said", L.TOPIC_HINTS)}) AS topic,
+  split_part(route, '/', -1) AS seg, list_transform(tokens, lambda x: {_sql_stem("x")}) AS st FROM cut JOIN g USING (query_id) WHERE place <= 20),
+h AS (SELECT *, len(list_filter(string_split_regex(seg, '[-_]'), lambda x: list_contains(st, {_sql_stem("x")}))) AS hits FROM w WHERE product IS NULL OR {_sql_by_name("product", L.PRODUCT_PREFIXES, "route")}),
+b AS (SELECT *, fused * CASE WHEN {_sql_by_name("soft", L.PRODUCT_PREFIXES, "route")} THEN 1.2::DOUBLE ELSE 1 END * CASE WHEN {_sql_by_name("topic", L.TOPIC_PREFIXES, "route")} THEN 1.6::DOUBLE ELSE 1 END
+  * CASE WHEN list_contains(tokens, seg) THEN 1.8::DOUBLE WHEN hits >= 2 THEN 1.25::DOUBLE + 0.4::DOUBLE * hits WHEN hits = 1 THEN 1.25 ELSE 1 END * CASE WHEN news THEN 1.1::DOUBLE ELSE 1 END AS score,
+  array_to_string(string_split(route, '/')[1:2], '/') AS fam FROM h),
+nd AS (SELECT *, row_number() OVER x AS n, first_value(fam) OVER x AS f FROM b WINDOW x AS (PARTITION BY query_id, title, heading_path ORDER BY fused DESC, chunk_id)),
+z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM nd WHERE n = 1 OR fam <> f)
+SELECT query_id, rank, chunk_id, round(score, 9) AS score, route, title, left(regexp_replace(body, '^\\s+|\\s+$', '', 'g'), 240) AS summary, 'https://example.com/docs/' || route || '/' AS url FROM z WHERE rank <= coalesce(k, 3)""")
+def search_words(spark, sf_dir):
+    """Searches from end to end: limits, rewriting, both rankings of words, fusion, product, boosts, near duplicates, assembly."""
+    return _wordy(spark, sf_dir).select("query_id", "rank", "chunk_id", F.round("score", 9).alias("score"), "route", "title", "summary", "url")
+
+
+@_query(f"""
+WITH {_INTERPRETED.lstrip()}
+SELECT query_id, NULL AS problem, {_sql_hints("said", L.LANGUAGE_HINTS)} AS language, {_sql_hints("said", _WORDY.product_hints)} AS product, array_to_string(tokens, ' ') AS tokens,
+  array_to_string(flatten(list_transform(list_filter(gs, lambda x, i: x IS NOT NULL AND list_position(gs, x) = i), lambda x: {_WORDY_GROUPS}[x])), ' ') AS expanded FROM g
+UNION ALL SELECT query_id, problem, NULL, NULL, NULL, NULL FROM ({_ASKED}) WHERE problem IS NOT NULL""")
+def search_requests(spark, sf_dir):
+    """What a search makes of each query, and why others are turned away."""
+    checked = rewrite.requests(_asked(spark, sf_dir), _WORDY)
+    said = rewrite.interpretation(checked.filter("problem is null"), _WORDY).select("query_id", F.lit(None).cast("string").alias("problem"), F.col("detected_language").alias("language"), F.col("detected_product").alias("product"), F.array_join("tokens", " ").alias("tokens"), F.array_join("expanded_terms", " ").alias("expanded"))
+    return said.unionByName(checked.filter("problem is not null").select("query_id", "problem"), allowMissingColumns=True)

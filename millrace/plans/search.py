@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.lexicon import FUSED, RERANK_CAP, RETRIEVED, RRF_WEIGHTS, Lexicon
 from ..functions.settle import settled
 from ..operators import assemble, dense, fusion, lexical
-from ..operators.rewrite import rewritten
+from ..operators.rewrite import interpretation, requests, rewritten
 from ..sources.versions import Versions
 
 
@@ -41,14 +41,49 @@ class Corpus:
         return Corpus.read(spark, at.folder, base_url, stemmed, embeddings)
 
 
-def candidates(queries: DataFrame, corpus: Corpus, lexicon: Lexicon, embedder: dense.Embedder | None = None, hydrate_first: bool = False) -> DataFrame:
+#: The models that a setting may name; a deployment adds its own before it reads its settings.
+EMBEDDERS: dict[str, Callable[[], dense.Embedder]] = {"hash": dense.hashed, "noop": dense.noop}
+RERANKERS: dict[str, fusion.Reranker] = {}
+
+
+@dataclass(frozen=True)
+class Settings:
+    """How a deployment searches: the folder of its index and the names of its models. An unknown name means the default one."""
+
+    index: str = "index"
+    embedder: str = "hash"
+    reranker: str | None = None
+    base_url: str = "https://example.com"
+    default_language: str | None = None
+
+    @staticmethod
+    def of(spark: SparkSession) -> Settings:
+        """From the session: millrace.index, .embedder, .reranker, .base_url and .default_language."""
+        said = {f: spark.conf.get(f"millrace.{f}", None) for f in Settings.__dataclass_fields__}
+        known = {"embedder": EMBEDDERS, "reranker": RERANKERS}
+        return Settings(**{f: v for f, v in said.items() if v and v in known.get(f, (v,))})
+
+    def corpus(self, spark: SparkSession, embeddings: str | None = None) -> Corpus:
+        return Corpus.current(spark, self.index, self.base_url, embeddings=embeddings)
+
+
+@dataclass(frozen=True)
+class Answers:
+    """Of a batch: results as search() gives them, how each query was understood, and the queries that were turned away with their problem."""
+
+    results: DataFrame
+    interpretation: DataFrame
+    rejected: DataFrame
+
+
+def candidates(queries: DataFrame, corpus: Corpus, lexicon: Lexicon, embedder: dense.Embedder | None = None, hydrate_first: bool = False, digits: int | None = None) -> DataFrame:
     """Fused candidates of rewritten queries, one for each route, FUSED at most: plain and synonym BM25, and vectors.
 
     Vector candidates have no route of their own unless hydrate_first; so filters and boosts by route pass them by.
     """
     about = corpus.chunks.select("chunk_id", "route", "category")
-    plain = lexical.bm25(corpus.index, queries, RETRIEVED)
-    wider = lexical.bm25(corpus.index, queries.filter(F.col("synonym_groups") != F.col("groups")).select("query_id", F.col("synonym_groups").alias("groups")), RETRIEVED)
+    plain = lexical.bm25(corpus.index, queries, RETRIEVED, digits)
+    wider = lexical.bm25(corpus.index, queries.filter(F.col("synonym_groups") != F.col("groups")).select("query_id", F.col("synonym_groups").alias("groups")), RETRIEVED, digits)
     rankings = [r.join(about, "chunk_id") for r in (plain, wider)]
     if corpus.embeddings is not None and embedder is not None and embedder.model_id != "noop":
         asked = dense.embed(queries.select("query_id", "cleaned"), "cleaned", embedder)
@@ -61,8 +96,12 @@ def candidates(queries: DataFrame, corpus: Corpus, lexicon: Lexicon, embedder: d
 def search(
     queries: DataFrame, corpus: Corpus, lexicon: Lexicon, k: int | None = 3, embedder: dense.Embedder | None = None,
     reranker: fusion.Reranker | Callable[[list[tuple[str, str]]], list[float]] | None = None, default_language: str | None = None, hydrate_first: bool = False,
+    digits: int | None = None,
 ) -> DataFrame:
-    """Results of queries (query_id, query, and if given language, product, topic), best first: see assemble.assembled().
+    """Results of queries (query_id, query, and if given language, product, topic, k), best first: see assemble.assembled().
+
+    A query's own k goes before that of the call. With digits, scores of words are rounded before they are ranked, so that
+    rows whose sums differ in the last bit only stand by their id.
 
     What a query asks for by column goes before what its words suggest: a product asked for is a filter, one that is
     suggested a boost. The order is fixed: fuse, cut, rerank, product, boosts, near duplicates, sort, assemble.
@@ -70,14 +109,15 @@ def search(
     for c in ("language", "product", "topic"):
         if c not in queries.columns:
             queries = queries.withColumn(c, F.lit(None).cast("string"))
+    own_k = F.when(F.col("k").isNotNull(), F.least(F.greatest(F.floor("k"), F.lit(1)), F.lit(10))) if "k" in queries.columns else F.lit(None)
     # both are used several times, and are a batch of queries and its few candidates: they are made once
     asked = settled(rewritten(queries, lexicon))
     language = F.coalesce("language", F.lit(default_language).cast("string"), "detected_language")
     wants = asked.select(
         "query_id", F.col("query").alias("__query"), "tokens", language.alias("language"), "product", F.when(F.col("product").isNull(), F.col("detected_product")).alias("soft_product"),
-        F.coalesce("topic", "detected_topic").alias("topic"),
+        F.coalesce("topic", "detected_topic").alias("topic"), F.coalesce(own_k, F.lit(assemble.clamp_k(k))).alias("__most"),
     )
-    found = settled(candidates(asked, corpus, lexicon, embedder, hydrate_first))
+    found = settled(candidates(asked, corpus, lexicon, embedder, hydrate_first, digits))
     titles = corpus.chunks.select("chunk_id", F.col("title").alias("title"), "heading_path", "body").join(found.select("chunk_id").distinct(), "chunk_id", "left_semi")
     rows = found.join(titles, "chunk_id", "left").join(wants, "query_id")
     if reranker is not None:
@@ -86,7 +126,17 @@ def search(
     rows = rows.withColumn("__before", F.col("score"))
     rows = fusion.boosted(fusion.only_product(rows, lexicon), lexicon)
     rows = fusion.near_duplicates_out(rows, [F.col("__before").desc(), F.col("chunk_id")])
-    return assemble.assembled(rows, corpus.chunks, corpus.routes, corpus.graph, assemble.clamp_k(k), corpus.base_url)
+    return assemble.assembled(rows, corpus.chunks, corpus.routes, corpus.graph, F.col("__most"), corpus.base_url)
+
+
+def answer(queries: DataFrame, corpus: Corpus, lexicon: Lexicon, settings: Settings = Settings(), k: int = 3, digits: int | None = None) -> Answers:
+    """search() of the queries that are within bounds (see rewrite.requests()), and what became of each query."""
+    checked = requests(queries, lexicon)
+    fine = checked.filter("problem is null").drop("problem")
+    reranker = RERANKERS[settings.reranker] if settings.reranker else None
+    embedder = EMBEDDERS[settings.embedder]() if corpus.embeddings is not None else None
+    results = search(fine, corpus, lexicon, k, embedder, reranker, settings.default_language, digits=digits)
+    return Answers(results, interpretation(fine, lexicon), checked.filter("problem is not null"))
 
 
 def get_docs(asked: DataFrame, corpus: Corpus) -> DataFrame:
