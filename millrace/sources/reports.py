@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import json
+from datetime import UTC, datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lint import resolved
+
 
 def metric_rows(metrics: DataFrame) -> DataFrame:
     """(metric, value) of a one-row table of numbers."""
@@ -45,3 +50,39 @@ def write_rules(rules: DataFrame, path: str) -> None:
         f.write("# Rules\n\n" + "\n\n".join(r.text for r in rule_lines(rules).collect()) + "\n")
 
 
+
+
+RULES_VERSION = "1.0"
+
+
+def write_rules_json(rules: DataFrame, routes: DataFrame, path: str) -> int:
+    """The catalog as one JSON object, in the order of rule ids, with the urls of its citations; returns how many rules it has.
+
+    Nothing is written if a citation is of no known route (see lint.resolved()). An earlier file is put aside only by a whole one.
+    """
+    spark = rules.sparkSession
+    rows = [json.loads(x) for x in resolved(rules, routes).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).toPandas().iloc[:, 0]]  # as many as the catalog has
+    citation = lambda r: {"route": r["route"], "section": r["section"], "url": r["url"], "excerpt": r["excerpt"]}
+    own = ("rule_id", "severity", "concern", "title", "fix")
+    said = {"version": RULES_VERSION, "generated": datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"), "total": len(rows), "rules": [{**{k: r[k] for k in own}, "citation": citation(r)} for r in sorted(rows, key=lambda r: r["rule_id"])]}
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    to = jvm.org.apache.hadoop.fs.Path(path)
+    aside = to.suffix(".new")
+    fs = to.getFileSystem(conf)
+    out = fs.create(aside, True)
+    out.write(json.dumps(said, indent=2).encode())
+    out.close()
+    fs.delete(to, False)
+    if not fs.rename(aside, to):
+        raise OSError(f"{path} could not be written")
+    return len(rows)
+
+
+def read_rules_json(spark: SparkSession, path: str) -> DataFrame:
+    """The catalog of such a file, in the columns of lint.rules_table() and url. Another version of the format is refused."""
+    kinds = "version string, generated string, total long, rules array<struct<rule_id: string, severity: string, concern: string, title: string, fix: string, citation: struct<route: string, section: string, url: string, excerpt: string>>>"
+    whole = spark.read.schema(kinds).json(path, multiLine=True)
+    head = whole.select("version", F.col("total") == F.size("rules")).first()
+    if head is None or tuple(head) != (RULES_VERSION, True):
+        raise ValueError(f"{path} is no whole catalog of version {RULES_VERSION}")
+    return whole.select(F.inline("rules")).select("rule_id", "severity", "concern", "title", "citation.route", "citation.section", "citation.excerpt", "fix", "citation.url")

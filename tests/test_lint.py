@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.sources import reports
 from millrace.operators import lint, rules
 from millrace.operators.source_code import language_of, without_comments
 from millrace.plans.snippets import CASES
@@ -104,3 +105,32 @@ def test_triggers_lose_no_hit(spark):
     with_them = found(RULES)
     assert with_them == found(tuple(replace(r, triggers=()) for r in RULES))
     assert len({x.rule_id for issues in with_them.values() for x in issues}) == 30
+
+
+def test_rules_json(spark, tmp_path):
+    """The catalog goes through the gate, comes back whole, and a failed gate leaves what was there."""
+    own = lint.rules_table(spark)
+    routes = own.select("route").distinct().withColumn("url", F.concat(F.lit("u/"), "route"))
+    path = str(tmp_path / "rules.json")
+    assert reports.write_rules_json(own, routes, path) == 30 and reports.write_rules_json(own, routes, path) == 30
+    back = reports.read_rules_json(spark, path)
+    assert back.drop("url").exceptAll(own.select(back.drop("url").columns)).count() == 0 and back.count() == 30
+    urls = {r.rule_id: r.url for r in back.collect()}
+    assert urls["L017"] == "u/api/orders/create#notes" and urls["L003"] == "u/api/orders/create"
+    with pytest.raises(lint.UnresolvedCitation, match="L024"):
+        reports.write_rules_json(own, routes.filter("route <> 'partners'"), path)
+    assert reports.read_rules_json(spark, path).count() == 30
+    (tmp_path / "old.json").write_text('{"version": "0.9", "total": 0, "rules": []}')
+    with pytest.raises(ValueError, match="version"):
+        reports.read_rules_json(spark, str(tmp_path / "old.json"))
+
+
+def test_own_rules(spark):
+    """A catalog of one's own: a rule without triggers, one of a language only, one that looks for nothing."""
+    from millrace.operators.rules import Rule, pattern
+
+    rules = (Rule("A", "info", "x", "t", "r", "e", "f", pattern("ab+")), Rule("B", "error", "x", "t", "r", "e", "f", pattern("ab+"), languages=("php",), triggers=("ab",)), Rule("C", "error", "y", "t", "r", "e", "f", lambda c: F.array().cast("array<struct<line:int,column:int,snippet:string>>")))
+    df = spark.createDataFrame([(1, "ab\nabb ab", "a.php"), (2, "x\nab", "a.js"), (3, None, None)], "i int, code string, file string")
+    got = {r.i: [(x.rule_id, x.line, x.column, x.snippet) for x in r.issues] for r in lint.lint(df, language="file", rules=rules).collect()}
+    assert got == {1: [("B", 1, 1, "ab"), ("B", 2, 1, "abb"), ("A", 1, 1, "ab"), ("A", 2, 1, "abb")], 2: [("A", 2, 1, "ab")], 3: []}
+    assert [r.issues for r in lint.lint(df, rules=rules[2:]).collect()] == [[], [], []]

@@ -132,6 +132,39 @@ def test_index_and_search(spark, built):
     assert tokens[1] > 0
 
 
+def test_answers(spark, built):
+    """Bounds of each field, a query's own k, what it was understood as, and names of models from the session."""
+    c = engine.Corpus.read(spark, built[0])
+    lex = Lexicon(synonyms=(("verify", "validate", "check"),))
+    rows = [
+        (1, "how to check a php webhook", None, None, None, None), (2, "order", None, None, None, 1), (3, "order", None, None, None, None), (4, "or", None, None, None, None), (5, None, None, None, None, None),
+        (6, "x" * 257, None, None, None, None), (7, "order", "cobol", "no", None, None), (8, "order", None, "no", None, None), (9, "order", None, None, "no", 11), (10, "order", None, None, None, 0), (11, "order", "node", "payments", "api", 10),
+    ]
+    q = spark.createDataFrame(rows, "query_id long, query string, language string, product string, topic string, k int")
+    a = engine.answer(q, c, lex, engine.Settings.of(spark))
+    assert {r.query_id: r.problem for r in a.rejected.collect()} == {4: "query", 5: "query", 6: "query", 7: "language", 8: "product", 9: "topic", 10: "k"}
+    said = {r.query_id: r for r in a.interpretation.collect()}
+    assert set(said) == {1, 2, 3, 11} and said[1].tokens == ["check", "php", "webhook"] and said[1].expanded_terms == ["verify", "validate", "check"]
+    assert (said[1].detected_language, said[1].detected_product, said[2].detected_language) == ("php", "payments", None)
+    n = dict(a.results.groupBy("query_id").count().collect())
+    assert n[2] == 1 and n[3] == 2 and set(n) <= {1, 2, 3, 11}
+    assert not engine.answer(q.limit(0), c, lex).results.count()
+    assert engine.answer(q.select("query_id", "query"), c, lex, k=1).results.filter("query_id = 3").count() == 1
+
+
+def test_settings(spark):
+    assert engine.Settings.of(spark) == engine.Settings()
+    try:
+        for k, v in {"index": "s3a://b/i", "embedder": "noop", "reranker": "lost", "default_language": "go"}.items():
+            spark.conf.set(f"millrace.{k}", v)
+        assert engine.Settings.of(spark) == engine.Settings("s3a://b/i", "noop", None, default_language="go")
+        spark.conf.set("millrace.embedder", "lost")
+        assert engine.Settings.of(spark).embedder == "hash"
+    finally:
+        for k in engine.Settings.__dataclass_fields__:
+            spark.conf.unset(f"millrace.{k}")
+
+
 def test_documents(spark, built):
     c = engine.Corpus.read(spark, built[0])
     asked = spark.createDataFrame([("https://example.com/docs/api/refunds/",), ("/api/orders/create/",), ("lost",), ("https://example.com/other",)], "said string")
