@@ -172,13 +172,68 @@ def vocabulary(spark, sf_dir):
     return _index(spark, sf_dir, "body").terms.select("term", F.col("df").alias("n_docs"), F.col("cf").cast("long").alias("n_all"))
 
 
-@_query()
+def _sql_porter(words: str) -> str:
+    """Tables p0 to p5 of the words of a query (term) and their Porter stems (term, w), by letters read as vowels and consonants."""
+
+    def kinds(x: str) -> str:  # y is a vowel behind a consonant
+        x = f"regexp_replace(regexp_replace(translate({x}, 'aeiou', 'VVVVV'), '[^Vy]', 'C', 'g'), '^y', 'C')"
+        for _ in range(3):
+            x = f"replace(replace({x}, 'Cy', 'CV'), 'Vy', 'VC')"
+        return x
+
+    measure = lambda x: f"len(regexp_extract_all({kinds(x)}, 'V+C+'))"
+    short = lambda x: f"({measure(x)} = 1 AND ends_with({kinds(x)}, 'CVC') AND NOT regexp_matches({x}, '[wxy]$'))"
+    ending = lambda ends: "CASE " + " ".join(f"WHEN ends_with(w, '{e}') THEN '{e}'" for e in sorted(ends, key=len, reverse=True)) + " ELSE '' END"
+
+    def replaced(table: dict[str, str], before: str) -> str:
+        to = "MAP {" + ", ".join(f"'{e}': '{t}'" for e, t in table.items()) + "}"
+        return f"SELECT term, plain, CASE WHEN plain AND e <> '' AND {measure('h')} > 0 THEN h || {to}[e] ELSE w END AS w FROM (SELECT *, w[:length(w) - length(e)] AS h FROM (SELECT *, {ending(table)} AS e FROM {before}))"
+
+    return f"""
+p0 AS (SELECT term, length(term) >= 3 AND regexp_matches(term, '^[a-z]+$') AS plain, CASE WHEN NOT plain THEN term WHEN ends_with(term, 'sses') OR ends_with(term, 'ies') THEN term[:-3] WHEN ends_with(term, 's') AND NOT ends_with(term, 'ss') THEN term[:-2] ELSE term END AS w FROM ({words})),
+pe AS (SELECT term, plain, w, CASE WHEN NOT plain OR ends_with(w, 'eed') THEN NULL WHEN ends_with(w, 'ed') THEN w[:-3] WHEN ends_with(w, 'ing') THEN w[:-4] END AS h FROM p0),
+p1 AS (SELECT term, plain, CASE WHEN plain AND ends_with(w, 'eed') THEN CASE WHEN {measure("w[:-4]")} > 0 THEN w[:-2] ELSE w END WHEN h IS NULL OR NOT contains({kinds("h")}, 'V') THEN w
+  WHEN regexp_matches(h, '(at|bl|iz)$') THEN h || 'e' WHEN h[-1] = h[-2] AND length(h) > 1 AND NOT regexp_matches(h, '[aeiouylsz]$') THEN h[:-2] WHEN {short("h")} THEN h || 'e' ELSE h END AS w FROM pe),
+py AS (SELECT term, plain, CASE WHEN plain AND ends_with(w, 'y') AND contains({kinds("w[:-2]")}, 'V') THEN w[:-2] || 'i' ELSE w END AS w FROM p1),
+p2 AS ({replaced(T._STEP2, "py")}),
+p3 AS ({replaced(T._STEP3, "p2")}),
+p4 AS (SELECT term, plain, CASE WHEN plain AND e <> '' AND {measure("h")} > 1 AND (e <> 'ion' OR regexp_matches(h, '[st]$')) THEN h ELSE w END AS w FROM (SELECT *, w[:length(w) - length(e)] AS h FROM (SELECT *, {ending([*T._STEP4, "ion"])} AS e FROM p3))),
+pf AS (SELECT term, plain, CASE WHEN plain AND ends_with(w, 'e') AND ({measure("w[:-2]")} > 1 OR ({measure("w[:-2]")} = 1 AND NOT {short("w[:-2]")})) THEN w[:-2] ELSE w END AS w FROM p4),
+p5 AS (SELECT term, CASE WHEN plain AND ends_with(w, 'll') AND {measure("w")} > 1 THEN w[:-2] ELSE w END AS w FROM pf)"""
+
+
+_DOCUMENT_WORDS = "SELECT DISTINCT unnest(" + _PLACED.format("text") + ") AS term FROM documents"
+
+
+@_query(f"WITH {_sql_porter(_DOCUMENT_WORDS).lstrip()} SELECT term, w AS stem FROM p5")
 def porter_vocabulary(spark, sf_dir):
     """The stem of every word of the documents."""
     words = _table(spark, sf_dir, "documents").select(F.explode(T.index_tokens(F.col("text"))).alias("term")).distinct()
     return words.withColumn("stem", T.porter_stem("term"))
 
 
+@_query(f"""
+WITH c AS ({_CHUNKS}), said AS (SELECT item_id, {_PLACED.format("text")} AS ws FROM benchmark),
+asked AS (SELECT item_id * 1000 + p AS query_id, unnest(ws[2 * p + 1:2 * p + 2]) AS term FROM (SELECT item_id, ws, unnest(range(len(ws) // 2)) AS p FROM said)),
+field AS (SELECT chunk_id, 8.0 AS wt, {_PLACED.format("title")} AS ws FROM c UNION ALL SELECT chunk_id, 1.0, {_PLACED.format("category")} FROM c UNION ALL SELECT chunk_id, 2.0, {_PLACED.format("route")} FROM c
+  UNION ALL SELECT chunk_id, 3.0, {_PLACED.format("heading_path")} FROM c UNION ALL SELECT chunk_id, 1.0, {_PLACED.format("body")} FROM c),
+l AS (SELECT chunk_id, sum(len(ws)) AS dl FROM field GROUP BY 1), st AS (SELECT count(*) AS n, avg(dl) AS a FROM l),
+word AS (SELECT chunk_id, wt, unnest(ws) AS term FROM field),
+{_sql_porter("SELECT term FROM word UNION SELECT term FROM asked").lstrip()},
+tf AS (SELECT chunk_id, w, sum(wt) AS tf FROM word JOIN p5 USING (term) GROUP BY ALL), df AS (SELECT w, count(*) AS df FROM tf GROUP BY 1),
+q AS (SELECT query_id, w, count(*) AS times FROM asked JOIN p5 USING (term) GROUP BY ALL),
+s AS (SELECT query_id, chunk_id, round(sum(times * greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 6) AS score, sum(times) AS met FROM q JOIN tf USING (w) JOIN df USING (w) JOIN l USING (chunk_id), st GROUP BY ALL)
+SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s WHERE met = 2) WHERE rank <= 30""")
+def bm25_stemmed(spark, sf_dir):
+    """Documents with the stems of every two words of a benchmark item in a row, in weighted fields."""
+    words = F.transform(T.index_tokens(F.col("text")), lambda w, i: F.struct(w.alias("w"), i.alias("i")))
+    rows = _table(spark, sf_dir, "benchmark").select("item_id", words.alias("ws"))
+    pairs = F.transform(F.filter("ws", lambda x: (x["i"] % 2 == 0) & (x["i"] + 1 < F.size("ws"))), lambda x: F.struct((x["i"] / 2).cast("int").alias("p"), F.array(x["w"], F.get("ws", x["i"] + 1)["w"]).alias("two")))
+    rows = rows.select("item_id", F.inline(pairs))
+    asked = rows.select((F.col("item_id") * 1000 + F.col("p")).cast("long").alias("query_id"), lexical.all_of(F.col("two")).alias("groups"))
+    return lexical.bm25(_index(spark, sf_dir, "stems"), asked, digits=6)
+
+
 _NEAREST = """
 SELECT query_id, chunk_id, round(d, 6) AS distance, round(1 / (1 + d), 6) AS score, rank FROM (
   SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, list_distance(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS d,
