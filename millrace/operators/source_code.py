@@ -57,7 +57,7 @@ _PLAIN = "|".join([_string('"'), _string("'")])
 _C_LIKE = r"//[^\n]*|/\*[\s\S]*?(?:\*/|\z)"
 _TRIPLE = '"""[\\s\\S]*?(?:"""|\\z)|' + "'''[\\s\\S]*?(?:'''|\\z)"
 #: What is stepped over at once, a family of languages each, and which of it is a comment.
-_SPANS = {
+SPANS = {
     ("python",): (f"{_TRIPLE}|#[^\\n]*|{_PLAIN}", r"\A(?:#|\"\"\"|''')"),
     ("ruby", "curl"): (f"#[^\\n]*|{_PLAIN}", r"\A#"),
     ("node",): (f"{_C_LIKE}|{_PLAIN}|{_string('`')}", r"\A/"),
@@ -76,6 +76,6 @@ def _blanked(code: Column, spans: str, comment: str) -> Column:
 def without_comments(code: Column, lang: Column) -> Column:
     """code with comments turned into spaces; line breaks, strings and the length stay. Other languages: as it is."""
     out = code
-    for langs, (spans, comment) in _SPANS.items():
+    for langs, (spans, comment) in SPANS.items():
         out = F.when(lang.isin(*langs), _blanked(code, spans, comment)).otherwise(out)
     return out

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from ..functions import lexicon as L
 from ..functions import text as T
 from ..operators import assemble, dense, evaluate, fusion, lexical, lint, rewrite, sections, vectors
-from ..operators.source_code import language_of, without_comments
+from ..operators.source_code import SPANS, language_of, without_comments
 from ..functions.settle import shared_folder
 from ..sources import corpus as sources
 from ..sources.vector_table import VectorTable
@@ -739,12 +739,30 @@ def code_language(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", language_of(F.col("text")).alias("language"))
 
 
-@_query()
+def _sql_masked(language: str, text: str) -> str:
+    """text with its comments blanked; DuckDB's patterns have no possessive repetition, which changes no match here."""
+    cases = []
+    for langs, (spans, comment) in SPANS.items():
+        quoted, said = (p.replace("*+", "*").replace("'", "''") for p in (spans, comment))
+        hits = f"list_transform(regexp_extract_all({text}, '{quoted}'), lambda h: CASE WHEN regexp_matches(h, '{said}') THEN regexp_replace(h, '[^\\n]', ' ', 'g') ELSE h END)"
+        names = ", ".join(f"'{x}'" for x in langs)
+        cases.append(f"WHEN {language} IN ({names}) THEN array_to_string(flatten(list_transform(list_zip(string_split_regex({text}, '{quoted}'), {hits}), lambda x: [x[1], coalesce(x[2], '')])), '')")
+    return f"CASE {' '.join(cases)} ELSE {text} END"
+
+
+_FAMILIES = ("python", "node", "php", "java", "ruby")
+
+
+@_query(f"""
+WITH d AS (SELECT doc_id, unnest({list(_FAMILIES)}) AS language, replace(replace(text, '. ', ' // "'), ', ', chr(10) || '# /*') || '*/ ' || chr(39) AS code FROM documents),
+m AS (SELECT *, {_sql_masked("language", "code")} AS masked FROM d)
+SELECT doc_id, language, sha256(masked) AS masked_hash, length(masked) = length(code) AS same_length FROM m""")
 def comment_mask(spark, sf_dir):
-    """Documents read as code of each family, comments blanked: lengths stay."""
-    d = _table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.array(*[F.lit(x) for x in ("python", "node", "php", "java", "ruby")])).alias("language"))
-    masked = d.withColumn("masked", without_comments(F.col("text"), F.col("language")))
-    return masked.select("doc_id", "language", F.sha2("masked", 256).alias("masked_hash"), (F.length("masked") == F.length("text")).alias("same_length"))
+    """Documents with marks of comments and strings at their points and commas, read as code of each family, comments blanked: lengths stay."""
+    code = F.concat(F.replace(F.replace("text", F.lit(". "), F.lit(' // "')), F.lit(", "), F.lit("\n# /*")), F.lit("*/ '"))
+    d = _table(spark, sf_dir, "documents").select("doc_id", code.alias("code"), F.explode(F.array(*[F.lit(x) for x in _FAMILIES])).alias("language"))
+    masked = d.withColumn("masked", without_comments(F.col("code"), F.col("language")))
+    return masked.select("doc_id", "language", F.sha2("masked", 256).alias("masked_hash"), (F.length("masked") == F.length("code")).alias("same_length"))
 
 
 @_query("""
