@@ -424,6 +424,43 @@ def code_fences(spark, sf_dir):
     return rows.select("event_id", *[F.col(f"b.{c}").cast("int" if c == "ordinal" else "string").alias(c) for c in ("ordinal", "language", "label", "code")])
 
 
+def _published(spark, sf_dir):
+    """An index of the conversations, published and opened again: a section for each turn, its text fenced, and a link to the next conversation or the same."""
+    turn, ends = F.col("turn"), F.concat(F.lit("\n\nSee https://raw.githubusercontent.com/o/r/master/chat/"), (F.col("conv_id") + F.when(F.col("turn") % 2 == 0, 1).otherwise(0)).cast("string"), F.lit(".md"))
+    fence = F.when(turn % 4 == 0, "JS").when(turn % 4 == 1, "py").when(turn % 4 == 2, "Ruby").otherwise("text")
+    label = F.when(turn % 3 == 0, F.concat(F.lit(": "), "role")).otherwise("")
+    part = F.concat(F.lit("## Turn "), turn.cast("string"), F.lit("\n\n```"), fence, F.coalesce(label, F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("\n```"), ends)
+    c = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", part.alias("p")))).alias("x"))
+    route = F.concat(F.lit("chat/"), F.col("conv_id").cast("string"))
+    docs = c.select(route.alias("route"), F.col("conv_id").alias("ordinal"), F.upper(route).alias("title"), F.lit(None).cast("string").alias("description"), F.lit("chats").alias("category"), F.lit("").alias("url"), F.array_join("x.p", "\n\n").alias("body"))
+    folder = f"{shared_folder(spark)}/published-{uuid.uuid4().hex}"
+    sources.publish_index(docs, folder, "https://example.com", "abc")
+    return engine.Corpus.current(spark, folder)
+
+
+@_query("""
+SELECT chunk_id, route, chunk_index, 'Turn ' || turn AS heading_path, 0 AS ordinal, CASE turn % 4 WHEN 0 THEN 'node' WHEN 1 THEN 'python' WHEN 2 THEN 'ruby' ELSE 'unknown' END AS language,
+  CASE WHEN turn % 3 = 0 THEN nullif(role, '') END AS label, sha256(coalesce(text, '')) AS code_hash, turn % 4 <> 3 AS shown, turn % 4 = 1 AS shown_for_python
+FROM (SELECT *, 'chat/' || conv_id AS route, row_number() OVER (ORDER BY conv_id, turn) AS chunk_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS chunk_index FROM conversations)""")
+def published_blocks(spark, sf_dir):
+    """Code blocks of a published index of the conversations, and whether a result shows them to who asks for no language, and for Python."""
+    chunks = _published(spark, sf_dir).chunks
+    shown = lambda language: F.exists(assemble.shown_blocks(F.array("b"), F.lit(language).cast("string")), lambda x: F.lit(True))
+    rows = chunks.select("chunk_id", "route", "chunk_index", "heading_path", F.explode("code_blocks").alias("b"))
+    return rows.select("chunk_id", "route", "chunk_index", "heading_path", "b.ordinal", "b.language", "b.label", F.sha2("b.code", 256).alias("code_hash"), shown(None).alias("shown"), shown("python").alias("shown_for_python"))
+
+
+@_query("""
+WITH c AS (SELECT conv_id, bool_or(turn % 2 = 0) AS links FROM conversations GROUP BY 1)
+SELECT 'chat/' || a.conv_id AS route, upper('chat/' || a.conv_id) AS title, 'https://example.com/docs/chat/' || a.conv_id || '/' AS url, coalesce('chat/' || b.conv_id || ':CHAT/' || b.conv_id, '') AS related
+FROM c a LEFT JOIN c b ON b.conv_id = a.conv_id + 1 AND a.links""")
+def published_routes(spark, sf_dir):
+    """Routes of a published index of the conversations, fetched by their urls, with the routes that they link to."""
+    corpus = _published(spark, sf_dir)
+    got = engine.get_docs(corpus.routes.select(F.col("url").alias("said")), corpus)
+    return got.filter("found").select("route", "title", "url", F.array_join(F.transform("related", lambda r: F.concat_ws(":", r["route"], r["title"])), " ").alias("related"))
+
+
 def _page_links(spark, sf_dir):
     p = _table(spark, sf_dir, "pages")
     to = F.transform(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1)), lambda r: F.struct(r.alias("route"), F.lit(None).cast("string").alias("anchor")))
