@@ -22,8 +22,10 @@ from .lexical import best
 
 #: At most so many cells for each length of vectors, rings in a cell, vectors that centres are fitted to for each cell.
 CELLS, RINGS, FITTED = 1024, 8, 16
-#: About so many vectors of a ring, and queries for them, meet in a task at a time.
-PART, QUERIES = 4096, 512
+#: About so many vectors of a ring are a piece; so many vectors of several pieces, and so many queries, meet in a task.
+PART, SHELF, QUERIES = 4096, 16384, 16384
+#: Queries that are compared with a piece at a time, and pairs that are measured at a time.
+TILE, _EXACT = 1024, 1 << 16
 #: What rounding may add to a bound, as a share of the numbers that it is made of.
 ROUNDING = 1e-9
 _KEYS = ["cell", "ring", "piece"]
@@ -153,90 +155,195 @@ class _Map:
             rings.setdefault(dim_of[r.cell], []).append((at[r.cell], r.cell, r.ring, r.n, r.low, r.high, r.pieces))
         return _Map(centres, {d: tuple(map(np.array, zip(*sorted(rows), strict=True))) for d, rows in rings.items()})
 
+    def far(self, q: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds of the distances of all rows of q from all centres: a difference of large squares may lose half of its digits."""
+        c = self.centres[dim][1]
+        far, loose = _far(q, c), 1e-15 * (dim + 8) * ((q * q).sum(1)[:, None] + (c * c).sum(1)[None])
+        return np.sqrt(np.maximum(far - loose, 0)), np.sqrt(far + loose)
+
     def first(self, far: np.ndarray, dim: int, k: int) -> np.ndarray:
-        """Which rings are looked at first: all of the nearest cells until these have k vectors."""
-        at, _, _, n, _, _, _ = self.rings[dim]
-        size = np.bincount(at, n, len(far))
-        order = np.argsort(far, kind="stable")
-        need = int(np.searchsorted(np.cumsum(size[order]), k)) + 1
-        return np.isin(at, order[:need])
-
-    def able(self, far: np.ndarray, dim: int, sure: float) -> np.ndarray:
-        """Which rings can hold a vector nearer than sure."""
+        """Which rings each query looks at first: all of the nearest cells until these have k vectors."""
+        at, n = self.rings[dim][0], self.rings[dim][3]
+        order = np.argsort(far, axis=1, kind="stable")
+        need = (np.cumsum(np.bincount(at, n, far.shape[1])[order], axis=1) < k).sum(1) + 1
+        near = np.zeros(far.shape, bool)
+        np.put_along_axis(near, order, np.arange(far.shape[1])[None] < need[:, None], 1)
+        return near[:, at]
+
+    def able(self, near: np.ndarray, far: np.ndarray, dim: int, sure: np.ndarray) -> np.ndarray:
+        """Which rings can hold a vector nearer to a query than sure."""
         at, _, _, _, low, high, _ = self.rings[dim]
-        edge = sure + ROUNDING * (1 + far[at] + high)
-        return (far[at] - high <= edge) & (low - far[at] <= edge)
+        edge = sure[:, None] + ROUNDING * (1 + far[:, at] + high)
+        return (near[:, at] - high <= edge) & (low - far[:, at] <= edge)
+
+    def seen(self, q: np.ndarray, dim: int, k: int, sure: np.ndarray, later: bool) -> np.ndarray:
+        near, far = self.far(q, dim)
+        return self.able(near, far, dim, sure) if later else self.first(near, dim, k)
+
+    def shelves(self, most: int) -> tuple[list[tuple[int, int, int, int]], dict[int, tuple[np.ndarray, np.ndarray]]]:
+        """(cell, ring, piece, shelf) of all pieces, in shelves of about `most` vectors of one length; for each length, rings and shelves of its pieces."""
+        rows, of, shelf = [], {}, -1
+        for dim, (_, cells, rings, n, _, _, pieces) in self.rings.items():
+            own, full = [], float("inf")
+            for i in range(len(cells)):
+                for piece in range(pieces[i]):
+                    size = n[i] / pieces[i]
+                    if full + size > most:
+                        shelf, full = shelf + 1, 0.0
+                    full += size
+                    own.append((i, shelf))
+                    rows.append((int(cells[i]), int(rings[i]), piece, shelf))
+            of[dim] = tuple(map(np.array, zip(*own, strict=True)))
+        return rows, of
+
+
+def _asked(plan: _Map):
+    """Of queries (q, v): their nearest cell and code; those of a length that no vector has go."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            _, by_dim = _lists(b.column(1))
+            for dim, rows in by_dim.items():
+                if dim in plan.rings:
+                    m, one = _matrix(b.column(1), rows, dim), pa.array(rows)
+                    cells, c = plan.centres[dim]
+                    code, scale, off = _coded(m)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(one), b.column(1).take(one), pa.array(cells[_far(m, c).argmin(1)], pa.int32()), pa.array(scale), pa.array(off), pa.array([x.tobytes() for x in code], pa.binary())], names=["q", "v", "cell", "scale", "off", "code"])
+
+    return run
 
-def _wanted(plan: _Map, k: int, later: bool):
-    """Of queries (q, v, sure): a row for each piece of each ring to look at."""
+
+def _looks(plan: _Map, k: int, later: bool, of: dict | None = None):
+    """Of queries (q, v, sure, block): the shelves that some query of a block looks at or, without shelves, each query's (q, cell, ring)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             _, by_dim = _lists(b.column(1))
+            names, sure, block = b.column(0).to_numpy(), b.column(2).to_numpy(), b.column(3).to_numpy()
             for dim, rows in by_dim.items():
-                if dim not in plan.rings:
-                    continue
-                _, cells, rings, _, _, _, pieces = plan.rings[dim]
-                far = np.sqrt(_far(_matrix(b.column(1), rows, dim), plan.centres[dim][1]))
-                for d, row in zip(far, rows, strict=True):
-                    see = plan.first(d, dim, k)
-                    if later:
-                        see = ~see & plan.able(d, dim, b.column(2)[int(row)].as_py())
-                    own = np.flatnonzero(see)
-                    if not len(own):
+                for some in np.array_split(rows, -(-len(rows) // TILE)):
+                    q = _matrix(b.column(1), some, dim)
+                    see = plan.seen(q, dim, k, sure[some], later)
+                    if of is None:
+                        if later:
+                            see &= ~plan.seen(q, dim, k, sure[some], False)
+                        i, j = np.nonzero(see)
+                        yield pa.RecordBatch.from_arrays([pa.array(names[some][i]), pa.array(plan.rings[dim][1][j], pa.int32()), pa.array(plan.rings[dim][2][j], pa.int32())], names=["q", "cell", "ring"])
                         continue
-                    times = np.repeat(own, pieces[own])
-                    piece = np.concatenate([np.arange(p) for p in pieces[own]])
-                    one = pa.array(np.full(len(times), row))
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(one), b.column(1).take(one), b.column(2).take(one), pa.array(cells[times], pa.int32()), pa.array(rings[times], pa.int32()), pa.array(piece, pa.int32())], names=["q", "v", "sure", *_KEYS])
+                    ring, shelf = of[dim]
+                    for x in np.unique(block[some]):
+                        own = np.unique(shelf[see[block[some] == x].any(0)[ring]])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), x), pa.int32()), pa.array(own, pa.int32())], names=["block", "shelf"])
 
     return run
 
 
-def _compared(k: int, coded: bool):
-    """Of a part's vectors and queries: (q, id, low, high), bounds of the distances that can be among a query's k best."""
+def _rows_of(t: pa.Table, coded: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as a matrix, and how far each of its rows may be from the vector itself."""
+    if coded:
+        m = np.frombuffer(b"".join(t.column("code").to_pylist()), np.int8).reshape(t.num_rows, -1) * t.column("scale").to_numpy()[:, None]
+        return m, t.column("off").to_numpy()
+    stored = t.column("v").combine_chunks()
+    return _matrix(stored, np.arange(len(stored)), len(stored[0])), np.zeros(len(stored))
+
+
+def _pairs(q: np.ndarray, m: np.ndarray, most: np.ndarray, narrow: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that can be no farther from each other than the row of q allows; rounding lets more pass, never fewer.
+
+    Single precision does where the numbers are neither very large nor very small.
+    """
+    qq, mm = (q * q).sum(1), (m * m).sum(1)
+    top = max(qq.max(), mm.max())
+    narrow = narrow and 1e-20 < top < 1e20
+    kind, unit = (np.float32, 1.2e-7) if narrow else (np.float64, 2.3e-16)
+    least = (qq - most**2) / 2 - unit * (q.shape[1] + 8) * 2 * (qq + mm.max())
+    g = q.astype(kind) @ m.T.astype(kind)
+    g -= (mm / 2).astype(kind)
+    return np.nonzero(g >= np.maximum(least, -1e30 if narrow else -np.inf).astype(kind)[:, None])
+
+
+def _compared(plan: _Map, k: int, coded: bool, later: bool):
+    """Of a shelf's vectors and a block's queries: (q, id, low, high), bounds of the distances that can be among a query's k best.
+
+    What is found in one ring lowers what later ones must reach. The first look keeps only what its own bound needs.
+    """
 
     def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
-        out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))]
         if vectors.num_rows and queries.num_rows:
-            asked, ids = queries.column("v").combine_chunks(), vectors.column("id").to_numpy()
-            dim = len(asked[0])
-            q = _matrix(asked, np.arange(len(asked)), dim)
-            names, sure = queries.column("q").to_numpy(), queries.column("sure").to_numpy()
-            if coded:
-                m = np.frombuffer(b"".join(vectors.column("code").to_pylist()), np.int8).reshape(-1, dim) * vectors.column("scale").to_numpy()[:, None]
-                off = vectors.column("off").to_numpy()
-            else:
-                stored = vectors.column("v").combine_chunks()
-                m, off = _matrix(stored, np.arange(len(stored)), dim), np.zeros(len(ids))
-            far = _far(q, m)
-            # a difference of large squares may lose half of its digits
-            loose = np.sqrt(ROUNDING * ((q * q).sum(1)[:, None] + (m * m).sum(1)[None] + 1e-300))
-            found = []
-            for i in range(len(q)):
-                high = np.sqrt(far[i]) + loose[i] + off
-                edge = min(sure[i], np.partition(high, k - 1)[k - 1] if len(high) >= k else np.inf)
-                near = np.flatnonzero(np.sqrt(far[i]) - loose[i] - off <= edge)
-                exact = np.sqrt(((m[near] - q[i]) ** 2).sum(1))
-                slack = ROUNDING * (exact + off[near]) if coded else 0.0
-                found.append((np.full(len(near), names[i]), ids[near], exact - off[near] - slack, exact + off[near] + slack))
-            out = [np.concatenate(c) for c in zip(*found, strict=True)]
+            ids, names = vectors.column("id").to_numpy(), queries.column("q").to_numpy()
+            (m, off), (asked, own_off) = _rows_of(vectors, coded), _rows_of(queries, coded)
+            dim, sure = m.shape[1], queries.column("sure").to_numpy()
+            place = vectors.column("cell").to_numpy().astype(np.int64) * RINGS + vectors.column("ring").to_numpy()
+            order = np.argsort(place, kind="stable")
+            here, start = np.unique(place[order], return_index=True)
+            parts = np.split(order, start[1:])
+            _, cells, rings, *_ = plan.rings[dim]
+            ring_of = {int(c) * RINGS + int(r): i for i, (c, r) in enumerate(zip(cells, rings, strict=True))}
+            at = np.array([ring_of[int(x)] for x in here])
+            for some in np.array_split(np.arange(len(names)), -(-len(names) // TILE)):
+                q, q_off, limit = asked[some], own_off[some], sure[some].copy()
+                see = plan.seen(q, dim, k, limit + q_off, later)[:, at]
+                found = []
+                for r, part in enumerate(parts):
+                    rows = np.flatnonzero(see[:, r])
+                    for piece in np.array_split(part, -(-len(part) // PART)) if len(rows) else []:
+                        v, v_off = m[piece], off[piece]
+                        new = rows[np.isinf(limit[rows])]
+                        if len(new) and len(piece) >= k:
+                            far = np.sqrt(_far(q[new], v) + 1e-15 * (dim + 8) * ((q[new] ** 2).sum(1)[:, None] + (v * v).sum(1)[None])) + v_off[None]
+                            limit[new] = (np.partition(far, k - 1, 1)[:, k - 1] + q_off[new]) * (1 + ROUNDING)
+                        i, j = _pairs(q[rows], v, limit[rows] + q_off[rows] + v_off.max(), coded)
+                        i = rows[i]
+                        for a in range(0, len(i), _EXACT):
+                            x, y = i[a : a + _EXACT], j[a : a + _EXACT]
+                            d = np.sqrt(((v[y] - q[x]) ** 2).sum(1))
+                            wide = q_off[x] + v_off[y]
+                            slack = ROUNDING * (d + wide) if coded else 0.0
+                            low, high = d - wide - slack, d + wide + slack
+                            fit = (low if later else high) <= limit[x]
+                            found.append((x[fit], ids[piece[y[fit]]], low[fit], high[fit]))
+                            by = np.lexsort((high, x))
+                            first = np.flatnonzero(np.diff(x[by], prepend=-1))
+                            full = np.diff(np.append(first, len(by))) >= k
+                            kth = by[first[full] + k - 1]
+                            limit[x[kth]] = np.minimum(limit[x[kth]], high[kth])
+                if found:
+                    x, near, low, high = (np.concatenate(c) for c in zip(*found, strict=True))
+                    fit = (low if later else high) <= limit[x]
+                    out.append((names[some[x[fit]]], near[fit], low[fit], high[fit]))
+        out = [np.concatenate(c) for c in zip(*out, strict=True)]
         return pa.table({"q": pa.array(out[0], pa.int64()), "id": pa.array(out[1], pa.int64()), "low": pa.array(out[2], pa.float64()), "high": pa.array(out[3], pa.float64())})
 
     return run
 
 
-def _met(index: VectorIndex, wanted: DataFrame, k: int, coded: bool) -> DataFrame:
-    """Queries meet the vectors of the parts they want, part by part; many queries of one part come in blocks."""
-    blocks = wanted.groupBy(*_KEYS).agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("blocks"))
-    blocks = settled(blocks, "blocks")
-    asked = wanted.join(blocks, _KEYS).withColumn("block", F.pmod(F.xxhash64("q"), F.col("blocks")).cast("int"))
-    own = ["id", "scale", "off", "code"] if coded else ["id", "v"]
-    met = index.vectors.select(*_KEYS, *own).join(blocks.toDF(*_KEYS, "copies"), _KEYS).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    by = [*_KEYS, "block"]
-    met, asked = met.select(*by, *own), asked.select(*by, "q", "v", "sure")
-    return met.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(_compared(k, coded), "q long, id long, low double, high double")
+def _blocked(asked: DataFrame) -> DataFrame:
+    """Queries with their block: those of one cell, or of several cells one after the other, QUERIES at most or about so many."""
+    rows, block, full, of = [], -1, 0.0, None
+    counts = asked.groupBy(F.size("v").alias("dim"), "cell").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each cell
+    for dim, cell, n in sorted(tuple(r) for r in counts):
+        if dim != of or full + n > QUERIES:
+            block, full, of = block + 1, 0.0, dim
+        cut = -(-n // QUERIES)
+        rows.append((cell, block, cut))
+        block, full = block + cut - 1, full + n if cut == 1 else float("inf")
+    named = asked.sparkSession.createDataFrame(rows, "cell int, first int, cut int")
+    return asked.join(F.broadcast(named), "cell").withColumn("block", (F.col("first") + F.pmod(F.xxhash64("q"), F.col("cut"))).cast("int")).drop("first", "cut", "cell")
+
+
+def _met(index: VectorIndex, plan: _Map, asked: DataFrame, k: int, coded: bool, later: bool) -> DataFrame:
+    """Blocks of queries meet the shelves of vectors that one of them looks at; a query is sent to a shelf once, not to each part."""
+    spark = asked.sparkSession
+    n, cores = sum(float(r[3].sum()) for r in plan.rings.values()), spark.sparkContext.defaultParallelism
+    rows, of = plan.shelves(int(min(SHELF, max(PART / 4, n / cores))))
+    shelved = F.broadcast(spark.createDataFrame(rows, "cell int, ring int, piece int, shelf int"))  # a row for each piece
+    pairs = settled(asked.select("q", "v", "sure", "block").mapInArrow(_looks(plan, k, later, of), "block int, shelf int").distinct(), "looks")
+    own = ["scale", "off", "code"] if coded else ["v"]
+    vectors = index.vectors.join(shelved, _KEYS).join(pairs, "shelf").select("block", "shelf", "cell", "ring", "id", *own)
+    met = asked.join(pairs, "block").select("block", "shelf", "q", "sure", *own)
+    by = ["block", "shelf"]
+    return vectors.groupBy(*by).cogroup(met.groupBy(*by)).applyInArrow(_compared(plan, k, coded, later), "q long, id long, low double, high double")
 
 
 def _sure(found: DataFrame, k: int) -> DataFrame:
@@ -258,20 +365,21 @@ def nearest(index: VectorIndex, queries: DataFrame, k: int = RETRIEVED, query: s
 
     Null and empty queries, those with entries that aren't finite and those of a length that no vector has find nothing.
     First the cells around a query that have k vectors are looked at, which gives a distance that k vectors are sure to
-    have; then all other rings that can hold a nearer one. With coded, both looks are at codes, and the vectors whose
+    have; then all rings that can hold a nearer one. With coded, both looks are at codes, and the vectors whose
     bounds allow it are measured afterwards. looked, if given, gets the tables of what was looked at, for parts_looked_at.
     """
     plan = _Map.of(index)
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
     asked = queries.select(F.col(query).cast("long").alias("q"), F.col(column).cast("array<double>").alias("v")).filter(F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", bad))
     asked = settled(asked, "asked")
-    kind = "q long, v array<double>, sure double, cell int, ring int, piece int"
-    one = settled(asked.withColumn("sure", F.lit(float("inf"))).mapInArrow(_wanted(plan, k, False), kind), "wanted")
-    found = settled(_met(index, one, k, coded), "found")
-    two = settled(asked.join(_sure(found, k), "q").select("q", "v", "sure").mapInArrow(_wanted(plan, k, True), kind), "wanted")
-    found = found.unionByName(_met(index, two, k, coded))
+    coded_asked = settled(asked.mapInArrow(_asked(plan), "q long, v array<double>, cell int, scale double, off double, code binary"), "coded")
+    one = settled(_blocked(coded_asked).withColumn("sure", F.lit(float("inf"))), "blocks")
+    sure = _sure(_met(index, plan, one, k, coded, False), k)
+    two = settled(one.drop("sure").join(sure, "q"), "wanted")
+    found = _met(index, plan, two, k, coded, True)
     if looked is not None:
-        looked |= {"asked": asked, "one": one, "two": two}
+        seen = lambda df, later: df.select("q", "v", "sure", "block").mapInArrow(_looks(plan, k, later), "q long, cell int, ring int")
+        looked |= {"asked": asked, "one": seen(one, False), "two": seen(two, True)}
     if coded:
         found = settled(found, "found")
         near = found.join(_sure(found, k), "q").filter("low <= sure").select("q", "id")

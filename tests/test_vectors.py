@@ -67,3 +67,31 @@ def test_codes_bound_distances():
     m[7] = 0
     code, scale, off = vectors._coded(m)
     assert np.allclose(np.sqrt(((m - scale[:, None] * code) ** 2).sum(1)), off) and off[7] == 0 and (off < 0.5 * np.sqrt(16) * scale + 1e-12).all()
+
+
+@pytest.mark.parametrize("coded", [False, True])
+def test_queries_are_not_copied_for_each_part(spark, monkeypatch, coded):
+    """All neighbours of all vectors: what a search writes besides its result grows with the vectors, not with vectors times parts."""
+    monkeypatch.setattr(vectors, "PART", 8)
+    df = spark.createDataFrame(_rows(), "vec_id long, embedding array<float>")
+    index, counts, settled = vectors.build(df), {}, vectors.settled
+
+    def counted(table, name="settled"):
+        out = settled(table, name)
+        counts[name] = counts.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(vectors, "settled", counted)
+    n = vectors.nearest(index, df.withColumnRenamed("vec_id", "query_id"), 5, coded=coded).count()
+    assert n == 757 * 5  # all that are there, finite and not empty
+    assert counts.get("wanted", 0) + counts.get("looks", 0) <= 2 * 757
+
+
+def test_pairs_keep_all_that_rounding_could_lose():
+    rnd = np.random.default_rng(3)
+    for scale in (1e-30, 1.0, 1e12, 1e30):
+        q, m = rnd.normal(0, 1, (30, 16)) * scale, rnd.normal(0, 1, (40, 16)) * scale
+        far = np.sqrt(((q[:, None] - m[None]) ** 2).sum(2))
+        most = np.sort(far, 1)[:, 4]
+        got = set(zip(*vectors._pairs(q, m, most, True), strict=True))
+        assert {(i, j) for i, j in zip(*np.nonzero(far <= most[:, None]), strict=True)} <= got and len(got) <= 30 * 8
