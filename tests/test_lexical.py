@@ -120,3 +120,19 @@ def test_blocks_hold_every_posting_once(spark, corpus):
     assert n[0] == n[1] == index.terms.agg(F.sum("df")).first()[0]
     assert n[2] <= 4 * lexical.BLOCK
     assert index.n == len(rows)
+
+
+def test_vocabulary_keeps_no_postings(spark, monkeypatch):
+    """The same counts as the index's, in weighted fields and with stems, without an index or a table on shared storage."""
+    df = spark.createDataFrame(_corpus(), "chunk_id long, title string, body string").repartition(3)
+    want = {(r.term, r.df, r.cf) for r in lexical.build(df, WEIGHTS).terms.collect()}
+
+    def never(*_, **__):
+        raise AssertionError("an index was built")
+
+    monkeypatch.setattr(lexical, "settled", never)
+    monkeypatch.setattr(lexical, "build", never)
+    assert {tuple(r) for r in lexical.vocabulary(df, WEIGHTS).collect()} == want
+    from millrace.plans import QUERIES
+
+    assert QUERIES["vocabulary"](spark, "/root/testdata/sf0.001").count() > 0
