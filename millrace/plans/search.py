@@ -21,7 +21,7 @@ class Corpus:
 
     chunks: DataFrame
     routes: DataFrame
-    index: lexical.Index
+    index: lexical.Index | lexical.Texts
     graph: DataFrame | None = None
     embeddings: DataFrame | None = None
     base_url: str = "https://example.com"

@@ -136,3 +136,29 @@ def test_vocabulary_keeps_no_postings(spark, monkeypatch):
     from millrace.plans import QUERIES
 
     assert QUERIES["vocabulary"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+@pytest.mark.parametrize("digits", [None, 6])
+@pytest.mark.parametrize("k", [None, 7])
+def test_texts_find_what_their_index_finds(spark, monkeypatch, k, digits):
+    """Any word, conjunctions, phrases, synonyms, a word said twice, words nobody has, ties of copies; nothing of the postings is shuffled."""
+    monkeypatch.setattr(lexical, "_HELD", 20)
+    monkeypatch.setattr(lexical, "_CELLS", 50)
+    monkeypatch.setattr(lexical, "_BATCH", 400)
+    df = spark.createDataFrame(_corpus(), "chunk_id long, title string, body string").repartition(3)
+    asked = [[["w0", "w3", "w9"]], [["w1"], ["w2", "w7"]], [["w0 w1"], ["w2"]], [["w0 w0", "w5"]], [["same tail of words"]], [["w4", "w4"]], [["nobody"], ["w1"]], [["?!"], ["w1"]], [], [["w0 w1 w2", "w1 w0"]], [["tail"]]]
+    queries = [spark.createDataFrame([(i, g) for i, g in enumerate(asked)], "query_id int, groups array<array<string>>"), spark.createDataFrame([(i, [[w for t in g for s in t for w in s.split()]]) for i, g in enumerate(asked) if g], "query_id int, groups array<array<string>>")]
+    for places in (True, False):
+        index = lexical.build(df, WEIGHTS, places=places).settled()
+        texts = lexical.Texts(df, WEIGHTS, positional=places)
+        for q in queries:
+            want = lexical.bm25(index, q, k, digits or 6)
+            got = lexical.bm25(texts, q, k, digits)
+            assert got.schema == want.schema
+            mine, theirs = ({(r.query_id, r.chunk_id): r.score for r in x.collect()} for x in (got, want))
+            assert mine.keys() == theirs.keys() or (k and not digits)
+            assert all(abs(mine[x] - theirs[x]) < 2e-6 for x in mine.keys() & theirs.keys())
+            if k:
+                assert sorted((r.query_id, r["rank"]) for r in got.collect()) == sorted((r.query_id, r["rank"]) for r in want.collect())
+    monkeypatch.setattr(lexical, "ASKED", 3)  # a larger batch goes through the index
+    assert {tuple(r) for r in lexical.bm25(texts, queries[1], 7, 6).collect()} == {tuple(r) for r in lexical.bm25(index, queries[1], 7, 6).collect()}
