@@ -63,3 +63,15 @@ def test_without_the_training_data_part(tmp_path):
     said = "import json, __spark_entry__ as e; print(json.dumps([sorted(e.queries()), sorted(e.oracle_sql())]))"
     out = subprocess.run([sys.executable, "-c", said], cwd=tmp_path, capture_output=True, text=True, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)}).stdout
     assert json.loads(out) == [sorted(QUERIES), sorted(ORACLE_SQL)]
+
+
+@pytest.mark.parametrize("name", "bm25_phrases retrieval_metrics search_words search_pipeline bm25_topk bm25_fields_and assembled_results reranked_results bm25_stemmed".split())
+def test_a_batch_of_searches_builds_no_index(spark, monkeypatch, name):
+    """Postings of words that nobody asks for are neither shuffled nor written."""
+    from millrace.operators import lexical
+
+    def never(*_, **__):
+        raise AssertionError("an index was built")
+
+    monkeypatch.setattr(lexical, "build", never)
+    assert QUERIES[name](spark, DATA).count() >= 0
