@@ -33,7 +33,7 @@ def lint(df: DataFrame, code: str = "code", language: str | None = None, concern
     """
     own = chosen(concern, rules=rules)
     rows = _code_columns(spread(df), code, language, brand, mask)
-    rows = rows.withColumn("__bits", triggered(F.col("__masked"), own, brand, key))
+    rows = rows.withColumn("__low", F.lower("__masked")).withColumn("__bits", triggered(F.col("__low"), own, brand, key))
     c = Code(F.col("__code"), F.col("__masked"), F.col("__lines"), F.col("__masked_lines"), brand, key, F.col("__bits"))
 
     def tried(r: Rule) -> Column:
@@ -45,7 +45,10 @@ def lint(df: DataFrame, code: str = "code", language: str | None = None, concern
     def issues(x: Column) -> Column:
         return F.transform(first_of_line(x["hits"]), lambda h: F.struct(x["rank"].alias("rank"), h["line"].alias("line"), x["rule_id"].alias("rule_id"), h["column"].alias("column"), h["snippet"].alias("snippet")))
 
-    found = F.array_sort(F.flatten(F.transform(F.array(*[tried(r) for r in own]), issues)))
+    by_bits = sorted(((trigger_mask(r, own), r) for r in own), key=lambda x: ((x[0] or 0) & -(x[0] or 0), x[1].id))  # rules of like triggers are neighbours
+    runs = c.gated([(needed, tried(r)) for needed, r in by_bits], lambda n: F.array().cast(f"array<struct<rank:int,rule_id:string,hits:{HITS}>>"))
+    hit = F.filter(F.flatten(runs), lambda x: F.size(x["hits"]) > 0)  # few rules hit a snippet
+    found = F.array_sort(F.flatten(F.transform(hit, issues)))
     rows = rows.withColumn(FOUND, c.located())  # of the patterns that the rules have noted by now
     return rows.select(*df.columns, F.col("__lang").alias("language_detected"), found.alias("issues"))
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from ..functions.text import column_of, let, line_of, matches, no_matches, piece
 from .source_code import named
 
 SNIPPET = 240
+RUN = 6
 FOUND = "__found"
 HITS = "array<struct<line:int,column:int,snippet:string>>"
 SEVERITIES = ("error", "warning", "info")
@@ -55,10 +58,22 @@ class Code:
     def located(self) -> Column:
         """For each noted pattern its matches in the masked code: none where no rule that looks for it is tried."""
         text = F.coalesce(self.masked, F.lit(""))
-        pieces = [F.when(self.wanted(needed) & text.rlike(p), pieces_of(text, p, group)) for (p, group), needed in self.noted.items()]
+        kind = "struct<first:int,hits:array<string>,parts:array<string>,gaps:array<int>>"
+        pieces = [(needed, F.when(self.wanted(needed), pieces_of(text, p, group))) for (p, group), needed in self.noted.items()]
         if not pieces:
             return F.array().cast("array<array<struct<start:int,hit:string,part:string>>>")
-        return F.transform(F.array(*pieces), lambda x: F.when(x.isNotNull(), placed(x)).otherwise(no_matches()))
+        runs = self.gated(pieces, lambda n: F.array(*[F.lit(None).cast(kind)] * n))
+        return F.transform(F.flatten(runs), lambda x: F.when(x.isNotNull(), placed(x)).otherwise(no_matches()))
+
+    def gated(self, xs: list[tuple[int | None, Column]], without: Callable[[int], Column]) -> Column:
+        """An array of arrays, one for each run of RUN entries: a run whose bits a text lacks altogether costs one comparison."""
+
+        def run(part: list[tuple[int | None, Column]]) -> Column:
+            bits = [needed for needed, _ in part]
+            on = self.wanted(None if None in bits else reduce(or_, bits))
+            return F.when(on, F.array(*[x for _, x in part])).otherwise(without(len(part)))
+
+        return F.array(*[run(xs[i : i + RUN]) for i in range(0, len(xs), RUN)])
 
     def first(self, pattern: str, flags: str = "") -> Column:
         """Offset of the first match in code points, null without one."""
@@ -136,6 +151,7 @@ _SECRETS = r"\b(?:key_secret|<KEY>_KEY_SECRET|<brand>_secret|secret_key)\b"
 _CVV = r"\b(cvv|cvc|card_code|cardCvv|cardCode|card_security_code)\b"
 _PERSIST = r"(?:\b(?:save|insert|update|store|persist|writeFile|appendFile)\b|\bconsole\.(?:log|info|warn|error|debug)\b|\bdb\.[a-z_]+\.(?:save|insert|update|create|upsert)\b|\bprisma\.[a-z_]+\.(?:create|update|upsert)\b|\blogger\.(?:log|info|warn|error|debug)\b)"
 _PAN = r"\b(?:4\d{15}|5[1-5]\d{14}|3[47]\d{13}|6(?:011|5\d{2})\d{12})\b"
+_PAN_DIGITS = r"[0-9]{15}"  # the shortest number that _PAN knows
 _PAN_NAME = r"\b(card_?number|pan|full_card|cardNumber|card_no)\b"
 _PORT = r"https?://[A-Za-z0-9.-]+:(?!80\b|443\b)(\d{2,5})/[A-Za-z0-9._~/?%#=&-]*(?:webhook|hooks?|notify|payment|callback)\b[A-Za-z0-9._~/?%#=&-]*"
 _HANDLER = r"(x-<brand>-signature|<brand>-signature|payment\.captured|order\.paid|webhook(?:_event)?|verifyWebhookSignature)"
@@ -178,8 +194,10 @@ def _rupees(c: Code) -> Column:
 
 
 def _two_currencies(c: Code) -> Column:
-    codes = _currencies(c)
-    return F.when(F.size(codes) >= 2, F.array(hit_at(line_of(c.code, c.first(_CURRENCY)), F.concat(F.lit("currencies: "), F.array_join(codes, ", "))))).otherwise(_none())
+    first = c.first(_CURRENCY)
+    said = lambda codes: F.array(hit_at(line_of(c.code, first), F.concat(F.lit("currencies: "), F.array_join(codes, ", "))))
+    several = let(_currencies(c), lambda codes: F.when(F.size(codes) >= 2, said(codes)).otherwise(_none()))
+    return F.when(F.size(c.found(_CURRENCY, group=1)) >= 2, several).otherwise(_none())
 
 
 def _no_order(c: Code) -> Column:
@@ -220,11 +238,14 @@ def _plain_compare(c: Code) -> Column:
 
 
 def _cvv(c: Code) -> Column:
-    return _lines(c, lambda x: x.rlike(c.rx(_CVV, "i")) & x.rlike(c.rx(_PERSIST, "i")))
+    on = c.has(_PERSIST, "i")
+    return F.when(on, _lines(c, lambda x: x.rlike(c.rx(_CVV, "i")) & x.rlike(c.rx(_PERSIST, "i")))).otherwise(_none())
 
 
 def _pan(c: Code) -> Column:
-    return _lines(c, lambda x: x.rlike(c.rx(_PAN)) | (x.rlike(c.rx(_PAN_NAME, "i")) & x.rlike(c.rx(_PERSIST, "i"))))
+    """Lines are looked at only in a text that somewhere has digits enough for a number, or both of the words."""
+    on = c.has(_PAN_DIGITS) | (c.has(_PAN_NAME, "i") & c.has(_PERSIST, "i"))
+    return F.when(on, _lines(c, lambda x: x.rlike(c.rx(_PAN)) | (x.rlike(c.rx(_PAN_NAME, "i")) & x.rlike(c.rx(_PERSIST, "i"))))).otherwise(_none())
 
 
 def _error_reply(c: Code) -> Column:
@@ -313,16 +334,12 @@ def _r(n, severity, concern, title, route, excerpt, fix, detect, section=None) -
     return Rule(f"L{n:03d}", severity, concern, title, route, excerpt, fix, detect, section, triggers=TRIGGERS.get(n, ()))
 
 
-def triggered(masked: Column, rules: tuple[Rule, ...], brand: str, key: str) -> Column:
-    """A number with a bit for each distinct trigger of the rules that a text has; the bits are those of trigger_mask()."""
-
-    def bits(low: Column) -> Column:
-        out = F.lit(0).cast("long")
-        for t, bit in trigger_bits(rules).items():
-            out = out + F.when(F.contains(low, F.lit(named(t, brand, key).lower())), F.lit(bit)).otherwise(F.lit(0))
-        return out
-
-    return let(F.lower(masked), bits)
+def triggered(low: Column, rules: tuple[Rule, ...], brand: str, key: str) -> Column:
+    """A number with a bit for each distinct trigger of the rules that a text in lower case has; the bits are those of trigger_mask()."""
+    out = F.lit(0).cast("long")
+    for t, bit in trigger_bits(rules).items():
+        out = out + F.when(F.contains(low, F.lit(named(t, brand, key).lower())), F.lit(bit)).otherwise(F.lit(0))
+    return out
 
 
 def trigger_bits(rules: tuple[Rule, ...]) -> dict[str, int]:

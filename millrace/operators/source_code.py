@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import let, rx
+from ..functions.text import rx
 
 # Endings and names that tell a language.
 ENDINGS = {
@@ -30,6 +30,18 @@ SIGNATURES = {
     "curl": ((r"\bcurl\s+(-[A-Za-z]+\s+)*https?://", ""), (r"\bcurl\s+\\?\s*$", "m")),
 }
 
+#: What each of these signatures can't match without; a text without it isn't searched by the pattern.
+NEEDS = {
+    "node": ("require", "import", "const", "let", "exports", "<Brand>", "=>"),
+    "python": ("def", "import", "from", "<brand>.Client", ":"),
+    "php": ("<?php", "$", "->", "\\Api\\Api", "json_encode"),
+    "java": ("public", "System.out.println", "<Brand>Client", "com.<brand>"),
+    "ruby": ("def", "<brand>", "<Brand>", "end", "=>"),
+    "go": ("package", "import", "func", "<brand>.NewClient", ":="),
+    "dotnet": ("using", "namespace", "<Brand>Client", "var"),
+    "curl": ("curl", "curl"),
+}
+
 
 def named(pattern: str, brand: str, key: str) -> str:
     """A pattern with the vendor's name and key prefix put in."""
@@ -38,8 +50,17 @@ def named(pattern: str, brand: str, key: str) -> str:
 
 def language_of(code: Column, hint: Column | None = None, brand: str = "acme") -> Column:
     """A hint's language by its ending or name; else that with most signatures in the code, the first on ties, or unknown."""
-    scores = [F.struct(reduce(Column.__add__, [F.coalesce(code.rlike(rx(named(p, brand, brand), f)), F.lit(False)).cast("int") for p, f in sigs]).alias("n"), F.lit(-i).alias("i"), F.lit(lang).alias("lang")) for i, (lang, sigs) in enumerate(SIGNATURES.items())]
-    scored = let(F.array_max(F.array(*scores)), lambda best: F.when(best["n"] >= 1, best["lang"]).otherwise("unknown"))
+
+    def shown(p: str, flags: str, needed: str) -> Column:
+        there = F.contains(code, F.lit(named(needed, brand, brand))) & code.rlike(rx(named(p, brand, brand), flags))
+        return F.coalesce(there, F.lit(False)).cast("int")
+
+    def score(i: int, lang: str) -> Column:
+        n = reduce(Column.__add__, [shown(p, f, x) for (p, f), x in zip(SIGNATURES[lang], NEEDS[lang], strict=True)])
+        return F.struct(n.alias("n"), F.lit(-i).alias("i"), F.lit(lang).alias("lang"))
+
+    nothing = F.struct(F.lit(0).alias("n"), F.lit(1).alias("i"), F.lit("unknown").alias("lang"))  # before all others without a signature
+    scored = F.array_max(F.array(nothing, *[score(i, lang) for i, lang in enumerate(SIGNATURES)]))["lang"]
     if hint is None:
         return scored
     low = F.lower(F.trim(hint))
