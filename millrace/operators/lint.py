@@ -12,6 +12,10 @@ from .rules import FOUND, HITS, RULES, SEVERITIES, Code, Rule, chosen, first_of_
 from .source_code import language_of, without_comments
 
 
+#: Bytes of input that a task lints: rules take seconds a megabyte.
+PART = 1 << 24
+
+
 class UnresolvedCitation(ValueError):
     """A rule cites a route that the corpus doesn't have."""
 

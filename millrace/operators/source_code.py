@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -87,16 +88,32 @@ SPANS = {
 }
 
 
-def _blanked(code: Column, spans: str, comment: str) -> Column:
-    gaps = F.split(code, spans, -1)
-    hits = F.regexp_extract_all(code, F.lit(spans), F.lit(0))
-    said = F.transform(hits, lambda h: F.when(h.rlike(comment), F.regexp_replace(h, r"[^\n]", " ")).otherwise(h))
-    return F.array_join(F.flatten(F.zip_with(gaps, said, lambda g, h: F.array(g, F.coalesce(h, F.lit(""))))), "")
+_STARS = r"/\*[^*]*+(?:\*(?!/)[^*]*+)*+(?:\*/|\z)"
+_TRIPLES = "|".join(f"{q * 3}[^{q}]*+(?:{q}(?!{q * 2})[^{q}]*+)*+(?:{q * 3}|\\z)" for q in "\"'")
+#: The same of each family for one pass over a text: how comments begin, whole comments, strings. Characters that begin neither are taken by the run.
+PASSES = {
+    ("python",): (("#", '"""', "'''"), rf"#[^\n]*+|{_TRIPLES}", _PLAIN),
+    ("ruby", "curl"): (("#",), r"#[^\n]*+", _PLAIN),
+    ("node",): (("//", "/*"), rf"//[^\n]*+|{_STARS}", f"{_PLAIN}|{_string('`')}"),
+    ("java", "go", "dotnet", "kotlin"): (("//", "/*"), rf"//[^\n]*+|{_STARS}", _PLAIN),
+    ("php",): (("//", "/*", "#"), rf"//[^\n]*+|#[^\n]*+|{_STARS}", _PLAIN),
+}
+
+
+def _blanked(code: Column, begins: tuple[str, ...], comments: str, strings: str) -> Column:
+    """The text as comments and what is between them, found in one pass; a comment's lines become spaces of their length."""
+    first = "".join(sorted({b[0] for b in begins} | set("\"'`" if "`" in strings else "\"'")))
+    begin = "|".join(re.escape(b) for b in begins)
+    parts = F.regexp_extract_all(code, F.lit(rf"(?:[^{first}]++|(?!{begin})(?:{strings}|[\s\S]))++|{comments}"), F.lit(0))
+    is_comment = lambda x: reduce(Column.__or__, [F.startswith(x, F.lit(b)) for b in begins])
+    spaces = lambda x: F.array_join(F.transform(F.split(x, "\n", -1), lambda line: F.repeat(F.lit(" "), F.length(line))), "\n")
+    return F.array_join(F.transform(parts, lambda x: F.when(is_comment(x), spaces(x)).otherwise(x)), "")
 
 
 def without_comments(code: Column, lang: Column) -> Column:
     """code with comments turned into spaces; line breaks, strings and the length stay. Other languages: as it is."""
     out = code
-    for langs, (spans, comment) in SPANS.items():
-        out = F.when(lang.isin(*langs), _blanked(code, spans, comment)).otherwise(out)
+    for langs, (begins, comments, strings) in PASSES.items():
+        some = reduce(Column.__or__, [F.contains(code, F.lit(b)) for b in begins])
+        out = F.when(lang.isin(*langs), F.when(some, _blanked(code, begins, comments, strings)).otherwise(code)).otherwise(out)
     return out
