@@ -36,7 +36,7 @@ def lint(df: DataFrame, code: str = "code", language: str | None = None, concern
     goes before what the code looks like. A null or empty snippet has no issue. mask=False lints comments too.
     """
     own = chosen(concern, rules=rules)
-    rows = _code_columns(spread(df), code, language, brand, mask)
+    rows = _code_columns(spread(df, PART), code, language, brand, mask)
     rows = rows.withColumn("__low", F.lower("__masked")).withColumn("__bits", triggered(F.col("__low"), own, brand, key))
     c = Code(F.col("__code"), F.col("__masked"), F.col("__lines"), F.col("__masked_lines"), brand, key, F.col("__bits"))
 
