@@ -16,11 +16,12 @@ _down = np.ones(1, U)
 
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection on 64 bits that spreads every bit over all others."""
-    h = h ^ (h >> U(30))
+    high = h >> U(30)
+    h = h ^ high
     h *= U(0xBF58476D1CE4E5B9)
-    h ^= h >> U(27)
+    h ^= np.right_shift(h, U(27), out=high)
     h *= U(0x94D049BB133111EB)
-    h ^= h >> U(31)
+    h ^= np.right_shift(h, U(31), out=high)
     return h
 
 
@@ -43,10 +44,16 @@ class Ranges:
     def __init__(self, buf: np.ndarray):
         up, self.down = _powers(len(buf) + 1)
         self.sums = np.zeros(len(buf) + 1, U)
-        np.cumsum(_tables[buf] * up[: len(buf)], out=self.sums[1:])
+        byte = _tables.take(buf)
+        byte *= up[: len(buf)]
+        np.cumsum(byte, out=self.sums[1:])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start])
+        return mix((self.sums.take(end) - self.sums.take(start)) * self.down.take(start))
+
+    def every(self, width: int) -> np.ndarray:
+        """Of the ranges of one width, from each start on."""
+        return mix((self.sums[width:] - self.sums[:-width]) * self.down[: len(self.sums) - width])
 
 
 def binary(array: pa.Array) -> pa.Array:

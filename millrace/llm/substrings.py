@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _vec
-from ._work import looked_up, without, written
+from ._work import without, written
 
 LENGTH = 100
 GRAM = 28
@@ -34,8 +35,11 @@ BUCKET = 150_000
 MERGED = 1 << 19
 #: Contexts of one anchor from which on each string is dealt out by its own hash.
 HOT = 20_000
-#: Bytes of text looked at at once; positions in it fit 24 bits. Rows are passed on after _RUN bytes.
+#: Bytes of text packed at once, and looked at at once, which stay near the core; positions in these fit 24 bits. Rows
+#: are passed on after _RUN bytes, anchors of single contexts after _LONE.
 _PIECE = 1 << 20
+_NEAR = 1 << 18
+_LONE = 1 << 20
 _RUN = 8 << 20
 #: Bytes of texts for each task of the shuffles by bucket, at most: the tasks grow with the input.
 _PART = 64 << 20
@@ -51,26 +55,20 @@ def _anchors(buf: np.ndarray, off: np.ndarray):
     if n < LENGTH:
         return None
     ranges = _vec.Ranges(buf)
-    at = np.arange(n - GRAM + 1)
-    gram = ranges(at, at + GRAM)
-    least = (gram & ~_LOW) | at.astype(_U)
+    gram = ranges.every(GRAM)
+    least = (gram & ~_LOW) | np.arange(len(gram), dtype=_U)
     span = 1
     while span < width:  # sliding minimum by doubling; on ties the leftmost
         step = min(span, width - span)
         least = np.minimum(least[: len(least) - step], least[step:])
         span += step
-    # least[p] is of the grams of the string at p
-    owner = (least & _LOW).astype(np.int64)
+    # least[p] is of the grams of the string at p, and tells which
     size = np.diff(off)
-    ok = np.zeros(n + 1, np.int32)
-    has = size >= LENGTH
-    np.add.at(ok, off[:-1][has], 1)
-    np.add.at(ok, (off[1:] - LENGTH + 1)[has], -1)
-    inside = np.cumsum(ok[:-1])[: len(owner)] > 0
+    starts = np.maximum(size - LENGTH + 1, 0)
+    inside = np.repeat(np.tile([True, False], len(size)), np.column_stack([starts, size - starts]).ravel())[: len(least)]
     new = inside.copy()
-    new[1:] &= (owner[1:] != owner[:-1]) | ~inside[:-1]
-    begins = off[:-1][has]
-    new[begins] = True
+    new[1:] &= (least[1:] != least[:-1]) | ~inside[:-1]
+    new[off[:-1][size >= LENGTH]] = True
     first = np.flatnonzero(new)
     if not len(first):
         return None
@@ -78,7 +76,7 @@ def _anchors(buf: np.ndarray, off: np.ndarray):
     last[:-1] &= new[1:] | ~inside[1:]
     end = np.flatnonzero(last) + 1
     text = np.searchsorted(off, first, "right") - 1
-    a = owner[first]
+    a = (least[first] & _LOW).astype(np.int64)
     h = gram[a]
     c = _vec.mix(ranges(first, end - 1 + LENGTH) ^ ((a - first).astype(_U) << _U(8)) ^ (end - first).astype(_U))
     return np.where(h == 0, _U(1), h), c, text, first - off[text], end - first
@@ -86,7 +84,7 @@ def _anchors(buf: np.ndarray, off: np.ndarray):
 
 def _cuts(array: pa.Array):
     """Pieces of texts; a long text comes in parts that overlap by LENGTH - 1 bytes. (first row, bytes, offsets, shift)."""
-    for a, _, buf, off in _vec.pieces(array, _PIECE):
+    for a, _, buf, off in _vec.pieces(array, _NEAR):
         if len(buf) <= _LONG:
             yield a, buf, off, 0
         else:  # one text alone
@@ -95,9 +93,26 @@ def _cuts(array: pa.Array):
                 yield a, part, np.array([0, len(part)]), s
 
 
+def _stable(numbers: np.ndarray) -> np.ndarray:
+    """Stable order of numbers from 0 on: each is sorted as one number with its place, which is several times faster."""
+    bits = len(numbers).bit_length()
+    if len(numbers) and int(numbers.max()).bit_length() + bits > 63:
+        return np.argsort(numbers, kind="stable")
+    return np.sort(numbers << bits | np.arange(len(numbers))) & ((1 << bits) - 1)
+
+
+def _order(hashes: np.ndarray) -> np.ndarray:
+    """Stable order of hashes: their high bits are sorted with the place, unless different hashes share them."""
+    low = _U((1 << len(hashes).bit_length()) - 1)
+    order = (np.sort((hashes & ~low) | np.arange(len(hashes), dtype=_U)) & low).astype(np.int64)
+    by = hashes.take(order)
+    apart = by[1:] ^ by[:-1]
+    return np.argsort(hashes, kind="stable") if ((apart > 0) & (apart <= low)).any() else order
+
+
 def _blobs(part: np.ndarray, cols: list[np.ndarray]):
     """Rows (bucket, packed columns), one for each bucket."""
-    order = np.argsort(part, kind="stable")
+    order = _stable(part)
     part = part[order]
     edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
     cols = [c[order] for c in cols]
@@ -108,8 +123,9 @@ def _blobs(part: np.ndarray, cols: list[np.ndarray]):
 def _unblob(blobs: list[bytes], kinds: list[type]) -> list[np.ndarray]:
     size = sum(np.dtype(k).itemsize for k in kinds)
     out: list[list[np.ndarray]] = [[] for _ in kinds]
+    z = zstandard.ZstdDecompressor()
     for b in blobs:
-        raw = zstandard.decompress(b)
+        raw = z.decompress(b)
         n, at = len(raw) // size, 0
         for i, k in enumerate(kinds):
             out[i].append(np.frombuffer(raw, k, n, at))
@@ -136,20 +152,30 @@ _KEYS = [np.uint64, np.uint64, np.int64, np.int64]
 
 
 def _first_of(h, c, doc, place):
-    """Order by (h, c, doc, place), without repeated rows; in it which rows open a (h, c) and an h."""
-    order = np.lexsort((place, doc, c, h))
+    """Classes of equal (h, c) one after the other, each by (doc, place), without repeated rows; in it which rows don't open a class."""
+    order = _order(c)
+    if ((c[order][1:] == c[order][:-1]) & (h[order][1:] != h[order][:-1])).any():
+        order = np.lexsort((h, c))
     h, c, doc, place = h[order], c[order], doc[order], place[order]
     same = np.zeros(len(h), bool)
     same[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
+    many = np.flatnonzero(same | np.append(same, False)[1:])
+    order = many[np.lexsort((place[many], doc[many], np.cumsum(~same[many])))]
+    doc[many], place[many] = doc[order], place[order]
     again = same.copy()
     again[1:] &= (doc[1:] == doc[:-1]) & (place[1:] == place[:-1])
     keep = ~again
-    h, c, doc, place, same = h[keep], c[keep], doc[keep], place[keep], same[keep]
-    return h, c, doc, place, same
+    return h[keep], c[keep], doc[keep], place[keep], same[keep]
+
+
+def _keep_freed() -> None:
+    """Freeing a large array once lets glibc keep what smaller ones leave, instead of asking for pages again and again."""
+    np.empty((32 << 20) - (1 << 16), np.uint8)
 
 
 def _find(batches, buckets: int):
     """Rows (bucket, blob of anchor, context, text, start << 8 | starts - 1); anchor 0 marks a context known to be a copy."""
+    _keep_freed()
     for docs, got in _runs(batches):
         h, c = (np.concatenate([x[i] for x, _, _ in got]) for i in (0, 1))
         doc = np.concatenate([docs[a + x[2]] for x, a, _ in got])
@@ -198,6 +224,68 @@ def _kinds(doc, place, kind: int, anchor=None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(place), pa.array(np.full(len(doc), kind, np.int32)), pa.array(anchor)], names=["doc", "place", "kind", "anchor"])
 
 
+_LONES = [np.uint64, np.int64, np.int64]
+
+
+def _by_anchor(h, doc, place):
+    """By anchor, and how many rows each anchor has."""
+    order = _order(h)
+    h, doc, place = h[order], doc[order], place[order]
+    return h, doc, place, np.diff(np.flatnonzero(np.append(h[1:] != h[:-1], True)[: len(h)]), prepend=-1)
+
+
+def _anchored(batches, buckets: int):
+    """Copies (kind 0), contexts that are known to be open, as the bucket has others of their anchor (1), and blobs (2).
+
+    The blobs are dealt out by anchor: contexts that are alone in their bucket, and for n that aren't one row with the
+    place -n. So an anchor, however many contexts it has, has a row for each bucket at most.
+    """
+    lone, size = [], 0
+
+    def blobs():
+        h, doc, place = (np.concatenate(x) for x in zip(*lone, strict=True))
+        rows, packed = _blobs((h % _U(buckets)).astype(np.int64), [h, doc, place])
+        none = pa.nulls(len(rows), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, pa.array(np.full(len(rows), 2, np.int32)), pa.array(rows), pa.array(packed, pa.binary())], names=names)
+
+    names = ["doc", "place", "kind", "anchor", "blob"]
+    whole = lambda x: pa.RecordBatch.from_arrays([*x.columns, pa.nulls(len(x), pa.binary())], names=names)
+    for batch in _classes(batches):
+        if not len(batch) or batch.column(2)[0].as_py() == 0:
+            yield whole(batch)
+            continue
+        doc, place, _, anchor = (x.to_numpy() for x in batch.columns)
+        h, doc, place, count = _by_anchor(anchor.view(_U), doc, place)
+        several = np.repeat(count > 1, count)
+        yield whole(_kinds(doc[several], place[several], 1, h[several]))
+        opens = np.cumsum(count) - count
+        lone.append((h[opens], np.where(count > 1, 0, doc[opens]), np.where(count > 1, -count, place[opens])))
+        size += len(opens)
+        if size >= _LONE:
+            yield blobs()
+            lone, size = [], 0
+    if size:
+        yield blobs()
+
+
+def _opened(batches, hot: int):
+    """Contexts whose anchor has others elsewhere (kind 1), and anchors of more than hot contexts (2, without a place)."""
+    held: list[bytes] = []
+    for blobs, done in _by_bucket(batches):
+        held += blobs
+        if not done:
+            continue
+        h, doc, place, count = _by_anchor(*_unblob(held, _LONES))
+        held = []
+        n = np.where(place < 0, -place, 1)
+        opens = np.cumsum(count) - count
+        several = np.add.reduceat(n, opens)
+        take = np.repeat(several > 1, count) & (place >= 0)
+        yield _kinds(doc[take], place[take], 1, h[take])
+        much = h[opens][several > hot]
+        yield _kinds(np.zeros(len(much), np.int64), np.zeros(len(much), np.int64), 2, much)
+
+
 def _pack(batches):
     z = zstandard.ZstdCompressor(level=1)
     for batch in batches:
@@ -207,13 +295,19 @@ def _pack(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(packed, pa.binary())], names=["doc", "packed"])
 
 
-def _texts(batches):
-    """(key, text, places) of rows (key, packed text, places), few at a time; None where a run of about _RUN bytes ends."""
+def _texts(batches, named: bool = False):
+    """(key, text, places) of rows (key, packed text, places), few at a time; None where a run of about _RUN bytes ends.
+
+    named: only of the rows that have places.
+    """
+    z = zstandard.ZstdDecompressor()
     for batch in batches:
         size = 0
         for a, b, _, _ in _vec.pieces(batch.column(1), _PIECE):
             for key, packed, places in zip(*(batch.column(i).slice(a, b - a) for i in range(3)), strict=True):
-                raw = zstandard.decompress(packed.as_py())
+                if named and not places.is_valid:
+                    continue
+                raw = z.decompress(packed.as_py())
                 yield key.as_py(), raw, places.values if places.is_valid else None
                 size += len(raw)
             if size >= _RUN:
@@ -232,17 +326,19 @@ def _note(best: dict[bytes, tuple[int, int]], copies: list[tuple[int, int]], str
 
 
 def _bytes_of(batches, buckets: int):
-    """The contexts' bytes: rows (bucket, blob of texts, starts, counts and bytes).
+    """The contexts' bytes: rows (bucket, blob of texts, starts, counts and bytes), after _RUN bytes of contexts.
 
-    A string dealt out by itself has the count -1, and goes once a batch: its later copies are known as such and have
+    A string dealt out by itself has the count -1, and goes once a run: its later copies are known as such and have
     the count 0 and no bytes.
     """
     anchor, doc, first, count, strings = [], [], [], [], []
-    best, copies = {}, []
-    for row in _texts(batches):
-        if row is not None:
+    best, copies, size = {}, [], 0
+    for row in chain(_texts(batches, named=True), [()]):
+        if row is None:
+            continue
+        if row:
             d, raw, places = row
-            for place, kind, a in zip(*(places.field(x).to_pylist() for x in ("place", "kind", "anchor")), strict=True):
+            for place, kind, a in zip(*(places.field(x).to_numpy().tolist() for x in ("place", "kind", "anchor")), strict=True):
                 p, n = place >> 8, (place & 255) + 1
                 if kind == 1:
                     anchor.append(a)
@@ -250,10 +346,13 @@ def _bytes_of(batches, buckets: int):
                     first.append(p)
                     count.append(n)
                     strings.append(raw[p : p + n - 1 + LENGTH])
+                    size += n - 1 + LENGTH
                 else:  # each string by itself
                     for i in range(p, p + n):
                         _note(best, copies, raw[i : i + LENGTH], (d, i))
-            continue
+                    size += n * LENGTH
+            if size < _RUN:
+                continue
         anchor += [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) for x in best]
         anchor += [d for d, _ in copies]
         doc += [d for d, _ in [*best.values(), *copies]]
@@ -263,13 +362,13 @@ def _bytes_of(batches, buckets: int):
         if doc:
             yield _string_blobs(buckets, *(np.array(x, np.int64) for x in (anchor, doc, first, count)), strings)
         anchor, doc, first, count, strings = [], [], [], [], []
-        best, copies = {}, []
+        best, copies, size = {}, [], 0
 
 
 def _string_blobs(buckets: int, anchor, doc, first, count, strings: list[bytes]) -> pa.RecordBatch:
     z = zstandard.ZstdCompressor(level=1)
     part = (_vec.mix(anchor.view(_U)) % _U(buckets)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
+    order = _stable(part)
     doc, first, count, part = doc[order], first[order], count[order], part[order]
     edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])).tolist()
     rows, blobs = [], []
@@ -284,55 +383,73 @@ def _shard_order(sym: np.ndarray, follows: np.ndarray) -> np.ndarray:
 
     sym: rank of each suffix's first symbol, -1 for an end. follows[i]: the suffix one symbol on, i itself for an end.
     """
-    rank, step = sym, follows
+    rank, step = sym + 1, follows
     while True:
         pair = rank * (len(sym) + 1) + np.where(step == np.arange(len(sym)), 0, rank[step] + 1)
-        order = np.argsort(pair, kind="stable")
-        up = np.concatenate([[0], np.cumsum(pair[order][1:] != pair[order][:-1])])
+        order = _stable(pair)
+        pair = pair.take(order)
+        up = np.concatenate([[0], np.cumsum(pair[1:] != pair[:-1])])
         new = np.empty_like(rank)
         new[order] = up
         step = step[step]
         if (step == step[step]).all() and (sym[step] < 0).all():
             pair = new * (len(sym) + 1) + np.where(step == np.arange(len(sym)), 0, new[step] + 1)
-            return np.argsort(pair, kind="stable")
+            return _stable(pair)
         rank = new
 
 
 def merged_intervals(data: np.ndarray, size: np.ndarray, depth: int = LENGTH // BLOCK, shard: int = SHARD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Merge the shards' transforms of strings of given sizes that follow one another in data.
 
-    Returns, in the merged order: positions in data of all suffixes (-1 for ends), the number of their interval (equal
-    first depth * BLOCK bytes), and the common prefix with the one before, in symbols, up to depth.
+    A block that occurs once in data is in no repeated string: the strings are cut at such blocks, phase by phase, and
+    only stretches of depth blocks or more have suffixes.
+
+    Returns, in the merged order: positions in data of these suffixes (-1 for ends and what has fewer blocks up to one),
+    the number of their interval (equal first depth * BLOCK bytes), and the common prefix with the one before, in
+    symbols, up to depth.
     """
     off = np.concatenate([[0], np.cumsum(size)])
-    # suffixes: positions with a whole block, and for each string and phase an end
-    blocks = np.maximum(size - BLOCK + 1, 0)
-    suffix = np.arange(blocks.sum()) + np.repeat(off[:-1] - (np.cumsum(blocks) - blocks), blocks)
-    ends = np.minimum(blocks, BLOCK)
-    names = _vec.Ranges(data)(suffix, suffix + BLOCK)
-    _, sym = np.unique(names, return_inverse=True)
-    own = np.repeat(np.arange(len(size)), blocks)
-    end_own = np.repeat(np.arange(len(size)), ends)
-    n, m = len(suffix), int(ends.sum())
+    string = np.repeat(np.arange(len(size)), size)
+    end = off[string + 1]
+    place = np.arange(len(data))
+    blocks = np.flatnonzero(place + BLOCK <= end)
+    if not len(blocks):
+        return place[:0], place[:0], place[:0]
+    names = _vec.Ranges(data).every(BLOCK).take(blocks)
+    order = _order(names)
+    names, blocks = names.take(order), blocks.take(order)
+    bound = np.append(True, names[1:] != names[:-1])
+    symbol = np.full(len(data), -1)
+    symbol[blocks] = np.cumsum(bound) - 1
+    again = np.zeros(len(data) + depth * BLOCK, bool)
+    again[blocks] = ~(bound & np.append(bound, True)[1:])
+    begin = place + depth * BLOCK <= end
+    for i in range(depth):
+        begin &= again[i * BLOCK :][: len(data)]
+    kept = np.zeros(len(data) + BLOCK, bool)
+    for i in range(depth):
+        kept[i * BLOCK : len(data)] |= begin[: max(len(data) - i * BLOCK, 0)]
+    suffix = np.flatnonzero(kept)
+    own = string[suffix]
+    further = kept[suffix + BLOCK] & (suffix + 2 * BLOCK <= end[suffix])
+    n, m = len(suffix), int((~further).sum())
+    if not n:
+        return place[:0], place[:0], place[:0]
     # string by string: its suffixes, then its ends, so that a shard is a stretch of both
-    string = np.concatenate([own, end_own])
-    layout = np.argsort(string, kind="stable")
+    layout = _stable(np.concatenate([own, own[~further]]))
     place = np.empty(n + m, np.int64)
     place[layout] = np.arange(n + m)
-    symbol = np.concatenate([sym, np.full(m, -1)])[layout]
-    where = np.concatenate([suffix, np.full(m, -1)])[layout]
-    base = np.cumsum(blocks) - blocks
-    last = off[1:] - BLOCK
-    further = suffix + BLOCK <= last[own]
-    index = np.arange(n)
-    to_end = n + (np.cumsum(ends) - ends)[own] + (suffix - off[own]) % BLOCK
-    follows = np.concatenate([np.where(further, index + BLOCK, to_end), n + np.arange(m)])
+    symbol = np.concatenate([symbol[suffix], np.full(m, -1)])[layout]
+    where = np.concatenate([np.where(begin[suffix], suffix, -1), np.full(m, -1)])[layout]
+    index = np.cumsum(kept) - 1
+    to_end = n + np.cumsum(~further) - 1
+    follows = np.concatenate([np.where(further, index[suffix + BLOCK], to_end), n + np.arange(m)])
     follows = place[follows][layout]
     before = np.full(n + m, -1)
     forward = symbol >= 0
     before[follows[forward]] = np.flatnonzero(forward)
     # one transform a shard, each sorted by itself
-    weight = np.cumsum(blocks + ends)
+    weight = np.cumsum(np.bincount(own, minlength=len(size)) + np.bincount(own[~further], minlength=len(size)))
     cut = np.unique(np.concatenate([[0], weight[np.searchsorted(weight, np.arange(shard, n + m, shard))], [n + m]]))
     rank = np.empty(n + m, np.int64)
     for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
@@ -350,12 +467,13 @@ def merged_intervals(data: np.ndarray, size: np.ndarray, depth: int = LENGTH //
     for h in range(1, depth + 1):
         c = bwt[woven]
         has = np.flatnonzero(c >= 0)
-        order = has[np.argsort(c[has], kind="stable")]
+        order = has.take(_stable(c.take(has)))
         bound = np.zeros(n + m, bool)
         bound[:1] = True
         bound[m : m + 1] = True
-        bound[m + 1 :] = (c[order][1:] != c[order][:-1]) | (block[order][1:] != block[order][:-1])
-        woven = np.concatenate([end_ranks, prev[woven[order]]])
+        c, block = c.take(order), block.take(order)
+        bound[m + 1 :] = (c[1:] != c[:-1]) | (block[1:] != block[:-1])
+        woven = np.concatenate([end_ranks, prev.take(woven.take(order))])
         block = np.cumsum(bound) - 1
         common[bound & (common >= depth)] = h - 1
     return where[at_rank[woven]], block, common
@@ -366,6 +484,7 @@ def _merge(batches):
 
     Later copies of strings dealt out by themselves are passed on as they come.
     """
+    _keep_freed()
     cols, parts, best = [], [], {}
     for held, done in _by_bucket(batches):
         copies = []
@@ -467,17 +586,20 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", ho
     buckets = max(2 * n, math.ceil(total / (LENGTH - GRAM + 2) * 2 / BUCKET))
     found = named.filter("doc is not null").mapInArrow(lambda b: _find(b, buckets), "bucket long, blob binary")
     found = found.repartition(n, "bucket").sortWithinPartitions("bucket")
-    contexts = written(found.mapInArrow(_classes, "doc long, place long, kind int, anchor long"), "contexts")
-    firsts = contexts.filter("kind = 1").select("doc", "place", "anchor")
+    contexts = written(found.mapInArrow(lambda b: _anchored(b, buckets), "doc long, place long, kind int, anchor long, blob binary"), "contexts")
     # an anchor with one context repeats nothing else
-    anchors = written(firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "anchors")
-    kind = F.when(F.col("n") > hot, 2).otherwise(1)
-    open_ = written(looked_up(firsts, anchors, ["anchor"]).select("doc", "place", kind.alias("kind"), "anchor"), "open")
+    lone = contexts.filter("kind = 2").select(F.col("anchor").alias("bucket"), "blob").repartition(n, "bucket").sortWithinPartitions("bucket")
+    anchors = written(lone.mapInArrow(lambda b: _opened(b, hot), "doc long, place long, kind int, anchor long"), "anchors")
+    much = F.broadcast(anchors.filter("kind = 2").select("anchor", F.lit(2).alias("much")))
+    places = ["doc", "place", "anchor"]
+    open_ = contexts.filter("kind = 1").select(*places).unionByName(anchors.filter("kind = 1").select(*places))
     left = open_.agg(F.sum(F.col("place").bitwiseAND(F.lit(255)) + LENGTH)).first()[0] or 0
     merged = max(2 * n, math.ceil(left / MERGED))
+    open_ = open_.join(much, "anchor", "left").select("doc", "place", F.coalesce("much", F.lit(1)).alias("kind"), "anchor")
     open_ = open_.groupBy("doc").agg(F.collect_list(F.struct("place", "kind", "anchor")).alias("places"))
+    # both joins keep all texts, so that they are dealt out once
     texts = named.mapInArrow(_pack, "doc long, packed binary")
-    strings = texts.join(open_, "doc").select("doc", "packed", "places").mapInArrow(lambda b: _bytes_of(b, merged), "bucket long, blob binary")
+    strings = texts.join(open_, "doc", "left").select("doc", "packed", "places").mapInArrow(lambda b: _bytes_of(b, merged), "bucket long, blob binary")
     strings = strings.repartition(n, "bucket").sortWithinPartitions("bucket")
     later = strings.mapInArrow(_merge, "doc long, place long")
     gone = contexts.filter("kind = 0").select("doc", "place").unionByName(later).groupBy("doc").agg(F.collect_list("place").alias("places"))

@@ -118,3 +118,72 @@ def test_texts_without_repeats(spark):
 
 def test_empty(spark):
     assert substrings.substring_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_blocks_that_occur_once_are_not_sorted():
+    """Only stretches of repeated blocks go through the transforms; all repeated strings are still found."""
+    data = np.random.default_rng(1).integers(0, 256, 20_000).astype(np.uint8)
+    data[9000:9150] = data[2000:2150]
+    where, block, _ = substrings.merged_intervals(data, np.array([5000, 15_000]), shard=700)
+    assert 2 * 126 <= len(where) < 500
+    by = {}
+    for p, b in zip(where[where >= 0].tolist(), block[where >= 0].tolist(), strict=True):
+        by.setdefault(b, []).append(p)
+    assert sorted(map(sorted, by.values())) == [[p, p + 7000] for p in range(2000, 2051)]
+
+
+def test_nothing_repeated():
+    data = np.random.default_rng(2).integers(0, 256, 900).astype(np.uint8)
+    for size in ([900], [20, 880], [9] * 100):
+        assert [len(x) for x in substrings.merged_intervals(data, np.array(size))] == [0, 0, 0]
+
+
+def test_contexts_by_anchor():
+    """Anchors of several contexts, wherever these are, and hot ones; an anchor leaves one row a bucket."""
+    rng = np.random.default_rng(4)
+    n, buckets = 3000, 7
+    h = np.append(rng.integers(1, 3000, n), np.full(200, 5000)).astype(np.uint64) << np.uint64(40)
+    doc, place = np.arange(n + 200), np.arange(n + 200) << 8
+    bucket = rng.integers(0, buckets, n + 200)
+    blobs = [(b, substrings._blobs(np.zeros((bucket == b).sum(), np.int64), [x[bucket == b] for x in (h, rng.integers(0, 2**63, n + 200).astype(np.uint64), doc, place)])[1][0]) for b in range(buckets)]
+    made = [r for b, x in blobs for out in substrings._anchored([pa.RecordBatch.from_arrays([pa.array([b]), pa.array([x])], names=["bucket", "blob"])], 3) for r in out.to_pylist()]
+    dealt = sorted(((r["anchor"], r["blob"]) for r in made if r["kind"] == 2), key=lambda r: r[0])
+    rows = substrings._unblob([x for _, x in dealt], substrings._LONES)
+    assert (rows[0] == h[-1]).sum() <= buckets
+    found = [r for out in substrings._opened([pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*dealt, strict=True)], names=["bucket", "blob"])], 100) for r in out.to_pylist()]
+    assert [r["anchor"] for r in found if r["kind"] == 2] == [int(h[-1].view(np.int64))]
+    got = [(r["doc"], r["place"], r["anchor"]) for r in made + found if r["kind"] == 1]
+    values, count = np.unique(h, return_counts=True)
+    several = np.isin(h, values[count > 1])
+    assert sorted(got) == list(zip(*(x[several].tolist() for x in (doc, place, h.view(np.int64))), strict=True))
+
+
+def test_hashes_that_share_their_high_bits():
+    x = np.array([5, 9, 5, 1 << 60, 9, 5, (1 << 60) + 1, 1 << 60], np.uint64)
+    assert substrings._order(x).tolist() == np.argsort(x, kind="stable").tolist()
+    h, c = np.array([2, 1, 2, 1], np.uint64), np.full(4, 7, np.uint64)  # one context hash, two anchors
+    *_, doc, _, same = substrings._first_of(h, c, np.array([4, 3, 2, 1]), np.zeros(4, np.int64))
+    assert (doc.tolist(), same.tolist()) == ([1, 3, 2, 4], [False, True, False, True])
+
+
+def test_small_batches_share_a_blob():
+    """Rows to the merge grow with the contexts, not with the batches times the buckets."""
+    schema = pa.schema([("doc", pa.int64()), ("packed", pa.binary()), ("places", pa.list_(pa.struct([("place", pa.int64()), ("kind", pa.int32()), ("anchor", pa.int64())])))])
+    text = zstandard.compress(random.Random(1).randbytes(300))
+    batches = [pa.RecordBatch.from_pylist([{"doc": k, "packed": text, "places": [{"place": i << 8, "kind": 1, "anchor": i} for i in range(50)]}], schema) for k in range(40)]
+    assert sum(b.num_rows for b in substrings._bytes_of(batches, 3)) == 3
+
+
+def test_texts_are_dealt_out_once(spark):
+    held = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = substrings.substring_dedup(spark.createDataFrame(list(_texts(1).items()), "doc_id long, text string"))
+        assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", held)
+
+
+def test_rows_without_a_key(spark):
+    df = spark.createDataFrame([(None, "a" * 300), (1, "b" * 150), (None, "b" * 150), (2, "b" * 150)], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in substrings.substring_dedup(df).collect()) == [(0, 150, 0), (0, 300, 0), (1, 150, 149), (2, 150, 150)]
