@@ -596,13 +596,13 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", ho
     left = open_.agg(F.sum(F.col("place").bitwiseAND(F.lit(255)) + LENGTH)).first()[0] or 0
     merged = max(2 * n, math.ceil(left / MERGED))
     open_ = open_.join(much, "anchor", "left").select("doc", "place", F.coalesce("much", F.lit(1)).alias("kind"), "anchor")
-    open_ = open_.groupBy("doc").agg(F.collect_list(F.struct("place", "kind", "anchor")).alias("places"))
-    # both joins keep all texts, so that they are dealt out once
-    texts = named.mapInArrow(_pack, "doc long, packed binary")
+    open_ = open_.repartition(n, "doc").groupBy("doc").agg(F.collect_list(F.struct("place", "kind", "anchor")).alias("places"))
+    # both joins keep all texts, so that they are dealt out once, to as many tasks as they ask for
+    texts = named.mapInArrow(_pack, "doc long, packed binary").repartition(n, "doc")
     strings = texts.join(open_, "doc", "left").select("doc", "packed", "places").mapInArrow(lambda b: _bytes_of(b, merged), "bucket long, blob binary")
     strings = strings.repartition(n, "bucket").sortWithinPartitions("bucket")
     later = strings.mapInArrow(_merge, "doc long, place long")
-    gone = contexts.filter("kind = 0").select("doc", "place").unionByName(later).groupBy("doc").agg(F.collect_list("place").alias("places"))
+    gone = contexts.filter("kind = 0").select("doc", "place").unionByName(later).repartition(n, "doc").groupBy("doc").agg(F.collect_list("place").alias("places"))
     out = texts.join(gone, "doc", "left").select("doc", "packed", "places").mapInArrow(_apply, "doc long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.withColumnRenamed("doc", key)
 
